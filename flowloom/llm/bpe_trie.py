@@ -99,3 +99,11 @@ def decode_ids(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_c
     schema = ", ".join([*(f"__{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "__text string"])
     out = rows.mapInArrow(run, schema)
     return out.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(keep)), F.col("__text").alias(text_col))
+
+
+def digests(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", id_col: str = "doc_id") -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256."""
+    return df.select(
+        id_col, F.floor(F.octet_length(ids_col) / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col(ids_col), 256).alias("ids_sha256"), F.sha2(F.col(text_col), 256).alias("decoded_sha256"),
+    )
