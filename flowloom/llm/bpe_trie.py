@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from flowloom.llm import vocab as V
 
 #: Characters of text whose new words share one trie.
-TRIE_CHARS = 4_000_000
+TRIE_CHARS = 1_000_000
 
 
 def encode_words(v: V.Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
@@ -87,7 +87,7 @@ def decode_ids(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_c
     content = V.shared(df.sparkSession, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = V.parsed(content.value).bytes_of.__getitem__
+        token = V.token_bytes(content.value).__getitem__
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

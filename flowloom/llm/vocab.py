@@ -104,7 +104,7 @@ class Vocabulary:
         """
         known = self._pair.get((a, b))
         if known is None:
-            if len(self._pair) > 1_000_000:
+            if len(self._pair) > 250_000:
                 self._pair.clear()
             left, right, i, j, known = self._spine(a, 1), self._spine(b, 0), 0, 0, True
             while True:
@@ -167,7 +167,7 @@ class Pieces:
     word's value. Memory is bounded: at `remembered` words the tables start anew.
     """
 
-    def __init__(self, v: Vocabulary, solve, special, remembered: int = 800_000):
+    def __init__(self, v: Vocabulary, solve, special, remembered: int = 350_000):
         self.v, self.solve, self.remembered, self.special = v, solve, remembered, special
         self.spaced: dict = {}  # words of letters that follow a space, without it
         self.word: dict = {}  # all other words
@@ -239,6 +239,15 @@ class Pieces:
         return x
 
 
+@lru_cache(maxsize=2)
+def token_bytes(content: bytes) -> list[bytes]:
+    """The bytes of each id; all that decoding needs."""
+    data, letters = json.loads(content), byte_letters()
+    found = {i: bytes(letters[c] for c in t) for t, i in data["model"]["vocab"].items()}
+    found |= {t["id"]: t["content"].encode() for t in data.get("added_tokens", [])}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
 @lru_cache(maxsize=2)
 def parsed(content: bytes) -> Vocabulary:
     """One Vocabulary per worker process and file."""
