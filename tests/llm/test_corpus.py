@@ -206,7 +206,7 @@ def test_signatures_estimate_weighted_similarity():
 def test_neighbours_recall_and_odd_vectors(spark):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     odd = spark.createDataFrame([(9000, None), (9001, [0.0] * 64), (9002, [float("nan")] * 64), (9003, [None] * 64), (9004, []), (9050, [1.0, 2.0]), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
-    twins = v.where("vec_id = 50").select(F.explode(F.array(*map(F.lit, range(8000, 8020)))).cast("long").alias("vec_id"), "embedding")
+    twins = v.where("vec_id = 50").select(F.explode(F.sequence(F.lit(8000).cast("long"), F.lit(8019).cast("long"))).alias("vec_id"), "embedding")
     got = hnsw.search(v.union(odd).union(twins), F.col("vec_id") % 50 == 0).collect()
     assert not {9000, 9001, 9002, 9003, 9004, 9050} & {r["query_id"] for r in got}
     rows = {r["vec_id"]: np.array(r["embedding"], float) for r in v.union(twins).collect()}
