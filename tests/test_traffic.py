@@ -28,7 +28,7 @@ def test_flow_key_is_the_same_both_ways_and_compares_text(spark):
 
 
 def test_idle_gap_splits_at_equality(spark):
-    rows = packets(spark, [(i, t, "a", "b", 1, 2, 6, 10, 16) for i, t in enumerate([0.0, 14.9, 29.9])])
+    rows = packets(spark, [(i, t, "a", "b", 1, 2, 6, 10, 16) for i, t in enumerate([0.0, 14.5, 29.5])])
     assert flows.build(rows, 15.0).count() == 2
 
 
