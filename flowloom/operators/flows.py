@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flowloom.functions import net
 
@@ -23,10 +24,82 @@ def build(packets: DataFrame, idle: float = 15.0) -> DataFrame:
     order = Window.partitionBy(*KEY).orderBy("seq")
     rows = keyed(packets).withColumn("__new", (F.col("ts") - F.lag("ts").over(order) >= idle).cast("int"))
     rows = rows.withColumn("flow_no", F.coalesce(F.sum("__new").over(order), F.lit(0)))
+    return summed(rows)
+
+
+def latest(events: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row per key: what an upsert would leave."""
+    return events.groupBy(key).agg(F.max_by(F.struct(*(c for c in events.columns if c != key)), order).alias("__last")).select(key, "__last.*")
+
+
+def ewma(df: DataFrame, groups: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
+    """Running mean that gives the newest value the weight alpha; per group the last one."""
+    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
+    fold = F.aggregate(steps, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["__v"]).otherwise(alpha * x["__v"] + (1 - alpha) * a))
+    return df.groupBy(*groups).agg(fold.alias("ewma"))
+
+
+def clocked(packets: DataFrame, block: int = 1 << 18) -> DataFrame:
+    """Adds `clock`: the time of the packet that arrived before, of any flow (null for the first).
+
+    Windows run within blocks of arrival numbers; only one row a block is ordered over all.
+    """
+    rows = packets.withColumn("__b", F.floor(F.col("seq") / block))
+    ends = rows.groupBy("__b").agg(F.max_by("ts", "seq").alias("__last"))
+    ends = ends.select("__b", F.lag("__last").over(Window.orderBy("__b")).alias("__before"))
+    within = F.lag("ts").over(Window.partitionBy("__b").orderBy("seq"))
+    return rows.withColumn("__own", within).join(ends, "__b").withColumn("clock", F.coalesce("__own", "__before")).drop("__b", "__own", "__before")
+
+
+def _number(idle: float, active: float):
+    """Numbers the flows of each key over rows sorted by (key, seq); what it holds is one flow's start and last time."""
+
+    def run(frames):
+        key, no, start, last = None, 0, 0.0, 0.0
+        for frame in frames:
+            numbers = []
+            for k, ts, clock in zip(zip(*(frame[c] for c in KEY)), frame["ts"], frame["clock"]):
+                if k != key:
+                    key, no, start = k, 0, ts
+                elif clock - last >= idle or clock - start >= active:
+                    no, start = no + 1, ts
+                last = ts
+                numbers.append(no)
+            yield frame.assign(flow_no=numbers)
+
+    return run
+
+
+def numbered(packets: DataFrame, idle: float = 15.0, active: float = 300.0) -> DataFrame:
+    """Packets with the number of their flow, closed by the clock of all traffic.
+
+    A flow closes when any packet arrives `active` after its start or `idle` after its last packet; the packet that
+    crosses the active limit itself still counts. A start depends on the close before it, so rows are walked in order:
+    they stream sorted through each task, in batches, however long a key's history is.
+    """
+    rows = clocked(keyed(packets)).repartition(*KEY).sortWithinPartitions(*KEY, "seq")
+    return rows.mapInPandas(_number(idle, active), StructType([*rows.schema.fields, StructField("flow_no", LongType())]))
+
+
+def first_at_or_after(points: DataFrame, at: str, times: DataFrame, width: float) -> DataFrame:
+    """Points with `found`: the first value of times.ts at or after column `at` (null if none).
+
+    Both sides are cut into buckets of `width` seconds; only one row a bucket is ordered over all.
+    """
+    both = points.withColumns({"__t": F.col(at), "__g": F.lit(None).cast("double")}).unionByName(times.select(F.col("ts").alias("__t"), F.col("ts").alias("__g")).distinct(), allowMissingColumns=True)
+    both = both.withColumn("__b", F.floor(F.col("__t") / width))
+    later = Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)
+    firsts = both.groupBy("__b").agg(F.min("__g").alias("__g")).select("__b", F.first("__g", ignorenulls=True).over(later).alias("__next"))
+    own = F.min("__g").over(Window.partitionBy("__b").orderBy("__t").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    found = both.withColumn("__own", own).where(F.col(at).isNotNull() & F.col("__g").isNull()).join(firsts, "__b")
+    return found.withColumn("found", F.coalesce("__own", "__next")).drop("__t", "__g", "__b", "__own", "__next")
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """One row per flow of numbered packets; partial sums leave each task, not packets."""
     fwd = F.col("is_forward")
     out = rows.groupBy(*KEY, "flow_no").agg(
-        F.min_by(F.struct("src_ip", "dst_ip", "src_port", "dst_port"), "seq").alias("__first"),
-        F.count_if(fwd).alias("packets_fwd"), F.count_if(~fwd).alias("packets_bwd"),
+        F.min_by(F.struct("src_ip", "dst_ip", "src_port", "dst_port"), "seq").alias("__first"), F.count_if(fwd).alias("packets_fwd"), F.count_if(~fwd).alias("packets_bwd"),
         F.sum(F.when(fwd, F.col("length")).otherwise(0)).alias("bytes_fwd"), F.sum(F.when(fwd, 0).otherwise(F.col("length"))).alias("bytes_bwd"),
         F.min_by("ts", "seq").alias("start_time"), F.max_by("ts", "seq").alias("end_time"),
     )
@@ -37,13 +110,45 @@ def build(packets: DataFrame, idle: float = 15.0) -> DataFrame:
     )
 
 
-def latest(events: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row per key: what an upsert would leave."""
-    return events.groupBy(key).agg(F.max_by(F.struct(*(c for c in events.columns if c != key)), order).alias("__last")).select(key, "__last.*")
+def build_by_clock(packets: DataFrame, idle: float = 15.0, active: float = 300.0, as_of: float | None = None, width: float = 3600.0) -> DataFrame:
+    """Flows closed by the clock of all traffic, with their `state` at the end of input (or at `as_of`, if later).
+
+    expired_active if the active limit was reached when the flow first was found closed, else expired_idle, else
+    expired_flush for what was open at the end. Needs times that don't fall in order of arrival.
+    """
+    built = summed(numbered(packets, idle, active)).withColumn("__t", F.col("end_time") + idle)
+    last = packets.agg(F.max("ts").alias("ts"))
+    if as_of is not None:
+        last = last.select(F.greatest("ts", F.lit(float(as_of))).alias("ts"))
+    clock = packets.select("ts").unionByName(last) if as_of is not None else packets
+    probed = first_at_or_after(built.withColumnRenamed("__t", "__at"), "__at", clock, width)
+    now = last.select(F.col("ts").alias("__now"))
+    rows = probed.join(F.broadcast(now), how="inner")  # one row
+    starts, idles = F.col("start_time") + active, F.col("found")
+    state = F.when((starts <= F.col("__now")) & (idles.isNull() | (starts <= idles)), "expired_active").when(idles.isNotNull(), "expired_idle").otherwise("expired_flush")
+    return rows.withColumn("state", state).drop("__at", "found", "__now")
 
 
-def ewma(df: DataFrame, groups: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Running mean that gives the newest value the weight alpha; per group the last one."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
-    fold = F.aggregate(steps, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["__v"]).otherwise(alpha * x["__v"] + (1 - alpha) * a))
-    return df.groupBy(*groups).agg(fold.alias("ewma"))
+def ticks(rows: DataFrame, every: float = 1.0) -> DataFrame:
+    """Snapshots of numbered packets' flows at start + k * every, up to the last packet: counters of packets until then.
+
+    Packets are summed per (flow, interval) first; a running sum then stands for all ticks up to the next sum.
+    """
+    flow = [*KEY, "flow_no"]
+    start = F.first("ts").over(Window.partitionBy(*flow).orderBy("seq"))
+    step = F.greatest(F.ceil((F.col("ts") - F.col("__start")) / every), F.lit(0))
+    sums = rows.withColumn("__start", start).withColumn("__k", step).groupBy(*flow, "__start", "__k").agg(
+        F.count("*").alias("n"), F.sum("length").alias("b"), F.max("ts").alias("__until")
+    )
+    order = Window.partitionBy(*flow).orderBy("__k")
+    last = F.floor((F.max("__until").over(Window.partitionBy(*flow)) - F.col("__start")) / every)
+    sums = sums.select(*flow, "__start", "__k", F.sum("n").over(order).alias("total_packets"), F.sum("b").over(order).alias("total_bytes"), F.coalesce(F.lead("__k").over(order) - 1, last).alias("__to"), last.alias("__last"))
+    sums = sums.withColumns({"__from": F.greatest("__k", F.lit(1)), "__to": F.least("__to", "__last")}).where("__from <= __to")
+    out = sums.withColumn("tick", F.explode(F.sequence("__from", "__to")))
+    return out.select(net.flow_id().alias("flow_id"), "flow_no", "tick", (F.col("__start") + F.col("tick") * every).alias("at"), "total_packets", "total_bytes")
+
+
+def lifetime(flows: DataFrame) -> DataFrame:
+    """Packets seen, flows created, expired and still open."""
+    still = F.col("state") == "expired_flush"
+    return flows.agg(F.coalesce(F.sum("total_packets"), F.lit(0)).alias("packets"), F.count("*").alias("created"), F.count_if(~still).alias("expired"), F.count_if(still).alias("active"))

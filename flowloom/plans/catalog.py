@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.fixtures import oracle, view
-from flowloom.functions import net
+from flowloom.functions import net, ngram
 from flowloom.operators import alerts as al
 from flowloom.operators import detectors as det
 from flowloom.operators import features as feat
@@ -297,6 +297,48 @@ def d_ewma(spark, sf_dir):
     return rounded(fl.ewma(rows, ["flow_id"], ["seq"], "v"))
 
 
+ACTIVE, TICK = 604_800.0, 21_600.0
+_CLOCK = f"""{_KEYED}, c AS (SELECT *, lag(ts) OVER (ORDER BY seq) AS clock, row_number() OVER (PARTITION BY flow_id ORDER BY seq) AS r FROM keyed),
+  walk AS (SELECT flow_id, r, seq, ts, length, 0::BIGINT AS flow_no, ts AS start FROM c WHERE r = 1
+   UNION ALL SELECT c.flow_id, c.r, c.seq, c.ts, c.length, CASE WHEN c.clock - w.ts >= {IDLE} OR c.clock - w.start >= {ACTIVE} THEN w.flow_no + 1 ELSE w.flow_no END, CASE WHEN c.clock - w.ts >= {IDLE} OR c.clock - w.start >= {ACTIVE} THEN c.ts ELSE w.start END
+   FROM walk w JOIN c ON c.flow_id = w.flow_id AND c.r = w.r + 1),
+  timed AS (SELECT flow_id, flow_no, count(*) AS total_packets, sum(length)::BIGINT AS total_bytes, arg_min(ts, seq) AS start_time, arg_max(ts, seq) AS end_time FROM walk GROUP BY ALL),
+  closed AS (SELECT t.*, CASE WHEN start_time + {ACTIVE} <= (SELECT max(ts) FROM packets) AND (p.ts IS NULL OR start_time + {ACTIVE} <= p.ts) THEN 'expired_active' WHEN p.ts IS NOT NULL THEN 'expired_idle' ELSE 'expired_flush' END AS state
+   FROM timed t ASOF LEFT JOIN (SELECT DISTINCT ts FROM packets) p ON p.ts >= t.end_time + {IDLE})"""
+_RECURSIVE = _with("packets").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(f"""{_RECURSIVE}, {_CLOCK} SELECT flow_id, flow_no, total_packets, total_bytes, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, state FROM closed""")
+def f_flows_by_clock(spark, sf_dir):
+    return rounded(fl.build_by_clock(view(spark, sf_dir, "packets"), IDLE, ACTIVE, width=86_400.0).select("flow_id", "flow_no", "total_packets", "total_bytes", "start_time", "end_time", "state"))
+
+
+@query(f"""{_RECURSIVE}, {_CLOCK}, marks AS (SELECT flow_id, flow_no, start_time, unnest(range(1, floor((end_time - start_time) / {TICK})::BIGINT + 1)) AS tick FROM timed)
+  SELECT m.flow_id, m.flow_no, tick, round(start_time + tick * {TICK}, 6) AS at, count(*) AS total_packets, sum(length)::BIGINT AS total_bytes FROM marks m JOIN walk w ON w.flow_id = m.flow_id AND w.flow_no = m.flow_no AND ceil((w.ts - start_time) / {TICK}) <= tick GROUP BY m.flow_id, m.flow_no, tick, start_time""")
+def f_ticks(spark, sf_dir):
+    return rounded(fl.ticks(fl.numbered(view(spark, sf_dir, "packets"), IDLE, ACTIVE), TICK))
+
+
+@query(f"""{_RECURSIVE}, {_CLOCK} SELECT sum(total_packets)::BIGINT AS packets, count(*) AS created, count(*) FILTER (state <> 'expired_flush') AS expired, count(*) FILTER (state = 'expired_flush') AS active FROM closed""")
+def f_lifetime(spark, sf_dir):
+    return fl.lifetime(fl.build_by_clock(view(spark, sf_dir, "packets"), IDLE, ACTIVE, width=86_400.0))
+
+
+def _gram_sql(n: int) -> str:
+    return f"""m{n} AS (SELECT g, count(*) AS c FROM (SELECT substr(text, i, {n}) AS g FROM (SELECT text, unnest(range(1, length(text) - {n} + 2)) AS i FROM corpus)) GROUP BY g),
+  s{n} AS (SELECT label, avg(log2((coalesce(c, 0) + 1) / ((SELECT sum(c) FROM m{n}) + (SELECT count(*) FROM m1)::DOUBLE ** {n}))) AS score FROM (SELECT label, substr(label, i, {n}) AS g FROM (SELECT label, unnest(range(1, length(label) - {n} + 2)) AS i FROM (SELECT DISTINCT label FROM labelled))) LEFT JOIN m{n} USING (g) GROUP BY label)"""
+
+
+@query(f"""{_with('dns_queries')}, {_NAMES}, corpus AS (SELECT string_agg(lower(n_name), ' ' ORDER BY n_name) AS text FROM nation), {_gram_sql(1)}, {_gram_sql(2)}, {_gram_sql(3)}
+  SELECT seq, label, round(coalesce(s2.score, 0), 6) AS bigram, round(coalesce(s3.score, 0), 6) AS trigram, round(0.4 * coalesce(s2.score, 0) + 0.6 * coalesce(s3.score, 0), 6) AS ngram_score FROM labelled LEFT JOIN s2 USING (label) LEFT JOIN s3 USING (label)""")
+def p_ngrams(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").agg(F.array_join(F.array_sort(F.collect_list(F.lower("n_name"))), " ").alias("text"))  # a fixed dimension
+    rows = view(spark, sf_dir, "dns_queries").select("seq", net.label_of(F.col("qname")).alias("label"))
+    for n, name in ((2, "bigram"), (3, "trigram")):
+        rows = ngram.likelihood(rows, "label", ngram.fit(names, "text", n), name)
+    return rounded(rows.select("seq", "label", "bigram", "trigram", ngram.combined(F.col("bigram"), F.col("trigram")).alias("ngram_score")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets to flows, fan-out features, scan scores, severity, suppression and counts by class and severity."""
     flows = fl.build(view(spark, sf_dir, "packets"), IDLE).withColumn("seq", F.col("flow_no"))
