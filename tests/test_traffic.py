@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import net
 from flowloom.operators import alerts, detectors, features, flows
-from flowloom.plans import catalog
+from flowloom.plans import index as catalog
 
 SF = "/root/testdata/sf0.001"
 
