@@ -20,14 +20,16 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from flowloom.llm.bpe_trie import encode_texts
+from flowloom.llm import vocab as V
 
 BLOCK, STRIPE = 2048, 2_000_000
 MAGIC = b"CMR1"
@@ -43,52 +45,70 @@ _ODDS = np.array([min(256 * p // (4096 - p), 256 * 63) for p in range(4096)])
 
 
 class _Lanes:
-    """The models of many blocks, advanced together; the same steps while coding and decoding."""
+    """The models of many blocks, advanced together; the same steps while coding and decoding.
+
+    Arrays over both orders hold order 1 of all lanes, then order 2 of all lanes.
+    """
 
     def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.tables = [np.zeros(n << _SLOTS, np.int64) for _ in range(2)]  # id * _LEVELS + confidence; confidence 0: none
-        self.belief = [np.tile(np.array([0, 1200, 2000, 2600, 3000, 3300, 3500, 3600]), n) for _ in range(2)]
+        self.tables = np.full(2 * n << _SLOTS, -_LEVELS, np.int32)  # id * _LEVELS + confidence; without an entry: -1, 0
+        self.belief = np.tile(np.array([0, 1200, 2000, 2600, 3000, 3300, 3500, 3600], np.int32), 2 * n)
         self.counts = np.ones((n, _CLASSES), np.int64)
-        self.before = [np.zeros(n, np.int64), np.zeros(n, np.int64)]
-        self.refresh(n)
-
-    def refresh(self, k: int) -> None:
-        c = self.counts[:k]
-        c[c.sum(axis=1) > 512] = (c[c.sum(axis=1) > 512] + 1) >> 1
-        self.each = np.maximum((c << 10) // _SIZE, 1)
-        self.upto = np.concatenate([np.zeros((k, 1), np.int64), np.cumsum(self.each * _SIZE, axis=1)], axis=1)
-
-    def predict(self, k: int) -> None:
-        one, two = self.before[0][:k], self.before[1][:k]
-        base = self.lane[:k] << _SLOTS
-        mask = (1 << _SLOTS) - 1
-        self.at = [base + ((one * 40503 >> 5) & mask), base + (((one * 2654435761 + two * 40503) >> 9) & mask)]
-        self.total = self.upto[:k, -1]
-        self.guess, self.level, self.weight = [], [], []
-        for o in range(2):
-            e = self.tables[o][self.at[o]]
-            level = (self.lane[:k] * _LEVELS) + (e & (_LEVELS - 1))
-            self.guess.append(np.where(e & (_LEVELS - 1), e >> 3, -1))
-            self.level.append(level)
-            self.weight.append(self.total * _ODDS[self.belief[o][level]] >> 8)
-        same = self.guess[0] == self.guess[1]
-        self.weight[1] += np.where(same, self.weight[0], 0)
-        self.weight[0][same] = 0
-        self.known = self.weight[0] + self.weight[1]
-
-    def learn(self, k: int, ids: np.ndarray, magnitude: np.ndarray) -> None:
-        for o in range(2):
-            hit = self.guess[o] == ids
-            p = self.belief[o][self.level[o]]
-            self.belief[o][self.level[o]] = p + ((np.where(hit, 4095, 0) - p) >> 4)
-            confidence = self.level[o] & (_LEVELS - 1)
-            better = np.minimum(confidence + 1, _LEVELS - 1)
-            stays = hit | (confidence > 1)
-            self.tables[o][self.at[o]] = np.where(stays, self.guess[o], ids) * _LEVELS + np.where(hit, better, np.where(stays, confidence >> 1, 1))
-        self.counts[self.lane[:k], magnitude] += 2
-        self.before[1][:k] = self.before[0][:k]
-        self.before[0][:k] = ids
+        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self._number(n)
+
+    def _number(self, n: int) -> None:
+        both = np.arange(2 * n)
+        self.n, self.row, self.edge = n, both[:n] * _CLASSES, both[:n] * (_CLASSES + 1)
+        self.slot, self.place, self.at = both << _SLOTS, both * _LEVELS, np.empty(2 * n, np.int64)
+
+    def drop_last(self) -> None:
+        """Goes on without the last lane, whose block has ended."""
+        n = self.n - 1
+        self.tables = self.tables.reshape(2, n + 1, -1)[:, :n].ravel()
+        self.belief = self.belief.reshape(2, n + 1, -1)[:, :n].ravel()
+        self.counts, self.one, self.two = self.counts[:n], self.one[:n], self.two[:n]
+        self._number(n)
+        self._share()
+
+    def refresh(self) -> None:
+        c = self.counts
+        many = c.sum(axis=1) > 512
+        c[many] = (c[many] + 1) >> 1
+        self._share(c)
+
+    def _share(self, counts: np.ndarray | None = None) -> None:
+        each = np.maximum((counts << 10) // _SIZE, 1) if counts is not None else self.each.reshape(-1, _CLASSES)[: self.n]
+        self.upto = np.concatenate([np.zeros((self.n, 1), np.int64), np.cumsum(each * _SIZE, axis=1)], axis=1)
+        self.total = np.ascontiguousarray(self.upto[:, -1])
+        self.totals, self.each, self.edges = np.tile(self.total, 2), each.ravel(), self.upto.ravel()
+
+    def predict(self) -> None:
+        n, mask = self.n, (1 << _SLOTS) - 1
+        mixed = self.one * 40503
+        self.at[:n] = (mixed >> 5) & mask
+        self.at[n:] = ((self.one * 2654435761 + self.two * 40503) >> 9) & mask
+        self.at += self.slot
+        self.entry = self.tables.take(self.at)
+        self.confidence = self.entry & (_LEVELS - 1)
+        self.guess = self.entry >> 3
+        self.level = self.place + self.confidence
+        self.p = self.belief.take(self.level)
+        weight = self.totals * _ODDS.take(self.p) >> 8
+        self.w1, self.w2 = weight[:n], weight[n:]
+        moved = self.w1 * (self.guess[:n] == self.guess[n:])
+        self.w2 += moved
+        self.w1 -= moved
+        self.known = self.w1 + self.w2
+
+    def learn(self, ids: np.ndarray, magnitude: np.ndarray) -> None:
+        seen = np.concatenate([ids, ids]).astype(np.int32)
+        hit, e, c = self.guess == seen, self.entry, self.confidence
+        self.belief[self.level] = self.p + ((hit * np.int32(4095) - self.p) >> 4)
+        missed = np.where(c > 1, e - ((c + 1) >> 1), seen * _LEVELS + 1)
+        self.tables[self.at] = np.where(hit, e + (c < _LEVELS - 1), missed)
+        self.counts.ravel()[self.row + magnitude] += 2
+        self.two, self.one = self.one, ids
 
 
 _LOW32, _S16, _S48 = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(48)
@@ -117,28 +137,30 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     lanes = _Lanes(n)
     low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
     words, used = np.zeros((n, 2 * block + 8), np.uint16), np.zeros(n, np.int64)
+    lo, sp = low, span
     for t in range(block if n > 1 else last):
-        k = n if t < last else n - 1
+        if t == last:
+            lanes.drop_last()
+            lo, sp = low[: n - 1], span[: n - 1]
         if t % _REFRESH == 0:
-            lanes.refresh(k)
-        lanes.predict(k)
+            lanes.refresh()
+        lanes.predict()
+        k, w1, w2 = lanes.n, lanes.w1, lanes.w2
         x, m = grid[t, :k], magnitude[t, :k]
-        share = lanes.each[lanes.lane[:k], m]
-        start = lanes.known + lanes.upto[lanes.lane[:k], m] + (x - _FIRST[m]) * share
-        w1, w2 = lanes.weight
-        hit2, hit1 = (lanes.guess[1] == x) & (w2 > 0), (lanes.guess[0] == x) & (w1 > 0)
+        share = lanes.each.take(lanes.row + m)
+        start = lanes.known + lanes.edges.take(lanes.edge + m) + (x - _FIRST.take(m)) * share
+        hit2, hit1 = (lanes.guess[k:] == x) & (w2 > 0), (lanes.guess[:k] == x) & (w1 > 0)
         start = np.where(hit2, 0, np.where(hit1, w2, start))
         share = np.where(hit2, w2, np.where(hit1, w1, share))
-        lo, sp = low[:k], span[:k]
-        unit = sp // (lanes.known + lanes.total).astype(np.uint64)
-        lo += unit * start.astype(np.uint64)
-        sp[:] = unit * share.astype(np.uint64)
+        unit = sp // (lanes.known + lanes.total).view(np.uint64)
+        lo += unit * start.view(np.uint64)
+        sp[:] = unit * share.view(np.uint64)
         while len(due := _due(lo, sp)):
             words[due, used[due]] = lo[due] >> _S48
             used[due] += 1
             lo[due] <<= _S16
             sp[due] <<= _S16
-        lanes.learn(k, x, m)
+        lanes.learn(x, m)
     out = []
     for i in range(n):
         tail = int(low[i]).to_bytes(8, "big")
@@ -169,35 +191,35 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     grid = np.zeros((block, n), np.int64)
     lanes = _Lanes(n)
     low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    lo, sp, co = low, span, code
     for t in range(block):
-        k = n if t < last else n - 1
+        if t == last and n > 1:
+            lanes.drop_last()
+            lo, sp, co = low[: n - 1], span[: n - 1], code[: n - 1]
         if t % _REFRESH == 0:
-            lanes.refresh(k)
-        lanes.predict(k)
-        rows = lanes.lane[:k]
-        lo, sp, co = low[:k], span[:k], code[:k]
+            lanes.refresh()
+        lanes.predict()
+        k, w1, w2 = lanes.n, lanes.w1, lanes.w2
         whole = lanes.known + lanes.total
-        unit = sp // whole.astype(np.uint64)
-        target = np.minimum(((co - lo) // unit).astype(np.int64), whole - 1)
-        w1, w2 = lanes.weight
+        unit = sp // whole.view(np.uint64)
+        target = np.minimum(((co - lo) // unit).view(np.int64), whole - 1)
         rest = target - lanes.known
-        m = (lanes.upto[:k, 1:] <= rest[:, None]).sum(axis=1)
-        share = lanes.each[rows, m]
-        x = _FIRST[m] + (rest - lanes.upto[rows, m]) // share
+        m = (lanes.upto[:, 1:] <= rest[:, None]).sum(axis=1)
+        share, edge = lanes.each.take(lanes.row + m), lanes.edges.take(lanes.edge + m)
+        x = _FIRST.take(m) + (rest - edge) // share
         hit2, hit1 = target < w2, (target >= w2) & (target < lanes.known)
-        x = np.where(hit2, lanes.guess[1], np.where(hit1, lanes.guess[0], x))
-        start = np.where(hit2, 0, np.where(hit1, w2, lanes.known + lanes.upto[rows, m] + (x - _FIRST[m]) * share))
+        start = np.where(hit2, 0, np.where(hit1, w2, lanes.known + edge + (x - _FIRST.take(m)) * share))
         share = np.where(hit2, w2, np.where(hit1, w1, share))
-        lo += unit * start.astype(np.uint64)
-        sp[:] = unit * share.astype(np.uint64)
+        x = np.where(hit2, lanes.guess[k:], np.where(hit1, lanes.guess[:k], x))
+        lo += unit * start.view(np.uint64)
+        sp[:] = unit * share.view(np.uint64)
         while len(due := _due(lo, sp)):
             co[due] = (co[due] << _S16) | words[due, used[due]]
             used[due] += 1
             lo[due] <<= _S16
             sp[due] <<= _S16
         grid[t, :k] = x
-        m = np.where(hit1 | hit2, np.ceil(np.log2(x + 1)).astype(np.int64), m)
-        lanes.learn(k, x, m)
+        lanes.learn(x, np.searchsorted(_FIRST, x, side="right") - 1)
     ids = np.ascontiguousarray(grid.T).ravel()[: (n - 1) * block + last]
     for i, (_, size, crc, _) in enumerate(heads):
         if zlib.crc32(ids[i * block : i * block + size].astype("<u4").tobytes()) != crc:
@@ -205,31 +227,41 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     return ids
 
 
+@lru_cache(maxsize=2)
+def _library(content: bytes) -> Tokenizer:
+    """The library's tokenizer, one per worker process and file, without truncation and padding."""
+    found = Tokenizer.from_str(content.decode())
+    found.no_truncation()
+    found.no_padding()
+    return found
+
+
 def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode each text, append end_id, and write the ids to `path` in ascending order of identifiers.
 
     One exchange of the texts, by ranges of identifiers; tasks then stream through their rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    ids = encode_texts(docs.repartitionByRange("__id").sortWithinPartitions("__id"), vocabulary_path, "__text", "__ids", ("__id",))
-    end = struct.pack("<I", end_id)
+    docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    content = V.shared(df.sparkSession, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = _library(content.value)
         part, stripe, names, sizes, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            blocks = encode_blocks(np.frombuffer(b"".join(held), "<u4"))
+            blocks = encode_blocks(np.concatenate(held))
             columns = [pa.array([part], pa.int32()), pa.array([stripe], pa.int32()), pa.array([names], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.binary()))]
             return pa.RecordBatch.from_arrays(columns, names=["part", "stripe", "ids", "sizes", "blocks"])
 
         for b in batches:
             id_type = b.schema.field("__id").type
-            for name, x in zip(b.column("__id"), b.column("__ids"), strict=True):
-                whole = x.as_py() + end
+            for name, text in zip(b.column("__id"), b.column("__text"), strict=True):
+                ids = library.encode(text.as_py(), add_special_tokens=False).ids
+                ids.append(end_id)
                 names.append(name.as_py())
-                sizes.append(len(whole) // 4)
-                held.append(whole)
+                sizes.append(len(ids))
+                held.append(np.array(ids, np.uint32))
                 size += sizes[-1]
                 if size >= STRIPE:
                     yield closed()
@@ -237,7 +269,8 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: s
         if names:
             yield closed()
 
-    ids.mapInArrow(run, f"part int, stripe int, ids array<{kind}>, sizes array<bigint>, blocks array<binary>").write.parquet(path)
+    sorted_docs = docs.repartitionByRange("__id").sortWithinPartitions("__id")
+    sorted_docs.mapInArrow(run, f"part int, stripe int, ids array<{kind}>, sizes array<bigint>, blocks array<binary>").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
