@@ -123,6 +123,30 @@ def exfiltration(flows: DataFrame, window: int = 100) -> DataFrame:
     )
 
 
+def exfiltration_against(flows: DataFrame, keep: list[str], baseline: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """Per flow, the features of `exfiltration` against a given baseline (src_ip, bytes_fwd) and given pairs (src_ip, dst_ip).
+
+    Without a baseline the score is 0; a pair not given as seen is new, each time it comes.
+    """
+    rows = flows
+    if baseline is not None:
+        known = baseline.groupBy("src_ip").agg(F.avg("bytes_fwd").alias("__m"), F.stddev_pop("bytes_fwd").alias("__sd"), F.count("*").alias("__n"))
+        rows = rows.join(known, "src_ip", "left")
+    else:
+        rows = rows.withColumns({"__m": F.lit(0.0), "__sd": F.lit(0.0), "__n": F.lit(0)})
+    if seen is not None:
+        rows = rows.join(seen.select("src_ip", "dst_ip").distinct().withColumn("__seen", F.lit(1)), ["src_ip", "dst_ip"], "left")
+    else:
+        rows = rows.withColumn("__seen", F.lit(None).cast("int"))
+    flat = F.when(F.col("bytes_fwd") > F.col("__m"), F.lit(float("inf"))).otherwise(0.0)
+    z = F.when(F.coalesce("__n", F.lit(0)) < 2, 0.0).when(F.col("__sd") < 1e-9, flat).otherwise(F.try_divide(F.col("bytes_fwd") - F.col("__m"), F.col("__sd")))
+    return rows.select(
+        *keep, net.safe_ratio(F.col("bytes_fwd").cast("double"), F.col("bytes_bwd").cast("double")).alias("outbound_inbound_ratio"), z.alias("outbound_volume_zscore"),
+        net.safe_ratio(F.col("duration"), (F.col("bytes_fwd") + F.col("bytes_bwd")).cast("double")).alias("duration_bytes_ratio"), net.off_hours(F.col("start_time")).alias("off_hours_flag"),
+        F.col("__seen").isNull().cast("int").alias("destination_novel"),
+    )
+
+
 def first_packets(packets: DataFrame, groups: list[str], n: int = 10) -> DataFrame:
     """Mean and deviation of sizes and gaps of each group's first n packets by time."""
     order = Window.partitionBy(*groups).orderBy("ts", "seq")

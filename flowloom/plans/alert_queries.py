@@ -108,3 +108,27 @@ def export(alerts: DataFrame, limit: int = 1000) -> DataFrame:
 def shown_classes(summary: DataFrame) -> DataFrame:
     """Per bucket of trends: critical, high and the rest."""
     return summary.select("bucket", "critical", "high", (F.col("total") - F.col("critical") - F.col("high")).alias("other"))
+
+
+#: The sensor that stands for all while none is stored.
+SENSOR = ("sensor-local-01", "Primary Passive Tap (Windows Npcap)", "Local Tap", "127.0.0.1", "ACTIVE", None)
+SENSORS = "id string, name string, interface string, ip_address string, status string, last_heartbeat double"
+
+
+def sensors(stored: DataFrame) -> DataFrame:
+    """The stored sensors, or the standing one if there is none; heartbeats in ISO 8601."""
+    standing = stored.sparkSession.createDataFrame([SENSOR], SENSORS)
+    none = stored.agg(F.count("*").alias("__n")).where("__n = 0")  # one row or none
+    rows = stored.unionByName(standing.join(F.broadcast(none)).drop("__n"))
+    return rows.withColumn("last_heartbeat", iso("last_heartbeat"))
+
+
+def health(stored: DataFrame, started: float, now: float) -> DataFrame:
+    """One row: whether the store answers, and for how long the service has run."""
+    try:
+        stored.limit(1).collect()
+        answers = True
+    except Exception:  # noqa: BLE001 - any failure of the store is what this reports
+        answers = False
+    row = [("ok" if answers else "degraded", round(now - started, 2), answers, float(now))]
+    return stored.sparkSession.createDataFrame(row, "status string, uptime_seconds double, db_connected boolean, timestamp double")

@@ -67,7 +67,7 @@ def _walk(data: bytes | None) -> list[dict]:
     return out
 
 
-def _sets(data: str) -> Column:
+def walked(data: str) -> Column:
     @F.pandas_udf(_SETS)
     def parse(datagrams: pd.Series) -> pd.Series:
         return datagrams.map(_walk)
@@ -101,7 +101,7 @@ def sets(datagrams: DataFrame, block: int = 1 << 16) -> DataFrame:
     One exporter may send most datagrams, so its history is cut into blocks of arrival numbers: within a block the
     last template is carried along, and each block starts with what the blocks before it left.
     """
-    rows = datagrams.select("seq", F.posexplode(_sets("data")).alias("pos", "s")).select("seq", "pos", "s.*").withColumn("__b", F.floor(F.col("seq") / block))
+    rows = datagrams.select("seq", F.posexplode(walked("data")).alias("pos", "s")).select("seq", "pos", "s.*").withColumn("__b", F.floor(F.col("seq") / block))
     rows = rows.withColumn("__t", F.when(F.col("fields").isNotNull(), F.struct("record_length", "fields")))
     key = ["source_id", "template_id"]
     left = rows.where("__t IS NOT NULL").groupBy(*key, "__b").agg(F.max_by("__t", F.struct("seq", "pos")).alias("__end"))
@@ -116,9 +116,14 @@ def sets(datagrams: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 def records(datagrams: DataFrame) -> DataFrame:
     """One row per record, with `values`: field name to text. Unknown fields are called field_<number>."""
+    return cut(sets(datagrams))
+
+
+def cut(found: DataFrame) -> DataFrame:
+    """The records of data sets that have their template."""
     names = F.create_map(*(F.lit(x) for n, (name, kind) in FIELDS.items() for x in (n, F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind")))))
     size = F.col("template.record_length")
-    rows = sets(datagrams).where(F.length("body") >= size)
+    rows = found.where(F.length("body") >= size)
     rows = rows.withColumn("record", F.explode(F.sequence(F.lit(0), (F.length("body") / size).cast("int") - 1)))
 
     def entry(f: Column) -> Column:

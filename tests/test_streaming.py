@@ -67,3 +67,33 @@ def test_minutes(spark, tmp_path):
     df = spark.createDataFrame([("ddos", BASE + t) for t in (0.0, 59.0, 60.0, 1000.0)], "threat_class string, ts double")
     got = drained(spark, tmp_path, live.per_minute(stream(spark, tmp_path, df, "ts")))
     assert {(r["minute"] - BASE, r["n"]) for r in got.collect()} >= {(0, 2), (60, 1)}
+
+
+def test_templates_outlive_their_batch(spark, tmp_path):
+    import os
+
+    from flowloom.sources import netflow
+    from flowloom.streaming import exports
+    from tests.test_sources import FIELDS, RECORD, template, v9
+
+    sent = [v9([(256, RECORD)]), v9([(0, template(256, FIELDS)), (256, RECORD * 2)]), v9([(256, RECORD)], source=101), v9([(256, RECORD)]), b"junk", v9([(0, template(256, [(1, 8)])), (256, b"\0" * 7 + b"\5")])]
+    (tmp_path / "in").mkdir()
+    for i, data in enumerate(sent):
+        (tmp_path / "in" / f"d{i:06}.bin").write_bytes(data)
+        os.utime(tmp_path / "in" / f"d{i:06}.bin", (1e9 + i * 60, 1e9 + i * 60))
+    got = drained(spark, tmp_path, exports.records(exports.datagrams(spark, str(tmp_path / "in"), 1)))
+    batch = netflow.records(spark.createDataFrame(list(enumerate(sent)), "seq long, data binary"))
+    rows = lambda df: sorted((r["seq"], r["pos"], r["record"], sorted(r["values"].items())) for r in df.collect())
+    assert rows(got) == rows(batch) and [r[0] for r in rows(got)] == [1, 1, 3, 5]
+
+
+def test_moving_mean_equals_its_recurrence(spark, tmp_path):
+    from flowloom.streaming import exports
+
+    rows = spark.createDataFrame([(i, "ab"[i % 2], float(i * i % 7)) for i in range(12)], "seq long, k string, v double")
+    got = {r["seq"]: r["ewma"] for r in drained(spark, tmp_path, exports.ewma(stream(spark, tmp_path, rows, "seq"), "k", "seq", "v")).collect()}
+    mean, want = {}, {}
+    for r in rows.orderBy("seq").collect():
+        mean[r["k"]] = r["v"] if r["k"] not in mean else 0.3 * r["v"] + 0.7 * mean[r["k"]]
+        want[r["seq"]] = mean[r["k"]]
+    assert got == pytest.approx(want)
