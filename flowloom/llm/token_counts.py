@@ -22,6 +22,8 @@ from flowloom.llm import vocab as V
 
 #: Rows whose new words are looked up together.
 ROWS = 200
+#: Words whose counts are kept, a number each: at most some 250 MB a worker.
+WORDS = 2_000_000
 
 
 class PrefixCounter:
@@ -29,7 +31,7 @@ class PrefixCounter:
 
     def __init__(self, vocabulary: V.Vocabulary):
         self.v = vocabulary
-        self.pieces = V.Pieces(vocabulary, lambda words: {w: self.table(w)[-1] for w in words}, lambda s: 1)
+        self.pieces = V.Pieces(vocabulary, lambda words: {w: self.table(w)[-1] for w in words}, lambda s: 1, WORDS)
 
     def table(self, word: str) -> list[int]:
         """counts[i] for the first i bytes of a word (not a special string), by the recurrence over last tokens."""
