@@ -49,6 +49,11 @@ def with_flow(alerts: DataFrame, flows: DataFrame) -> DataFrame:
     return alerts.join(flows.where("flow_id != 'unknown'"), "flow_id", "left")
 
 
+def flow(flows: DataFrame, flow_id: str) -> DataFrame:
+    """The rows of one stored flow; none for the identifier 'unknown'."""
+    return flows.where((F.col("flow_id") == flow_id) & (F.col("flow_id") != "unknown"))
+
+
 def kpi(alerts: DataFrame, flows: DataFrame, now: float) -> DataFrame:
     """Alerts per minute and Mbit/s over the last ten seconds, else the last minute, else the whole span."""
     a = alerts.agg(F.count_if(F.col("ts") >= now - 10).alias("a10"), F.count_if(F.col("ts") >= now - 60).alias("a60"), F.count("*").alias("a"), (F.max("ts") - F.min("ts")).alias("aspan"))

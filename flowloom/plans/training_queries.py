@@ -64,3 +64,9 @@ def q_sensors(spark, sf_dir):
 @query("SELECT 'ok' AS status, 12.5::DOUBLE AS uptime_seconds, TRUE AS db_connected, 112.5::DOUBLE AS timestamp")
 def q_health(spark, sf_dir):
     return aq.health(view(spark, sf_dir, "alerts"), 100.0, 112.5)
+
+
+@query(f"{_with('flows')} SELECT 'flow-' || seq AS flow_id, src_ip, dst_ip, bytes_fwd FROM flows WHERE seq = 7")
+def q_flow(spark, sf_dir):
+    flows = view(spark, sf_dir, "flows").withColumn("flow_id", F.concat(F.lit("flow-"), F.col("seq").cast("string")))
+    return aq.flow(flows, "flow-7").select("flow_id", "src_ip", "dst_ip", "bytes_fwd")
