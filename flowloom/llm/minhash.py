@@ -12,6 +12,12 @@ found by aggregation (smallest, largest and two pseudo-random identifiers), so a
 texts themselves: Jaccard similarity of shingle sets of at least `threshold`. Classes are connected components of
 verified links.
 
+Texts in buckets that hold several classes after these rounds are compared by prefixes. All shingles stand in one fixed
+order, rare ones first. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and at
+their first shared shingle what is left of both sets still suffices for t. Pairs that meet so, and lie in different
+classes, are verified; no other pair can be alike. So any two alike texts that share a bucket end in one class. Hot
+shingles are salted; the work on one grows with the square of its texts, but pairs that can't reach t leave the join.
+
 Edge cases: null text counts as empty. Texts without words are copies of each other only if identical. A text of
 fewer than five words is one shingle. Equal texts are always in one class, through one representative, and are
 never paired with each other. Repeated rows belong to one class. An empty table gives an empty table.
@@ -32,6 +38,8 @@ from flowloom.llm.scratch import materialize
 WORDS, BANDS, ROWS = 5, 26, 5
 #: Rounds of candidate search; each links classes that still share a bucket through other leaders.
 ROUNDS = 2
+#: Shingles known to be common, which stand last in the order of prefixes, and the texts of a hot shingle that one salt takes.
+COMMON, SALTED = 1 << 15, 512
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: list[np.ndarray] = []
 
@@ -138,6 +146,71 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "__ta", "__tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _common(docs: DataFrame) -> np.ndarray:
+    """Shingles that many texts share, the most common one last: at most COMMON. It only sets an order, so it may be inexact."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= 4
+        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["__key", "__n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = [], 0
+        for b in batches:
+            for t in b.column("__text"):
+                sets.append(np.unique(shingles(t.as_py())))
+                size += len(sets[-1])
+                if size >= 1 << 20:
+                    yield counted(sets)
+                    sets, size = [], 0
+        if sets:
+            yield counted(sets)
+
+    sums = docs.select("__text").mapInArrow(run, "__key bigint, __n bigint").groupBy("__key").agg(F.sum("__n").alias("__n"))
+    top = materialize(sums.orderBy(F.desc("__n"), "__key").limit(COMMON), "near-common").toArrow()
+    keys, n = (top.column(c).combine_chunks().to_numpy() for c in ("__key", "__n"))
+    return keys[np.lexsort((keys, n))].view(np.uint64)
+
+
+def prefix(hashes: np.ndarray, threshold: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(threshold n) + 1 of n distinct shingles; those in `known` (sorted) stand last, by `rank`."""
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(known[at] == hashes, rank[at] + 1, 0)))]
+    n = len(hashes)
+    return hashes[: n - max(1, int(np.ceil(threshold * n - 1e-6))) + 1 if n else 0]
+
+
+def _prefix_pairs(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of members (__id, __class) of different classes that may be alike: a superset of those that are."""
+    texts = materialize(members.join(docs, "__id").select("__id", "__class", "__text"), "near-rest")
+    common = _common(texts)
+    by_key = np.argsort(common)
+    order = docs.sparkSession.sparkContext.broadcast((common[by_key], by_key))
+    types = [texts.schema[c].dataType.simpleString() for c in ("__id", "__class")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
+                keys = [prefix(x, threshold, *order.value).view(np.int64) for x in sets]
+                columns = [part.column("__id"), part.column("__class"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__id", "__class", "__n", "__keys"])
+
+    rows = texts.mapInArrow(run, f"__id {types[0]}, __class {types[1]}, __n bigint, __keys array<bigint>")
+    rows = materialize(rows.select("__id", "__class", "__n", F.posexplode("__keys").alias("__i", "__key")), "near-prefixes")
+    keys = rows.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi"), F.ceil(F.count("*") / SALTED).cast("int").alias("__salts"))
+    rows = materialize(rows.join(keys.where("__lo < __hi").select("__key", "__salts"), "__key"), "near-postings")
+    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("id", "class", "n", "i")]
+    left = rows.select("__key", F.pmod(F.xxhash64("__id"), "__salts").cast("int").alias("__salt"), *named("a_"))
+    right = rows.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), *named("b_"))
+    least = threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6
+    meet = (F.col("a_id") < F.col("b_id")) & (F.col("a_class") != F.col("b_class")) & (F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least)
+    met = left.join(right, (left["__key"] == right["__key"]) & (left["__salt"] == right["__salt"]) & meet)
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Per identifier in edges (a, b): (id, label), label being the smallest identifier connected to it.
 
@@ -159,6 +232,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _mixed_members(keys: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of keys (__id, __key) in buckets that hold more than one class, with their class."""
+    named = keys.join(classes, F.col("__id") == F.col("id"), "left").select("__id", "__key", F.coalesce("label", "__id").alias("__class"))
+    mixed = named.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi")).where("__lo < __hi").select("__key")
+    return materialize(named.join(mixed, "__key"), "near-members")
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """Per row: id, class_id (the smallest identifier of its class), kept (whether it is that row)."""
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -170,16 +250,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 
     edges, tried, classes = None, None, None
     for k in range(ROUNDS):
-        if classes is None:
-            members = keys.withColumn("__class", F.col("__id"))
-        else:
-            named = keys.join(classes, F.col("__id") == F.col("id"), "left").select("__id", "__key", F.coalesce("label", "__id").alias("__class"))
-            mixed = named.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi")).where("__lo < __hi").select("__key")
-            members = materialize(named.join(mixed, "__key"), "near-members")
-        spread = [F.xxhash64(F.lit(2 * k + i), "__id") for i in range(2)]
+        members = keys.withColumn("__class", F.col("__id")) if classes is None else _mixed_members(keys, classes)
         row = F.struct("__id", "__class")
-        leaders = members.groupBy("__key").agg(F.min(row).alias("l0"), F.max(row).alias("l1"), *(F.min_by(row, s).alias(f"l{i + 2}") for i, s in enumerate(spread)))
-        leaders = leaders.select("__key", F.array("l0", "l1", "l2", "l3").alias("__leaders"))
+        ends = [F.min(row), F.max(row)] if k == 0 else []  # the same in every round, so tried in the first
+        drawn = [F.min_by(row, F.xxhash64(F.lit(2 * k + i), "__id")) for i in range(2)]
+        leaders = members.groupBy("__key").agg(F.array(*ends, *drawn).alias("__leaders"))
         pairs = members.join(leaders, "__key").select("__id", "__class", F.explode("__leaders").alias("__l")).where("__l.__class != __class")
         pairs = pairs.select(F.least("__id", "__l.__id").alias("a"), F.greatest("__id", "__l.__id").alias("b")).distinct()
         if tried is not None:
@@ -190,6 +265,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
         edges = found if edges is None else edges.union(found)
         classes = components(edges)
 
+    rest = materialize(_mixed_members(keys, classes).select("__id", "__class").distinct(), "near-mixed")
+    pairs = materialize(_prefix_pairs(rest, docs, threshold).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    found = materialize(_verified(pairs, docs, threshold), "near-links")
+    if not found.isEmpty():
+        classes = components(edges.union(found))
+
     rows = copies.join(classes.select(F.col("id").alias("keep_id"), "label"), "keep_id", "left")
     label = F.coalesce("label", "keep_id")
     return rows.select(F.col("__id").alias(id_col), label.alias("class_id"), F.col("__id").eqNullSafe(label).alias("kept"))

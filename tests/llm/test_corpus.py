@@ -195,6 +195,34 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_every_class_of_a_mixed_bucket_is_compared(spark, monkeypatch):
+    """One bucket of 300 texts, no two alike but for twins that no leader links."""
+    rnd = random.Random(5)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"w{rnd.randrange(10**9)}" for _ in range(40)]
+        rows.append((i, " ".join(common + own)))
+        if i % 10 == 5:
+            rows.append((1000 + i, " ".join(common + own + ["more"])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(minhash, "_sketches", lambda docs: docs.select("__id", F.array(F.lit(7).cast("long")).alias("__keys")))
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == {d: d % 1000 for d, _ in rows}
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 8)).astype(np.uint64)]))
+        known = np.sort(rng.choice(x, len(x) // 2, replace=False))
+        rank = rng.permutation(len(known))
+        both = len(np.intersect1d(x, y))
+        if both >= 0.8 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(minhash.prefix(x, 0.8, known, rank), minhash.prefix(y, 0.8, known, rank)))
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 1 << 62, 400).astype(np.uint64)
