@@ -1,10 +1,10 @@
 """Near-duplicate texts by ProbMinHash signatures, banding and verification.
 
-A text is a weighted set of shingles of five words, the weight of a shingle being how often it occurs. Each shingle
-is a Poisson process of that rate, drawn from its hash alone; every arrival falls on one of the signature's
-components, which keeps the shingle that arrives first. A shingle is left as soon as its next arrival comes later
-than the latest of all components, so most give one or two arrivals. Two signatures agree in a component with the
-probability Jaccard similarity of the weighted sets (for sets without repeats this is the Jaccard similarity).
+A text is the set of its shingles of five words, each of weight 1 however often it occurs, for candidates as for
+verification. Each shingle is a Poisson process whose rate is its weight, drawn from its hash alone; every arrival
+falls on one of the signature's components, which keeps the shingle that arrives first. A shingle is left as soon as
+its next arrival comes later than the latest of all components, so most give one or two arrivals. Two signatures agree
+in a component with the probability Jaccard similarity of the weighted sets, which for weights of 1 is the Jaccard similarity.
 
 Texts that agree in all components of a band are candidates. Within a bucket candidates are linked through leaders
 found by aggregation (smallest, largest and two pseudo-random identifiers), so a bucket of k texts gives at most
@@ -77,7 +77,7 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray, components: int = BANDS * ROWS) -> np.ndarray:
-    """For each component the shingle whose process arrives there first."""
+    """For each component the shingle whose process arrives there first; repeats add to a shingle's rate."""
     h, counts = np.unique(hashes, return_counts=True)
     rate = counts.astype(np.float64)
     first, who = np.full(components, np.inf), np.zeros(components, np.uint64)
@@ -100,8 +100,8 @@ def signature(hashes: np.ndarray, components: int = BANDS * ROWS) -> np.ndarray:
 
 
 def band_keys(text: str) -> list[int]:
-    """One key per band; none for a text without words."""
-    hashes = shingles(text)
+    """One key per band, of the set of shingles; none for a text without words."""
+    hashes = np.unique(shingles(text))
     if not len(hashes):
         return []
     key = np.arange(BANDS, dtype=np.uint64) * _BASE

@@ -211,6 +211,17 @@ def test_every_class_of_a_mixed_bucket_is_compared(spark, monkeypatch):
     assert got == {d: d % 1000 for d, _ in rows}
 
 
+def test_unequal_repeats_do_not_hide_copies(spark):
+    rnd = random.Random(6)
+    rows = []
+    for i in range(5):
+        words = [f"w{i}_{rnd.randrange(10**6)}" for _ in range(100)]
+        rows += [(i, " ".join(words + words[:9])), (100 + i, " ".join(words + words[:5] * 180))]
+    assert all(minhash.jaccard(a[1], b[1]) > 0.85 for a, b in zip(rows[::2], rows[1::2], strict=True))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["class_id"] == r["doc_id"] % 100 for r in got)
+
+
 def test_prefixes_of_alike_sets_meet():
     rng = np.random.default_rng(4)
     for _ in range(300):
