@@ -32,11 +32,25 @@ def latest(events: DataFrame, key: str, order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*(c for c in events.columns if c != key)), order).alias("__last")).select(key, "__last.*")
 
 
-def ewma(df: DataFrame, groups: list[str], order: list[str], value: str, alpha: float = 0.3) -> DataFrame:
-    """Running mean that gives the newest value the weight alpha; per group the last one."""
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
-    fold = F.aggregate(steps, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["__v"]).otherwise(alpha * x["__v"] + (1 - alpha) * a))
-    return df.groupBy(*groups).agg(fold.alias("ewma"))
+def ewma(df: DataFrame, groups: list[str], order: list[str], value: str, alpha: float = 0.3, block: int = 1 << 16) -> DataFrame:
+    """Running mean that gives the newest value the weight alpha; per group the last one. It starts anew after a null.
+
+    Rows are weighted within blocks of the first (numeric) order column; only one row a block is ordered over a whole group.
+    """
+    rows = df.select(*groups, *order, F.col(value).cast("double").alias("__v"), F.floor(F.col(order[0]) / block).alias("__b"))
+    newest = Window.partitionBy(*groups, "__b").orderBy(*(F.desc(c) for c in order), F.desc("__v"))
+    rows = rows.withColumns({"__after": F.row_number().over(newest) - 1, "__nulls": F.count_if(F.col("__v").isNull()).over(newest.rowsBetween(Window.unboundedPreceding, 0))})
+    counts = F.col("__nulls") == 0
+    sums = rows.groupBy(*groups, "__b").agg(
+        F.coalesce(F.sum(F.when(counts, alpha * F.pow(F.lit(1 - alpha), "__after") * F.col("__v"))), F.lit(0.0)).alias("__s"), F.count_if(counts).alias("__n"),
+        F.max((~counts).cast("int")).alias("__cut"), F.min_by("__v", F.when(counts, F.struct(*order, "__v"))).alias("__first"),
+    )
+    later = Window.partitionBy(*groups).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"__after": F.coalesce(F.sum("__n").over(later), F.lit(0)), "__cuts": F.coalesce(F.sum("__cut").over(later), F.lit(0))})
+    lives = (F.col("__cuts") == 0) & (F.col("__n") > 0)
+    whole = F.sum(F.when(lives, F.col("__s") * F.pow(F.lit(1 - alpha), "__after")))
+    first = F.min_by("__first", F.when(lives, F.col("__b"))) * F.pow(F.lit(1 - alpha), F.sum(F.when(lives, F.col("__n"))))
+    return sums.groupBy(*groups).agg((whole + first).alias("ewma"))
 
 
 def clocked(packets: DataFrame, block: int = 1 << 18) -> DataFrame:

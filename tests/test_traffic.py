@@ -63,6 +63,17 @@ def test_exfiltration_flat_baseline_is_infinite(spark):
     assert got[3]["outbound_volume_zscore"] == math.inf and got[2]["outbound_volume_zscore"] == 0.0
 
 
+def test_moving_mean_holds_no_group_in_a_row(spark):
+    values = [(i, "a" if i % 3 else "b", None if i == 20 else float(i * i % 17)) for i in range(60)] + [(7, "c", 5.0), (8, "d", 1.0), (9, "d", None)]
+    rows = spark.createDataFrame(values, "seq long, k string, v double")
+    want = {}
+    for _, k, v in sorted(values, key=lambda r: r[0]):
+        want[k] = v if want.get(k) is None or v is None else 0.3 * v + 0.7 * want[k]
+    out = flows.ewma(rows, ["k"], ["seq"], "v", block=8)
+    assert {r["k"]: r["ewma"] for r in out.collect()} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_tables(spark):
     none = packets(spark, [])
     assert flows.build(none).count() == 0 and features.first_packets(none, ["src_ip"]).count() == 0
