@@ -3,7 +3,8 @@
 Kinds: email, ip, card and phone (base kinds), and iban. A pattern's matches are marked in the text by a control
 character; cutting at the marks gives matches and what stands between them, and lengths give positions. Then a
 validator has its say: parts of at most 255 (ip), Luhn (card), the number of digits (card, phone), mod 97 (iban).
-A match that fails is dropped and nothing inside it is tried again. A confirmed span's score is its kind's prior,
+A match that fails is dropped and nothing inside it is tried again; only an iban, whose length follows from its
+country's code, is tried at every place where one may start, and the leftmost valid ones that don't overlap stay. A confirmed span's score is its kind's prior,
 more if one of the kind's context words stands within CONTEXT characters before it (back to the span before).
 
 Patterns are possessive and may only start where a run of their first characters starts (or a match has just
@@ -24,6 +25,14 @@ CONTEXT = 40
 #: Stands around matches; a text's own get another control character in their place, which no pattern takes either.
 MARK, STAND_IN = "\x01", "\x02"
 
+#: Countries by the number of characters of their account numbers; other codes have none.
+_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "AO|CV|GW|LY|MZ|PT|ST",
+    26: "DZ|IR|IS|TR", 27: "BI|CF|CG|CM|DJ|FR|GA|GQ|GR|IT|KM|MC|MG|MR|SM|TD", 28: "AL|AZ|BF|BJ|BY|CI|CY|DO|GT|HN|HU|LB|MA|ML|NE|NI|PL|SN|SV|TG",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN = "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _COUNTRIES.items()) + ")(?![A-Za-z0-9])"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: kind: (pattern, prior score, context words), in the order in which kinds are listed.
 KINDS = {
@@ -31,7 +40,7 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|address|login"),
     "card": (r"(?:(?<![0-9])|\G)[0-9](?:[ -]?[0-9])++", 0.7, "card|visa|credit|payment|master"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", 0.5, "phone|call|tel|mobile|fax"),
-    "iban": (r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, "iban|bank|account|transfer|konto"),
+    "iban": (f"(?<![A-Z0-9]){_IBAN}", 0.8, "iban|bank|account|transfer|konto"),
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -72,6 +81,28 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _ibans(text: Column) -> Column:
+    """What `spans_of` finds for iban before scores: marks stand where one may start, and each reads on over the next marks."""
+    pieces = F.split(F.regexp_replace(text, f"(?={KINDS['iban'][0]})", MARK), MARK, -1)
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("last"), none.alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        stop = acc["at"] + F.length(x["match"])
+        takes = (x["i"] > 0) & (acc["at"] >= acc["free"]) & valid("iban", x["match"])
+        before = F.right(acc["last"], F.least(F.lit(CONTEXT), acc["at"] - acc["free"]))
+        here = F.struct(acc["at"].alias("start"), stop.alias("end"), x["match"].alias("match"), before.alias("before"))
+        return F.struct(
+            (acc["at"] + F.length(x["s"])).alias("at"), F.when(takes, stop).otherwise(acc["free"]).alias("free"),
+            F.right(F.concat(acc["last"], x["s"]), F.lit(CONTEXT)).alias("last"), F.when(takes, F.array_append(acc["found"], here)).otherwise(acc["found"]).alias("found"),
+        )
+
+    # Starts are five characters or more apart and a number with spaces has at most 65, so 15 pieces hold it and what follows.
+    ahead = lambda ps, i: F.left(F.array_join(F.slice(ps, i + 1, 15), ""), F.lit(80))
+    each = lambda ps: F.transform(ps, lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.regexp_extract(ahead(ps, i), f"^{_IBAN}", 0).alias("match")))
+    return F.element_at(F.transform(F.array(pieces), lambda ps: F.aggregate(each(ps), begin, step, lambda acc: acc["found"])), 1)
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """Array of confirmed spans of a kind: struct(start, rank, kind, end, score)."""
     pattern, prior, words = KINDS[kind]
@@ -88,10 +119,10 @@ def spans_of(kind: str, text: Column) -> Column:
         )
 
     numbered = F.transform(pieces, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    found = F.aggregate(numbered, start, step, lambda acc: acc["found"])
+    found = _ibans(text) if kind == "iban" else F.aggregate(numbered, start, step, lambda acc: acc["found"])
     rank = list(KINDS).index(kind)
     score = lambda x: F.when(F.lower(x["before"]).rlike(words), F.lit(prior) + (1 - F.lit(prior)) / 2).otherwise(F.lit(prior))
-    kept = F.filter(found, lambda x: valid(kind, x["match"]))
+    kept = found if kind == "iban" else F.filter(found, lambda x: valid(kind, x["match"]))
     return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), score(x).alias("score")))
 
 

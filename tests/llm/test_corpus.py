@@ -161,6 +161,16 @@ def test_pii_equals_plain_patterns(spark, docs, odd):
     assert "iban:" in last["spans"] and last["n_ip"] == 1
 
 
+def test_iban_before_other_words_and_numbers(spark):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    texts = [f"{de} Please", f"pay {de} BIC COBADEFFXXX", f"{gb} 2024", f"{no} EUR 10", f"{de} {gb} {no}", f"AB12 {de}", f"FR76 {de} 12345 6789", "DE89370400440532013001 Please", f"X{de}", f"é🙂 {de}. bank {no}"]
+    rows = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for t, r in zip(texts, rows, strict=True):
+        want = [f"iban:{t.index(x)}:{t.index(x) + len(x)}" for x in (de, gb, no) if x in t and not t.startswith("X")]
+        assert sorted(want) == sorted(x for x in r["spans"].split(",") if x.startswith("iban")), t
+    assert [x.rsplit(":", 1)[1] for x in rows[9]["scored"].split(",") if x.startswith("iban")] == ["0.80", "0.90"]
+
+
 def test_quality_on_labels(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.assess(docs, labels, "source", "lang").join(labels, "doc_id").collect()
