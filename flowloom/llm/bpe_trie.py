@@ -1,8 +1,8 @@
 """BPE encoding and decoding by depth-first traversal of a trie of distinct words.
 
 Distinct words of a batch form a trie; walking it depth first (which is the sorted order of the words) keeps, for
-each node on the current path, the last token and the ids of that prefix. A word adds only the nodes below what
-it shares with the word before it, so the encoding of a shared prefix is computed once.
+each node on the current path, the last token of that prefix. A word adds only the nodes below what it shares with
+the word before it, so a shared prefix is walked once; a word's ids are read off its path backwards, token by token.
 
 Edge cases: null text counts as empty and has no ids; null ids decode to the empty string. Repeated rows each
 give a row. Special strings inside a text become their token, as the tokenizers library does by default.
@@ -27,16 +27,17 @@ TRIE_CHARS = 1_000_000
 def encode_words(v: V.Vocabulary, words: Iterable[str]) -> dict[str, bytes]:
     """Ids, packed as little-endian 32-bit integers, of each distinct word."""
     out: dict[str, bytes] = {}
-    path, last, ids = b"", [0], [b""]  # the node path now walked: its bytes, and last token and ids at each depth
+    path, last = b"", [0]  # the node path now walked: its bytes, and the last token at each depth
     for w, word in sorted((x.encode(), x) for x in words):
         shared = len(commonprefix((path, w)))
-        del last[shared + 1 :], ids[shared + 1 :]
+        del last[shared + 1 :]
         for depth in range(shared + 1, len(w) + 1):
-            t = v.last_token(w, depth, last)
-            last.append(t)
-            ids.append(ids[depth - len(v.bytes_of[t])] + v.packed[t])
-        path = w
-        out[word] = ids[-1]
+            last.append(v.last_token(w, depth, last))
+        path, ids, depth = w, [], len(w)
+        while depth:
+            ids.append(v.packed[last[depth]])
+            depth -= len(v.bytes_of[last[depth]])
+        out[word] = b"".join(reversed(ids))
     return out
 
 

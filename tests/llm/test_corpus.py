@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -69,6 +70,21 @@ def test_token_counts_and_encoding(spark, docs, odd, tok):
     assert token_counts.count_tokens(odd.limit(0), PATH).count() == 0
 
 
+def test_long_words_take_linear_memory(tok):
+    rnd = random.Random(8)
+    v, word = V.parsed(open(PATH, "rb").read()), "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    bpe_trie.encode_words(v, ["warm"])
+    tracemalloc.start()
+    part = bpe_trie.encode_words(v, [word[:20_000]])[word[:20_000]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    want = ids_of(tok, word[:20_000])
+    assert part == struct.pack(f"<{len(want)}I", *want)
+    want = ids_of(tok, word)
+    assert bpe_trie.Encoder(v).encode([word]) == [struct.pack(f"<{len(want)}I", *want)]
+
+
 def test_token_files_round_trip(spark, docs, odd, tok):
     for df in (docs, odd):
         path = scratch.place(spark, "test-files")
