@@ -246,7 +246,7 @@ def q_trends(spark, sf_dir):
 
 @query(f"""{_with('alerts', 'flows')}, f AS (SELECT 'flow-' || seq AS flow_id, bytes_fwd FROM flows WHERE seq < 1000) SELECT alert_id, flow_id, bytes_fwd FROM alerts LEFT JOIN f USING (flow_id)""")
 def q_alert_flows(spark, sf_dir):
-    flows = view(spark, sf_dir, "flows").where("seq < 1000").select(F.concat(F.lit("flow-"), F.col("seq").cast("string")).alias("flow_id"), "bytes_fwd")
+    flows = view(spark, sf_dir, "flows").select(F.concat(F.lit("flow-"), F.col("seq").cast("string")).alias("flow_id"), "bytes_fwd")
     return aq.with_flow(view(spark, sf_dir, "alerts"), flows).select("alert_id", "flow_id", "bytes_fwd")
 
 

@@ -74,6 +74,18 @@ def test_moving_mean_holds_no_group_in_a_row(spark):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_alerts_join_flows_of_any_number(spark, monkeypatch):
+    from flowloom.plans import catalog as plans
+
+    tables = {
+        "flows": spark.createDataFrame([(7, 10), (1500, 20)], "seq long, bytes_fwd long"),
+        "alerts": spark.createDataFrame([("x", "flow-7"), ("y", "flow-1500"), ("z", "flow-9")], "alert_id string, flow_id string"),
+    }
+    monkeypatch.setattr(plans, "view", lambda spark, sf_dir, name: tables[name])
+    got = plans.q_alert_flows(spark, "").collect()
+    assert {r["alert_id"]: r["bytes_fwd"] for r in got} == {"x": 10, "y": 20, "z": None}
+
+
 def test_empty_tables(spark):
     none = packets(spark, [])
     assert flows.build(none).count() == 0 and features.first_packets(none, ["src_ip"]).count() == 0
