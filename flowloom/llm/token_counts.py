@@ -2,7 +2,8 @@
 
 For each prefix of a word the last token of its encoding follows from the last tokens of shorter prefixes, and
 its count is one more than that of the prefix before that token. A text's table is its words' tables one after
-another, so truncation and budget questions are answered by looking up counts, without encoding anything again.
+another (`prefix_tables`). Counts of texts keep only each word's total; where a text must be cut, the table of the word
+at the cut is built again, and that of the whole text if it holds a special string or odd white space.
 
 Edge cases: null text counts as empty (0 bytes, 0 tokens, cut 0). Repeated rows each give a row. An empty table
 gives an empty table. Other columns of the input, whatever their names, are ignored unless named in `keep`.

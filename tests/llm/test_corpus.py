@@ -70,6 +70,14 @@ def test_token_counts_and_encoding(spark, docs, odd, tok):
     assert token_counts.count_tokens(odd.limit(0), PATH).count() == 0
 
 
+def test_prefix_tables_equal_the_library(odd, tok):
+    rows = odd.where("doc_id NOT IN (7, 9)")
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    for r in token_counts.prefix_tables(rows, PATH).collect():
+        x = texts[r["doc_id"]]
+        assert r["prefix_tokens"] == [len(ids_of(tok, x[:i])) for i in range(len(x) + 1)]
+
+
 def test_long_words_take_linear_memory(tok):
     rnd = random.Random(8)
     v, word = V.parsed(open(PATH, "rb").read()), "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
