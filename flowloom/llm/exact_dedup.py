@@ -53,9 +53,20 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     )
 
 
+def without(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df that `rows` (__id, __sha, kept: one for each of df's) keeps; of rows equal in identifier and text, one."""
+    dropped = materialize(rows.where("NOT kept").select("__id", "__sha").distinct(), "dropped-texts")
+    again = rows.where("kept").groupBy("__id", "__sha").agg(F.count("*").alias("__n")).where("__n > 1").select("__id", "__sha")
+    again = materialize(again, "repeated-texts")
+    own = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.col(id_col).alias("__own"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__digest"))
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
+    out = own.join(dropped, same, "left_anti")
+    if not again.isEmpty():
+        out = out.join(again, same, "left_anti").union(own.join(again, same, "left_semi").dropDuplicates(["__own", "__digest"]))
+    return out.select("__row.*")
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of df whose identifier is the one kept of their text. Identifiers are taken to be unique."""
-    dropped = duplicates(df, id_col, text_col, keep).where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct()
-    dropped = materialize(dropped, "dropped-ids")
-    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.col(id_col).alias("__own"))
-    return rows.join(dropped, F.col("__own").eqNullSafe(F.col("__id")), "left_anti").select("__row.*")
+    """The rows of df whose identifier is the one kept of their text; of rows equal in identifier and text, one."""
+    rows = duplicates(df, id_col, text_col, keep).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    return without(df, materialize(rows, "digest-kept"), id_col, text_col)

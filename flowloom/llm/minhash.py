@@ -6,38 +6,47 @@ falls on one of the signature's components, which keeps the shingle that arrives
 its next arrival comes later than the latest of all components, so most give one or two arrivals. Two signatures agree
 in a component with the probability Jaccard similarity of the weighted sets, which for weights of 1 is the Jaccard similarity.
 
-Texts that agree in all components of a band are candidates. Within a bucket candidates are linked through leaders
-found by aggregation (smallest, largest and two pseudo-random identifiers), so a bucket of k texts gives at most
-4 k pairs; a later round links the classes that still meet in a bucket. Every candidate pair is verified on the
-texts themselves: Jaccard similarity of shingle sets of at least `threshold`. Classes are connected components of
-verified links.
+Texts that agree in all components of a band share a bucket and are candidates. Candidates are verified on the texts
+themselves: Jaccard similarity of shingle sets of at least `threshold`. Classes are connected components of verified links.
 
-Texts in buckets that hold several classes after these rounds are compared by prefixes. All shingles stand in one fixed
+Rounds link texts to leaders. In every round each bucket that holds several classes draws one of its texts as leader, and
+each text is compared with one leader only, the one that leads most of its buckets: a round makes no more pairs than there
+are texts. Classes that meet are merged, and buckets left with one class drop out. Rounds go on while they pay, that is while
+at least one pair in PAYS is a link.
+
+Texts in buckets that still hold several classes are then compared by prefixes. All shingles stand in one fixed
 order, rare ones first. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and at
 their first shared shingle what is left of both sets still suffices for t. Pairs that meet so, and lie in different
-classes, are verified; no other pair can be alike. So any two alike texts that share a bucket end in one class. Hot
-shingles are salted; the work on one grows with the square of its texts, but pairs that can't reach t leave the join.
+classes, are verified; no other pair can be alike. So any two alike texts that share a bucket end in one class, however many
+rounds there were. Hot shingles are salted; the work on one grows with the square of its texts, but pairs that can't reach t,
+or that have met at one of the BEFORE shingles ahead in both texts, leave the join.
 
 Edge cases: null text counts as empty. Texts without words are copies of each other only if identical. A text of
 fewer than five words is one shingle. Equal texts are always in one class, through one representative, and are
-never paired with each other. Repeated rows belong to one class. An empty table gives an empty table.
+never paired with each other. Repeated rows belong to one class and are all marked as kept if one is; `keep_one` returns one of
+them. One identifier on several texts: each text is its own node, and is kept or dropped by itself. A row without
+identifier stays only where no equal text has one. An empty table gives an empty table. Other columns, whatever their names, are ignored or returned untouched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.exact_dedup import duplicates
+from flowloom.llm.exact_dedup import duplicates, without
 from flowloom.llm.scratch import materialize
 
 WORDS, BANDS, ROWS = 5, 26, 5
-#: Rounds of candidate search; each links classes that still share a bucket through other leaders.
-ROUNDS = 2
+#: Rounds with leaders go on while one pair in so many is a link; the stop changes the work, not the result.
+PAYS = 10
+#: Shingles ahead at which a pair may have met already.
+BEFORE = 16
 #: Shingles known to be common, which stand last in the order of prefixes, and the texts of a hot shingle that one salt takes.
 COMMON, SALTED = 1 << 15, 512
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -110,13 +119,17 @@ def band_keys(text: str) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def jaccard(a: str, b: str) -> float:
-    """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
-    x, y = np.unique(shingles(a)), np.unique(shingles(b))
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two arrays of distinct shingles; 1 for two empty ones."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
+def jaccard(a: str, b: str) -> float:
+    """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
+    return similarity(np.unique(shingles(a)), np.unique(shingles(b)))
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
     """Per row (__id, __text): __id and its band keys. No shuffle."""
 
@@ -130,17 +143,27 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"__id {docs.schema['__id'].dataType.simpleString()}, __keys array<bigint>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are at least that similar. Hot leaders' rows are split by adaptive execution."""
-    left = docs.select(F.col("__id").alias("a"), F.col("__text").alias("__ta"))
-    right = docs.select(F.col("__id").alias("b"), F.col("__text").alias("__tb"))
-    kind = docs.schema["__id"].dataType.simpleString()
+    left = texts.select(F.col("__node").alias("a"), F.col("__text").alias("__ta"))
+    right = texts.select(F.col("__node").alias("b"), F.col("__text").alias("__tb"))
+    kind = texts.schema["__node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, tuple[str | None, np.ndarray]] = {"__ta": (None, np.empty(0)), "__tb": (None, np.empty(0))}
+
+        def distinct(side: str, text: str) -> np.ndarray:
+            if last[side][0] != text:  # rows of one leader mostly follow each other
+                last[side] = (text, np.unique(shingles(text)))
+            return last[side][1]
+
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                alike = [jaccard(x.as_py(), y.as_py()) >= threshold for x, y in zip(part.column("__ta"), part.column("__tb"), strict=True)]
+                alike = [
+                    similarity(distinct("__ta", x.as_py()), distinct("__tb", y.as_py())) >= threshold
+                    for x, y in zip(part.column("__ta"), part.column("__tb"), strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return pairs.join(right, "b").join(left, "a").select("a", "b", "__ta", "__tb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -181,13 +204,13 @@ def prefix(hashes: np.ndarray, threshold: float, known: np.ndarray, rank: np.nda
     return hashes[: n - max(1, int(np.ceil(threshold * n - 1e-6))) + 1 if n else 0]
 
 
-def _prefix_pairs(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of members (__id, __class) of different classes that may be alike: a superset of those that are."""
-    texts = materialize(members.join(docs, "__id").select("__id", "__class", "__text"), "near-rest")
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of members (__node, __class) of different classes that may be alike: a superset of those that are."""
+    texts = materialize(members.join(texts, "__node").select("__node", "__class", "__text"), "near-rest")
     common = _common(texts)
     by_key = np.argsort(common)
-    order = docs.sparkSession.sparkContext.broadcast((common[by_key], by_key))
-    types = [texts.schema[c].dataType.simpleString() for c in ("__id", "__class")]
+    order = texts.sparkSession.sparkContext.broadcast((common[by_key], by_key))
+    kind = texts.schema["__node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,20 +218,23 @@ def _prefix_pairs(members: DataFrame, docs: DataFrame, threshold: float) -> Data
                 part = b.slice(k, 500)
                 sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
                 keys = [prefix(x, threshold, *order.value).view(np.int64) for x in sets]
-                columns = [part.column("__id"), part.column("__class"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["__id", "__class", "__n", "__keys"])
+                columns = [part.column("__node"), part.column("__class"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__node", "__class", "__n", "__keys"])
 
-    rows = texts.mapInArrow(run, f"__id {types[0]}, __class {types[1]}, __n bigint, __keys array<bigint>")
-    rows = materialize(rows.select("__id", "__class", "__n", F.posexplode("__keys").alias("__i", "__key")), "near-prefixes")
+    rows = texts.mapInArrow(run, f"__node {kind}, __class {kind}, __n bigint, __keys array<bigint>")
+    rows = materialize(rows.select("__node", "__class", "__n", F.posexplode("__keys").alias("__i", "__key")), "near-prefixes")
     keys = rows.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi"), F.ceil(F.count("*") / SALTED).cast("int").alias("__salts"))
-    rows = materialize(rows.join(keys.where("__lo < __hi").select("__key", "__salts"), "__key"), "near-postings")
-    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("id", "class", "n", "i")]
-    left = rows.select("__key", F.pmod(F.xxhash64("__id"), "__salts").cast("int").alias("__salt"), *named("a_"))
+    keys = materialize(keys.where("__lo < __hi").select("__key", "__salts"), "near-prefix-keys")
+    ahead = Window.partitionBy("__node").orderBy("__i").rowsBetween(-BEFORE, -1)
+    rows = materialize(rows.join(keys, "__key").withColumn("__before", F.collect_list("__key").over(ahead)), "near-postings")
+    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("node", "class", "n", "i", "before")]
+    left = rows.select("__key", F.pmod(F.xxhash64("__node"), "__salts").cast("int").alias("__salt"), *named("a_"))
     right = rows.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), *named("b_"))
     least = threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6
-    meet = (F.col("a_id") < F.col("b_id")) & (F.col("a_class") != F.col("b_class")) & (F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least)
+    enough = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least
+    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_class") != F.col("b_class")) & enough & ~F.arrays_overlap("a_before", "b_before")
     met = left.join(right, (left["__key"] == right["__key"]) & (left["__salt"] == right["__salt"]) & meet)
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -232,52 +258,75 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed_members(keys: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of keys (__id, __key) in buckets that hold more than one class, with their class."""
-    named = keys.join(classes, F.col("__id") == F.col("id"), "left").select("__id", "__key", F.coalesce("label", "__id").alias("__class"))
-    mixed = named.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi")).where("__lo < __hi").select("__key")
-    return materialize(named.join(mixed, "__key"), "near-members")
-
-
-def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """Per row: id, class_id (the smallest identifier of its class), kept (whether it is that row)."""
+def _node(ident: Column, sha: Column) -> Column:
+    """What stands for a text: its identifier (of equal texts, the smallest) and 60 bits of its digest."""
+    return F.struct(ident.alias("id"), F.conv(F.substring(sha, 1, 15), 16, 10).cast("long").alias("x"))
+
+
+def _leaders(named: DataFrame, k: int) -> DataFrame:
+    """A leader (node, class) for each bucket of (__node, __key, __class) that holds several classes."""
+    drawn = F.min_by(F.struct(F.col("__node").alias("node"), F.col("__class").alias("class")), F.xxhash64(F.lit(k), "__node"))
+    found = named.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi"), drawn.alias("__leader"))
+    return materialize(found.where("__lo < __hi").select("__key", "__leader"), "near-leaders")
+
+
+def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
+    """Links (a, b) between nodes of (__node, __key): enough to connect any two alike nodes that share a key."""
+    named, tried, links, texts = keys.withColumn("__class", F.col("__node")), [], [], None
+    for k in count():
+        open_ = materialize(named.join(_leaders(named, k), "__key"), "near-open")
+        if texts is None:
+            texts = materialize(texts_of(open_.select("__node").distinct()), "near-texts")
+        met = open_.where("__leader.class != __class").groupBy("__node", F.col("__leader.node").alias("__other")).agg(F.count("*").alias("__n"))
+        one = met.groupBy("__node").agg(F.max_by("__other", F.struct("__n", "__other")).alias("__other"))
+        pairs = one.select(F.least("__node", "__other").alias("a"), F.greatest("__node", "__other").alias("b")).distinct()
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+        tried.append(materialize(pairs, "near-pairs"))
+        found = materialize(_verified(tried[-1], texts, threshold), "near-links")
+        n_found, n_tried = found.count(), tried[-1].count()
+        named = open_.select("__node", "__key", "__class")
+        if n_found:
+            links.append(found)
+            # Only classes of buckets that are still open are looked up again.
+            classes = components(reduce(DataFrame.union, links))
+            named = named.drop("__class").join(classes, F.col("__node") == F.col("id"), "left").select("__node", "__key", F.coalesce("label", "__node").alias("__class"))
+            named = materialize(named, "near-members")
+        if n_found * PAYS < n_tried or not n_tried:
+            break
+
+    rest = materialize(named.join(_leaders(named, k + 1), "__key").select("__node", "__class").distinct(), "near-mixed")
+    if not rest.isEmpty():
+        pairs = _prefix_pairs(rest, texts, threshold).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+        links.append(materialize(_verified(materialize(pairs, "near-pairs"), texts, threshold), "near-links"))
+    return reduce(DataFrame.union, links) if links else None
+
+
+def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Per row: __id, __sha (digest of its text), __label (the node of its class's smallest text)."""
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    copies = materialize(duplicates(docs, "__id", "__text", "smallest").select("__id", "keep_id", "kept"), "near-copies")
-    sketches = materialize(_sketches(docs), "near-sketches")
-    keys = sketches.join(copies.where("kept").select("__id").distinct(), "__id").select("__id", F.explode("__keys").alias("__key"))
-    shared = keys.groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1").select("__key")
-    keys = materialize(keys.join(shared, "__key").select("__id", "__key"), "near-keys")
-
-    edges, tried, classes = None, None, None
-    for k in range(ROUNDS):
-        members = keys.withColumn("__class", F.col("__id")) if classes is None else _mixed_members(keys, classes)
-        row = F.struct("__id", "__class")
-        ends = [F.min(row), F.max(row)] if k == 0 else []  # the same in every round, so tried in the first
-        drawn = [F.min_by(row, F.xxhash64(F.lit(2 * k + i), "__id")) for i in range(2)]
-        leaders = members.groupBy("__key").agg(F.array(*ends, *drawn).alias("__leaders"))
-        pairs = members.join(leaders, "__key").select("__id", "__class", F.explode("__leaders").alias("__l")).where("__l.__class != __class")
-        pairs = pairs.select(F.least("__id", "__l.__id").alias("a"), F.greatest("__id", "__l.__id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        found = materialize(_verified(pairs, docs, threshold), "near-links")
-        edges = found if edges is None else edges.union(found)
-        classes = components(edges)
-
-    rest = materialize(_mixed_members(keys, classes).select("__id", "__class").distinct(), "near-mixed")
-    pairs = materialize(_prefix_pairs(rest, docs, threshold).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    found = materialize(_verified(pairs, docs, threshold), "near-links")
-    if not found.isEmpty():
-        classes = components(edges.union(found))
-
-    rows = copies.join(classes.select(F.col("id").alias("keep_id"), "label"), "keep_id", "left")
-    label = F.coalesce("label", "keep_id")
-    return rows.select(F.col("__id").alias(id_col), label.alias("class_id"), F.col("__id").eqNullSafe(label).alias("kept"))
+    copies = duplicates(docs, "__id", "__text", "smallest")
+    copies = materialize(copies.select("__id", F.col("text_sha256").alias("__sha"), _node(F.col("keep_id"), F.col("text_sha256")).alias("__node"), "kept"), "near-copies")
+    nodes = docs.select(_node(F.col("__id"), F.sha2("__text", 256)).alias("__id"), "__text")
+    sketches = materialize(_sketches(nodes), "near-sketches").withColumnRenamed("__id", "__node")
+    nodes = nodes.withColumnRenamed("__id", "__node")
+    chosen = copies.where("kept").select("__node").distinct()
+    keys = sketches.join(chosen, "__node", "left_semi").select("__node", F.explode("__keys").alias("__key"))
+    links = _links(keys, lambda some: nodes.join(some, "__node", "left_semi").dropDuplicates(["__node"]), threshold)
+    if links is None:
+        return copies.select("__id", "__sha", F.col("__node").alias("__label"))
+    labels = components(links).select(F.col("id").alias("__node"), "label")
+    return copies.join(labels, "__node", "left").select("__id", "__sha", F.coalesce("label", "__node").alias("__label"))
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, class_id (the smallest identifier of its class), kept (whether it is that row)."""
+    rows = _classes(df, threshold, id_col, text_col)
+    kept = _node(F.col("__id"), F.col("__sha")) == F.col("__label")
+    return rows.select(F.col("__id").alias(id_col), F.col("__label.id").alias("class_id"), kept.alias("kept"))
 
 
 def keep_one(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df without those of a class beside its smallest identifier (identifiers are taken to be unique)."""
-    dropped = materialize(near_duplicates(df, threshold, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct(), "near-dropped")
-    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.col(id_col).alias("__own"))
-    return rows.join(dropped, F.col("__own").eqNullSafe(F.col("__id")), "left_anti").select("__row.*")
+    """The rows of df without those of a class beside its smallest identifier; of repeated rows, one."""
+    rows = _classes(df, threshold, id_col, text_col).select("__id", "__sha", (_node(F.col("__id"), F.col("__sha")) == F.col("__label")).alias("kept"))
+    return without(df, materialize(rows, "near-kept"), id_col, text_col)

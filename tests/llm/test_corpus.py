@@ -309,3 +309,35 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     assert step.groupBy("text").count().where("count > 1").isEmpty()
     assert corpus_pipeline.STAGES[-1][1](spark, step, SF).count() == sizes[-1]
+
+
+def test_a_large_class_of_near_copies_takes_few_pairs(spark, monkeypatch):
+    """2,000 edited copies of one text: one class, with pairs in proportion to texts."""
+    rnd, rows, tried = random.Random(9), [], []
+    words = [f"w{i}" for i in range(300)]
+    for i in range(2000):
+        own = list(words)
+        for _ in range(2):
+            own[rnd.randrange(300)] = f"edit{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(own)))
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, texts, threshold: tried.append(pairs.count()) or verified(pairs, texts, threshold))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["class_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+    assert sum(tried) <= 3 * len(rows)
+
+
+def test_copies_by_text_where_identifiers_repeat(spark):
+    """One identifier on two texts, and rows repeated whole: texts are judged one by one, of equal rows one stays."""
+    a, b, near = "some words that stand here in a row", "quite another text with its own words", " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "y"), (3, a, "z"), (3, a, "z"), (4, near, "n"), (4, near, "n"), (5, near + " end", "m"), (None, a, "q"), (0, near + " stop", "__own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __own string")
+    exact = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.deduplicate(df, keep="largest").collect()), key=str)
+    assert exact == sorted([(3, a), (2, b), (4, near), (5, near + " end"), (0, near + " stop")], key=str)
+    got = minhash.keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert {x for x in kept if x[1] in (a, b)} == {(1, a), (1, b)}  # not the row without identifier
+    assert [x for x in kept if x[1].startswith("w0")] == [(0, near + " stop")]
+    classes = minhash.near_duplicates(df).collect()
+    assert len(classes) == len(rows) and all(r["class_id"] == 0 for r in classes if r["doc_id"] in (0, 4, 5))
