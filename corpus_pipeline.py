@@ -44,8 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     vocabulary = public_tokenizers.path(VOCABULARY)
-    ids = bpe_trie.encode_texts(docs, vocabulary)
-    return bpe_trie.digests(bpe_trie.decode_ids(ids, vocabulary, keep=("doc_id", "ids")))
+    return bpe_trie.digests(bpe_trie.round_trip(docs, vocabulary))
 
 
 STAGES = [("quality", keep_quality), ("exact copies", drop_copies), ("near copies", drop_near_copies), ("mixture", mix_sources), ("encoding", encode)]

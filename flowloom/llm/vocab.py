@@ -18,6 +18,8 @@ from pyspark.sql import SparkSession
 #: White space as the Unicode property of that name has it (str.isspace also takes 1C to 1F).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CONTRACTIONS = "s|t|re|ve|m|ll|d"
+#: Bits of an identifier in a key of two, and a rank beyond all merges.
+_WIDE, _NEVER = 20, 1 << 30
 
 
 def _ranges(major: str) -> str:
@@ -66,9 +68,11 @@ class Vocabulary:
         self.bytes_of: list[bytes] = [b""] * size
         for t, i in [*self.id_of.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = t
+        self.sizes = [len(t) for t in self.bytes_of]
         self._made = {new: (k, pair) for pair, (k, new) in reversed(self.rank.items())}
+        self._ranks = {x << _WIDE | y: k for (x, y), (k, _) in self.rank.items()}
         self._spines: tuple[dict, dict] = ({}, {})
-        self._pair: dict[tuple[int, int], bool] = {}
+        self._pair: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
     def merged(self, text: bytes) -> list[int]:
@@ -81,19 +85,19 @@ class Vocabulary:
             ids[at : at + 2] = [new]
         return ids
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The tokens at one edge of a token while it is built, lowest first, each with the rank of the merge that ends it."""
+    def _spine(self, token: int, side: int) -> tuple[list[int], list[int]]:
+        """The tokens at one edge of a token while it is built, lowest first, and the ranks of the merges that end them."""
         found = self._spines[side].get(token)
         if found is None:
-            found, end, t = [], 1 << 30, token
+            tokens, ends, end, t = [], [], _NEVER, token
             while True:
-                found.append((t, end))
+                tokens.append(t)
+                ends.append(end)
                 if t not in self._made:
                     break
                 end, pair = self._made[t]
                 t = pair[side]
-            found.reverse()
-            self._spines[side][token] = found
+            found = self._spines[side][token] = (tokens[::-1], ends[::-1])
         return found
 
     def adjacent(self, a: int, b: int) -> bool:
@@ -102,24 +106,27 @@ class Vocabulary:
         The right edge of a and the left edge of b grow by merges of rising rank. A pair of edges that stand side
         by side at some time merges, unless either is merged into its own token first (on a tie the left one is first).
         """
-        known = self._pair.get((a, b))
+        known = self._pair.get(a << _WIDE | b)
         if known is None:
             if len(self._pair) > 250_000:
                 self._pair.clear()
-            left, right, i, j, known = self._spine(a, 1), self._spine(b, 0), 0, 0, True
+            (left, left_ends), (right, right_ends), rank = self._spine(a, 1), self._spine(b, 0), self._ranks.get
+            i = j = 0
+            x, x_end, y, y_end, known = left[0], left_ends[0], right[0], right_ends[0], True
             while True:
-                (x, x_end), (y, y_end) = left[i], right[j]
-                merge = self.rank.get((x, y))
-                if merge is not None and merge[0] < x_end and merge[0] <= y_end:
+                merge = rank(x << _WIDE | y)
+                if merge is not None and merge < x_end and merge <= y_end:
                     known = False
                     break
-                if x_end == y_end == 1 << 30:
-                    break
                 if x_end <= y_end:
+                    if x_end == _NEVER:
+                        break
                     i += 1
+                    x, x_end = left[i], left_ends[i]
                 else:
                     j += 1
-            self._pair[a, b] = known
+                    y, y_end = right[j], right_ends[j]
+            self._pair[a << _WIDE | b] = known
         return known
 
     def alone(self, a: int) -> bool:
@@ -129,16 +136,23 @@ class Vocabulary:
             known = self._whole[a] = self.merged(self.bytes_of[a]) == [a]
         return known
 
-    def last_token(self, word: bytes, end: int, last: list[int]) -> int:
-        """The last token of the encoding of word[:end], given those of all shorter prefixes (last[i] for word[:i]).
+    def extend(self, word: bytes, last: list[int]) -> None:
+        """Go on with `last` (last[i]: the last token of the encoding of word[:i], from 0 on) to the end of the word.
 
-        Exactly one token fits: it ends at `end` and may stand after the last token of what is before it.
+        For each prefix exactly one token fits: it ends there and may stand after the last token of what is before it.
         """
-        for start in range(max(0, end - self.longest), end):
-            t = self.id_of.get(word[start:end])
-            if t is not None and (self.adjacent(last[start], t) if start else self.alone(t)):
-                return t
-        raise ValueError("the vocabulary has no token for some byte")
+        token, pair, longest = self.id_of.get, self._pair.get, self.longest
+        for end in range(len(last), len(word) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                t = token(word[start:end])
+                if t is not None:
+                    before = last[start]
+                    fits = pair(before << _WIDE | t) if start else self.alone(t)
+                    if fits or fits is None and self.adjacent(before, t):
+                        last.append(t)
+                        break
+            else:
+                raise ValueError("the vocabulary has no token for some byte")
 
     def parts(self, text: str):
         """(is special, string) pieces of a text: special strings count as their token wherever they stand."""
@@ -164,11 +178,11 @@ class Pieces:
 
     A space that follows anything but white space always starts a new word, so pieces can be looked up one by one;
     texts with longer runs of white space are split by the pattern as a whole. solve(words) gives each new distinct
-    word's value. Memory is bounded: at `remembered` words the tables start anew.
+    word's value, joined(values) that of words one after another. Memory is bounded: at `remembered` words the tables start anew.
     """
 
-    def __init__(self, v: Vocabulary, solve, special, remembered: int = 350_000):
-        self.v, self.solve, self.remembered, self.special = v, solve, remembered, special
+    def __init__(self, v: Vocabulary, solve, special, joined, remembered: int = 350_000):
+        self.v, self.solve, self.remembered, self.special, self.joined = v, solve, remembered, special, joined
         self.spaced: dict = {}  # words of letters that follow a space, without it
         self.word: dict = {}  # all other words
 
@@ -231,12 +245,10 @@ class Pieces:
             out.append(values)
         return out
 
-    @staticmethod
-    def joined(values: list):
-        x = values[0]
-        for y in values[1:]:
-            x = x + y
-        return x
+    def of_word(self, word: str):
+        """The value of one word (not a special string): looked up where it is held, else solved and not kept."""
+        found = self.spaced.get(word[1:]) if word[0] == " " and word[1:].isalpha() else self.word.get(word)
+        return self.solve([word])[word] if found is None else found
 
 
 @lru_cache(maxsize=2)
