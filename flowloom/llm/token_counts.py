@@ -2,8 +2,9 @@
 
 For each prefix of a word the last token of its encoding follows from the last tokens of shorter prefixes, and
 its count is one more than that of the prefix before that token. A text's table is its words' tables one after
-another (`prefix_tables`). Counts of texts keep only each word's total; where a text must be cut, the table of the word
-at the cut is built again, and that of the whole text if it holds a special string or odd white space.
+another (`prefix_tables`). Each distinct word's table is kept, a byte for each prefix, so a text's count is the sum of its words'
+last entries, and a cut looks into the table of the word that holds it. Only where a cut changes how the text ends (inside white space,
+a contraction or a special string) is that end counted by itself; words that a full table has let go of are solved again.
 
 Edge cases: null text counts as empty (0 bytes, 0 tokens, cut 0). Repeated rows each give a row. An empty table
 gives an empty table. Other columns of the input, whatever their names, are ignored unless named in `keep`.
@@ -11,6 +12,7 @@ gives an empty table. Other columns of the input, whatever their names, are igno
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
@@ -23,48 +25,69 @@ from flowloom.llm import vocab as V
 
 #: Rows whose new words are looked up together.
 ROWS = 200
-#: Words whose counts are kept, a number each: at most some 250 MB a worker.
+#: Words whose tables are kept: at most some 350 MB a worker.
 WORDS = 2_000_000
 
 
+def _table(counts: list[int]) -> bytes | array:
+    return bytes(counts) if counts[-1] < 256 else array("I", counts)
+
+
+def _chained(tables: list) -> bytes | array:
+    """The table of words one after another."""
+    counts = [0]
+    for t in tables:
+        ahead = counts[-1]
+        counts += [ahead + n for n in t[1:]]
+    return _table(counts)
+
+
 class PrefixCounter:
     """Tables of token counts by prefix, for one vocabulary."""
 
     def __init__(self, vocabulary: V.Vocabulary):
         self.v = vocabulary
-        self.pieces = V.Pieces(vocabulary, lambda words: {w: self.table(w)[-1] for w in words}, lambda s: 1, WORDS)
+        self.pieces = V.Pieces(vocabulary, lambda words: {w: self.table(w) for w in words}, lambda s: b"\0\1", _chained, WORDS)
 
-    def table(self, word: str) -> list[int]:
+    def table(self, word: str) -> bytes | array:
         """counts[i] for the first i bytes of a word (not a special string), by the recurrence over last tokens."""
-        w, v = word.encode(), self.v
+        w, size = word.encode(), self.v.sizes
         last, counts = [0], [0]
+        self.v.extend(w, last)
         for end in range(1, len(w) + 1):
-            t = v.last_token(w, end, last)
-            last.append(t)
-            counts.append(counts[end - len(v.bytes_of[t])] + 1)
-        return counts
+            counts.append(counts[end - size[last[end]]] + 1)
+        return _table(counts)
 
     def count(self, text: str) -> int:
-        return sum(self.pieces.values([text])[0])
+        return sum([x[-1] for x in self.pieces.values([text])[0]])
 
     def prefixes(self, text: str) -> list[int]:
         """counts[i]: tokens of the first i characters, exactly as if that prefix were the whole text.
 
         Cutting a text changes how its end is split into words in three places: inside a run of white space,
-        inside a contraction, and inside a special string. There the tail is split as the cut leaves it.
+        inside a contraction, and inside a special string. There the tail is split as the cut leaves it. A run of white
+        space is one word however long, or all but its last character and then that, so the run's own table answers.
         """
         space = lambda w: bool(w) and not w.strip(V.SPACES)
+        of_word, special = self.pieces.of_word, self.v.special
         counts, before, tail, own = [0], 0, "", 0  # tail: the last word, whose split a cut may change; own: its tokens; before: tokens ahead of it
         for w in self.v.words(text):
-            special, ahead = w in self.v.special, before + own
-            t = [0, 1] if special else self.table(w)
-            if special or w[0] == "'" or space(tail):
+            ahead = before + own
+            t = b"\0\1" if w in special else of_word(w)
+            if w in special or w[0] == "'" or space(tail):
+                if space(tail) and space(w):
+                    t = of_word(tail + w)
+                    at = list(accumulate(len(c.encode()) for c in tail + w))
+                    counts += [before + t[n] for n in at[len(tail) :]]
+                    before, tail, own = ahead, w, counts[-1] - ahead
+                    own = of_word(w)[-1]
+                    continue
                 counts += [before + self.count(tail + w[:k]) for k in range(1, len(w))]
             elif w.isascii():
                 counts += [ahead + n for n in t[1:-1]]
             else:
                 counts += [ahead + t[n] for n in accumulate(len(c.encode()) for c in w[:-1])]
-            counts.append(before + self.count(tail + w) if space(tail) and space(w) else ahead + t[-1])
+            counts.append(ahead + t[-1])
             before, tail, own = ahead, w, t[-1]
         return counts
 
@@ -75,7 +98,7 @@ class PrefixCounter:
         else:
             pieces = text.split(" ")
             heads = len(self.v.words(pieces[0])) if pieces[0] else 0
-            ends = list(accumulate(values or self.pieces.values([text])[0]))
+            ends = list(accumulate(x[-1] for x in values or self.pieces.values([text])[0]))
             if not ends or ends[-1] <= limit:
                 return len(text)
             at = max(0, bisect_right(ends, limit) - heads)  # of the pieces after the first, so many fit
@@ -101,7 +124,7 @@ def count_tokens(df: DataFrame, vocabulary_path: str, limit: int = 1024, id_col:
             for at in range(0, b.num_rows, ROWS):
                 texts = b.column("__text").slice(at, ROWS).to_pylist()
                 for text, values in zip(texts, counter.pieces.values(texts), strict=True):
-                    n = sum(values)
+                    n = sum([x[-1] for x in values])
                     n_bytes.append(len(text.encode()))
                     n_tokens.append(n)
                     cuts.append(counter.cut(text, limit, values) if n > limit else len(text))
