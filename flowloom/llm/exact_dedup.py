@@ -1,20 +1,23 @@
 """Exact duplicates by a tree merge of sorted digest runs (DataFrame functions only).
 
 Each input partition becomes a run: its distinct fingerprints in order, each with the identifier to keep and the
-number of rows. In binomial rounds, FAN_IN runs at a time merge into one, keeping per fingerprint the best
-identifier and the sum of rows; the winners then travel down the same tree to every row. A group of copies,
+number of rows. In binomial rounds, FAN_IN runs (four doublings) at a time merge into one: rows of the runs that meet are
+exchanged by run and fingerprint, sorted, and of each stretch of equal fingerprints the best identifier and the sum of rows
+stay, in order, as the next run. The winners then travel down the same tree to every row, by merge joins. A group of copies,
 however large, is one row per run before anything is exchanged, and at most FAN_IN rows meet for one fingerprint.
 
-A fingerprint is (SHA-256, length in bytes, xxHash64): rows count as equal only if all three agree, at every level.
+A fingerprint is (SHA-256, length in bytes, xxHash64): at every level a digest that meets its equal is verified by length and
+by the second, independent hash, and rows stay apart unless all three agree. Whole texts are never exchanged.
 
 Edge cases: null text counts as empty; empty texts are equal to each other. Repeated rows (same identifier) count
-once each in group_size; all rows whose identifier is the one kept have kept = true. An empty table gives an empty
-table. Extra columns are ignored by `duplicates` and returned untouched by `deduplicate`.
+once each in group_size; all rows whose identifier is the one kept have kept = true, and `deduplicate` returns one of them.
+A row without identifier is kept only if no equal text has one. An empty table gives an empty
+table. Extra columns, whatever their names, are ignored by `duplicates` and returned untouched by `deduplicate`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.scratch import materialize
@@ -29,6 +32,14 @@ def fingerprint(text) -> list:
     return [F.sha2(whole, 256).alias("__sha"), F.octet_length(whole).alias("__bytes"), F.xxhash64(whole).alias("__xx")]
 
 
+def _merged(runs: DataFrame, best) -> DataFrame:
+    """The runs of the next level, each sorted: one row per fingerprint of the FAN_IN runs below."""
+    stretch = Window.partitionBy("__run", *_KEY)
+    rows = runs.withColumn("__run", F.floor(F.col("__run") / FAN_IN).cast("int"))
+    rows = rows.select("__run", *_KEY, best("__keep").over(stretch).alias("__keep"), F.sum("__n").over(stretch).alias("__n"), F.row_number().over(stretch.orderBy("__keep")).alias("__r"))
+    return rows.where("__r = 1").drop("__r")
+
+
 def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256. keep: 'smallest' or 'largest' identifier of equal texts."""
     best = {"smallest": F.min, "largest": F.max}[keep]
@@ -38,9 +49,7 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 
     levels = [rows.groupBy(*_KEY, "__run").agg(best("__id").alias("__keep"), F.count("*").alias("__n"))]
     while runs > 1:
-        merged = levels[-1].withColumn("__run", F.floor(F.col("__run") / FAN_IN).cast("int"))
-        merged = merged.groupBy(*_KEY, "__run").agg(best("__keep").alias("__keep"), F.sum("__n").alias("__n"))
-        levels.append(materialize(merged, "digest-level"))
+        levels.append(materialize(_merged(levels[-1], best), "digest-level"))
         runs = -(-runs // FAN_IN)
 
     won = levels.pop()
