@@ -12,8 +12,9 @@ buckets; bucket totals locate the one in which it ends, and only that bucket's r
 Edge cases: rows with null level values form leaves of their own (null is a value). Null or empty texts have no
 tokens and are taken with every epoch position before the cut. Ties of digests are broken by identifier; repeated
 rows share both and are kept or cut together, each counting its tokens. An empty table gives an empty table.
-A missing or null weight counts as 1; weight 0 gives a node nothing. All amounts are whole tokens, divisions round
-down, so at most one token per node stays unspent.
+A missing or null weight counts as 1; weight 0 gives a node nothing. All amounts are whole tokens; what
+rounding down leaves goes to the nodes with the largest remainders (ties by name), so the whole budget is dealt. Columns of
+df, whatever their names, come back untouched with `whole_rows`.
 """
 
 from __future__ import annotations
@@ -63,7 +64,14 @@ def deal(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     open_left = F.max(F.when(~F.col("__full"), F.col("__left"))).over(first)
     open_share = F.max(F.when(~F.col("__full"), F.col("__share"))).over(first)
     dealt = dealt.withColumns({"__open_left": open_left, "__open_share": open_share})
-    return dealt.withColumn("given", F.expr("CASE WHEN __full THEN __most ELSE CAST((__open_left * __weight) div __open_share AS BIGINT) END"))
+    dealt = dealt.withColumns({
+        "__floor": F.expr("CASE WHEN __full THEN CAST(__most AS BIGINT) ELSE CAST((__open_left * __weight) div __open_share AS BIGINT) END"),
+        "__part": F.expr("CASE WHEN __full THEN CAST(-1 AS DECIMAL(38,0)) ELSE (__open_left * __weight) % __open_share END"),
+    })
+    # Whole tokens that rounding down has left go to the largest remainders; a node that isn't full can take one more.
+    missing = F.coalesce(F.max("__open_left").over(first), F.lit(0)) - F.coalesce(F.sum(F.when(~F.col("__full"), F.col("__floor"))).over(first), F.lit(0))
+    place = F.row_number().over(first.orderBy(F.desc("__part"), F.col(name)))
+    return dealt.withColumn("given", (F.col("__floor") + (~F.col("__full") & (place <= missing)).cast("long")).cast("long"))
 
 
 def leaf_budgets(stats: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int) -> DataFrame:

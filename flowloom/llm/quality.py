@@ -2,8 +2,8 @@
 
 A logistic classifier on surface features gives each document's evidence. Grouped aggregation sums the expected
 number of good documents by host and by path, and Beta posteriors shrink them: a host towards the whole corpus, a
-path towards its host, the more so the fewer documents they have. How strongly follows from how much hosts (paths)
-differ, by the method of moments. A document's posterior log-odds are its own evidence plus what its path's
+path towards its host, the more so the fewer documents they have. How strongly follows from how much hosts differ from the
+corpus, and paths from their hosts, beyond chance, by the method of moments. A document's posterior log-odds are its own evidence plus what its path's
 posterior says beyond the corpus' prior.
 
 The classifier is fitted on at most `max_labels` labelled documents (chosen by a digest of the identifier);
@@ -12,7 +12,7 @@ everything else looks at every row.
 Edge cases: null text counts as empty; an empty text has all features 0. Null hosts or paths form a group of
 their own. Labels that are null, not 0 or 1, or of documents that aren't there are ignored; with fewer than two
 classes left the classifier says the share of good labels (or 1/2 without labels) for every document. Repeated
-rows each count. An empty table gives an empty table.
+rows each count. An empty table gives an empty table. Other columns, whatever their names, are returned untouched by `keep_good`.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
     sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lid"), F.col(label_col).cast("double").alias("__y"))
     sample = sample.orderBy(F.xxhash64("__lid"), "__lid", "__y").limit(max_labels)
     chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    chosen = chosen.join(F.broadcast(sample), F.col("__id") == F.col("__lid")).select(F.col("__y"), "__text")
+    chosen = chosen.join(F.broadcast(sample), F.col("__id") == F.col("__lid")).select(F.col("__y"), "__text").limit(max_labels)  # fewer, unless identifiers repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,24 +115,32 @@ def _logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def _strength(groups: DataFrame, rate: Column, mean: float) -> float:
-    """Pseudo-count of a Beta prior with the given mean whose spread is that of the groups' rates."""
-    spread = groups.agg(F.sum(F.col("__n") * F.pow(rate - F.lit(mean), 2)) / F.sum("__n")).first()[0] or 0.0
-    return min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, 1.0), 10_000.0)
+def _strength(groups: DataFrame, within: float, parents: int) -> float:
+    """Pseudo-count of Beta priors with means __m, from how much the groups' rates (__s / __n) differ from them.
+
+    Method of moments: the rates' spread around their parents' means, less what chance gives (`within`: the spread of
+    single documents in a group, over the group's documents), is the spread of the groups themselves.
+    """
+    rate, m = F.col("__s") / F.col("__n"), F.col("__m")
+    spread, room, n, count = groups.agg(F.sum(F.col("__n") * F.pow(rate - m, 2)), F.sum(F.col("__n") * m * (1 - m)), F.sum("__n"), F.count("*")).first()
+    own = ((spread or 0.0) - max(count - parents, 0) * within) / max(n or 0, 1)
+    return min(max((room or 0.0) / max(n or 0, 1) / max(own, 1e-9) - 1, 1.0), 10_000.0)
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """From rows (host, path, p_classifier): per (host, path) p_host and p_path, and the corpus' mean."""
-    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("__n"), F.sum("p_classifier").alias("__s")), "quality-paths")
+    p = F.col("p_classifier")
+    paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("__n"), F.sum(p).alias("__s"), F.sum(p * p).alias("__q")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s"))
-    total = paths.agg(F.sum("__n"), F.sum("__s")).first()
-    mean = min(max((total[1] or 0.5) / (total[0] or 1), _EDGE), 1 - _EDGE)
-    k_host = _strength(hosts, F.col("__s") / F.col("__n"), mean)
-    k_path = _strength(paths, F.col("__s") / F.col("__n"), mean)
+    n, s, inside, n_paths = paths.agg(F.sum("__n"), F.sum("__s"), F.sum(F.col("__q") - F.col("__s") * F.col("__s") / F.col("__n")), F.count("*")).first()
+    mean = min(max((s or 0.5) / (n or 1), _EDGE), 1 - _EDGE)
+    within = max(inside or 0.0, 0.0) / max((n or 0) - n_paths, 1)
+    k_host = _strength(hosts.withColumn("__m", F.lit(mean)), within, 1)
     hosts = hosts.select(F.col("host").alias("__host"), ((F.col("__s") + k_host * mean) / (F.col("__n") + k_host)).alias("p_host"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("__host")))
+    paths = materialize(paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))), "quality-hosts")
+    k_path = _strength(paths.withColumn("__m", F.col("p_host")), within, paths.select("__host").distinct().count())
     paths = paths.withColumn("p_path", (F.col("__s") + k_path * F.col("p_host")) / (F.col("__n") + k_path))
-    return materialize(paths.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "p_host", "p_path"), "quality-sites"), mean
+    return materialize(paths.select("__host", F.col("path").alias("__path"), "p_host", "p_path"), "quality-sites"), mean
 
 
 def with_posterior(scored: DataFrame, sites: DataFrame, mean: float) -> DataFrame:

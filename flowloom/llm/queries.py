@@ -44,8 +44,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path(VOCABULARY)
-    ids = bpe_trie.encode_texts(_read(spark, sf_dir, "documents"), vocabulary)
-    return bpe_trie.digests(bpe_trie.decode_ids(ids, vocabulary, keep=("doc_id", "ids")))
+    return bpe_trie.digests(bpe_trie.round_trip(_read(spark, sf_dir, "documents"), vocabulary))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +87,10 @@ def _deal_sql(depth: int, levels: list[str]) -> str:
         FROM node{depth} n JOIN given{depth - 1} g ON {join} WHERE n.weight > 0
         WINDOW w AS ({parent.replace("BY ", "BY n.").replace(", ", ", n.")} ORDER BY n.most::DOUBLE / n.weight, n.{name})),
     full{depth} AS (SELECT *, most * share <= left_over * weight AS is_full FROM dealt{depth}),
-    given{depth} AS (SELECT {", ".join(own)}, CASE WHEN is_full THEN most ELSE
-        (max(CASE WHEN NOT is_full THEN left_over END) OVER ({parent}) * weight) // max(CASE WHEN NOT is_full THEN share END) OVER ({parent}) END::HUGEINT AS given FROM full{depth})"""
+    floor{depth} AS (SELECT *, max(CASE WHEN NOT is_full THEN left_over END) OVER ({parent}) AS open_left, max(CASE WHEN NOT is_full THEN share END) OVER ({parent}) AS open_share,
+        CASE WHEN is_full THEN most ELSE (open_left * weight) // open_share END::HUGEINT AS down, CASE WHEN is_full THEN -1 ELSE (open_left * weight) % open_share END AS part FROM full{depth}),
+    given{depth} AS (SELECT {", ".join(own)}, (down + CASE WHEN NOT is_full AND row_number() OVER ({parent} ORDER BY part DESC, {name} NULLS FIRST)
+        <= open_left - sum(CASE WHEN NOT is_full THEN down ELSE 0 END) OVER ({parent}) THEN 1 ELSE 0 END)::HUGEINT AS given FROM floor{depth})"""
 
 
 def _mixing_sql() -> str:

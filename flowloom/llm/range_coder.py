@@ -11,8 +11,8 @@ Documents never span stripes; stripes ascend by (part, stripe), documents by ide
 
 Block layout (little-endian): "CMR1", number of ids, CRC-32 of the ids (32-bit each), CRC-32 of the payload, payload.
 
-Edge cases: a null text counts as empty and holds the end id only. Repeated identifiers follow each other in no
-set order. A null identifier comes first. A damaged block raises ValueError. An empty table gives an empty table.
+Edge cases: a null text counts as empty and holds the end id only. Repeated identifiers follow each other by a
+hash of their texts. A null identifier comes first. A damaged block raises ValueError. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -269,7 +269,7 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: s
         if names:
             yield closed()
 
-    sorted_docs = docs.repartitionByRange("__id").sortWithinPartitions("__id")
+    sorted_docs = docs.repartitionByRange("__id").sortWithinPartitions("__id", F.xxhash64("__text"), "__text")
     sorted_docs.mapInArrow(run, f"part int, stripe int, ids array<{kind}>, sizes array<bigint>, blocks array<binary>").write.parquet(path)
 
 

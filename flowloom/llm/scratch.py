@@ -11,11 +11,13 @@ _local_root: str | None = None
 
 
 def root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a temporary folder, for a local master only."""
     global _local_root
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="spark-scratch-")
     return _local_root

@@ -341,3 +341,50 @@ def test_copies_by_text_where_identifiers_repeat(spark):
     assert [x for x in kept if x[1].startswith("w0")] == [(0, near + " stop")]
     classes = minhash.near_duplicates(df).collect()
     assert len(classes) == len(rows) and all(r["class_id"] == 0 for r in classes if r["doc_id"] in (0, 4, 5))
+
+
+def test_large_hypergeometric_draws_follow_the_law():
+    rng = np.random.default_rng(3)
+    good, bad, draws = 3_000_000_000, 1_000_000_000, 40_000
+    got = [shards._hypergeometric(rng, good, bad, draws) for _ in range(4000)]
+    sd = np.sqrt(draws * 0.75 * 0.25)
+    assert abs(np.mean(got) - 30_000) < 5 * sd / np.sqrt(4000) and abs(np.std(got) / sd - 1) < 0.06
+    assert shards._hypergeometric(rng, 10**12, 0, 10**12) == 10**12 and shards._hypergeometric(rng, 10**12, 5, 10**12 + 5) == 10**12
+    m = shards.communication_matrix([2 * 10**9, 10**9], [10**9] * 3, 1)
+    assert m.sum(axis=1).tolist() == [2 * 10**9, 10**9] and m.sum(axis=0).tolist() == [10**9] * 3
+
+
+def test_mixing_deals_every_token(odd):
+    levels = {"domain": "'d'", "lang": "lang", "source": "source"}
+    for budget in (7, 20, 101):
+        assert sum(r["take_tokens"] for r in mixing.mix(odd, levels, {"source": {"src0": 3}}, budget=budget, max_epochs=1).collect()) == budget
+
+
+def test_shards_carry_sizes_checksums_and_every_row(docs):
+    want = {r["doc_id"]: (len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()}
+    got = shards.shard(docs, 40).collect()
+    assert len(got) == len(want) and {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == want
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("rows", None)}
+
+
+def test_sites_shrink_towards_their_hosts(spark):
+    """Posteriors equal the method of moments worked out plainly."""
+    rnd = np.random.default_rng(12)
+    rows = [(f"h{h}", f"h{h}/{p}", float(np.clip(0.2 + 0.15 * h + 0.1 * p + rnd.normal(0, 0.1), 0, 1))) for h in range(4) for p in range(3) for _ in range(4 + 9 * p)]
+    sites, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p_classifier double"))
+    group = lambda at: {k: np.array([r[2] for r in rows if r[at] == k]) for k in {r[at] for r in rows}}
+    hosts, paths, n = group(0), group(1), len(rows)
+    assert abs(mean - np.mean([r[2] for r in rows])) < 1e-9
+    within = sum(((x - x.mean()) ** 2).sum() for x in paths.values()) / (n - len(paths))
+
+    def strength(groups, means, parents):
+        own = (sum(len(x) * (x.mean() - means[k]) ** 2 for k, x in groups.items()) - (len(groups) - parents) * within) / n
+        return min(max(sum(len(x) * means[k] * (1 - means[k]) for k, x in groups.items()) / n / max(own, 1e-9) - 1, 1), 10_000)
+
+    kh = strength(hosts, dict.fromkeys(hosts, mean), 1)
+    p_host = {k: (x.sum() + kh * mean) / (len(x) + kh) for k, x in hosts.items()}
+    up = {k: p_host[k.split("/")[0]] for k in paths}
+    kp = strength(paths, up, len(hosts))
+    for r in sites.collect():
+        x = paths[r["__path"]]
+        assert abs(r["p_host"] - p_host[r["__host"]]) < 1e-9 and abs(r["p_path"] - (x.sum() + kp * up[r["__path"]]) / (len(x) + kp)) < 1e-9
