@@ -119,3 +119,8 @@ def off_hours(ts: Column) -> Column:
 
 def bucket(ts: Column, seconds: float) -> Column:
     return (F.floor(ts / seconds) * seconds).cast("long")
+
+
+def half_even(value: Column, places: int) -> Column:
+    """Rounded to so many places; a value halfway between two goes to the even one (as its shortest decimal form reads)."""
+    return F.bround(value.cast("double"), places)

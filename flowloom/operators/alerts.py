@@ -37,7 +37,7 @@ def fan_out(scores: DataFrame, keep: list[str], floor: float = FLOOR) -> DataFra
 
 
 def completed(candidates: DataFrame, now: float) -> DataFrame:
-    """Candidates with every field of an alert: defaults for what is missing, the flow's end or `now` for times not positive.
+    """Candidates with every field of an alert: defaults for what is missing, the flow's end or `now` for times not positive, evidence as JSON.
 
     Identifiers follow from key and time, so that a rerun gives the same ones.
     """
@@ -50,6 +50,8 @@ def completed(candidates: DataFrame, now: float) -> DataFrame:
         "flow_id": text("flow_id", "unknown"), "threat_class": text("threat_class", "unknown"), "ts": F.coalesce(*times, F.lit(float(now))),
     })
     key = F.concat_ws("|", "src_ip", "dst_ip", F.lower("threat_class"), "flow_id", F.round(F.col("ts") * 1_000_000).cast("long").cast("string"))
+    if "evidence" in has:
+        rows = rows.withColumn("evidence_json", F.to_json("evidence")).drop("evidence")
     return rows.withColumn("alert_id", F.concat(F.lit("alert-"), F.substring(F.sha2(key, 256), 1, 12))).withColumn("status", F.lit("NEW"))
 
 

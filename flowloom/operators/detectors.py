@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions import net
+
 
 def _scored(df: DataFrame, total: Column) -> DataFrame:
     return df.withColumn("confidence", F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 4))
@@ -126,8 +128,20 @@ def evidence(fields: list[str], triggers: dict[str, Column]) -> Column:
     triggers maps a format with one place ('rate {:.1f}' as '%.1f') to (condition, value) given as a struct column
     with fields `holds` and `value`.
     """
-    said = F.filter(F.array(*(F.when(c["holds"], F.format_string(text, c["value"].cast("double"))) for text, c in triggers.items())), lambda t: t.isNotNull())
-    return F.struct(*(F.round(F.col(f).cast("double"), 4).alias(f) for f in fields), said.alias("triggers"))
+    places = {"%.0f": 0, "%.1f": 1, "%.2f": 2}
+    shown = lambda text, v: F.format_string(text, net.half_even(v, next(n for f, n in places.items() if f in text)))
+    said = F.filter(F.array(*(F.when(c["holds"], shown(text, c["value"])) for text, c in triggers.items())), lambda t: t.isNotNull())
+    return F.struct(*(net.half_even(F.col(f), 4).alias(f) for f in fields), said.alias("triggers"))
+
+
+def evidence_json(evidence: Column) -> Column:
+    """Evidence as stored with an alert and searched in."""
+    return F.to_json(evidence)
+
+
+def evidence_parsed(text: Column) -> Column:
+    """Stored evidence as a map of its fields' JSON texts; empty for null and for anything but an object."""
+    return F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
 def trigger(holds: Column, value: Column) -> Column:
@@ -145,3 +159,61 @@ def recon_evidence() -> Column:
             "%.1f percent of ports in a row": trigger(F.col("port_sequence_score") >= 0.5, 100 * F.col("port_sequence_score")),
         },
     )
+
+
+def ddos_evidence(pps: float = 500.0, bps: float = 1e6) -> Column:
+    return evidence(
+        ["packets_per_sec", "bytes_per_sec", "unique_src_count", "src_ip_entropy"],
+        {
+            "%.1f packets a second": trigger(F.col("packets_per_sec") >= pps, F.col("packets_per_sec")),
+            "%.1f bytes a second": trigger(F.col("bytes_per_sec") >= bps, F.col("bytes_per_sec")),
+            "sources spread over %.2f bits": trigger((F.col("src_ip_entropy") >= 4) & (F.col("unique_src_count") >= 20), F.col("src_ip_entropy")),
+        },
+    )
+
+
+def beacon_evidence() -> Column:
+    return evidence(
+        ["iat_mean", "iat_cv", "periodicity_score", "dst_cardinality", "byte_size_cv"],
+        {
+            "periodicity %.2f": trigger(F.col("periodicity_score") >= 0.5, F.col("periodicity_score")),
+            "gaps vary by %.2f of their mean": trigger((F.col("iat_cv") <= 0.15) & (F.col("iat_mean") >= 1), F.col("iat_cv")),
+            "%.0f peer": trigger(F.col("dst_cardinality") == 1, F.col("dst_cardinality")),
+            "sizes vary by %.2f of their mean": trigger(F.col("byte_size_cv") <= 0.1, F.col("byte_size_cv")),
+        },
+    )
+
+
+def exfiltration_evidence() -> Column:
+    return evidence(
+        ["outbound_volume_zscore", "outbound_inbound_ratio", "duration_bytes_ratio", "off_hours_flag", "destination_novel"],
+        {
+            "outbound volume %.1f deviations above the source's mean": trigger(F.col("outbound_volume_zscore") >= 3, F.col("outbound_volume_zscore")),
+            "%.1f times as much out as in": trigger(F.col("outbound_inbound_ratio") >= 5, F.col("outbound_inbound_ratio")),
+            "outside working hours (%.0f)": trigger(F.col("off_hours_flag") == 1, F.col("off_hours_flag")),
+            "destination not seen before (%.0f)": trigger(F.col("destination_novel") == 1, F.col("destination_novel")),
+        },
+    )
+
+
+def dns_evidence() -> Column:
+    """On the columns of name_vector."""
+    return evidence(
+        ["entropy", "ngram_score", "digit_ratio", "label_length"],
+        {
+            "entropy %.2f bits": trigger(F.col("entropy") >= 3.2, F.col("entropy")),
+            "n-gram score %.2f": trigger(F.col("ngram_score") <= -16, F.col("ngram_score")),
+            "%.1f percent digits": trigger(F.col("digit_ratio") >= 0.3, 100 * F.col("digit_ratio")),
+        },
+    )
+
+
+def handshake_evidence() -> Column:
+    few = (F.col("cipher_suite_count") > 0) & (F.col("cipher_suite_count") <= 2) & (F.col("extension_count") <= 1)
+    return evidence(
+        ["cipher_suite_count", "extension_count", "pkt_size_mean", "pkt_ipt_mean"],
+        {
+            "known fingerprint (%.0f)": trigger(F.col("denylist_match") != "", F.lit(1)),
+            "only %.0f cipher suites": trigger(few, F.col("cipher_suite_count")),
+        },
+    )

@@ -6,10 +6,15 @@ by those columns, so nothing is exchanged but partial sums, distinct values and,
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions import net
+from flowloom.functions import net, ngram
+from flowloom.sources import frames
 
 
 def _duration(start: str, end: Column) -> Column:
@@ -54,13 +59,13 @@ def handshakes(packets: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def recon(flows: DataFrame, groups: list[str]) -> DataFrame:
-    """Fan-out over ports and hosts, unanswered TCP flows, runs of neighbouring ports and the rate of flows."""
+def recon(flows: DataFrame, groups: list[str], also: tuple[Column, ...] = ()) -> DataFrame:
+    """Fan-out over ports and hosts, unanswered TCP flows, runs of neighbouring ports and the rate of flows; and aggregates of `also`."""
     tcp = F.col("protocol") == net.TCP
     lone = tcp & (F.col("packets_fwd") > 0) & (F.col("packets_bwd") == 0)
     base = flows.groupBy(*groups).agg(
         F.count_distinct("dst_ip").alias("unique_dst_hosts"), net.safe_ratio(F.count_if(lone).cast("double"), F.count_if(tcp).cast("double")).alias("syn_no_completion_ratio"),
-        (F.count("*") / _duration("start_time", F.col("start_time") + F.col("duration"))).alias("scan_rate"),
+        (F.count("*") / _duration("start_time", F.col("start_time") + F.col("duration"))).alias("scan_rate"), *also,
     )
     ports = flows.select(*groups, "dst_port").distinct()
     after = F.lead("dst_port").over(Window.partitionBy(*groups).orderBy("dst_port"))
@@ -81,29 +86,69 @@ def beacon(flows: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
-def periodicity(flows: DataFrame, groups: list[str], bins: int = 256) -> DataFrame:
-    """The largest share of one frequency in the spectrum of start times, binned over the group's span (constant part aside)."""
-    span = flows.groupBy(*groups).agg(F.min("start_time").alias("__t0"), F.max("start_time").alias("__t1"), F.count("*").alias("__n"))
-    at = F.least(F.floor((F.col("start_time") - F.col("__t0")) / ((F.col("__t1") - F.col("__t0")) / bins)), F.lit(bins - 1))
+def rhythm(rows: DataFrame, groups: list[str], at: str = "ts", size: str = "length") -> DataFrame:
+    """Per group: n, regularity of gaps between rows in order of time, of sizes, and the periodicity score of times."""
+    gap = F.col(at) - F.lag(at).over(Window.partitionBy(*groups).orderBy(at, "seq"))
+    cv = lambda c: F.when(F.abs(F.avg(c)) < 1e-12, 0.0).otherwise(F.coalesce(F.stddev_pop(c), F.lit(0.0)) / F.abs(F.avg(c)))
+    out = rows.withColumns({"__gap": gap, "__size": F.col(size).cast("double")}).groupBy(*groups).agg(
+        F.count("*").alias("n"), F.coalesce(F.avg("__gap"), F.lit(0.0)).alias("iat_mean"), F.coalesce(F.var_pop("__gap"), F.lit(0.0)).alias("iat_variance"),
+        F.coalesce(cv("__gap"), F.lit(0.0)).alias("iat_cv"), F.coalesce(cv("__size"), F.lit(0.0)).alias("byte_size_cv"),
+    )
+    return out.join(periodicity(rows, groups, at=at), groups)
+
+
+def by_packets(features: DataFrame, counted: str, prefix: str, names: tuple[str, ...] = ("iat_mean", "iat_variance", "iat_cv", "byte_size_cv", "periodicity_score")) -> DataFrame:
+    """Takes each of `names` (with `prefix`) from the packets' column of that name where there are two packets or more, and drops the packets' columns."""
+    better = {f"{prefix}{c}": F.when(F.col(counted) >= 2, F.col(f"__packets_{c}")).otherwise(F.col(f"{prefix}{c}")) for c in names}
+    return features.withColumns(better).drop(counted, *(f"__packets_{c}" for c in names))
+
+
+def packet_rhythm(packets: DataFrame, groups: list[str]) -> DataFrame:
+    """`rhythm` of packets, with columns named as `by_packets` takes them (n as __packets)."""
+    found = rhythm(packets, groups)
+    return found.select(*groups, F.col("n").alias("__packets"), *(F.col(c).alias(f"__packets_{c}") for c in found.columns if c not in (*groups, "n")))
+
+
+def periodicity(flows: DataFrame, groups: list[str], bins: int = 256, at: str = "start_time") -> DataFrame:
+    """The largest share of one frequency in the spectrum of times, binned over the group's span (constant part aside).
+
+    Counts are summed per group and bin before they meet; a group is then one row of at most `bins` counts, and a batch of
+    groups one matrix.
+    """
+    span = flows.groupBy(*groups).agg(F.min(at).alias("__t0"), F.max(at).alias("__t1"), F.count("*").alias("__n"))
+    bin_ = F.least(F.floor((F.col(at) - F.col("__t0")) / ((F.col("__t1") - F.col("__t0")) / bins)), F.lit(bins - 1))
     fit = span.where((F.col("__n") >= 4) & (F.col("__t1") - F.col("__t0") >= net.SHORTEST))
-    counts = flows.join(fit, groups).select(*groups, at.alias("__bin")).groupBy(*groups, "__bin").agg(F.count("*").alias("n"))
-    angle = F.col("__k") * F.col("__bin") * (-2 * 3.141592653589793 / bins)
-    waves = counts.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(bins // 2)))).groupBy(*groups, "__k")
-    power = waves.agg((F.pow(F.sum(F.col("n") * F.cos(angle)), 2) + F.pow(F.sum(F.col("n") * F.sin(angle)), 2)).alias("__p"))
-    score = power.groupBy(*groups).agg(F.when(F.sum("__p") < 1e-12, 0.0).otherwise(F.max("__p") / F.sum("__p")).alias("periodicity_score"))
+    counts = flows.join(fit, groups).select(*groups, bin_.cast("long").alias("__bin")).groupBy(*groups, "__bin").agg(F.count("*").alias("n"))
+    packed = counts.groupBy(*groups).agg(F.collect_list(F.col("n") * 1024 + F.col("__bin")).alias("__counts"))  # at most `bins` of them
+
+    @F.pandas_udf("double")
+    def strongest(counts: pd.Series) -> pd.Series:
+        at, packed = np.repeat(np.arange(len(counts)), counts.map(len)), np.concatenate([*counts, np.empty(0, np.int64)]).astype(np.int64)
+        signal = np.zeros((len(counts), bins))
+        signal[at, packed % 1024] = packed // 1024
+        power = np.abs(np.fft.rfft(signal)[:, 1:]) ** 2
+        total = power.sum(axis=1)
+        return pd.Series(np.where(total < 1e-12, 0.0, power.max(axis=1) / np.maximum(total, 1e-12)))
+
+    score = packed.select(*groups, strongest("__counts").alias("periodicity_score"))
     return span.select(*groups).join(score, groups, "left").select(*groups, F.coalesce("periodicity_score", F.lit(0.0)).alias("periodicity_score"))
 
 
-def dns(queries: DataFrame, groups: list[str]) -> DataFrame:
-    """Lexical and volume features of DNS questions."""
+def dns(queries: DataFrame, groups: list[str], ngrams: tuple[ngram.Ngrams, ngram.Ngrams] | None = None) -> DataFrame:
+    """Lexical and volume features of DNS questions; with models of letter pairs and triples also mean_ngram_score."""
     q = F.coalesce("qname", F.lit(""))
     label, named = net.label_of(q), q != ""
     rows = queries.withColumns({"__q": q, "__label": label, "__named": named})
     text = F.when(F.col("__named"), F.col("__label"))
+    scored = ()
+    if ngrams:
+        for model, name in zip(ngrams, ("__bigram", "__trigram"), strict=True):
+            rows = ngram.likelihood(rows, "__label", model, name)
+        scored = (F.avg(F.when(F.col("__named"), ngram.combined(F.col("__bigram"), F.col("__trigram")))).alias("mean_ngram_score"),)
     base = rows.groupBy(*groups).agg(
         F.avg(F.when(F.col("__named"), net.entropy_of_text(F.col("__label")))).alias("mean_entropy"), F.avg(F.length(text)).alias("mean_label_length"), F.max(F.length(text)).alias("max_label_length"),
         F.avg(F.when(F.col("__named"), net.ratio_of(F.col("__label"), "0-9"))).alias("mean_digit_ratio"), F.avg(net.carries_data(F.col("qtype")).cast("int")).alias("txt_null_ratio"),
-        F.when(F.count("*") >= 2, F.count("*") / F.greatest(F.max("ts") - F.min("ts"), F.lit(net.SHORTEST))).otherwise(0.0).alias("query_rate"), F.count_distinct("__q").alias("unique_qnames"),
+        F.when(F.count("*") >= 2, F.count("*") / F.greatest(F.max("ts") - F.min("ts"), F.lit(net.SHORTEST))).otherwise(0.0).alias("query_rate"), F.count_distinct("__q").alias("unique_qnames"), *scored,
     )
     subs = rows.select(*groups, net.apex_of(F.col("__q")).alias("__apex"), net.subdomain_of(F.col("__q")).alias("__sub")).where("__apex IS NOT NULL")
     subs = subs.distinct().groupBy(*groups, "__apex").agg(F.count("*").alias("n")).groupBy(*groups).agg(F.avg("n").alias("unique_subdomains_per_apex"))
@@ -147,10 +192,37 @@ def exfiltration_against(flows: DataFrame, keep: list[str], baseline: DataFrame
     )
 
 
-def first_packets(packets: DataFrame, groups: list[str], n: int = 10) -> DataFrame:
-    """Mean and deviation of sizes and gaps of each group's first n packets by time."""
+def first_packets(packets: DataFrame, groups: list[str], n: int = 10, lists: bool = False) -> DataFrame:
+    """Mean and deviation of sizes and gaps of each group's first n packets by time; with lists also these n sizes and n - 1 gaps."""
     order = Window.partitionBy(*groups).orderBy("ts", "seq")
     rows = packets.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n)
     rows = rows.withColumn("__gap", F.col("ts") - F.lag("ts").over(order))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.groupBy(*groups).agg(F.avg("length").alias("pkt_size_mean"), F.stddev_pop("length").alias("pkt_size_std"), zero(F.avg("__gap")).alias("pkt_ipt_mean"), zero(F.stddev_pop("__gap")).alias("pkt_ipt_std"))
+    held = F.array_sort(F.collect_list(F.struct("__r", "length", "__gap")))
+    more = [F.transform(held, lambda x: x["length"]).alias("pkt_sizes_first10"), F.slice(F.transform(held, lambda x: x["__gap"]), 2, n).alias("pkt_ipt_first10")]
+    return rows.groupBy(*groups).agg(
+        F.avg("length").alias("pkt_size_mean"), F.stddev_pop("length").alias("pkt_size_std"), zero(F.avg("__gap")).alias("pkt_ipt_mean"), zero(F.stddev_pop("__gap")).alias("pkt_ipt_std"),
+        *(more if lists else []),
+    )
+
+
+def hellos(df: DataFrame, raw: str = "tls_raw", denylist: Mapping[str, str] = net.BAD_JA3) -> DataFrame:
+    """Adds ja3_string, ja3_hash, sni, cipher_suite_count, extension_count and denylist_match of a handshake's first message.
+
+    Texts are empty and counts 0 for what isn't such a message; the match is what the list says of a known fingerprint.
+    """
+    hello = df.withColumn("__h", frames.client_hello(F.col(raw)))
+    h = lambda c: F.col(f"__h.{c}")
+    whole = h("version").isNotNull()
+    text = F.when(whole, net.ja3_text(h("version"), h("cipher_suites"), h("extensions"), h("elliptic_curves"), h("ec_point_formats"))).otherwise("")
+    known = F.create_map(*(F.lit(x) for pair in denylist.items() for x in pair))
+    count = lambda c: F.when(whole, F.size(h(c))).otherwise(0)
+    out = hello.withColumns({"ja3_string": text, "sni": F.coalesce(h("sni"), F.lit("")), "cipher_suite_count": count("cipher_suites"), "extension_count": count("extensions")})
+    out = out.withColumn("ja3_hash", F.when(F.col("ja3_string") != "", F.md5("ja3_string")).otherwise(""))
+    return out.withColumn("denylist_match", F.coalesce(F.try_element_at(known, "ja3_hash"), F.lit(""))).drop("__h")
+
+
+def encrypted(packets: DataFrame, groups: list[str], denylist: Mapping[str, str] = net.BAD_JA3, lists: bool = False) -> DataFrame:
+    """Per group: features of its first packets, and of its first handshake message (packets have tls_raw, null for all others)."""
+    first = packets.where("tls_raw IS NOT NULL").groupBy(*groups).agg(F.min_by("tls_raw", F.struct("ts", "seq")).alias("tls_raw"))
+    return hellos(first_packets(packets, groups, lists=lists).join(first, groups, "left"), "tls_raw", denylist).drop("tls_raw")

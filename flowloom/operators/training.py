@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType
 
-from flowloom.functions import net
+from flowloom.functions import net, ngram
 from flowloom.operators import features as feat
 from flowloom.operators import models
 
 KEY = ["flow_id", "flow_no"]
 
 
-def rows(flows: DataFrame, packets: DataFrame, capture: str, label: str) -> DataFrame:
+def rows(flows: DataFrame, packets: DataFrame, capture: str, label: str, ngrams: tuple[ngram.Ngrams, ngram.Ngrams] | None = None, denylist: Mapping[str, str] = net.BAD_JA3) -> DataFrame:
     """One row per flow: its features by each detector, prefixed, with label, is_attack and session_id.
 
-    flows: as operators.flows.build gives them. Packet features (enc_, dns_ where packets have questions) come from
+    flows: as operators.flows.build gives them. Packet features (gaps, sizes and periodicity of c2_ where there are two
+    packets or more; enc_, with the handshake's where packets have tls_raw; dns_ where they have questions) come from
     all packets of either direction between the flow's hosts, summed once per pair and then joined.
     """
     single = flows.withColumn("seq", F.col("flow_no"))
@@ -28,15 +31,42 @@ def rows(flows: DataFrame, packets: DataFrame, capture: str, label: str) -> Data
         "ddos": feat.ddos(single, KEY), "c2": feat.beacon(single, KEY).join(feat.periodicity(single, KEY), KEY),
         "recon": feat.recon(single, KEY), "exfil": feat.exfiltration_against(single, KEY),
     }
-    by_pair = {"ddos": feat.handshakes(paired, ["__a", "__b"]), "enc": feat.first_packets(paired, ["__a", "__b"])}
+    by_pair = {"ddos": feat.handshakes(paired, ["__a", "__b"]), "enc": feat.encrypted(paired, ["__a", "__b"], denylist) if "tls_raw" in packets.columns else feat.first_packets(paired, ["__a", "__b"])}
     if {"dns_qname", "dns_qtype"} <= set(packets.columns):
         questions = paired.where("dns_qname != ''").withColumns({"qname": F.col("dns_qname"), "qtype": F.col("dns_qtype")})
-        by_pair["dns"] = feat.dns(questions, ["__a", "__b"])
+        by_pair["dns"] = feat.dns(questions, ["__a", "__b"], ngrams)
     prefixed = lambda df, name, keys: df.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys))
     base = flows.select(*KEY, *pair, F.lit(f"{capture}_{label}").alias("session_id"), F.lit(label).alias("label"), F.lit(int(label != "benign")).alias("is_attack"))
     out = reduce(lambda a, p: a.join(prefixed(p[1], p[0], KEY), KEY), parts.items(), base)
     out = reduce(lambda a, p: a.join(prefixed(p[1], p[0], ["__a", "__b"]), ["__a", "__b"], "left"), by_pair.items(), out)
-    return out.drop("__a", "__b")
+    out = out.join(feat.packet_rhythm(paired, ["__a", "__b"]), ["__a", "__b"], "left")
+    return feat.by_packets(out, "__packets", "c2_").drop("__a", "__b")
+
+
+def save(training: DataFrame, path: str) -> None:
+    """The rows as CSV with a header; lists become their values between blanks."""
+    flat = [F.array_join(F.transform(c, lambda x: x.cast("string")), " ").alias(c) if t.startswith("array") else F.col(c) for c, t in training.dtypes]
+    training.select(*flat).write.csv(path, header=True)
+
+
+def split(training: DataFrame, train: float = 0.70, validate: float = 0.15, seed: int = 42) -> DataFrame:
+    """Adds `part` (train, validation, test): by session within each label, so that no session is on two sides.
+
+    Sessions stand in the order of a seeded hash. A label of fewer than three sessions is split by rows, each by its own
+    hash, so its shares hold to within chance. Where no session is left for the test, validation rows serve for it too, once more.
+    """
+    sessions = training.groupBy("label", "session_id").agg(F.count("*").alias("__n"))
+    of_label, order = Window.partitionBy("label"), Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "session_id"), "session_id")
+    sessions = sessions.select("label", "session_id", F.count("*").over(of_label).alias("__k"), F.row_number().over(order).alias("__r"))
+    n_train = F.greatest(F.lit(1), F.floor(F.col("__k") * train))
+    n_both = n_train + F.greatest(F.lit(1), F.floor(F.col("__k") * validate))
+    both = F.when(F.col("__k") <= n_both, F.array(F.lit("validation"), F.lit("test"))).otherwise(F.array(F.lit("validation")))
+    parts = F.when(F.col("__r") <= n_train, F.array(F.lit("train"))).when(F.col("__r") <= n_both, both).otherwise(F.array(F.lit("test")))
+    names = [c for c in training.columns if not isinstance(training.schema[c].dataType, (ArrayType, MapType))]
+    u = F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(1 << 30)) / (1 << 30)
+    by_row = F.array(F.when(u < train, "train").when(u < train + validate, "validation").otherwise("test"))
+    rows = training.join(sessions, ["label", "session_id"]).withColumn("part", F.explode(F.when(F.col("__k") >= 3, parts).otherwise(by_row)))
+    return rows.select(*training.columns, "part")
 
 
 def fit(training: DataFrame, positive: str, features: list[str], trees: int = 50) -> PipelineModel:
@@ -82,3 +112,13 @@ def card(name: str, method: str, threat: str, measured: dict, n_train: int, n_te
 | harmless | {measured["tn"]} | {measured["fp"]} |
 | attack | {measured["fn"]} | {measured["tp"]} |
 """
+
+
+def report(results: list[dict]) -> str:
+    """A report of replays in Markdown; each result has target_mbps, effective_mbps, packets_per_sec, alerts, median_latency_ms, p95_latency_ms and drops."""
+    names = {"target_mbps": "Target Mbit/s", "effective_mbps": "Mbit/s", "packets_per_sec": "Packets/s", "alerts": "Alerts", "median_latency_ms": "Median ms", "p95_latency_ms": "95 % ms", "drops": "Drops"}
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    shown = lambda x: f"{x:.2f}" if isinstance(x, float) else str(x)
+    passes = all(r["median_latency_ms"] <= 5000 and r["drops"] == 0 for r in results)
+    rows = [line(shown(r[c]) for c in names) for r in results]
+    return "\n".join(["# Replay report", "", line(names.values()), line(["---"] * len(names)), *rows, "", f"Result: {'PASS' if passes else 'FAIL'} (median latency of at most 5000 ms, no drops)", ""])

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import net
+from flowloom.operators import detectors
 
 
-def page(alerts: DataFrame, threat: str | None = None, severity: str | None = None, since: float | None = None, until: float | None = None, text: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Filtered alerts, newest first. text is looked for, ignoring case, in addresses, identifier and evidence."""
+def matching(alerts: DataFrame, threat: str | None = None, severity: str | None = None, since: float | None = None, until: float | None = None, text: str | None = None) -> DataFrame:
+    """Filtered alerts. text is looked for, ignoring case, in addresses, identifier and evidence."""
     out = alerts
     if threat:
         out = out.where(F.lower("threat_class") == threat.lower())
@@ -25,7 +26,25 @@ def page(alerts: DataFrame, threat: str | None = None, severity: str | None = No
         for c in fields:
             hit = hit | F.col(c).ilike(f"%{text}%")
         out = out.where(hit)
-    return out.orderBy(F.desc("ts"), "alert_id").offset(offset).limit(limit)
+    return out
+
+
+def page(alerts: DataFrame, threat: str | None = None, severity: str | None = None, since: float | None = None, until: float | None = None, text: str | None = None, limit: int = 50, offset: int = 0, with_total: bool = False) -> DataFrame:
+    """One page of matching alerts, newest first; with_total adds `total`, how many match on all pages."""
+    out = matching(alerts, threat, severity, since, until, text)
+    rows = out.orderBy(F.desc("ts"), "alert_id").offset(offset).limit(limit)
+    return rows.crossJoin(F.broadcast(out.agg(F.count("*").alias("total")))) if with_total else rows  # one row
+
+
+def with_evidence(alerts: DataFrame) -> DataFrame:
+    """Alerts with their stored evidence parsed: a map of its fields' texts."""
+    return alerts.withColumn("evidence", detectors.evidence_parsed(F.col("evidence_json"))).drop("evidence_json")
+
+
+def export_json(alerts: DataFrame, columns: list[str], limit: int = 1000) -> DataFrame:
+    """The rows of an export as JSON, a line each."""
+    rows = export(alerts, limit)
+    return rows.select("alert_id", F.to_json(F.struct(*columns)).alias("line"))
 
 
 def counts(alerts: DataFrame) -> DataFrame:

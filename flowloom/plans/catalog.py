@@ -339,16 +339,25 @@ def p_ngrams(spark, sf_dir):
     return rounded(rows.select("seq", "label", "bigram", "trigram", ngram.combined(F.col("bigram"), F.col("trigram")).alias("ngram_score")))
 
 
+_WIDE = "CASE WHEN {0} >= 2 THEN least(0.4 + 0.2 * ({0} / 2 - 1), 0.8) ELSE 0 END"
+
+
+@query(f"""{_with('packets')}, {_FLOWS}, slots AS (SELECT *, floor(start_time / {WINDOW})::BIGINT AS slot FROM built),
+  r AS (SELECT src_ip, slot, count(DISTINCT dst_ip) AS h, CASE WHEN count(*) FILTER (protocol = 6) = 0 THEN 0 ELSE count(*) FILTER (protocol = 6 AND packets_fwd > 0 AND packets_bwd = 0) / count(*) FILTER (protocol = 6) END AS lone,
+   count(*) / greatest(max(start_time + duration) - min(start_time), 1e-9) AS rate, min(dst_ip) AS dst_ip, max(end_time) AS ts FROM slots GROUP BY src_ip, slot),
+  o AS (SELECT src_ip, slot, dst_port, lead(dst_port) OVER (PARTITION BY src_ip, slot ORDER BY dst_port) AS nx FROM (SELECT DISTINCT src_ip, slot, dst_port FROM slots)),
+  p AS (SELECT src_ip, slot, count(*) AS p, CASE WHEN count(*) > 1 THEN count(*) FILTER (nx - dst_port = 1) / (count(*) - 1) ELSE 0 END AS run FROM o GROUP BY src_ip, slot),
+  scored AS (SELECT src_ip, dst_ip, slot, ts, 'recon_scan' AS threat_class, round(least(greatest({_WIDE.format('p')}, {_WIDE.format('h')}) + CASE WHEN rate >= 5 AND (p > 3 OR h > 3) THEN least(0.15 * rate / 5, 0.25) ELSE 0 END
+   + CASE WHEN lone >= 0.7 AND (p > 5 OR h > 5) THEN 0.2 * lone ELSE 0 END + CASE WHEN run >= 0.5 AND p >= 5 THEN 0.15 * run ELSE 0 END, 1), 4) AS confidence FROM r JOIN p USING (src_ip, slot)),
+  alerts AS (SELECT * FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip ORDER BY ts, slot) AS gap FROM scored WHERE confidence >= 0.25) WHERE gap IS NULL OR gap >= {2 * WINDOW}), {_SEVERE}
+  SELECT threat_class, severity, count(*) AS n, round(avg(confidence), 3) AS avg_confidence FROM severe GROUP BY GROUPING SETS ((), (threat_class), (severity))""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets to flows, fan-out features, scan scores, severity, suppression and counts by class and severity."""
-    flows = fl.build(view(spark, sf_dir, "packets"), IDLE).withColumn("seq", F.col("flow_no"))
-    scored = det.recon(feat.recon(flows, ["src_ip", "dst_ip"]), ports=1, hosts=1)
-    last = flows.groupBy("src_ip", "dst_ip").agg(F.max("end_time").alias("ts"))
-    alerts = scored.join(last, ["src_ip", "dst_ip"]).select(F.concat_ws("-", F.lit("alert"), "src_ip", "dst_ip").alias("alert_id"), "src_ip", "dst_ip", F.lit("recon_scan").alias("threat_class"), "confidence", "ts")
-    return aq.counts(al.with_severity(al.deduplicate(alerts, 30.0)))
-
-
-_Q["flagship"] = (flagship, None)
+    """Packets to flows, fan-out features by source and window of time, scan scores, suppression of repeats, severity, and counts by class and severity."""
+    flows = fl.build(view(spark, sf_dir, "packets"), IDLE).withColumn("slot", F.floor(F.col("start_time") / WINDOW))
+    features = feat.recon(flows, ["src_ip", "slot"], also=(F.min("dst_ip").alias("dst_ip"), F.max("end_time").alias("ts")))
+    scored = det.recon(features, ports=2, hosts=2)
+    alerts = scored.select(F.format_string("%s-%012d", "src_ip", "slot").alias("alert_id"), "src_ip", "dst_ip", F.lit("recon_scan").alias("threat_class"), "confidence", "ts")
+    return aq.counts(al.with_severity(al.deduplicate(alerts, 2 * WINDOW)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -100,10 +100,14 @@ def d_candidates(spark, sf_dir):
     return al.fan_out(rows, ["seq", "src_ip"]).drop("rank")
 
 
-@query(f"""{_with('flows')}, {_RECON} SELECT src_ip, coalesce(CASE WHEN unique_dst_hosts >= 10 THEN printf('%.0f hosts', unique_dst_hosts::DOUBLE) END, CASE WHEN scan_rate >= 5 THEN printf('%.1f flows a second', scan_rate) END, CASE WHEN syn_no_completion_ratio >= 0.7 THEN printf('%.1f percent unanswered', 100 * syn_no_completion_ratio) END, CASE WHEN port_sequence_score >= 0.5 THEN printf('%.1f percent of ports in a row', 100 * port_sequence_score) END) AS first_trigger FROM recon WHERE unique_dst_ports < 15""")
+_TRIGGERS = (("%.0f ports on one target", "unique_dst_ports >= 15", "unique_dst_ports::DOUBLE"), ("%.0f hosts", "unique_dst_hosts >= 10", "unique_dst_hosts::DOUBLE"), ("%.1f flows a second", "scan_rate >= 5", "scan_rate"), ("%.1f percent unanswered", "syn_no_completion_ratio >= 0.7", "100 * syn_no_completion_ratio"), ("%.1f percent of ports in a row", "port_sequence_score >= 0.5", "100 * port_sequence_score"))
+
+
+@query(f"""{_with('flows')}, {_RECON} SELECT src_ip, concat_ws('; ', {", ".join(f"CASE WHEN {c} THEN printf('{t}', {v}) END" for t, c, v in _TRIGGERS)}) AS triggers FROM recon""")
 def d_evidence(spark, sf_dir):
-    rows = feat.recon(view(spark, sf_dir, "flows"), ["src_ip"]).where("unique_dst_ports < 15")
-    return rows.select("src_ip", F.try_element_at(det.recon_evidence()["triggers"], F.lit(1)).alias("first_trigger"))
+    """Every source with all its triggers."""
+    rows = feat.recon(view(spark, sf_dir, "flows"), ["src_ip"])
+    return rows.select("src_ip", F.array_join(det.recon_evidence()["triggers"], "; ").alias("triggers"))
 
 
 @query(f"""{_with('alerts')} SELECT 'alert-' || substr(sha256(src_ip || '|' || dst_ip || '|' || lower(threat_class) || '|' || flow_id || '|' || round(t * 1e6)::BIGINT), 1, 12) AS alert_id, t AS ts, 0::INT AS src_port, 'NEW' AS status FROM (SELECT *, CASE WHEN confidence >= 0.5 THEN ts ELSE {NOW} END AS t FROM alerts)""")

@@ -11,6 +11,7 @@ from flowloom.operators import flows as fl
 from flowloom.operators import training
 from flowloom.plans import alert_queries as aq
 from flowloom.plans.catalog import _ALERTS, _FLOWS, IDLE, NOW, _severe, _with, query, rounded
+from flowloom.plans.packet_queries import HELLOS, with_hellos
 from flowloom.sources import generated
 
 _RATES = ("'' || (seq % 50)", "(seq % 50) || 'Mbps'", "' ' || (seq % 50) || '.5 mbit/s '", "(seq % 50) || ' MB/s'", "'fast'")
@@ -30,24 +31,38 @@ def p_shown(spark, sf_dir):
     return _severe(spark, sf_dir).select("alert_id", shown.time_text(F.col("ts")).alias("at"), shown.age_text(F.col("ts"), F.lit(NOW)).alias("age"), shown.severity_text(s).alias("shown"), shown.severity_style(s).alias("style"), shown.protocol_text(kind).alias("protocol"))
 
 
-@query(f"""{_with('flows')}, k AS (SELECT src_ip, avg(bytes_fwd) AS m, stddev_pop(bytes_fwd) AS sd, count(*) AS n FROM flows WHERE seq % 2 = 0 GROUP BY src_ip), p AS (SELECT DISTINCT src_ip, dst_ip FROM flows WHERE seq % 2 = 0)
+CUT = 820_454_400.0
+
+
+@query(f"""{_with('flows')}, known AS (SELECT * FROM flows WHERE start_time < {CUT}), k AS (SELECT src_ip, avg(bytes_fwd) AS m, stddev_pop(bytes_fwd) AS sd, count(*) AS n FROM known GROUP BY src_ip), p AS (SELECT DISTINCT src_ip, dst_ip FROM known)
   SELECT seq, round(CASE WHEN coalesce(n, 0) < 2 THEN 0 WHEN sd < 1e-9 THEN CASE WHEN bytes_fwd > m THEN 'inf'::DOUBLE ELSE 0 END ELSE (bytes_fwd - m) / sd END, 6) AS outbound_volume_zscore, CASE WHEN p.src_ip IS NULL THEN 1 ELSE 0 END AS destination_novel
-  FROM flows f LEFT JOIN k USING (src_ip) LEFT JOIN p ON p.src_ip = f.src_ip AND p.dst_ip = f.dst_ip WHERE seq % 2 = 1""")
+  FROM flows f LEFT JOIN k USING (src_ip) LEFT JOIN p ON p.src_ip = f.src_ip AND p.dst_ip = f.dst_ip""")
 def a_exfiltration_given(spark, sf_dir):
-    """Odd flows against a baseline of even ones."""
+    """All flows against a baseline of those before a day."""
     flows = view(spark, sf_dir, "flows")
-    known = flows.where("seq % 2 = 0")
-    return rounded(feat.exfiltration_against(flows.where("seq % 2 = 1"), ["seq"], known, known).select("seq", "outbound_volume_zscore", "destination_novel"))
+    known = flows.where(F.col("start_time") < CUT)
+    return rounded(feat.exfiltration_against(flows, ["seq"], known, known).select("seq", "outbound_volume_zscore", "destination_novel"))
+
+
+_PAIRS = f"""o AS (SELECT *, least(src_ip, dst_ip) AS a, greatest(src_ip, dst_ip) AS b FROM hello_packets), q AS (SELECT *, row_number() OVER w AS r, ts - lag(ts) OVER w AS gap FROM o WINDOW w AS (PARTITION BY a, b ORDER BY ts, seq)),
+  g AS (SELECT a, b, count(*) AS n, coalesce(avg(gap), 0) AS iat_mean, coalesce(stddev_pop(gap), 0) AS iat_sd, stddev_pop(length) / avg(length) AS size_cv, min(ts) AS t0, max(ts) AS t1 FROM q GROUP BY a, b),
+  c AS (SELECT a, b, least(floor((ts - t0) / ((t1 - t0) / 256)), 255) AS bin, count(*) AS n FROM q JOIN g USING (a, b) WHERE g.n >= 4 AND t1 - t0 >= 1e-9 GROUP BY ALL),
+  w AS (SELECT a, b, k, pow(sum(c.n * cos(k * bin * (-2 * pi() / 256))), 2) + pow(sum(c.n * sin(k * bin * (-2 * pi() / 256))), 2) AS p FROM c, range(1, 129) t(k) GROUP BY a, b, k),
+  per AS (SELECT a, b, max(p) / sum(p) AS score FROM w GROUP BY a, b), e AS (SELECT a, b, avg(length) AS m FROM q WHERE r <= 10 GROUP BY a, b),
+  hs AS (SELECT a, b, arg_min(cipher_suite_count, (ts, seq)) AS ciphers, arg_min(ja3_hash, (ts, seq)) AS ja3_hash FROM q WHERE tls GROUP BY a, b)"""
 
 
-@query(f"""{_with('packets')}, {_FLOWS},
-  o AS (SELECT least(src_ip, dst_ip) AS a, greatest(src_ip, dst_ip) AS b, length, row_number() OVER (PARTITION BY least(src_ip, dst_ip), greatest(src_ip, dst_ip) ORDER BY ts, seq) AS r FROM packets), e AS (SELECT a, b, avg(length) AS m FROM o WHERE r <= 10 GROUP BY ALL)
-  SELECT flow_id, flow_no, 'events_c2_beacon' AS session_id, 'c2_beacon' AS label, 1 AS is_attack, round(total_packets / greatest(duration, 1e-9), 6) AS ddos_packets_per_sec, 1::BIGINT AS recon_unique_dst_ports, 0.0::DOUBLE AS c2_iat_mean, round(CASE WHEN bytes_bwd = 0 THEN 0 ELSE bytes_fwd / bytes_bwd END, 6) AS exfil_outbound_inbound_ratio, round(m, 6) AS enc_pkt_size_mean
-  FROM built JOIN e ON a = least(src_ip, dst_ip) AND b = greatest(src_ip, dst_ip)""")
+@query(f"""{_with('packets')}, {HELLOS}, {_FLOWS}, {_PAIRS}
+  SELECT flow_id, flow_no, 'events_c2_beacon' AS session_id, 'c2_beacon' AS label, 1 AS is_attack, round(total_packets / greatest(duration, 1e-9), 6) AS ddos_packets_per_sec, 1::BIGINT AS recon_unique_dst_ports,
+   round(CASE WHEN n >= 2 THEN iat_mean ELSE 0 END, 3) AS c2_iat_mean, round(CASE WHEN n >= 2 AND abs(iat_mean) >= 1e-12 THEN iat_sd / abs(iat_mean) ELSE 0 END, 6) AS c2_iat_cv, round(CASE WHEN n >= 2 THEN size_cv ELSE 0 END, 6) AS c2_byte_size_cv,
+   round(CASE WHEN n >= 2 THEN coalesce(score, 0) ELSE 0 END, 6) AS c2_periodicity_score, round(CASE WHEN bytes_bwd = 0 THEN 0 ELSE bytes_fwd / bytes_bwd END, 6) AS exfil_outbound_inbound_ratio, round(m, 6) AS enc_pkt_size_mean, coalesce(ciphers, 0)::INT AS enc_cipher_suite_count, coalesce(ja3_hash, '') AS enc_ja3_hash
+  FROM built f JOIN g ON g.a = least(src_ip, dst_ip) AND g.b = greatest(src_ip, dst_ip) JOIN e USING (a, b) LEFT JOIN per USING (a, b) LEFT JOIN hs USING (a, b)""")
 def m_training_rows(spark, sf_dir):
-    packets = view(spark, sf_dir, "packets")
+    """Packet features of both hosts' packets, among them rhythm and handshakes."""
+    packets = with_hellos(view(spark, sf_dir, "packets"))
     rows = training.rows(fl.build(packets, IDLE), packets, "events", "c2_beacon")
-    return rounded(rows.select("flow_id", "flow_no", "session_id", "label", "is_attack", "ddos_packets_per_sec", "recon_unique_dst_ports", "c2_iat_mean", "exfil_outbound_inbound_ratio", "enc_pkt_size_mean"))
+    rows = rows.withColumn("c2_iat_mean", F.round("c2_iat_mean", 3))
+    return rounded(rows.select("flow_id", "flow_no", "session_id", "label", "is_attack", "ddos_packets_per_sec", "recon_unique_dst_ports", "c2_iat_mean", "c2_iat_cv", "c2_byte_size_cv", "c2_periodicity_score", "exfil_outbound_inbound_ratio", "enc_pkt_size_mean", "enc_cipher_suite_count", "enc_ja3_hash"))
 
 
 @query(f"SELECT * REPLACE (round(ts, 6) AS ts) FROM ({generated.select_sql(generated.ATTACKS, '(SELECT unnest(range(3000)) AS i)')})")

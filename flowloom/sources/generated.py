@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Six kinds of traffic in turn (SQL expressions of the row number i). Lengths count headers and payload.
 ATTACKS = (
@@ -34,3 +35,17 @@ def select_sql(kinds: tuple[dict[str, str], ...], numbers: str, start: float = 1
 def packets(spark: SparkSession, n: int, kinds: tuple[dict[str, str], ...] = ATTACKS, start: float = 1_700_000_000.0, gap: float = 0.001) -> DataFrame:
     """n packets, `gap` seconds apart, the kinds taking turns."""
     return spark.sql(select_sql(kinds, "{numbers}", start, gap), numbers=spark.range(n).withColumnRenamed("id", "i"))
+
+
+def client_hello(version: Column, ciphers: Column, curves: Column, formats: Column, sni: Column, more: Column) -> Column:
+    """The bytes of a TLS record with a client's first message: extensions for the name (unless null), curves and formats, then empty ones of the types in `more`."""
+    wide = lambda x, digits: F.lpad(F.hex(x.cast("long")), digits, "0")
+    half = lambda text: F.floor(F.length(text) / 2)
+    joined = lambda xs, digits: F.array_join(F.transform(xs, lambda x: wide(x, digits)), "")
+    counted = lambda text, digits: F.concat(wide(half(text), digits), text)
+    extension = lambda kind, body: F.concat(F.lit(f"{kind:04X}"), counted(body, 4))
+    name = F.when(sni.isNotNull(), extension(0, counted(F.concat(F.lit("00"), counted(F.hex(F.encode(sni, "utf-8")), 4)), 4))).otherwise("")
+    rest = F.array_join(F.transform(more, lambda x: F.concat(wide(x, 4), F.lit("0000"))), "")
+    extensions = F.concat(name, extension(10, counted(joined(curves, 4), 4)), extension(11, counted(joined(formats, 2), 2)), rest)
+    body = F.concat(wide(version, 4), F.lit("AB" * 32 + "00"), counted(joined(ciphers, 4), 4), F.lit("0100"), counted(extensions, 4))
+    return F.unhex(F.concat(F.lit("160301"), counted(F.concat(F.lit("01"), counted(body, 6)), 4)))

@@ -27,3 +27,42 @@ def test_contacts_are_told_apart_and_model_is_stored(spark, tmp_path):
         right = models.with_probability(held, model).where((F.col("probability") > 0.5) == (F.col("label") == 1)).count()
         assert right >= 98
     assert len(fits) == 1
+
+
+def test_forest_scores_equal_a_plain_walk(spark):
+    """The arrays walked tree by tree and row by row, for all rows of the handshake query."""
+    from flowloom.functions import isolation
+    from flowloom.operators import features as feat
+    from flowloom.operators import models
+    from flowloom.plans import packet_queries as pq
+
+    forest = models.handshake_forest()
+    packets = pq.with_hellos(pq.view(spark, "/root/testdata/sf0.001", "packets"))
+    rows = isolation.with_decision(feat.encrypted(packets, ["src_ip", "dst_ip"]), forest).collect()
+    assert any(r["cipher_suite_count"] > 0 for r in rows)
+    for r in rows:
+        depths = []
+        for at in forest.roots:
+            while forest.feature[at] >= 0:
+                at = forest.left[at] if (r[forest.columns[forest.feature[at]]] or 0.0) < forest.limit[at] else forest.right[at]
+            depths.append(forest.depth[at])
+        want = -(2 ** (-sum(depths) / len(depths) / forest.scale)) - forest.offset
+        assert abs(r["decision"] - want) < 1e-9
+
+
+def test_evidence_texts_and_rounding(spark):
+    from pyspark.sql import functions as F
+
+    from flowloom.functions import net
+    from flowloom.operators import detectors as det
+
+    row = spark.range(1).select(net.half_even(F.lit(0.125), 2).alias("a"), net.half_even(F.lit(0.375), 2).alias("b"), net.half_even(F.lit(-2.5), 0).alias("c")).first()
+    assert (row["a"], row["b"], row["c"]) == (0.12, 0.38, -2.0)
+    x = spark.createDataFrame([(600.0, 10.0, 25, 4.5)], "packets_per_sec double, bytes_per_sec double, unique_src_count int, src_ip_entropy double")
+    text = x.select(det.evidence_json(det.ddos_evidence())).first()[0]
+    assert '"600.0 packets a second"' in text and "4.50 bits" in text and "bytes a second" not in text
+    back = spark.createDataFrame([(text,), ("no object",), (None,)], "t string").select(det.evidence_parsed(F.col("t")).alias("m")).collect()
+    assert back[0]["m"]["packets_per_sec"] == "600.0" and back[1]["m"] == {} and back[2]["m"] == {}
+    y = spark.createDataFrame([(1, 0, "bad", 100.0, 0.1, 2, 0.05, 0.7, 1.0, 0.05, 9.0, 6.0, 0.1, 1, 1, 3.5, -17.0, 0.4, 12.0)], "cipher_suite_count int, extension_count int, denylist_match string, pkt_size_mean double, pkt_ipt_mean double, dst_cardinality int, iat_cv double, periodicity_score double, iat_mean double, byte_size_cv double, outbound_volume_zscore double, outbound_inbound_ratio double, duration_bytes_ratio double, off_hours_flag int, destination_novel int, entropy double, ngram_score double, digit_ratio double, label_length double")
+    said = y.select(*(e()["triggers"] for e in (det.handshake_evidence, det.beacon_evidence, det.exfiltration_evidence, det.dns_evidence))).first()
+    assert [len(t) for t in said] == [2, 3, 4, 3]

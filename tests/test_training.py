@@ -81,3 +81,36 @@ def test_health_of_a_lost_store(spark, tmp_path):
 def test_generated_rows_follow_from_their_number(spark, kinds):
     few, many = generated.packets(spark, 30, kinds), generated.packets(spark, 90, kinds)
     assert few.exceptAll(many).count() == 0 and generated.packets(spark, 0, kinds).count() == 0
+
+
+def test_split_keeps_sessions_whole(spark):
+    rows = spark.createDataFrame([(f"s{i % 7}", "ddos", i, 1.0) for i in range(70)] + [(f"b{i % 3}", "benign", i, 1.0) for i in range(30)] + [("one", "recon_scan", i, 1.0) for i in range(400)], "session_id string, label string, n long, f double")
+    got = training.split(rows).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault((r["label"], r["session_id"]), set()).add(r["part"])
+    assert all(len(p) == 1 for (label, _), p in parts.items() if label == "ddos")
+    count = lambda label, part: sum(1 for (lab, _), p in parts.items() if lab == label and part in p)
+    assert [count("ddos", p) for p in ("train", "validation", "test")] == [4, 1, 2]
+    assert [count("benign", p) for p in ("train", "validation", "test")] == [2, 1, 1]  # the session of validation serves for both
+    alone = [r["part"] for r in got if r["label"] == "recon_scan"]
+    assert len(alone) == 400 and 240 < alone.count("train") < 320 and {*alone} == {"train", "validation", "test"}
+
+
+def test_rows_take_gaps_from_packets_and_are_saved(spark, tmp_path):
+    from flowloom.operators import flows as fl
+
+    packets = spark.createDataFrame([(i, 30.0 * i, "a", "b", 1, 2, 6, 100, 16, None) for i in range(20)], "seq long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, length int, tcp_flags int, tls_raw binary")
+    rows = training.rows(fl.build(packets, 1000.0), packets, "cap", "c2_beacon")
+    r = rows.first()
+    assert (r["c2_iat_mean"], r["c2_iat_cv"], r["c2_byte_size_cv"], r["enc_cipher_suite_count"], r["enc_denylist_match"]) == (30.0, 0.0, 0.0, 0, "")
+    training.save(rows, str(tmp_path / "rows"))
+    back = spark.read.csv(str(tmp_path / "rows"), header=True, inferSchema=True)
+    assert back.columns == rows.columns and back.first()["c2_iat_mean"] == 30.0
+
+
+def test_report():
+    row = {"target_mbps": 5.0, "effective_mbps": 0.5, "packets_per_sec": 60.0, "alerts": 3, "median_latency_ms": 10.0, "p95_latency_ms": 20.0, "drops": 0}
+    text = training.report([row])
+    assert "| 5.00 | 0.50 | 60.00 | 3 | 10.00 | 20.00 | 0 |" in text and "PASS" in text
+    assert "FAIL" in training.report([row | {"drops": 1}])
