@@ -17,7 +17,7 @@ table. Extra columns, whatever their names, are ignored by `duplicates` and retu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.scratch import materialize
@@ -62,13 +62,22 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     )
 
 
+def short(sha) -> Column:
+    """60 bits of a digest in hexadecimal: with an identifier, enough to tell its texts apart."""
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
+
+
 def without(df: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of df that `rows` (__id, __sha, kept: one for each of df's) keeps; of rows equal in identifier and text, one."""
-    dropped = materialize(rows.where("NOT kept").select("__id", "__sha").distinct(), "dropped-texts")
-    again = rows.where("kept").groupBy("__id", "__sha").agg(F.count("*").alias("__n")).where("__n > 1").select("__id", "__sha")
-    again = materialize(again, "repeated-texts")
-    own = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.col(id_col).alias("__own"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__digest"))
-    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__sha"))
+    """The rows of df that `rows` (__id, __sha, kept: one for each of df's) keeps; of rows equal in identifier and text, one.
+
+    What to drop is written as (identifier, short digest), so texts are exchanged only where that table is too large to broadcast.
+    """
+    rows = rows.select("__id", short(F.col("__sha")).alias("__x"), "kept")
+    dropped = materialize(rows.where("NOT kept").select("__id", "__x").distinct(), "dropped-texts")
+    again = materialize(rows.where("kept").groupBy("__id", "__x").agg(F.count("*").alias("__n")).where("__n > 1").select("__id", "__x"), "repeated-texts")
+    digest = short(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("__digest")
+    own = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.col(id_col).alias("__own"), digest)
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__x"))
     out = own.join(dropped, same, "left_anti")
     if not again.isEmpty():
         out = out.join(again, same, "left_anti").union(own.join(again, same, "left_semi").dropDuplicates(["__own", "__digest"]))

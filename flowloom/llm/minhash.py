@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.exact_dedup import duplicates, without
+from flowloom.llm.exact_dedup import duplicates, short, without
 from flowloom.llm.scratch import materialize
 
 WORDS, BANDS, ROWS = 5, 26, 5
@@ -260,7 +260,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _node(ident: Column, sha: Column) -> Column:
     """What stands for a text: its identifier (of equal texts, the smallest) and 60 bits of its digest."""
-    return F.struct(ident.alias("id"), F.conv(F.substring(sha, 1, 15), 16, 10).cast("long").alias("x"))
+    return F.struct(ident.alias("id"), short(sha).alias("x"))
 
 
 def _leaders(named: DataFrame, k: int) -> DataFrame:
@@ -276,7 +276,9 @@ def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
     for k in count():
         open_ = materialize(named.join(_leaders(named, k), "__key"), "near-open")
         if texts is None:
-            texts = materialize(texts_of(open_.select("__node").distinct()), "near-texts")
+            # Written first, so that its size is known and texts are exchanged only if it is large.
+            nodes = materialize(open_.select("__node").distinct(), "near-nodes")
+            texts = materialize(texts_of(nodes), "near-texts")
         met = open_.where("__leader.class != __class").groupBy("__node", F.col("__leader.node").alias("__other")).agg(F.count("*").alias("__n"))
         one = met.groupBy("__node").agg(F.max_by("__other", F.struct("__n", "__other")).alias("__other"))
         pairs = one.select(F.least("__node", "__other").alias("a"), F.greatest("__node", "__other").alias("b")).distinct()
@@ -310,7 +312,7 @@ def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> Dat
     nodes = docs.select(_node(F.col("__id"), F.sha2("__text", 256)).alias("__id"), "__text")
     sketches = materialize(_sketches(nodes), "near-sketches").withColumnRenamed("__id", "__node")
     nodes = nodes.withColumnRenamed("__id", "__node")
-    chosen = copies.where("kept").select("__node").distinct()
+    chosen = materialize(copies.where("kept").select("__node").distinct(), "near-distinct")
     keys = sketches.join(chosen, "__node", "left_semi").select("__node", F.explode("__keys").alias("__key"))
     links = _links(keys, lambda some: nodes.join(some, "__node", "left_semi").dropDuplicates(["__node"]), threshold)
     if links is None:

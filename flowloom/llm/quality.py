@@ -82,13 +82,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
     sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lid"), F.col(label_col).cast("double").alias("__y"))
     sample = sample.orderBy(F.xxhash64("__lid"), "__lid", "__y").limit(max_labels)
     chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    chosen = chosen.join(F.broadcast(sample), F.col("__id") == F.col("__lid")).select(F.col("__y"), "__text").limit(max_labels)  # fewer, unless identifiers repeat
+    chosen = chosen.join(F.broadcast(sample), F.col("__id") == F.col("__lid")).select(F.col("__y"), "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array([features(t.as_py()) for t in b.column("__text")], pa.list_(pa.float64()))], names=["y", "x"])
 
-    rows = chosen.mapInArrow(run, "y double, x array<double>").collect()
+    rows = chosen.mapInArrow(run, "y double, x array<double>")
+    rows = rows.orderBy(F.xxhash64("x"), "y").limit(max_labels).collect()  # the join gives more only where identifiers repeat
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
 
 
