@@ -9,7 +9,7 @@ identifier no other can be among a query's k nearest, so a vector shared by any
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, as queries or
 candidates. Vectors of another length never meet. Repeated identifiers count as one row per distinct vector; null ones take no part. Fewer
-candidates than k give fewer rows. An empty table gives an empty table.
+candidates than k give fewer rows. An empty table gives an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

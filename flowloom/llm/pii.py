@@ -11,7 +11,8 @@ Patterns are possessive and may only start where a run of their first characters
 ended), which gives the same leftmost matches as plain ones in time linear in the text.
 
 Positions count code points from 0, ends are exclusive. Edge cases: null text counts as empty; no span gives an
-empty string and counts of 0. Repeated rows each give a row. Overlapping spans of different kinds all stay.
+empty string and counts of 0. An empty table gives an empty table. Repeated rows each give a row. `report` ignores other columns;
+`find` raises ValueError if the column for the spans is there already. Overlapping spans of different kinds all stay.
 """
 
 from __future__ import annotations
@@ -132,6 +133,8 @@ _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 
 def find(df: DataFrame, text_col: str = "text", spans_col: str = "pii_spans", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """df with one more column: array of struct(start, rank, kind, end, score), by start and then by kind as listed. No shuffle."""
+    if spans_col in df.columns:
+        raise ValueError(f"there is a column {spans_col} already")
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, STAND_IN)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
     each = [F.when(F.contains(text, F.lit(_NEEDS[k])) if k in _NEEDS else text.rlike("[0-9]"), spans_of(k, text)).otherwise(none) for k in kinds]

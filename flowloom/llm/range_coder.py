@@ -13,6 +13,7 @@ Block layout (little-endian): "CMR1", number of ids, CRC-32 of the ids (32-bit e
 
 Edge cases: a null text counts as empty and holds the end id only. Repeated identifiers follow each other by a
 hash of their texts. A null identifier comes first. A damaged block raises ValueError. An empty table gives an empty table.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import struct
 import tracemalloc
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -388,3 +389,74 @@ def test_sites_shrink_towards_their_hosts(spark):
     for r in sites.collect():
         x = paths[r["__path"]]
         assert abs(r["p_host"] - p_host[r["__host"]]) < 1e-9 and abs(r["p_path"] - (x.sum() + kp * up[r["__path"]]) / (len(x) + kp)) < 1e-9
+
+
+@pytest.mark.parametrize(("table", "shard_rows"), [("sf0.1", 400), ("check_s", hnsw.SHARD_ROWS)])
+def test_neighbours_over_several_shards(spark, monkeypatch, table, shard_rows):
+    """Three shards and more merged: recall against brute force over all vectors (some 2,000, and 10,000 where that table is)."""
+    path = Path(f"/root/testdata/{table}/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("no such table")
+    v = spark.read.parquet(str(path)).select("vec_id", "embedding")
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", shard_rows)
+    rows = v.toPandas()
+    assert len(rows) > 2 * shard_rows
+    x = np.array(rows["embedding"].tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rows["vec_id"].to_numpy()
+    found = defaultdict(dict)
+    for r in hnsw.search(v, F.col("vec_id") % 50 == 0).collect():
+        found[r["query_id"]][r["rank"]] = r["vec_id"]
+    hits = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = np.round(x @ x[i], 12)
+        s[i] = -9
+        want = ids[np.lexsort((ids, -s))[:5]]
+        assert sorted(found[ids[i]]) == [1, 2, 3, 4, 5]
+        hits, total = hits + len({*want} & {*found[ids[i]].values()}), total + 5
+    assert hits / total >= 0.9
+
+
+def test_empty_tables_repeated_rows_and_clashing_names(spark, odd):
+    clash = ["__id", "__text", "__node", "__key", "__row", "__own", "n_tokens", "kept", "shard", "ids", "start"]
+    none, twice = odd.limit(0), odd.union(odd).select("doc_id", "text", "lang", "source", *(F.lit("x").alias(c) for c in clash))
+    n = 2 * len(ODD)
+    path, empty = scratch.place(spark, "twice"), scratch.place(spark, "empty")
+    range_coder.write(twice, PATH, path, 2)
+    back = range_coder.read(spark, path).orderBy("start").collect()
+    assert len(back) == n and [r["start"] for r in back] == [sum(x["n_tokens"] for x in back[:i]) for i in range(n)]
+    range_coder.write(none, PATH, empty, 2)
+    assert range_coder.read(spark, empty).count() == 0
+    for made in (bpe_trie.digests(bpe_trie.round_trip(twice, PATH)), token_counts.count_tokens(twice, PATH), pii.report(twice), shards.shard(twice, 4), exact_dedup.duplicates(twice), minhash.near_duplicates(twice)):
+        assert made.count() == n
+    assert bpe_trie.round_trip(none, PATH).count() == 0 and pii.report(none).count() == 0
+    once = exact_dedup.deduplicate(twice)
+    assert once.columns == twice.columns and once.count() == len({t or "" for t in ODD})
+    with pytest.raises(ValueError, match="already"):
+        pii.find(odd.withColumn("pii_spans", F.lit(1)))
+
+
+def test_round_trip_equals_both_steps(spark, odd):
+    ids = bpe_trie.decode_ids(bpe_trie.encode_texts(odd, PATH), PATH, keep=("doc_id", "ids"))
+    assert sorted(map(tuple, ids.collect())) == sorted(map(tuple, bpe_trie.round_trip(odd, PATH).collect()))
+
+
+def test_long_runs_of_blanks_are_counted_in_linear_time(tok):
+    c = token_counts.PrefixCounter(V.parsed(open(PATH, "rb").read()))
+    text = "a" + " " * 60_000 + "b"
+    got = c.prefixes(text)
+    for i in (0, 1, 2, 17, 30_000, 60_000, 60_001, 60_002):
+        assert got[i] == len(ids_of(tok, text[:i]))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    rows = [(i % 13, t, None if i % 5 == 3 else "en", None if i == 4 else f"src{i % 2}", None) for i, t in enumerate(ODD + ODD)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        made = scratch.materialize(stage(spark, docs, SF), f"odd-{name.replace(' ', '')}")
+        assert name == "encoding" or made.columns == docs.columns
+        assert made.count() <= len(rows) and stage(spark, docs.limit(0), SF).count() == 0
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, SF)
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted({t or "" for t in ODD})
