@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm import bpe_trie, exact_dedup, minhash, mixing, quality, scratch
+from flowloom.session import prepare
 
 VOCABULARY = "byte_bpe_50k.json"
 #: A document's site: its source, and within it the language section (SQL expressions).
@@ -22,29 +23,33 @@ WEIGHTS = {"domain": {"web": 3, "reference": 2}, "lang": {"en": 5, "de": 2, "fr"
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, labels, HOST, PATH)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
+    prepare(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    prepare(spark)
     return minhash.keep_one(docs, threshold=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A mixture of four fifths of the words, by weight and without repeating any document."""
+    prepare(spark)
     return mixing.mix(docs, LEVELS, WEIGHTS, fraction=0.8, max_epochs=1, seed=17, whole_rows=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    prepare(spark)
     vocabulary = public_tokenizers.path(VOCABULARY)
-    return bpe_trie.digests(bpe_trie.round_trip(docs, vocabulary))
+    return bpe_trie.digests(bpe_trie.round_trip(docs, vocabulary, release=True))  # the workers serve other stages too
 
 
 STAGES = [("quality", keep_quality), ("exact copies", drop_copies), ("near copies", drop_near_copies), ("mixture", mix_sources), ("encoding", encode)]

@@ -64,6 +64,14 @@ def _encoder(content: bytes) -> Encoder:
     return _encoders[id(v)]
 
 
+def _release() -> None:
+    """Let this worker's vocabulary and words go."""
+    for encoder in _encoders.values():
+        encoder.pieces.forget()
+    _encoders.clear()
+    V.parsed.cache_clear()
+
+
 def _encoded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
     """Per run of rows whose new words share a trie: the columns before the last, and packed ids of the last."""
     for b in batches:
@@ -118,8 +126,11 @@ def decode_ids(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_c
     return _mapped(df, run, F.coalesce(F.col(ids_col), F.lit(b"")), keep, {text_col: "string"})
 
 
-def round_trip(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`encode_texts` and then `decode_ids` of those ids in one worker: the columns of `keep`, the ids, and the text they give."""
+def round_trip(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: tuple[str, ...] = ("doc_id",), release: bool = False) -> DataFrame:
+    """`encode_texts` and then `decode_ids` of those ids in one worker: the columns of `keep`, the ids, and the text they give.
+
+    release: whether a worker lets its tables go after each task, for what else runs in it, and builds them anew for the next.
+    """
     content = V.shared(df.sparkSession, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +138,9 @@ def round_trip(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_
         token = encoder.pieces.v.bytes_of
         for columns, ids in _encoded(encoder, batches):
             yield _batch(columns, pa.array(ids, pa.binary()), pa.array([_decoded(token, x) for x in ids], pa.string()))
+        if release:
+            del encoder, token
+            _release()
 
     return _mapped(df, run, F.coalesce(F.col(text_col), F.lit("")), keep, {ids_col: "binary", decoded_col: "string"})
 

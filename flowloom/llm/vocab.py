@@ -186,11 +186,15 @@ class Pieces:
         self.spaced: dict = {}  # words of letters that follow a space, without it
         self.word: dict = {}  # all other words
 
+    def forget(self) -> None:
+        """Start the tables of words anew."""
+        self.spaced.clear()
+        self.word.clear()
+
     def values(self, texts: list[str]) -> list[list]:
         """Per text, the values of its pieces in order."""
         if len(self.spaced) + len(self.word) > self.remembered:
-            self.spaced.clear()
-            self.word.clear()
+            self.forget()
         get, cut = self.spaced.get, splitter().findall
         held, letters, loose = [], set(), {}
         for text in texts:
