@@ -14,7 +14,7 @@ from flowloom.operators import features as feat
 from flowloom.operators import models
 from flowloom.plans import alert_queries as aq
 from flowloom.plans.catalog import _ALERTS, _NAMES, _gram_sql, _severe, _with, query, rounded
-from flowloom.sources import generated
+from flowloom.sources import frames, generated, netflow
 
 #: Which packets of the fixture carry a handshake's first message (one in eleven is cut short), and what it says.
 _CARRIES, _CUT = "protocol = 6 AND dst_port = 443", "seq % 11 = 0"
@@ -101,3 +101,46 @@ def q_evidence(spark, sf_dir):
 @query(f"""{_ALERTS} SELECT alert_id, '{{"alert_id":"' || alert_id || '","threat_class":"' || threat_class || '","severity":"' || severity || '"}}' AS line FROM severe ORDER BY ts DESC, alert_id LIMIT 1000""")
 def q_export_json(spark, sf_dir):
     return aq.export_json(_severe(spark, sf_dir), ["alert_id", "threat_class", "severity"])
+
+
+#: Frames of the fixture: one in 17 is of another network protocol, one in 6 has no Ethernet header; port 53 carries questions.
+_OTHER, _BARE, _ASKS = "seq % 17 = 0", "seq % 6 = 1", "protocol = 17 AND (src_port = 53 OR dst_port = 53)"
+
+
+@query(f"""{_with('packets')} SELECT seq, src_ip, dst_ip, src_port, dst_port, protocol, tcp_flags, CASE WHEN {_ASKS} THEN 'host' || seq % 5 || '.example.com' END AS dns_qname, CASE WHEN {_ASKS} THEN (1 + seq % 30)::VARCHAR END AS dns_qtype, ({_CARRIES}) AS is_tls,
+  (CASE WHEN {_BARE} THEN 0 ELSE 14 END + 20 + CASE WHEN protocol = 6 THEN 20 ELSE 8 END + CASE WHEN {_ASKS} THEN 12 + length('host' || seq % 5 || '.example.com') + 2 + 4 ELSE 0 END)::INT AS size FROM packets WHERE NOT ({_OTHER})""")
+def s_decode(spark, sf_dir):
+    """Frames made from the fixture's packets, decoded again: addresses, ports, flags, questions, and whether a handshake is there (its own bytes aside)."""
+    rows = generated.as_read(with_hellos(view(spark, sf_dir, "packets")))
+    asked = generated.dns_question(F.expr("concat('host', seq % 5, '.example.com')"), F.expr("1 + seq % 30"))
+    payload = F.when(F.expr(_ASKS), asked).when(F.col("tls_raw").isNotNull(), F.col("tls_raw")).otherwise(F.unhex(F.lit("")))
+    made = generated.frame(*(F.col(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags")), payload, ~F.expr(_BARE))
+    made = F.when(F.expr(_OTHER), F.unhex(F.lit("00" * 12 + "86DD" + "60" + "00" * 39))).otherwise(made)
+    captured = generated.as_read(rows.select("seq", made.alias("frame"), F.expr(f"CASE WHEN {_BARE} THEN 101 ELSE 1 END").alias("link")))
+    got = frames.with_names(frames.decode(captured))
+    size = F.col("length") - F.coalesce(F.length("tls_raw"), F.lit(0))
+    return got.select("seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "dns_qname", "dns_qtype", F.col("tls_raw").isNotNull().alias("is_tls"), size.cast("int").alias("size"))
+
+
+#: Datagrams of the fixture, by a flow's number: version, exporter, whether they announce a template and of which order of addresses; some are of no known version.
+_NINE, _ANNOUNCES, _SWAPS, _JUNK = "seq % 7 < 4", "seq % 11 < 3", "seq % 2 = 1", "seq % 13 = 0"
+
+
+@query(f"""{_with('flows')}, sent AS (SELECT *, seq % 5 AS source_id, ({_NINE}) AS nine, CASE WHEN {_ANNOUNCES} THEN ({_SWAPS}) END AS told FROM flows WHERE NOT ({_JUNK})),
+  known AS (SELECT *, last_value(told IGNORE NULLS) OVER (PARTITION BY source_id, nine ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS swapped FROM sent)
+  SELECT seq, record::INT AS record, source_id, CASE WHEN nine THEN 256 ELSE 300 END::INT AS template_id, start_time::BIGINT AS export_time, CASE WHEN swapped THEN dst_ip ELSE src_ip END AS src_addr, CASE WHEN swapped THEN src_ip ELSE dst_ip END AS dst_addr,
+  40000 + seq % 20000 AS src_port, (dst_port + record)::BIGINT AS dst_port, protocol::BIGINT AS protocol, bytes_fwd AS in_bytes FROM known, (SELECT unnest([0, 1]) AS record) WHERE swapped IS NOT NULL""")
+def s_exports(spark, sf_dir):
+    """Flow export datagrams of both versions made from the fixture's flows, decoded by the template announced last: two records each."""
+    rows = view(spark, sf_dir, "flows").withColumns({"__nine": F.expr(_NINE), "__number": F.expr(f"CASE WHEN {_NINE} THEN 256 ELSE 300 END")})
+    rest, number = ((7, 2), (11, 2), (4, 1), (1, 8)), F.col("__number")
+    told = F.when(F.expr(_SWAPS), generated.export_template(number, ((12, 4), (8, 4), *rest))).otherwise(generated.export_template(number, ((8, 4), (12, 4), *rest)))
+    octets = lambda x, size: F.lpad(F.hex(x.cast("long")), 2 * size, "0")
+    address = lambda ip: F.array_join(F.transform(F.split(ip, r"\."), lambda x: octets(x, 1)), "")
+    record = lambda k: F.concat(address(F.col("src_ip")), address(F.col("dst_ip")), octets(F.expr("40000 + seq % 20000"), 2), octets(F.col("dst_port") + k, 2), octets(F.col("protocol"), 1), octets(F.col("bytes_fwd"), 8))
+    announced = F.when(F.expr(_ANNOUNCES), generated.export_set(F.when(F.col("__nine"), 0).otherwise(2), told)).otherwise("")
+    sets = F.concat(announced, generated.export_set(number, F.concat(record(0), record(1))), F.when(F.col("__nine"), "0000").otherwise(""))
+    data = generated.export(F.when(F.col("__nine"), 9).otherwise(10), F.col("start_time"), F.col("seq"), F.expr("seq % 5"), sets)
+    data = F.when(F.expr(_JUNK), F.unhex(F.lit("0005" + "00" * 40))).otherwise(data)
+    got = netflow.wide(netflow.records(rows.select("seq", data.alias("data"))))
+    return got.select("seq", F.col("record").cast("int").alias("record"), "source_id", "template_id", "export_time", "src_addr", "dst_addr", *(F.col(c).cast("long").alias(c) for c in ("src_port", "dst_port", "protocol", "in_bytes")))

@@ -37,6 +37,11 @@ def packets(spark: SparkSession, n: int, kinds: tuple[dict[str, str], ...] = ATT
     return spark.sql(select_sql(kinds, "{numbers}", start, gap), numbers=spark.range(n).withColumnRenamed("id", "i"))
 
 
+def as_read(rows: DataFrame) -> DataFrame:
+    """The rows as a source would give them: made once each, whatever reads their columns how often."""
+    return rows.mapInArrow(lambda batches: batches, rows.schema)
+
+
 def client_hello(version: Column, ciphers: Column, curves: Column, formats: Column, sni: Column, more: Column) -> Column:
     """The bytes of a TLS record with a client's first message: extensions for the name (unless null), curves and formats, then empty ones of the types in `more`."""
     wide = lambda x, digits: F.lpad(F.hex(x.cast("long")), digits, "0")
@@ -49,3 +54,46 @@ def client_hello(version: Column, ciphers: Column, curves: Column, formats: Colu
     extensions = F.concat(name, extension(10, counted(joined(curves, 4), 4)), extension(11, counted(joined(formats, 2), 2)), rest)
     body = F.concat(wide(version, 4), F.lit("AB" * 32 + "00"), counted(joined(ciphers, 4), 4), F.lit("0100"), counted(extensions, 4))
     return F.unhex(F.concat(F.lit("160301"), counted(F.concat(F.lit("01"), counted(body, 6)), 4)))
+
+
+def _wide(x: Column, size: int) -> Column:
+    """An integer as `size` bytes, in hexadecimal."""
+    return F.lpad(F.hex(x.cast("long")), 2 * size, "0")
+
+
+def _address(ip: Column) -> Column:
+    return F.array_join(F.transform(F.split(ip, r"\."), lambda x: _wide(x, 1)), "")
+
+
+def dns_question(name: Column, kind: Column) -> Column:
+    """The bytes of a DNS message with one question."""
+    label = lambda x: F.concat(_wide(F.length(x), 1), F.hex(F.encode(x, "utf-8")))
+    labels = F.array_join(F.transform(F.split(name, r"\."), label), "")
+    return F.unhex(F.concat(F.lit("000701000001000000000000"), labels, F.lit("00"), _wide(kind, 2), F.lit("0001")))
+
+
+def frame(src_ip: Column, dst_ip: Column, src_port: Column, dst_port: Column, protocol: Column, tcp_flags: Column, payload: Column, ethernet: Column) -> Column:
+    """The bytes of an IPv4 packet with TCP (6) or UDP (17) and a payload, behind an Ethernet header or bare. Checksums are 0."""
+    body, size = F.hex(payload), F.length(payload)
+    tcp = F.concat(F.lit("00" * 8 + "50"), _wide(tcp_flags, 1), F.lit("00" * 6))
+    udp = F.concat(_wide(size + 8, 2), F.lit("0000"))
+    inner = F.concat(_wide(src_port, 2), _wide(dst_port, 2), F.when(protocol == 6, tcp).otherwise(udp), body)
+    ip = F.concat(F.lit("4500"), _wide(F.length(inner) / 2 + 20, 2), F.lit("0000000040"), _wide(protocol, 1), F.lit("0000"), _address(src_ip), _address(dst_ip))
+    return F.unhex(F.concat(F.when(ethernet, "00" * 12 + "0800").otherwise(""), ip, inner))
+
+
+def export_set(number: Column, body: Column) -> Column:
+    """A set of a flow export in hexadecimal: its number, its length and its body (hexadecimal), not padded."""
+    return F.concat(_wide(number, 2), _wide(F.length(body) / 2 + 4, 2), body)
+
+
+def export_template(number: Column, fields: tuple[tuple[int, int], ...]) -> Column:
+    """A template in hexadecimal: its number and its fields (number and size)."""
+    return F.concat(_wide(number, 2), F.lit("".join(f"{x:04X}" for x in (len(fields), *(x for f in fields for x in f)))))
+
+
+def export(version: Column, seconds: Column, seq: Column, source: Column, sets: Column) -> Column:
+    """The bytes of a NetFlow v9 or IPFIX datagram with these sets (hexadecimal)."""
+    nine = F.concat(F.lit("0009" + "0001" + "00" * 4), _wide(seconds, 4), _wide(seq, 4), _wide(source, 4))
+    ten = F.concat(F.lit("000A"), _wide(F.length(sets) / 2 + 16, 2), _wide(seconds, 4), _wide(seq, 4), _wide(source, 4))
+    return F.unhex(F.concat(F.when(version == 9, nine).otherwise(ten), sets))
