@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowloom.llm import bpe_trie, exact_dedup, hnsw, minhash, mixing, pii, quality, range_coder, scratch, shards, token_counts
+from flowloom.llm import alignment, bpe_trie, exact_dedup, hnsw, minhash, mixing, phrases, pii, quality, range_coder, scratch, shards, token_counts, url_filter
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
+#: action, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,12 +66,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS rules(action, host, path)")
+    return url_filter.judge(_read(spark, sf_dir, "pages"), rules)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"), least=30, top=2000)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_near_duplicates, op5_token_files, op6_bpe, op7_neighbours, op8_shards, op9_exact_dedup, op10_pii, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_near_duplicates, op5_token_files, op6_bpe, op7_neighbours, op8_shards, op9_exact_dedup, op10_pii, op11_url_filters, op12_phrases, op13_alignment, pipeline)}
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
@@ -115,6 +131,68 @@ EXACT_SQL = """
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+def _address_sql(url: str) -> str:
+    """host, path and query of the column url, which has a ://."""
+    after = f"substr({url}, instr({url}, '://') + 3)"
+    host = f"regexp_extract({after}, '^[^/?#]*')"
+    rest = f"substr({after}, length({host}) + 1)"
+    kept = f"array_to_string(list_filter(string_split(regexp_extract({rest}, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}')), '&')"
+    return f"""translate({host}, '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract({rest}, '^[^?#]*') AS path, CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END AS query"""
+
+
+def _link_sql(tag: str, link: str) -> str:
+    quoted = [x.replace("'", "''") for x in (tag, link)]
+    return f"replace(regexp_extract(regexp_extract(html, '{quoted[0]}'), '{quoted[1]}', 1), '&amp;', '&')"
+
+
+def _url_sql() -> str:
+    rules = ", ".join(map(str, URL_RULES))
+    links = [_link_sql(url_filter.CANONICAL_TAG, url_filter.HREF), _link_sql(url_filter.REFRESH_TAG, url_filter.REFRESH_URL)]
+    plain_host, plain_path = r"regexp_replace(host, '^(www|m)\.', '')", r"regexp_replace(path, '(/index\.html?|\.html?|/)\z', '')"
+    return f"""
+    WITH RECURSIVE rules(action, rule_host, rule_path) AS (VALUES {rules}),
+    own AS (SELECT page_id, html, url, {_address_sql("url")} FROM pages WHERE contains(url, '://')),
+    links AS (SELECT DISTINCT host, path, query, url, unnest([{", ".join(links)}]) AS link FROM own),
+    full_links AS (SELECT *, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN link LIKE '//%' THEN split_part(url, '://', 1) || ':' || link
+        WHEN link LIKE '/%' THEN split_part(url, '://', 1) || '://' || host || link END AS target FROM links),
+    ends AS (SELECT host || path || query AS a, target FROM full_links WHERE target IS NOT NULL),
+    targets AS (SELECT a, {_address_sql("target")} FROM ends),
+    known AS (SELECT DISTINCT host, path, query FROM (SELECT host, path, query FROM own UNION ALL SELECT host, path, query FROM targets) WHERE host <> ''),
+    nodes AS (SELECT host, path, query, host || path || query AS name FROM (SELECT * FROM known UNION SELECT {plain_host}, {plain_path}, query FROM known) WHERE host <> ''),
+    edges AS (SELECT name AS a, {plain_host} || {plain_path} || query AS b FROM nodes UNION SELECT a, host || path || query FROM targets WHERE host <> ''),
+    both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
+    reach AS (SELECT name AS a, name AS b FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+    fits AS (SELECT name, arg_min(struct_pack(action := action, rule := rule_host || rule_path), struct_pack(s := -length(rule_host || rule_path), r := rule_host || rule_path)) AS best
+        FROM nodes JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY name),
+    verdicts AS (SELECT r.a, max(f.best.action) AS most, min(f.best.action) AS least, count(*) AS size, list(n.name ORDER BY n.host, n.path, n.query)[1] AS via
+        FROM reach r JOIN nodes n ON n.name = r.b LEFT JOIN fits f ON f.name = r.b GROUP BY r.a)
+    SELECT p.page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, f.best.rule AS rule,
+        coalesce(f.best.action, CASE WHEN v.least = 'block' THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN v.size > 1 THEN v.via END AS via
+    FROM pages p LEFT JOIN own o ON o.page_id = p.page_id AND o.url = p.url LEFT JOIN fits f ON f.name = o.host || o.path || o.query LEFT JOIN verdicts v ON v.a = o.host || o.path || o.query"""
+
+
+def _phrases_sql() -> str:
+    parts = "UNION ALL ".join(f"SELECT p.lang, p.phrase, p.a, {k} AS cut, array_to_string(string_split(p.phrase, ' ')[:{k}], ' ') AS head, array_to_string(string_split(p.phrase, ' ')[{k + 1}:], ' ') AS tail FROM often p WHERE p.k > {k} " for k in (1, 2, 3))
+    inner = "UNION ALL ".join(f"SELECT lang, a, array_to_string(string_split(phrase, ' ')[{i}:{i + n - 1}], ' ') AS phrase FROM often WHERE k > {n} AND k >= {i + n - 1} " for n in (2, 3) for i in range(1, 5 - n + 1))
+    return rf"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[.,;:!?
+-
+]')) AS piece FROM documents),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
+    spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+    counted AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM spots, range(1, 5) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+    totals AS (SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang),
+    often AS (SELECT * FROM counted WHERE a >= 30),
+    cuts AS ({parts}),
+    scored AS (SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+        FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = c.head JOIN often y ON y.lang = c.lang AND y.phrase = c.tail),
+    lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    longer AS (SELECT lang, phrase, max(a) AS a FROM ({inner}) GROUP BY lang, phrase),
+    ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+        FROM lowest s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase WHERE g.a IS NULL OR 100::HUGEINT * g.a < 80::HUGEINT * s.a)
+    SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_mixing": _mixing_sql(), "op9_exact_dedup": EXACT_SQL}
+    found = {"op1_mixing": _mixing_sql(), "op9_exact_dedup": EXACT_SQL, "op11_url_filters": _url_sql(), "op12_phrases": _phrases_sql()}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
