@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, merged.
 
 Distinct vectors are dealt to shards of about SHARD_ROWS by a hash; each shard's graph is one row of flat arrays
-(unit vectors, identifiers, neighbours by layer). Searches take blocks of queries against every shard, walk each
-graph from the top layer down with a beam, and merge the shards' best by exact cosine in double precision.
+(unit vectors, identifiers, neighbours by layer). Searches take blocks of queries against every shard: a shard's graph reaches one
+task, followed by the blocks, which stream through it. Each graph is walked from the top layer down with a beam, and the shards' best
+are merged by exact cosine in double precision.
 
 Equal vectors stand in the graph once, with their `k + 1` smallest identifiers: with ties going to the smaller
 identifier no other can be among a query's k nearest, so a vector shared by any number of rows costs one place.
@@ -28,6 +29,8 @@ SHARD_ROWS, BLOCK_ROWS = 4096, 512
 #: Neighbours per node above the lowest layer (twice as many there), beam while building and while searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 48, 96
 _BATCH = 128
+#: Blocks of queries that make another copy of a graph worth its way.
+BLOCKS_A_COPY = 4
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +133,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda c: c != 0), F.lit(False))
 
 
+def _tamed(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by powers of two (which rounds nothing off), so that their largest components lie in [0.5, 1) and squares stay in range."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(axis=1, keepdims=True)
     x = x / scale
@@ -166,6 +174,21 @@ def index(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
     return materialize(out, "hnsw-index"), shards
 
 
+def _searched(graph: tuple, q_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of one graph for each query."""
+    x, layers, ids, known, exact, norm = graph
+    u, q = _unit(q), _tamed(q)
+    entry = descend(x, layers[1:], u, np.zeros(len(u), int))
+    found, _ = beam_search(x, layers[0], u, entry, SEARCH_BEAM)
+    at = np.maximum(found, 0)
+    score = np.einsum("nd,nkd->nk", q, exact[at]) / (np.sqrt(np.einsum("nd,nd->n", q, q))[:, None] * norm[at])
+    owner = np.broadcast_to(q_ids[:, None, None], (*found.shape, ids.shape[1]))
+    near = ids[at]
+    valid = (found >= 0)[:, :, None] & known[at] & (near != owner)
+    out = pd.DataFrame({"query_id": owner[valid], "vec_id": near[valid], "score": np.broadcast_to(score[:, :, None], near.shape)[valid]})
+    return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("query_id", sort=False).head(k)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query and rank (from 1): query_id, rank, vec_id, score (cosine); a query's own identifier is no candidate."""
     graphs, shards = index(vectors, k, id_col, vector_col)
@@ -175,32 +198,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     blocks = queries.groupBy("__dim", F.pmod(F.xxhash64("__id"), F.lit(n_blocks)).alias("__block")).agg(F.collect_list(F.struct("__id", "__v")).alias("__queries"))
     of_dim = F.element_at(F.create_map(*(F.lit(v) for pair in shards.items() for v in pair)), F.col("__dim"))
     blocks = blocks.withColumn("__shard", F.explode(F.sequence(F.lit(0), of_dim - 1)))
-    pairs = blocks.join(graphs, ["__dim", "__shard"]).drop("__block", "__shard")
+    # Salts give several tasks a copy of a graph where there are more tasks than shards; each takes its part of the blocks.
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, min(tasks // max(sum(shards.values()), 1), -(-n_blocks // BLOCKS_A_COPY)))
+    blocks = blocks.withColumn("__salt", F.pmod("__block", F.lit(salts)).cast("int"))
+    copies = graphs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("__first", F.lit(0))
+    met = copies.unionByName(blocks.drop("__block").withColumn("__first", F.lit(1)), allowMissingColumns=True)
+    met = met.repartition("__dim", "__shard", "__salt").sortWithinPartitions("__dim", "__shard", "__salt", "__first")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = None
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                r = dict(zip(pdf.columns, r, strict=True))
-                exact = np.frombuffer(r["vectors"]).reshape(-1, r["__dim"])
-                ids = np.frombuffer(r["ids"], np.int64).reshape(len(exact), -1)
-                known = np.frombuffer(r["known"], bool).reshape(len(exact), -1)
-                flat = np.frombuffer(r["links"], np.int32)
-                layers = [flat[a:b].reshape(len(exact), -1) for a, b in pairwise(r["ends"])]
-                q_ids = np.array([q["__id"] for q in r["__queries"]])
-                q = np.array([np.asarray(q["__v"], float) for q in r["__queries"]])
-                x, u = _unit(exact), _unit(q)
-                entry = descend(x, layers[1:], u, np.zeros(len(u), int))
-                found, _ = beam_search(x, layers[0], u, entry, SEARCH_BEAM)
-                norm = np.sqrt(np.einsum("nd,nd->n", exact, exact))
-                q_norm = np.sqrt(np.einsum("nd,nd->n", q, q))
-                score = np.einsum("nd,nkd->nk", q, exact[np.maximum(found, 0)]) / (q_norm[:, None] * norm[np.maximum(found, 0)])
-                owner = np.broadcast_to(q_ids[:, None, None], (*found.shape, ids.shape[1]))
-                near = ids[np.maximum(found, 0)]
-                valid = (found >= 0)[:, :, None] & known[np.maximum(found, 0)] & (near != owner)
-                out = pd.DataFrame({"query_id": owner[valid], "vec_id": near[valid], "score": np.broadcast_to(score[:, :, None], near.shape)[valid]})
-                out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-                yield out.groupby("query_id", sort=False).head(k)
-
-    best = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
+            for r in pdf.to_dict("records"):
+                if r["__first"] == 0:
+                    exact = np.frombuffer(r["vectors"]).reshape(-1, r["__dim"])
+                    ids = np.frombuffer(r["ids"], np.int64).reshape(len(exact), -1)
+                    known = np.frombuffer(r["known"], bool).reshape(len(exact), -1)
+                    flat = np.frombuffer(r["links"], np.int32)
+                    layers = [flat[a:b].reshape(len(exact), -1) for a, b in pairwise(r["ends"])]
+                    x, exact = _unit(exact), _tamed(exact)
+                    graph = x, layers, ids, known, exact, np.sqrt(np.einsum("nd,nd->n", exact, exact))
+                else:
+                    q_ids = np.array([q["__id"] for q in r["__queries"]])
+                    yield _searched(graph, q_ids, np.array([np.asarray(q["__v"], float) for q in r["__queries"]]), k)
+
+    best = met.mapInPandas(run, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -108,9 +108,8 @@ def signature(hashes: np.ndarray, components: int = BANDS * ROWS) -> np.ndarray:
     return who
 
 
-def band_keys(text: str) -> list[int]:
-    """One key per band, of the set of shingles; none for a text without words."""
-    hashes = np.unique(shingles(text))
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key per band, of a set of shingles; none for the empty set."""
     if not len(hashes):
         return []
     key = np.arange(BANDS, dtype=np.uint64) * _BASE
@@ -120,33 +119,38 @@ def band_keys(text: str) -> list[int]:
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two arrays of distinct shingles; 1 for two empty ones."""
+    """Jaccard similarity of two arrays of distinct shingles; 0 for empty ones, which only equal texts make alike."""
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 0.0
 
 
 def jaccard(a: str, b: str) -> float:
-    """Jaccard similarity of two texts' sets of shingles; 1 for two texts without words."""
+    """Jaccard similarity of two texts' sets of shingles; 0 for texts without words."""
     return similarity(np.unique(shingles(a)), np.unique(shingles(b)))
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """Per row (__id, __text): __id and its band keys. No shuffle."""
+    """Per row (__id, __text): __id, its number of distinct shingles and its band keys. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                keys = pa.array([band_keys(t.as_py()) for t in part.column("__text")], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("__id"), keys], names=["__id", "__keys"])
+                sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
+                columns = [part.column("__id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__id", "__n", "__keys"])
 
-    return docs.mapInArrow(run, f"__id {docs.schema['__id'].dataType.simpleString()}, __keys array<bigint>")
+    return docs.mapInArrow(run, f"__id {docs.schema['__id'].dataType.simpleString()}, __n bigint, __keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are at least that similar. Hot leaders' rows are split by adaptive execution."""
-    left = texts.select(F.col("__node").alias("a"), F.col("__text").alias("__ta"))
-    right = texts.select(F.col("__node").alias("b"), F.col("__text").alias("__tb"))
+    """The pairs (a, b) of pairs (a, b, lead) whose texts are at least that similar.
+
+    Texts of the other nodes move once, to their leads, of which there are few; a hot lead's rows are split by adaptive execution.
+    """
+    leads = materialize(pairs.select(F.col("lead").alias("__node")).distinct(), "near-leads")
+    left = texts.join(leads, "__node", "left_semi").select(F.col("__node").alias("lead"), F.col("__text").alias("__ta"))
+    right = texts.select(F.col("__node").alias("__member"), F.col("__text").alias("__tb"))
     kind = texts.schema["__node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +170,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "__ta", "__tb").mapInArrow(run, f"a {kind}, b {kind}")
+    members = pairs.withColumn("__member", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    return members.join(right, "__member").join(left, "lead").select("a", "b", "__ta", "__tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -228,13 +233,16 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
     ahead = Window.partitionBy("__node").orderBy("__i").rowsBetween(-BEFORE, -1)
     rows = materialize(rows.join(keys, "__key").withColumn("__before", F.collect_list("__key").over(ahead)), "near-postings")
     named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("node", "class", "n", "i", "before")]
-    left = rows.select("__key", F.pmod(F.xxhash64("__node"), "__salts").cast("int").alias("__salt"), *named("a_"))
-    right = rows.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), *named("b_"))
+    # Alike sets lie in one band of lengths or in neighbouring ones; texts of a hot shingle meet by band.
+    band = F.when(F.col("__salts") > 1, F.floor(F.log("__n") / float(np.log(1 / threshold)))).otherwise(0).cast("int")
+    bands = F.when(F.col("__salts") > 1, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))
+    left = rows.select("__key", F.pmod(F.xxhash64("__node"), "__salts").cast("int").alias("__salt"), band.alias("__band"), *named("a_"))
+    right = rows.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), bands.alias("__bands"), *named("b_")).withColumn("__band", F.explode("__bands"))
     least = threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6
     enough = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least
     meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_class") != F.col("b_class")) & enough & ~F.arrays_overlap("a_before", "b_before")
-    met = left.join(right, (left["__key"] == right["__key"]) & (left["__salt"] == right["__salt"]) & meet)
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    met = left.join(right, (left["__key"] == right["__key"]) & (left["__salt"] == right["__salt"]) & (left["__band"] == right["__band"]) & meet)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().withColumn("lead", F.col("a"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,9 +278,20 @@ def _leaders(named: DataFrame, k: int) -> DataFrame:
     return materialize(found.where("__lo < __hi").select("__key", "__leader"), "near-leaders")
 
 
+def _of_like_size(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets' sizes allow that similarity."""
+    n = lambda side: sizes.select(F.col("__node").alias(side), F.col("__n").alias(f"__n_{side}"))
+    both = pairs.join(n("a"), "a").join(n("b"), "b")
+    return materialize(both.where(F.least("__n_a", "__n_b") >= threshold * F.greatest("__n_a", "__n_b") - 1e-6).select("a", "b", "lead"), "near-like")
+
+
 def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
-    """Links (a, b) between nodes of (__node, __key): enough to connect any two alike nodes that share a key."""
-    named, tried, links, texts = keys.withColumn("__class", F.col("__node")), [], [], None
+    """Links (a, b) between nodes of (__node, __n, __key): enough to connect any two alike nodes that share a key."""
+    # Buckets of one text, by far the most, are found from their keys alone.
+    shared = keys.groupBy("__key").agg(F.count("*").alias("__m")).where("__m > 1").select("__key")
+    keys = materialize(keys.join(materialize(shared, "near-shared"), "__key", "left_semi"), "near-buckets")
+    sizes = keys.select("__node", "__n").distinct()
+    named, tried, links, texts = keys.select("__node", "__key", F.col("__node").alias("__class")), [], [], None
     for k in count():
         open_ = materialize(named.join(_leaders(named, k), "__key"), "near-open")
         if texts is None:
@@ -281,11 +300,12 @@ def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
             texts = materialize(texts_of(nodes), "near-texts")
         met = open_.where("__leader.class != __class").groupBy("__node", F.col("__leader.node").alias("__other")).agg(F.count("*").alias("__n"))
         one = met.groupBy("__node").agg(F.max_by("__other", F.struct("__n", "__other")).alias("__other"))
-        pairs = one.select(F.least("__node", "__other").alias("a"), F.greatest("__node", "__other").alias("b")).distinct()
+        pairs = one.select(F.least("__node", "__other").alias("a"), F.greatest("__node", "__other").alias("b"), F.col("__other").alias("lead"))
+        pairs = pairs.groupBy("a", "b").agg(F.min("lead").alias("lead"))
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
         tried.append(materialize(pairs, "near-pairs"))
-        found = materialize(_verified(tried[-1], texts, threshold), "near-links")
+        found = materialize(_verified(_of_like_size(tried[-1], sizes, threshold), texts, threshold), "near-links")
         n_found, n_tried = found.count(), tried[-1].count()
         named = open_.select("__node", "__key", "__class")
         if n_found:
@@ -304,31 +324,54 @@ def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
     return reduce(DataFrame.union, links) if links else None
 
 
-def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Per row: __id, __sha (digest of its text), __label (the node of its class's smallest text)."""
+def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Per row: __id, __sha (digest of its text), __label (the node of its class's smallest text); and the verified links (a, b) between nodes."""
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     copies = duplicates(docs, "__id", "__text", "smallest")
     copies = materialize(copies.select("__id", F.col("text_sha256").alias("__sha"), _node(F.col("keep_id"), F.col("text_sha256")).alias("__node"), "kept"), "near-copies")
     nodes = docs.select(_node(F.col("__id"), F.sha2("__text", 256)).alias("__id"), "__text")
     sketches = materialize(_sketches(nodes), "near-sketches").withColumnRenamed("__id", "__node")
     nodes = nodes.withColumnRenamed("__id", "__node")
-    chosen = materialize(copies.where("kept").select("__node").distinct(), "near-distinct")
-    keys = sketches.join(chosen, "__node", "left_semi").select("__node", F.explode("__keys").alias("__key"))
-    links = _links(keys, lambda some: nodes.join(some, "__node", "left_semi").dropDuplicates(["__node"]), threshold)
+    kept = copies.where("kept").groupBy("__node").agg(F.count("*").alias("__m"))
+    chosen = materialize(kept, "near-distinct")
+    repeated = not chosen.where("__m > 1").isEmpty()  # rows of one identifier and text
+    keys = sketches.join(chosen.select("__node"), "__node", "left_semi")
+    keys = (keys.dropDuplicates(["__node"]) if repeated else keys).select("__node", "__n", F.explode("__keys").alias("__key"))
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        found = nodes.join(some, "__node", "left_semi")
+        return found.dropDuplicates(["__node"]) if repeated else found
+
+    links = _links(keys, texts_of, threshold)
     if links is None:
-        return copies.select("__id", "__sha", F.col("__node").alias("__label"))
+        return copies.select("__id", "__sha", F.col("__node").alias("__label")), None
     labels = components(links).select(F.col("id").alias("__node"), "label")
-    return copies.join(labels, "__node", "left").select("__id", "__sha", F.coalesce("label", "__node").alias("__label"))
+    return copies.join(labels, "__node", "left").select("__id", "__sha", F.coalesce("label", "__node").alias("__label")), links
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, class_id (the smallest identifier of its class), kept (whether it is that row)."""
-    rows = _classes(df, threshold, id_col, text_col)
+    """Per row: id, class_id (the smallest identifier of its class), kept (whether it is that row), class_size (its class's rows), n_links (pairs of different texts of its class that were found alike).
+
+    Links are enough to connect a class; copies of one text need none.
+    """
+    rows, links = _classes(df, threshold, id_col, text_col)
+    rows = materialize(rows, "near-classes")
+    sizes = rows.groupBy("__label").agg(F.count("*").alias("__size")).where("__size > 1")
+    if links is None:
+        classes = sizes.withColumn("__links", F.lit(0).cast("long"))
+    else:
+        of_link = rows.select(_node(F.col("__id"), F.col("__sha")).alias("a"), "__label").distinct()
+        counts = links.distinct().join(of_link, "a").groupBy("__label").agg(F.count("*").alias("__links"))
+        classes = sizes.join(counts, "__label", "left")
+    classes = materialize(classes, "near-class-sizes").withColumnRenamed("__label", "__class")
     kept = _node(F.col("__id"), F.col("__sha")) == F.col("__label")
-    return rows.select(F.col("__id").alias(id_col), F.col("__label.id").alias("class_id"), kept.alias("kept"))
+    return rows.join(classes, F.col("__label") == F.col("__class"), "left").select(
+        F.col("__id").alias(id_col), F.col("__label.id").alias("class_id"), kept.alias("kept"),
+        F.coalesce("__size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def keep_one(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without those of a class beside its smallest identifier; of repeated rows, one."""
-    rows = _classes(df, threshold, id_col, text_col).select("__id", "__sha", (_node(F.col("__id"), F.col("__sha")) == F.col("__label")).alias("kept"))
+    rows = _classes(df, threshold, id_col, text_col)[0].select("__id", "__sha", (_node(F.col("__id"), F.col("__sha")) == F.col("__label")).alias("kept"))
     return without(df, materialize(rows, "near-kept"), id_col, text_col)

@@ -12,7 +12,7 @@ buckets; bucket totals locate the one in which it ends, and only that bucket's r
 Edge cases: rows with null level values form leaves of their own (null is a value). Null or empty texts have no
 tokens and are taken with every epoch position before the cut. Ties of digests are broken by identifier; repeated
 rows share both and are kept or cut together, each counting its tokens. An empty table gives an empty table.
-A missing or null weight counts as 1; weight 0 gives a node nothing. All amounts are whole tokens; what
+A missing or null weight counts as 1; weight 0 gives a node nothing, and its budget goes to its siblings and theirs. All amounts are whole tokens; what
 rounding down leaves goes to the nodes with the largest remainders (ties by name), so the whole budget is dealt. Columns of
 df, whatever their names, come back untouched with `whole_rows`.
 """
@@ -20,6 +20,8 @@ df, whatever their names, come back untouched with `whole_rows`.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,7 +78,9 @@ def deal(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def leaf_budgets(stats: DataFrame, levels: list[str], weights: Mapping[str, Mapping[str, int]], budget: Column, max_epochs: int) -> DataFrame:
     """Per leaf (columns of levels, __docs, __tokens): its budget as `quota`. Tables here have a row per node of the tree."""
-    leaves = stats.withColumns({"__most": (F.col("__tokens") * max_epochs).cast("decimal(38,0)"), "__root": F.lit(1)})
+    # What lies below a node of weight 0 is never dealt anything, so it counts for nothing in what its ancestors can give.
+    lives = reduce(and_, [weights_column(F.col(c), weights.get(c, {})) > 0 for c in levels])
+    leaves = stats.withColumns({"__most": F.when(lives, F.col("__tokens") * max_epochs).otherwise(0).cast("decimal(38,0)"), "__root": F.lit(1)})
     above = leaves.groupBy("__root").agg(F.least(budget, F.sum("__most")).cast("decimal(38,0)").alias("__budget"))
     at = ["__root"]
     for depth, level in enumerate(levels, 1):

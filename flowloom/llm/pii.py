@@ -82,11 +82,33 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+#: Spans are gathered in lists of so many, and these in one list, so that adding a span copies few others.
+GATHERED = 256
+_SPANS = "array<struct<start:int,end:int,match:string,before:string>>"
+
+
+def _none() -> list[Column]:
+    """No spans yet, as fields of a fold's state."""
+    return [F.array().cast(f"array<{_SPANS}>").alias("full"), F.array().cast(_SPANS).alias("found")]
+
+
+def _with(acc: Column, takes: Column, here: Column) -> list[Column]:
+    """The same fields, with one more span where `takes` says so."""
+    more, over = F.array_append(acc["found"], here), F.size(acc["found"]) >= GATHERED - 1
+    return [
+        F.when(takes & over, F.array_append(acc["full"], more)).otherwise(acc["full"]).alias("full"),
+        F.when(takes & over, F.array().cast(_SPANS)).when(takes, more).otherwise(acc["found"]).alias("found"),
+    ]
+
+
+def _gathered(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["full"]), acc["found"])
+
+
 def _ibans(text: Column) -> Column:
     """What `spans_of` finds for iban before scores: marks stand where one may start, and each reads on over the next marks."""
     pieces = F.split(F.regexp_replace(text, f"(?={KINDS['iban'][0]})", MARK), MARK, -1)
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("last"), none.alias("found"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("last"), *_none())
 
     def step(acc: Column, x: Column) -> Column:
         stop = acc["at"] + F.length(x["match"])
@@ -95,13 +117,13 @@ def _ibans(text: Column) -> Column:
         here = F.struct(acc["at"].alias("start"), stop.alias("end"), x["match"].alias("match"), before.alias("before"))
         return F.struct(
             (acc["at"] + F.length(x["s"])).alias("at"), F.when(takes, stop).otherwise(acc["free"]).alias("free"),
-            F.right(F.concat(acc["last"], x["s"]), F.lit(CONTEXT)).alias("last"), F.when(takes, F.array_append(acc["found"], here)).otherwise(acc["found"]).alias("found"),
+            F.right(F.concat(acc["last"], x["s"]), F.lit(CONTEXT)).alias("last"), *_with(acc, takes, here),
         )
 
     # Starts are five characters or more apart and a number with spaces has at most 65, so 15 pieces hold it and what follows.
     ahead = lambda ps, i: F.left(F.array_join(F.slice(ps, i + 1, 15), ""), F.lit(80))
     each = lambda ps: F.transform(ps, lambda s, i: F.struct(s.alias("s"), i.alias("i"), F.regexp_extract(ahead(ps, i), f"^{_IBAN}", 0).alias("match")))
-    return F.element_at(F.transform(F.array(pieces), lambda ps: F.aggregate(each(ps), begin, step, lambda acc: acc["found"])), 1)
+    return F.element_at(F.transform(F.array(pieces), lambda ps: F.aggregate(each(ps), begin, step, _gathered)), 1)
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -109,18 +131,17 @@ def spans_of(kind: str, text: Column) -> Column:
     pattern, prior, words = KINDS[kind]
     pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
     # One pass over the pieces (0 between, 1 match, 2 between, ...) with the position so far.
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("found"), F.lit("").alias("last"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), *_none())
 
     def step(acc: Column, piece: Column) -> Column:
         here = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(piece["s"])).alias("end"), piece["s"].alias("match"), acc["last"].alias("before"))
         return F.struct(
-            (acc["at"] + F.length(piece["s"])).alias("at"),
-            F.when((piece["i"] % 2 == 1) & (F.length(piece["s"]) >= _SHORTEST[kind]), F.array_append(acc["found"], here)).otherwise(acc["found"]).alias("found"),
-            F.right(piece["s"], F.lit(CONTEXT)).alias("last"),
+            (acc["at"] + F.length(piece["s"])).alias("at"), F.right(piece["s"], F.lit(CONTEXT)).alias("last"),
+            *_with(acc, (piece["i"] % 2 == 1) & (F.length(piece["s"]) >= _SHORTEST[kind]), here),
         )
 
     numbered = F.transform(pieces, lambda s, i: F.struct(s.alias("s"), i.alias("i")))
-    found = _ibans(text) if kind == "iban" else F.aggregate(numbered, start, step, lambda acc: acc["found"])
+    found = _ibans(text) if kind == "iban" else F.aggregate(numbered, start, step, _gathered)
     rank = list(KINDS).index(kind)
     score = lambda x: F.when(F.lower(x["before"]).rlike(words), F.lit(prior) + (1 - F.lit(prior)) / 2).otherwise(F.lit(prior))
     kept = found if kind == "iban" else F.filter(found, lambda x: valid(kind, x["match"]))

@@ -1,10 +1,10 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic classifier on surface features gives each document's evidence. Grouped aggregation sums the expected
+A ridge logistic classifier on surface features and hashed words and byte triples gives each document's evidence. Grouped aggregation sums the expected
 number of good documents by host and by path, and Beta posteriors shrink them: a host towards the whole corpus, a
 path towards its host, the more so the fewer documents they have. How strongly follows from how much hosts differ from the
-corpus, and paths from their hosts, beyond chance, by the method of moments. A document's posterior log-odds are its own evidence plus what its path's
-posterior says beyond the corpus' prior.
+corpus, and paths from their hosts, beyond chance, by the method of moments. A document's posterior log-odds are its own evidence plus what the
+other documents of its path and host say (its path's posterior without it) beyond the corpus' prior.
 
 The classifier is fitted on at most `max_labels` labelled documents (chosen by a digest of the identifier);
 everything else looks at every row.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +29,20 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.scratch import materialize
 
-FEATURES = ("log_words", "symbols", "bars", "capitals", "digits", "repeats", "distinct", "word_length", "stops", "foreign", "lines")
-_SYMBOLS = "!$%&*#@^~<>{}[]=+\\/_"
+FEATURES = ("log_words", "symbols", "capitals", "digits", "repeats", "distinct", "word_length", "stops", "foreign", "lines")
+_SYMBOLS = "!$%&*#@^~<>{}[]=+\\/_|"
+#: Buckets of hashed words, and of hashed triples of bytes.
+HASHED = 128
 #: Probabilities stay this far from 0 and 1.
 _EDGE = 1e-6
 
 
-def features(text: str) -> list[float]:
-    """Surface features of a text, each of the order of 1."""
-    n = len(text)
-    words = text.split()
-    if not words:
-        return [0.0] * len(FEATURES)
-    lower = text.lower()
+def surface(text: str, words: list[str]) -> list[float]:
+    """Surface features of a text with words, each of the order of 1."""
+    n, lower = len(text), text.lower()
     return [
         math.log(len(words)) / 5,
         10 * sum(map(text.count, _SYMBOLS)) / n,
-        10 * text.count("|") / n,
         sum(map(str.isupper, words)) / len(words),
         10 * sum(map(text.count, "0123456789")) / n,
         sum(map(eq, words, words[1:])) / len(words),
@@ -56,16 +54,35 @@ def features(text: str) -> list[float]:
     ]
 
 
+def features(text: str) -> np.ndarray:
+    """Surface features, their square roots (small shares matter most), and square roots of the shares of hashed words and of hashed triples of bytes; all 0 without words."""
+    words = text.split()
+    out = np.zeros(2 * len(FEATURES) + 2 * HASHED, np.float32)
+    if not words:
+        return out
+    plain = np.array(surface(text, words))
+    data = text.encode()
+    a = np.frombuffer(data, np.uint8).astype(np.uint32)
+    triples = (a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA6B) + a[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(25)
+    hashed = np.bincount(np.fromiter(map(crc32, data.split()), np.uint32) % np.uint32(HASHED), minlength=HASHED), np.bincount(triples, minlength=HASHED)
+    out[: 2 * len(FEATURES)] = np.concatenate([plain, np.sqrt(np.abs(plain))])
+    out[2 * len(FEATURES) :] = np.concatenate([np.sqrt(h / max(h.sum(), 1)) for h in hashed])
+    return out
+
+
+WIDTH = 2 * len(FEATURES) + 2 * HASHED
+
+
 def _expand(x: np.ndarray) -> np.ndarray:
-    """Features, their square roots (small shares matter most) and a constant."""
-    return np.hstack([x, np.sqrt(np.abs(x)), np.ones((len(x), 1))])
+    """Features and a constant."""
+    return np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Weights of a ridge logistic regression, by Newton's method."""
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
-        return np.array([0.0] * (2 * len(FEATURES)) + [math.log(share / (1 - share))])
+        return np.array([0.0] * WIDTH + [math.log(share / (1 - share))])
     z = _expand(x)
     w, keep = np.zeros(z.shape[1]), np.diag([ridge] * (z.shape[1] - 1) + [1e-6])
     for _ in range(rounds):
@@ -86,11 +103,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array([features(t.as_py()) for t in b.column("__text")], pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array([features(t.as_py()).tobytes() for t in b.column("__text")], pa.binary())], names=["y", "x"])
 
-    rows = chosen.mapInArrow(run, "y double, x array<double>")
-    rows = rows.orderBy(F.xxhash64("x"), "y").limit(max_labels).collect()  # the join gives more only where identifiers repeat
-    return fit(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows]))
+    rows = chosen.mapInArrow(run, "y double, x binary")
+    rows = rows.orderBy(F.xxhash64("x"), "y").limit(max_labels).toArrow()  # the join gives more only where identifiers repeat
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    return fit(x, rows.column("y").to_numpy())
 
 
 def classified(df: DataFrame, weights: np.ndarray, columns: dict[str, Column], text_col: str = "text") -> DataFrame:
@@ -102,7 +120,7 @@ def classified(df: DataFrame, weights: np.ndarray, columns: dict[str, Column], t
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                x = np.array([features(t.as_py()) for t in part.column("__text")]).reshape(-1, len(FEATURES))
+                x = np.array([features(t.as_py()) for t in part.column("__text")]).reshape(-1, WIDTH)
                 p = 1 / (1 + np.exp(-np.clip(_expand(x) @ weights, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p)], names=[*part.schema.names[:-1], "p_classifier"])
 
@@ -128,8 +146,8 @@ def _strength(groups: DataFrame, within: float, parents: int) -> float:
     return min(max((room or 0.0) / max(n or 0, 1) / max(own, 1e-9) - 1, 1.0), 10_000.0)
 
 
-def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """From rows (host, path, p_classifier): per (host, path) p_host and p_path, and the corpus' mean."""
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """From rows (host, path, p_classifier): per (host, path) its sums and its host's, p_host and p_path; the corpus' mean; and the strengths of both priors."""
     p = F.col("p_classifier")
     paths = materialize(scored.groupBy("host", "path").agg(F.count("*").alias("__n"), F.sum(p).alias("__s"), F.sum(p * p).alias("__q")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("__n").alias("__n"), F.sum("__s").alias("__s"))
@@ -137,18 +155,24 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     mean = min(max((s or 0.5) / (n or 1), _EDGE), 1 - _EDGE)
     within = max(inside or 0.0, 0.0) / max((n or 0) - n_paths, 1)
     k_host = _strength(hosts.withColumn("__m", F.lit(mean)), within, 1)
-    hosts = hosts.select(F.col("host").alias("__host"), ((F.col("__s") + k_host * mean) / (F.col("__n") + k_host)).alias("p_host"))
+    hosts = hosts.select(F.col("host").alias("__host"), F.col("__n").alias("__hn"), F.col("__s").alias("__hs"), ((F.col("__s") + k_host * mean) / (F.col("__n") + k_host)).alias("p_host"))
     paths = materialize(paths.join(hosts, F.col("host").eqNullSafe(F.col("__host"))), "quality-hosts")
     k_path = _strength(paths.withColumn("__m", F.col("p_host")), within, paths.select("__host").distinct().count())
     paths = paths.withColumn("p_path", (F.col("__s") + k_path * F.col("p_host")) / (F.col("__n") + k_path))
-    return materialize(paths.select("__host", F.col("path").alias("__path"), "p_host", "p_path"), "quality-sites"), mean
+    return materialize(paths.select("__host", F.col("path").alias("__path"), "p_host", "p_path", "__n", "__s", "__hn", "__hs"), "quality-sites"), mean, k_host, k_path
+
 
+def with_posterior(scored: DataFrame, sites: DataFrame, mean: float, k_host: float, k_path: float) -> DataFrame:
+    """Adds p_host, p_path and p_quality. sites has a row per path: Spark broadcasts it if it is small, else splits hot hosts.
 
-def with_posterior(scored: DataFrame, sites: DataFrame, mean: float) -> DataFrame:
-    """Adds p_host, p_path and p_quality. sites has a row per path: Spark broadcasts it if it is small, else splits hot hosts."""
+    A document's own probability is taken out of its path's and host's sums before they speak for it, so its evidence counts once.
+    """
     rows = scored.join(sites, F.col("host").eqNullSafe(F.col("__host")) & F.col("path").eqNullSafe(F.col("__path"))).drop("__host", "__path")
-    odds = _logit(F.col("p_classifier")) + _logit(F.col("p_path")) - float(math.log(mean / (1 - mean)))
-    return rows.withColumn("p_quality", 1 / (1 + F.exp(-odds)))
+    p = F.col("p_classifier")
+    others_host = (F.col("__hs") - p + k_host * mean) / (F.col("__hn") - 1 + k_host)
+    others = (F.col("__s") - p + k_path * others_host) / (F.col("__n") - 1 + k_path)
+    odds = _logit(p) + _logit(others) - float(math.log(mean / (1 - mean)))
+    return rows.withColumn("p_quality", 1 / (1 + F.exp(-odds))).drop("__n", "__s", "__hn", "__hs")
 
 
 def assess(docs: DataFrame, labels: DataFrame, host: str, path: str, threshold: float = 0.5, label_col: str = "quality", max_labels: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,15 +180,14 @@ def assess(docs: DataFrame, labels: DataFrame, host: str, path: str, threshold:
     weights = train(docs, labels, label_col, max_labels, id_col, text_col)
     scored = classified(docs, weights, {"__id": F.col(id_col), "host": F.expr(host), "path": F.expr(path)}, text_col)
     scored = materialize(scored, "quality-scores")
-    sites, mean = site_posteriors(scored)
-    out = with_posterior(scored, sites, mean)
+    out = with_posterior(scored, *site_posteriors(scored))
     return out.select(F.col("__id").alias(id_col), "p_classifier", "p_host", "p_path", "p_quality", (F.col("p_quality") >= threshold).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str, path: str, threshold: float = 0.5, label_col: str = "quality", max_labels: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that `assess` keeps, with their columns. Texts are read twice rather than exchanged."""
     weights = train(docs, labels, label_col, max_labels, id_col, text_col)
-    sites, mean = site_posteriors(classified(docs, weights, {"host": F.expr(host), "path": F.expr(path)}, text_col))
+    sites = site_posteriors(classified(docs, weights, {"host": F.expr(host), "path": F.expr(path)}, text_col))
     row = F.struct(*(F.col(c) for c in docs.columns))
     scored = classified(docs, weights, {"__row": row, "host": F.expr(host), "path": F.expr(path)}, text_col)
-    return with_posterior(scored, sites, mean).where(F.col("p_quality") >= threshold).select("__row.*")
+    return with_posterior(scored, *sites).where(F.col("p_quality") >= threshold).select("__row.*")

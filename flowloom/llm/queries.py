@@ -1,4 +1,4 @@
-"""The queries of this subpackage: one per operator over whole tables, and the pipeline."""
+"""The queries of this subpackage: one per operator over whole tables."""
 
 from __future__ import annotations
 
@@ -8,11 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from flowloom.llm import alignment, bpe_trie, exact_dedup, hnsw, minhash, mixing, phrases, pii, quality, range_coder, scratch, shards, token_counts, url_filter
+from flowloom.llm import alignment, bpe_trie, corpus, exact_dedup, hnsw, minhash, mixing, phrases, pii, quality, range_coder, scratch, shards, token_counts, url_filter
 
-VOCABULARY = "byte_bpe_50k.json"
-PIECES = "piece_bpe_32k.model"
 END_ID = 2
 #: action, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -24,15 +21,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return mixing.mix(docs, corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS, fraction=0.6, max_epochs=2, seed=17)
+    return mixing.mix(docs, corpus.LEVELS, corpus.WEIGHTS, fraction=0.6, max_epochs=2, seed=17)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), limit=1024)
+    return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path(corpus.VOCABULARY), limit=1024)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), corpus_pipeline.HOST, corpus_pipeline.PATH)
+    return quality.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), corpus.HOST, corpus.PATH)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +38,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.place(spark, "token-files")
-    range_coder.write(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), path, END_ID)
+    range_coder.write(_read(spark, sf_dir, "documents"), public_tokenizers.path(corpus.VOCABULARY), path, END_ID)
     return range_coder.read(spark, path)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path(VOCABULARY)
+    vocabulary = public_tokenizers.path(corpus.VOCABULARY)
     return bpe_trie.digests(bpe_trie.round_trip(_read(spark, sf_dir, "documents"), vocabulary))
 
 
@@ -76,28 +73,24 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
-
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return alignment.align_texts(_read(spark, sf_dir, "documents"), public_tokenizers.path(corpus.VOCABULARY), public_tokenizers.path(corpus.PIECES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_near_duplicates, op5_token_files, op6_bpe, op7_neighbours, op8_shards, op9_exact_dedup, op10_pii, op11_url_filters, op12_phrases, op13_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality, op4_near_duplicates, op5_token_files, op6_bpe, op7_neighbours, op8_shards, op9_exact_dedup, op10_pii, op11_url_filters, op12_phrases, op13_alignment)}
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END" if weights else "1"
 
 
-def _deal_sql(depth: int, levels: list[str]) -> str:
+def _deal_sql(depth: int, levels: list[str], weights: dict[str, dict[str, int]]) -> str:
     """One level of water-filling: table given{depth} from given{depth - 1}."""
     up, own, name = levels[: depth - 1], levels[:depth], levels[depth - 1]
     parent = f"PARTITION BY {', '.join(up)}" if up else ""
     join = " AND ".join(f"n.{c} IS NOT DISTINCT FROM g.{c}" for c in up) or "TRUE"
     return f"""
-    node{depth} AS (SELECT {", ".join(own)}, sum(most)::HUGEINT AS most, {_case(name, corpus_pipeline.WEIGHTS.get(name, {}))} AS weight FROM leaves GROUP BY {", ".join(own)}),
+    node{depth} AS (SELECT {", ".join(own)}, sum(most)::HUGEINT AS most, {_case(name, weights.get(name, {}))} AS weight FROM leaves GROUP BY {", ".join(own)}),
     dealt{depth} AS (SELECT n.*, g.given - coalesce(sum(n.most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
         sum(n.weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
         FROM node{depth} n JOIN given{depth - 1} g ON {join} WHERE n.weight > 0
@@ -109,14 +102,15 @@ def _deal_sql(depth: int, levels: list[str]) -> str:
         <= open_left - sum(CASE WHEN NOT is_full THEN down ELSE 0 END) OVER ({parent}) THEN 1 ELSE 0 END)::HUGEINT AS given FROM floor{depth})"""
 
 
-def _mixing_sql() -> str:
+def mixing_sql(weights: dict[str, dict[str, int]] = corpus.WEIGHTS, fraction: float = 0.6, epochs: int = 2) -> str:
     levels = ["domain", "lang", "source"]
+    lives = " AND ".join(f"{_case(c, weights.get(c, {}))} > 0" for c in levels)
     same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in levels)
     return f"""
-    WITH docs AS (SELECT doc_id, {corpus_pipeline.DOMAIN} AS domain, lang, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::BIGINT AS n_tokens FROM documents),
-    leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * 2 AS most FROM docs GROUP BY ALL),
-    given0 AS (SELECT least(CAST(trunc(CAST(sum(tokens) AS DOUBLE) * 0.6) AS HUGEINT), sum(most)::HUGEINT) AS given FROM leaves),
-    {", ".join(_deal_sql(d, levels) for d in (1, 2, 3))},
+    WITH docs AS (SELECT doc_id, {corpus.DOMAIN} AS domain, lang, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\r\\n]+')), 0)::BIGINT AS n_tokens FROM documents),
+    leaves AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, CASE WHEN {lives} THEN sum(n_tokens)::HUGEINT * {epochs} ELSE 0 END AS most FROM docs GROUP BY domain, lang, source),
+    given0 AS (SELECT least(CAST(trunc(CAST(sum(tokens) AS DOUBLE) * {fraction}) AS HUGEINT), sum(most)::HUGEINT) AS given FROM leaves),
+    {", ".join(_deal_sql(d, levels, weights) for d in (1, 2, 3))},
     plan AS (SELECT l.*, CASE WHEN l.tokens > 0 THEN g.given // l.tokens ELSE 0 END AS whole, CASE WHEN l.tokens > 0 THEN g.given % l.tokens ELSE 0 END AS rest
         FROM leaves l JOIN given3 g ON {same("l", "g")}),
     rows_ AS (SELECT d.*, p.whole, p.rest, md5('17-' || p.whole::VARCHAR || '-' || d.doc_id::VARCHAR) AS h FROM docs d JOIN plan p ON {same("d", "p")}),
@@ -194,5 +188,4 @@ def _phrases_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_mixing": _mixing_sql(), "op9_exact_dedup": EXACT_SQL, "op11_url_filters": _url_sql(), "op12_phrases": _phrases_sql()}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_mixing": mixing_sql(), "op9_exact_dedup": EXACT_SQL, "op11_url_filters": _url_sql(), "op12_phrases": _phrases_sql()}

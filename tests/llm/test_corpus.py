@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from flowloom.llm import bpe_trie, exact_dedup, hnsw, minhash, mixing, pii, quality, range_coder, scratch, shards, token_counts
+from flowloom.llm import bpe_trie, corpus, exact_dedup, hnsw, minhash, mixing, pii, quality, range_coder, scratch, shards, token_counts
 from flowloom.llm import queries as q
 from flowloom.llm import vocab as V
 
@@ -201,6 +201,9 @@ def test_quality_on_labels(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.assess(docs, labels, "source", "lang").join(labels, "doc_id").collect()
     assert np.mean([(r["kept"] == bool(r["quality"])) for r in got]) > 0.95
+    more, marked = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = [r for r in quality.assess(more, marked.where("doc_id % 2 = 0"), "source", "lang").join(marked, "doc_id").collect() if r["doc_id"] % 2]
+    assert np.mean([(r["kept"] == bool(r["quality"])) for r in held]) > 0.97  # labels that the classifier has not seen
     assert quality.assess(odd, labels, "source", "lang").count() == len(ODD)
     assert quality.keep_good(odd, labels.limit(0), "source", "lang").columns == odd.columns
     assert quality.assess(odd.limit(0), labels, "source", "lang").count() == 0
@@ -224,8 +227,15 @@ def test_near_duplicates_equal_brute_force(spark, odd):
             if texts[a] == texts[b] or (x and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y)):
                 ra, rb = root(a), root(b)
                 up[max(ra, rb)] = min(ra, rb)
-    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
-    assert got == {d: root(d) for d in sets}
+    rows = minhash.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {d: root(d) for d in sets}
+    members = defaultdict(list)
+    for d in sets:
+        members[root(d)].append(d)
+    for r in rows:
+        own = members[r["class_id"]]
+        alike = len({texts[d] for d in own})
+        assert r["class_size"] == len(own) and alike - 1 <= r["n_links"] <= alike * (alike - 1) // 2
     kinds = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(odd).collect()}
     assert kinds[1] == 0 and kinds[4] == 3 and kinds[6] == 5 and minhash.keep_one(odd).columns == odd.columns
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
@@ -242,7 +252,7 @@ def test_every_class_of_a_mixed_bucket_is_compared(spark, monkeypatch):
         if i % 10 == 5:
             rows.append((1000 + i, " ".join(common + own + ["more"])))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    monkeypatch.setattr(minhash, "_sketches", lambda docs: docs.select("__id", F.array(F.lit(7).cast("long")).alias("__keys")))
+    monkeypatch.setattr(minhash, "_sketches", lambda docs: docs.select("__id", F.lit(96).cast("long").alias("__n"), F.array(F.lit(7).cast("long")).alias("__keys")))
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
     assert got == {d: d % 1000 for d, _ in rows}
 
@@ -313,6 +323,87 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, step, SF).count() == sizes[-1]
 
 
+def classes_of(texts):
+    """The smallest identifier connected to each, by all pairs."""
+    sets = {d: set(minhash.shingles(t).tolist()) for d, t in texts.items()}
+    label, moved = {d: d for d in texts}, True
+    pairs = [(a, b) for a in sets for b in sets if a < b and (texts[a] == texts[b] or sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    while moved:
+        moved = False
+        for a, b in pairs:
+            least = min(label[a], label[b])
+            if label[a] != least or label[b] != least:
+                label[a] = label[b] = least
+                moved = True
+    return label
+
+
+def test_pipeline_equals_plain_versions(spark, tok):
+    """Each stage on sf0.001 against a version without Spark that takes what the plain one before it kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    stages = {name: stage for name, stage in corpus_pipeline.STAGES}
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+
+    x = {d: quality.features(r["text"] or "") for d, r in rows.items()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] in (0, 1) and r["doc_id"] in rows]
+    w = quality.fit(np.array([x[d] for d, _ in labels]), np.array([float(y) for _, y in labels]))
+    p = {d: float(1 / (1 + np.exp(-np.clip(np.append(v, 1.0) @ w, -30, 30)))) for d, v in x.items()}
+    sites = defaultdict(list)
+    for d, r in rows.items():
+        sites[r["source"], f"{r['source']}/{r['lang']}"].append(p[d])
+    mean, n = np.mean([*p.values()]), len(p)
+    hosts = defaultdict(list)
+    for (h, _), v in sites.items():
+        hosts[h] += v
+    within = sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in sites.values()) / max(n - len(sites), 1)
+
+    def strength(groups, means, parents):
+        own = (sum(len(v) * (np.mean(v) - means[k]) ** 2 for k, v in groups.items()) - max(len(groups) - parents, 0) * within) / n
+        return min(max(sum(len(v) * means[k] * (1 - means[k]) for k, v in groups.items()) / n / max(own, 1e-9) - 1, 1), 10_000)
+
+    kh = strength(hosts, dict.fromkeys(hosts, mean), 1)
+    p_host = {h: (sum(v) + kh * mean) / (len(v) + kh) for h, v in hosts.items()}
+    kp = strength(sites, {k: p_host[k[0]] for k in sites}, len(hosts))
+    logit = lambda q: np.log(np.clip(q, 1e-6, 1 - 1e-6) / (1 - np.clip(q, 1e-6, 1 - 1e-6)))
+
+    def good(d):
+        h, v = hosts[rows[d]["source"]], sites[rows[d]["source"], f"{rows[d]['source']}/{rows[d]['lang']}"]
+        others = (sum(v) - p[d] + kp * (sum(h) - p[d] + kh * mean) / (len(h) - 1 + kh)) / (len(v) - 1 + kp)
+        return logit(p[d]) + logit(others) - logit(mean) >= 0
+
+    kept = sorted(d for d in rows if good(d))
+    step = scratch.materialize(stages["quality"](spark, docs, SF), "plain-quality")
+    assert ids(step) == kept and 0 < len(kept) < len(rows)
+
+    first = {}
+    for d in kept:
+        first.setdefault(rows[d]["text"] or "", d)
+    kept = sorted(first.values())
+    step = scratch.materialize(stages["exact copies"](spark, step, SF), "plain-exact")
+    assert ids(step) == kept
+
+    label = classes_of({d: rows[d]["text"] or "" for d in kept})
+    kept = sorted(set(label.values()))
+    step = scratch.materialize(stages["near copies"](spark, step, SF), "plain-near")
+    assert ids(step) == kept
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet') WHERE doc_id IN ({', '.join(map(str, kept))})")
+    kept = sorted(r[0] for r in con.execute(f"SELECT doc_id FROM ({q.mixing_sql(corpus.WEIGHTS, 0.8, 1)})").fetchall())
+    step = scratch.materialize(stages["mixture"](spark, step, SF), "plain-mixture")
+    assert ids(step) == kept
+
+    got = {r["doc_id"]: r for r in stages["encoding"](spark, step, SF).collect()}
+    assert sorted(got) == kept
+    for d in kept:
+        want = ids_of(tok, rows[d]["text"])
+        assert got[d]["n_tokens"] == len(want) and got[d]["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, got.values()))
+
+
 def test_a_large_class_of_near_copies_takes_few_pairs(spark, monkeypatch):
     """2,000 edited copies of one text: one class, with pairs in proportion to texts."""
     rnd, rows, tried = random.Random(9), [], []
@@ -362,6 +453,50 @@ def test_mixing_deals_every_token(odd):
         assert sum(r["take_tokens"] for r in mixing.mix(odd, levels, {"source": {"src0": 3}}, budget=budget, max_epochs=1).collect()) == budget
 
 
+@pytest.mark.parametrize("weights", [{"source": {"src1": 0}}, {"lang": {"en": 0, "de": 3}}, {"domain": {"web": 0}, "lang": {"fr": 0}}, {"source": {"src0": 0, "src1": 0, "src2": 0}, "lang": {"es": 0}}])
+def test_nothing_is_lost_under_weights_of_zero(spark, docs, weights):
+    """At several depths: rows equal the SQL, and the budget is dealt as far as what has a weight can give."""
+    levels = ["domain", "lang", "source"]
+    got = mixing.mix(docs, corpus.LEVELS, weights, fraction=0.6, max_epochs=2, seed=17).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = con.execute(q.mixing_sql(weights))
+    columns = [d[0] for d in want.description]
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=repr) == sorted(want.fetchall(), key=repr)
+    rows = docs.select(*(F.expr(e).alias(n) for n, e in corpus.LEVELS.items()), mixing.word_count(F.col("text")).alias("n")).collect()
+    total = sum(r["n"] for r in rows)
+    can = 2 * sum(r["n"] for r in rows if all(weights.get(c, {}).get(r[c], 1) > 0 for c in levels))
+    assert sum(r["take_tokens"] for r in got) == min(int(total * 0.6), can)
+
+
+def test_mixing_deals_real_tokens(docs):
+    counted = docs.join(token_counts.count_tokens(docs, PATH).select("doc_id", F.col("n_tokens").alias("held")), "doc_id")
+    got = mixing.mix(counted, corpus.LEVELS, corpus.WEIGHTS, budget=30_000, max_epochs=1, tokens=F.col("held")).collect()
+    assert sum(r["take_tokens"] for r in got) == 30_000 and all(r["take_tokens"] <= r["n_tokens"] for r in got)
+
+
+def test_many_addresses_in_one_text(spark):
+    """50,000 addresses in one text, in time linear in them."""
+    text = " ".join(f"a{i}@b.co" for i in range(50_000))
+    r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans, at = [], 0
+    for x in text.split(" "):
+        spans.append(f"email:{at}:{at + len(x)}")
+        at += len(x) + 1
+    assert r["n_email"] == 50_000 and r["spans"] == ",".join(spans)
+
+
+def test_neighbours_of_vectors_out_of_range(spark):
+    """Squares of these leave double range; cosines don't."""
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [-1e300, 1.0]), (3, [1e-310, 0.0]), (4, [0.0, 1e-200]), (5, [3.0, 4.0])]
+    got = {r["vec_id"]: r["score"] for r in hnsw.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for k, want in ((1, 0.5**0.5), (2, -1.0), (3, 1.0), (4, 0.0), (5, 0.6)):
+        assert abs(got[k] - want) < 1e-15
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>, __id string, query_id long, rank int")
+    assert hnsw.search(none, F.col("vec_id") == 0).count() == 0
+
+
 def test_shards_carry_sizes_checksums_and_every_row(docs):
     want = {r["doc_id"]: (len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()}
     got = shards.shard(docs, 40).collect()
@@ -373,7 +508,9 @@ def test_sites_shrink_towards_their_hosts(spark):
     """Posteriors equal the method of moments worked out plainly."""
     rnd = np.random.default_rng(12)
     rows = [(f"h{h}", f"h{h}/{p}", float(np.clip(0.2 + 0.15 * h + 0.1 * p + rnd.normal(0, 0.1), 0, 1))) for h in range(4) for p in range(3) for _ in range(4 + 9 * p)]
-    sites, mean = quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p_classifier double"))
+    scored = spark.createDataFrame(rows, "host string, path string, p_classifier double")
+    found = quality.site_posteriors(scored)
+    sites, mean, *strengths = found
     group = lambda at: {k: np.array([r[2] for r in rows if r[at] == k]) for k in {r[at] for r in rows}}
     hosts, paths, n = group(0), group(1), len(rows)
     assert abs(mean - np.mean([r[2] for r in rows])) < 1e-9
@@ -390,6 +527,20 @@ def test_sites_shrink_towards_their_hosts(spark):
     for r in sites.collect():
         x = paths[r["__path"]]
         assert abs(r["p_host"] - p_host[r["__host"]]) < 1e-9 and abs(r["p_path"] - (x.sum() + kp * up[r["__path"]]) / (len(x) + kp)) < 1e-9
+    assert np.allclose(strengths, (kh, kp))
+    logit = lambda x: np.log(np.clip(x, 1e-6, 1 - 1e-6) / (1 - np.clip(x, 1e-6, 1 - 1e-6)))
+    for r in quality.with_posterior(scored, *found).collect():
+        h, x, p = hosts[r["host"]], paths[r["path"]], r["p_classifier"]
+        others = (x.sum() - p + kp * (h.sum() - p + kh * mean) / (len(h) - 1 + kh)) / (len(x) - 1 + kp)
+        assert abs(logit(r["p_quality"]) - np.clip(logit(p) + logit(others) - logit(mean), -13.9, 13.9)) < 1e-6 or abs(logit(p) + logit(others) - logit(mean)) > 13
+
+
+def test_sites_decide_where_texts_say_nothing(spark):
+    """Texts all alike: what a document gets above or below the mean comes from the other documents of its site; one on its own gets its host's."""
+    rows = [(f"h{h}", f"h{h}/{p}", min(max(0.5 + (0.3 if h else -0.3) + 0.01 * (i % 5), 0), 1)) for h in range(2) for p in range(2) for i in range(200)] + [("h1", "h1/alone", 0.5), ("h0", "h0/alone", 0.5)]
+    scored = spark.createDataFrame(rows, "host string, path string, p_classifier double")
+    got = {r["path"]: r["p_quality"] for r in quality.with_posterior(scored, *quality.site_posteriors(scored)).where("path LIKE '%alone'").collect()}
+    assert got["h1/alone"] > 0.7 and got["h0/alone"] < 0.3
 
 
 @pytest.mark.parametrize(("table", "shard_rows"), [("sf0.1", 400), ("check_s", hnsw.SHARD_ROWS)])
