@@ -9,22 +9,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import bpe_trie, exact_dedup, minhash, mixing, quality, scratch
+from flowloom.llm import bpe_trie, corpus, exact_dedup, minhash, mixing, quality, scratch
 from flowloom.session import prepare
 
-VOCABULARY = "byte_bpe_50k.json"
-#: A document's site: its source, and within it the language section (SQL expressions).
-HOST, PATH = "source", "concat_ws('/', source, lang)"
-#: The tree of the mixture. Sources number from 0; of three, the second is taken for a reference work, the others for the web.
-DOMAIN = "CASE WHEN coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int), 0) % 3 = 1 THEN 'reference' ELSE 'web' END"
-LEVELS = {"domain": DOMAIN, "lang": "lang", "source": "source"}
-WEIGHTS = {"domain": {"web": 3, "reference": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 4}}
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     labels = prepare(spark).read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.keep_good(docs, labels, HOST, PATH)
+    return quality.keep_good(docs, labels, corpus.HOST, corpus.PATH)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,13 +34,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A mixture of four fifths of the words, by weight and without repeating any document."""
     prepare(spark)
-    return mixing.mix(docs, LEVELS, WEIGHTS, fraction=0.8, max_epochs=1, seed=17, whole_rows=True)
+    return mixing.mix(docs, corpus.LEVELS, corpus.WEIGHTS, fraction=0.8, max_epochs=1, seed=17, whole_rows=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     prepare(spark)
-    vocabulary = public_tokenizers.path(VOCABULARY)
+    vocabulary = public_tokenizers.path(corpus.VOCABULARY)
     return bpe_trie.digests(bpe_trie.round_trip(docs, vocabulary, release=True))  # the workers serve other stages too
 
 
