@@ -1,67 +1,28 @@
-"""Isolation forests: fitted on a small reference sample, scored in Arrow batches."""
+"""Isolation forests: fitted on a small reference sample, scored as tables of nodes."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
-from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from flowloom.functions import trees
+from flowloom.functions.trees import Forest
 
-def _expected(n: np.ndarray | int) -> np.ndarray:
-    """Mean depth of a failed search among n points."""
-    n = np.asarray(n, float)
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-
-
-@dataclass
-class Forest:
-    """Trees as flat arrays, one after the other: the feature to test (-1: leaf), its limit, both children, a leaf's depth."""
-
-    columns: list[str]
-    roots: list[int]
-    feature: list[int]
-    limit: list[float]
-    left: list[int]
-    right: list[int]
-    depth: list[float]
-    scale: float
-    offset: float = 0.0
-
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        """Minus the anomaly score in (0, 1): lower is stranger."""
-        feature, limit, left, right, depth = (np.asarray(a) for a in (self.feature, self.limit, self.left, self.right, self.depth))
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for root in self.roots:
-            at = np.full(len(x), root)
-            while (inner := feature[at] >= 0).any():
-                goes = x[rows, np.maximum(feature[at], 0)] < limit[at]
-                at = np.where(inner, np.where(goes, left[at], right[at]), at)
-            total += depth[at]
-        return -np.exp2(-total / len(self.roots) / self.scale)
-
-    def save(self, path: str) -> None:
-        Path(path).write_text(json.dumps(self.__dict__))
 
-    @staticmethod
-    def load(path: str) -> Forest:
-        return Forest(**json.loads(Path(path).read_text()))
+def _expected(n: int) -> float:
+    """Mean depth of a failed search among n points."""
+    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
 
 
-def fit(sample: np.ndarray, columns: Sequence[str], trees: int = 20, contamination: float = 0.01, seed: int = 42) -> Forest:
-    """A forest on a sample of a few hundred rows; the share `contamination` of it lies below zero."""
+def fit(sample: np.ndarray, columns: Sequence[str], n_trees: int = 20, contamination: float = 0.01, seed: int = 42) -> Forest:
+    """A forest on a sample of a few hundred rows, whose result (minus the anomaly score, moved) lies below zero for the share `contamination` of it."""
     rng, most = np.random.default_rng(seed), int(np.ceil(np.log2(max(len(sample), 2))))
-    out = Forest(list(columns), [], [], [], [], [], [], float(_expected(len(sample))))
+    out = Forest(list(columns), scale=float(_expected(len(sample))))
 
     def grow(rows: np.ndarray, level: int) -> int:
-        me = len(out.feature)
-        for a, v in ((out.feature, -1), (out.limit, 0.0), (out.left, me), (out.right, me), (out.depth, level + float(_expected(len(rows))))):
-            a.append(v)
+        me = out.leaf(level + _expected(len(rows)), level)
         low, high = rows.min(0), rows.max(0)
         wide = np.flatnonzero(high > low)
         if level < most and len(rows) > 1 and len(wide):
@@ -73,9 +34,9 @@ def fit(sample: np.ndarray, columns: Sequence[str], trees: int = 20, contaminati
                 out.left[me], out.right[me] = grow(rows[below], level + 1), grow(rows[~below], level + 1)
         return me
 
-    for _ in range(trees):
+    for _ in range(n_trees):
         out.roots.append(grow(sample[rng.choice(len(sample), min(256, len(sample)), replace=False)], 0))
-    out.offset = float(np.quantile(out.raw(sample), contamination))
+    out.offset = float(np.quantile(-np.exp2(-out.mean(sample) / out.scale), contamination))
     return out
 
 
@@ -85,17 +46,6 @@ def uniform(ranges: Sequence[tuple[float, float]], n: int = 150, seed: int = 42)
     return np.random.default_rng(seed).uniform(low, high, (n, len(ranges)))
 
 
-def decision(forest: Forest) -> Column:
-    """Below zero for outliers. Missing features count as 0."""
-
-    @F.pandas_udf("double")
-    def score(*features: pd.Series) -> pd.Series:
-        x = np.column_stack([f.to_numpy(float, na_value=0.0) for f in features])
-        return pd.Series(forest.raw(np.nan_to_num(x)) - forest.offset)
-
-    return score(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in forest.columns))
-
-
 def with_decision(df: DataFrame, forest: Forest, name: str = "decision") -> DataFrame:
-    missing = {c: F.lit(0.0) for c in forest.columns if c not in df.columns}
-    return df.withColumns(missing).withColumn(name, decision(forest)).drop(*missing)
+    """Adds the forest's result: below zero for outliers."""
+    return trees.with_result(df, forest, name)

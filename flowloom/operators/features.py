@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions import net, ngram
+from flowloom.operators import ordered
 from flowloom.sources import frames
 
 
@@ -75,26 +76,43 @@ def recon(flows: DataFrame, groups: list[str], also: tuple[Column, ...] = ()) ->
     return base.join(ports, groups)
 
 
+def gaps(rows: DataFrame, groups: list[str], at: str, width: float = 3600.0) -> DataFrame:
+    """Per group: mean, variance and coefficient of variation of the gaps between rows in order of time (0 where there is none).
+
+    Gaps are taken within spans of `width` seconds and between neighbouring spans of a group, whose means and variances are then
+    joined, so no group's rows are ordered in one task.
+    """
+    rows = rows.select(*groups, F.col(at).alias("__at"), F.floor(F.col(at) / width).alias("__span"))
+    inner = rows.withColumn("__gap", F.col("__at") - F.lag("__at").over(Window.partitionBy(*groups, "__span").orderBy("__at")))
+    parts = inner.groupBy(*groups, "__span").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count("__gap").alias("n"), F.avg("__gap").alias("m"), F.var_pop("__gap").alias("v"))
+    gap = F.col("__first") - F.lag("__last").over(Window.partitionBy(*groups).orderBy("__span"))
+    both = F.array(F.struct("n", "m", "v"), F.struct(F.when(gap.isNotNull(), 1).otherwise(0).cast("long").alias("n"), gap.alias("m"), F.lit(0.0).alias("v")))
+    parts = parts.select(*groups, both.alias("__both")).select(*groups, F.inline("__both"))
+    mean = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy(*groups)) / F.sum("n").over(Window.partitionBy(*groups))
+    parts = parts.withColumn("__mean", mean)
+    variance = F.sum(F.col("n") * (F.col("v") + F.pow(F.col("m") - F.col("__mean"), 2))) / F.sum("n")
+    out = parts.groupBy(*groups).agg(F.max("__mean").alias("iat_mean"), F.when(F.sum("n") > 0, variance).alias("iat_variance"))
+    cv = F.when(F.abs("iat_mean") < 1e-12, 0.0).otherwise(F.sqrt("iat_variance") / F.abs("iat_mean"))
+    return out.withColumn("iat_cv", cv).fillna(0.0, ["iat_mean", "iat_variance", "iat_cv"])
+
+
+def _variation(c: str) -> Column:
+    return F.coalesce(F.when(F.abs(F.avg(c)) < 1e-12, 0.0).otherwise(F.coalesce(F.stddev_pop(c), F.lit(0.0)) / F.abs(F.avg(c))), F.lit(0.0))
+
+
 def beacon(flows: DataFrame, groups: list[str]) -> DataFrame:
     """Regularity of start times, sizes and durations, and the number of peers."""
-    gap = F.col("start_time") - F.lag("start_time").over(Window.partitionBy(*groups).orderBy("start_time", "seq"))
-    cv = lambda c: F.when(F.abs(F.avg(c)) < 1e-12, 0.0).otherwise(F.coalesce(F.stddev_pop(c), F.lit(0.0)) / F.abs(F.avg(c)))
     size = (F.col("bytes_fwd") + F.col("bytes_bwd")).cast("double")
-    return flows.withColumns({"__gap": gap, "__size": size}).groupBy(*groups).agg(
-        F.coalesce(F.avg("__gap"), F.lit(0.0)).alias("iat_mean"), F.coalesce(F.var_pop("__gap"), F.lit(0.0)).alias("iat_variance"), F.coalesce(cv("__gap"), F.lit(0.0)).alias("iat_cv"),
-        F.count_distinct("dst_ip").alias("dst_cardinality"), F.avg("duration").alias("session_duration_mean"), cv("duration").alias("session_duration_cv"), cv("__size").alias("byte_size_cv"),
+    sums = flows.withColumn("__size", size).groupBy(*groups).agg(
+        F.count_distinct("dst_ip").alias("dst_cardinality"), F.avg("duration").alias("session_duration_mean"), _variation("duration").alias("session_duration_cv"), _variation("__size").alias("byte_size_cv"),
     )
+    return gaps(flows, groups, "start_time").join(sums, groups)
 
 
 def rhythm(rows: DataFrame, groups: list[str], at: str = "ts", size: str = "length") -> DataFrame:
     """Per group: n, regularity of gaps between rows in order of time, of sizes, and the periodicity score of times."""
-    gap = F.col(at) - F.lag(at).over(Window.partitionBy(*groups).orderBy(at, "seq"))
-    cv = lambda c: F.when(F.abs(F.avg(c)) < 1e-12, 0.0).otherwise(F.coalesce(F.stddev_pop(c), F.lit(0.0)) / F.abs(F.avg(c)))
-    out = rows.withColumns({"__gap": gap, "__size": F.col(size).cast("double")}).groupBy(*groups).agg(
-        F.count("*").alias("n"), F.coalesce(F.avg("__gap"), F.lit(0.0)).alias("iat_mean"), F.coalesce(F.var_pop("__gap"), F.lit(0.0)).alias("iat_variance"),
-        F.coalesce(cv("__gap"), F.lit(0.0)).alias("iat_cv"), F.coalesce(cv("__size"), F.lit(0.0)).alias("byte_size_cv"),
-    )
-    return out.join(periodicity(rows, groups, at=at), groups)
+    sums = rows.withColumn("__size", F.col(size).cast("double")).groupBy(*groups).agg(F.count("*").alias("n"), _variation("__size").alias("byte_size_cv"))
+    return sums.join(gaps(rows, groups, at), groups).join(periodicity(rows, groups, at=at), groups)
 
 
 def by_packets(features: DataFrame, counted: str, prefix: str, names: tuple[str, ...] = ("iat_mean", "iat_variance", "iat_cv", "byte_size_cv", "periodicity_score")) -> DataFrame:
@@ -155,16 +173,22 @@ def dns(queries: DataFrame, groups: list[str], ngrams: tuple[ngram.Ngrams, ngram
     return base.join(subs, groups, "left").fillna(0.0, ["unique_subdomains_per_apex"])
 
 
-def exfiltration(flows: DataFrame, window: int = 100) -> DataFrame:
-    """Per flow: ratios, the score of its outbound bytes against the source's last `window` flows, novelty of the destination."""
-    earlier = Window.partitionBy("src_ip").orderBy("start_time", "seq").rowsBetween(-window, -1)
-    mean, spread, n = F.avg("bytes_fwd").over(earlier), F.stddev_pop("bytes_fwd").over(earlier), F.count("*").over(earlier)
-    first = F.row_number().over(Window.partitionBy("src_ip", "dst_ip").orderBy("start_time", "seq")) == 1
-    flat = F.when(F.col("bytes_fwd") > mean, F.lit(float("inf"))).otherwise(0.0)
-    z = F.when(n < 2, 0.0).when(spread < 1e-9, flat).otherwise(F.try_divide(F.col("bytes_fwd") - mean, spread))
-    return flows.select(
+def exfiltration(flows: DataFrame, window: int = 100, width: float = 3600.0, block: int = 10_000) -> DataFrame:
+    """Per flow: ratios, the score of its outbound bytes against the source's last `window` flows, novelty of the destination.
+
+    A source's flows are dealt to blocks, each with a copy of the `window` flows before it, so no source is ordered in one task.
+    """
+    order = ["start_time", "seq"]
+    rows = ordered.with_halo(flows.withColumn(ordered.BLOCK, F.floor(F.col("start_time") / width)), ["src_ip"], order, window, block)
+    earlier = Window.partitionBy("src_ip", ordered.BLOCK).orderBy(*order).rowsBetween(-window, -1)
+    rows = rows.withColumns({"__m": F.avg("bytes_fwd").over(earlier), "__sd": F.stddev_pop("bytes_fwd").over(earlier), "__n": F.count("*").over(earlier)}).where("NOT __halo")
+    first = flows.groupBy("src_ip", "dst_ip").agg(F.min(F.struct(*order)).alias("__at")).select("__at.seq", "src_ip", "dst_ip", F.lit(1).alias("__new"))
+    rows = rows.join(first, ["seq", "src_ip", "dst_ip"], "left")
+    flat = F.when(F.col("bytes_fwd") > F.col("__m"), F.lit(float("inf"))).otherwise(0.0)
+    z = F.when(F.col("__n") < 2, 0.0).when(F.col("__sd") < 1e-9, flat).otherwise(F.try_divide(F.col("bytes_fwd") - F.col("__m"), F.col("__sd")))
+    return rows.select(
         "seq", "src_ip", "dst_ip", net.safe_ratio(F.col("bytes_fwd").cast("double"), F.col("bytes_bwd").cast("double")).alias("outbound_inbound_ratio"), z.alias("outbound_volume_zscore"),
-        net.safe_ratio(F.col("duration"), (F.col("bytes_fwd") + F.col("bytes_bwd")).cast("double")).alias("duration_bytes_ratio"), net.off_hours(F.col("start_time")).alias("off_hours_flag"), first.cast("int").alias("destination_novel"),
+        net.safe_ratio(F.col("duration"), (F.col("bytes_fwd") + F.col("bytes_bwd")).cast("double")).alias("duration_bytes_ratio"), net.off_hours(F.col("start_time")).alias("off_hours_flag"), F.coalesce("__new", F.lit(0)).alias("destination_novel"),
     )
 
 

@@ -24,23 +24,36 @@ def rows(flows: DataFrame, packets: DataFrame, capture: str, label: str, ngrams:
     packets or more; enc_, with the handshake's where packets have tls_raw; dns_ where they have questions) come from
     all packets of either direction between the flow's hosts, summed once per pair and then joined.
     """
-    single = flows.withColumn("seq", F.col("flow_no"))
     pair = [F.least("src_ip", "dst_ip").alias("__a"), F.greatest("src_ip", "dst_ip").alias("__b")]
     paired = packets.select("*", *pair)
-    parts = {
-        "ddos": feat.ddos(single, KEY), "c2": feat.beacon(single, KEY).join(feat.periodicity(single, KEY), KEY),
-        "recon": feat.recon(single, KEY), "exfil": feat.exfiltration_against(single, KEY),
-    }
-    by_pair = {"ddos": feat.handshakes(paired, ["__a", "__b"]), "enc": feat.encrypted(paired, ["__a", "__b"], denylist) if "tls_raw" in packets.columns else feat.first_packets(paired, ["__a", "__b"])}
+    own = ["__a", "__b"]
+    by_pair = {"ddos": feat.handshakes(paired, own), "enc": feat.encrypted(paired, own, denylist) if "tls_raw" in packets.columns else feat.first_packets(paired, own)}
     if {"dns_qname", "dns_qtype"} <= set(packets.columns):
         questions = paired.where("dns_qname != ''").withColumns({"qname": F.col("dns_qname"), "qtype": F.col("dns_qtype")})
-        by_pair["dns"] = feat.dns(questions, ["__a", "__b"], ngrams)
-    prefixed = lambda df, name, keys: df.select(*keys, *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys))
-    base = flows.select(*KEY, *pair, F.lit(f"{capture}_{label}").alias("session_id"), F.lit(label).alias("label"), F.lit(int(label != "benign")).alias("is_attack"))
-    out = reduce(lambda a, p: a.join(prefixed(p[1], p[0], KEY), KEY), parts.items(), base)
-    out = reduce(lambda a, p: a.join(prefixed(p[1], p[0], ["__a", "__b"]), ["__a", "__b"], "left"), by_pair.items(), out)
-    out = out.join(feat.packet_rhythm(paired, ["__a", "__b"]), ["__a", "__b"], "left")
-    return feat.by_packets(out, "__packets", "c2_").drop("__a", "__b")
+        by_pair["dns"] = feat.dns(questions, own, ngrams)
+    prefixed = lambda df, name: df.select(*own, *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in own))
+    pairs = reduce(lambda a, p: a.join(prefixed(p[1], p[0]), own, "left"), by_pair.items(), feat.packet_rhythm(paired, own))
+    named = [F.lit(f"{capture}_{label}").alias("session_id"), F.lit(label).alias("label"), F.lit(int(label != "benign")).alias("is_attack")]
+    alone = feat.exfiltration_against(flows, [*KEY, *_alone(), *pair, *named])
+    exfil = [F.col(c).alias(f"exfil_{c}") for c in alone.columns[-5:]]
+    base = alone.select(*own, *KEY, *(c for c in alone.columns[2:-5] if c not in own), *exfil)
+    return feat.by_packets(base.join(pairs, own, "left"), "__packets", "c2_").drop(*own)
+
+
+def _alone() -> list:
+    """Features by ddos, c2 and recon of a group that is one flow: of gaps, spread and runs there are none."""
+    span = F.greatest("duration", F.lit(net.SHORTEST))
+    tcp = F.col("protocol") == net.TCP
+    one, none = F.lit(1).cast("long"), F.lit(0.0)
+    found = {
+        "ddos": {"packets_per_sec": F.col("total_packets") / span, "bytes_per_sec": F.col("total_bytes") / span, "unique_src_count": one, "unique_src_per_sec": 1 / span, "src_ip_entropy": none, "protocol_mix_ratio": F.lit(1.0)},
+        "c2": {"iat_mean": none, "iat_variance": none, "iat_cv": none, "dst_cardinality": one, "session_duration_mean": F.col("duration"), "session_duration_cv": none, "byte_size_cv": none, "periodicity_score": none},
+        "recon": {
+            "unique_dst_hosts": one, "syn_no_completion_ratio": (tcp & (F.col("packets_fwd") > 0) & (F.col("packets_bwd") == 0)).cast("double"), "scan_rate": 1 / span,
+            "unique_dst_ports": one, "port_sequence_score": none,
+        },
+    }
+    return [c.alias(f"{name}_{n}") for name, columns in found.items() for n, c in columns.items()]
 
 
 def save(training: DataFrame, path: str) -> None:
@@ -56,7 +69,7 @@ def split(training: DataFrame, train: float = 0.70, validate: float = 0.15, seed
     hash, so its shares hold to within chance. Where no session is left for the test, validation rows serve for it too, once more.
     """
     sessions = training.groupBy("label", "session_id").agg(F.count("*").alias("__n"))
-    of_label, order = Window.partitionBy("label"), Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "session_id"), "session_id")
+    of_label, order = Window.partitionBy("label"), Window.partitionBy("label").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), "session_id")), "session_id")
     sessions = sessions.select("label", "session_id", F.count("*").over(of_label).alias("__k"), F.row_number().over(order).alias("__r"))
     n_train = F.greatest(F.lit(1), F.floor(F.col("__k") * train))
     n_both = n_train + F.greatest(F.lit(1), F.floor(F.col("__k") * validate))

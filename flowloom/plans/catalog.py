@@ -13,6 +13,7 @@ from flowloom.operators import alerts as al
 from flowloom.operators import detectors as det
 from flowloom.operators import features as feat
 from flowloom.operators import flows as fl
+from flowloom.operators import replay, selection, training
 from flowloom.plans import alert_queries as aq
 
 IDLE, WINDOW, NOW = 259_200.0, 2_592_000.0, 883_612_800.0
@@ -49,7 +50,7 @@ _FLOWS = f"""{_KEYED}, gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= {IDLE
   numbered AS (SELECT *, sum(is_new) OVER (PARTITION BY flow_id ORDER BY seq) AS flow_no FROM gaps),
   built AS (SELECT flow_id, flow_no::BIGINT AS flow_no, arg_min(src_ip, seq) AS src_ip, arg_min(dst_ip, seq) AS dst_ip, arg_min(src_port, seq) AS src_port, arg_min(dst_port, seq) AS dst_port, any_value(protocol) AS protocol,
    count(*) FILTER (is_forward) AS packets_fwd, count(*) FILTER (NOT is_forward) AS packets_bwd, sum(CASE WHEN is_forward THEN length ELSE 0 END)::BIGINT AS bytes_fwd, sum(CASE WHEN is_forward THEN 0 ELSE length END)::BIGINT AS bytes_bwd,
-   packets_fwd + packets_bwd AS total_packets, bytes_fwd + bytes_bwd AS total_bytes, arg_min(ts, seq) AS start_time, arg_max(ts, seq) AS end_time, end_time - start_time AS duration FROM numbered GROUP BY flow_id, flow_no)"""
+   packets_fwd + packets_bwd AS total_packets, bytes_fwd + bytes_bwd AS total_bytes, arg_min(ts, seq) AS start_time, arg_max(ts, seq) AS end_time, end_time - start_time AS duration, min(seq) AS first_seq FROM numbered GROUP BY flow_id, flow_no)"""
 _NAMES = """names AS (SELECT seq, qname, qtype, src_ip, ts, string_split(lower(rtrim(qname, '.')), '.') AS parts FROM dns_queries),
   labelled AS (SELECT *, CASE WHEN len(parts) < 2 THEN parts[1] WHEN len(parts) >= 3 AND length(parts[-2]) <= 3 THEN parts[-3] ELSE parts[-2] END AS label,
    CASE WHEN len(parts) >= 3 THEN array_to_string(parts[-2:], '.') END AS apex, CASE WHEN len(parts) >= 3 THEN array_to_string(parts[1:len(parts)-2], '.') END AS sub FROM names),
@@ -85,16 +86,8 @@ def p_severity(spark, sf_dir):
 
 @query(f"""{_with('packets')} SELECT seq, round(sum(length) OVER (ORDER BY seq) * 8 / 5e6, 6) AS release_ts, round(1e9 + greatest(0, ts - first_value(ts) OVER (ORDER BY seq)), 6) AS live_ts FROM packets""")
 def s_replay_pacing(spark, sf_dir):
-    """Release times at 5 Mbit/s and times moved to a new start. Running sums are per bucket of time, then over buckets."""
-    from pyspark.sql import Window
-
-    packets = view(spark, sf_dir, "packets").withColumn("__b", F.floor(F.col("seq") / 4096))
-    sums = packets.groupBy("__b").agg(F.sum("length").alias("__s"), F.min_by("ts", "seq").alias("__t"))
-    over = Window.orderBy("__b")
-    sums = sums.select("__b", F.coalesce(F.sum("__s").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.first("__t").over(over).alias("__t0"))
-    within = Window.partitionBy("__b").orderBy("seq")
-    rows = packets.withColumn("__own", F.sum("length").over(within)).join(sums, "__b")
-    return rounded(rows.select("seq", ((F.col("__ahead") + F.col("__own")) * 8 / 5e6).alias("release_ts"), (1e9 + F.greatest(F.lit(0.0), F.col("ts") - F.col("__t0"))).alias("live_ts")))
+    """Release times at 5 Mbit/s and times moved to a new start."""
+    return rounded(replay.paced(view(spark, sf_dir, "packets"), 5.0, 1e9).select("seq", "release_ts", "live_ts"))
 
 
 @query(f"""{_with('packets')} SELECT count(*) AS total_packets, sum(length)::BIGINT AS total_bytes, round(max(ts) - min(ts), 6) AS elapsed_seconds, round(sum(length) * 8 / ((max(ts) - min(ts)) * 1e6), 9) AS effective_mbps FROM packets""")
@@ -112,7 +105,7 @@ def s_upsert(spark, sf_dir):
 
 @query(f"""{_with('packets')}, {_FLOWS} SELECT flow_id, flow_no, src_ip, dst_ip, src_port, dst_port, protocol, packets_fwd, packets_bwd, bytes_fwd, bytes_bwd, total_packets, total_bytes, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, round(duration, 6) AS duration FROM built""")
 def f_flows(spark, sf_dir):
-    return rounded(fl.build(view(spark, sf_dir, "packets"), IDLE))
+    return rounded(fl.build(view(spark, sf_dir, "packets"), IDLE).drop("first_seq"))
 
 
 @query(f"""{_with('packets')} SELECT seq, src_ip, dst_ip FROM packets QUALIFY row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY seq) <= 30""")
@@ -250,29 +243,21 @@ def q_alert_flows(spark, sf_dir):
     return aq.with_flow(view(spark, sf_dir, "alerts"), flows).select("alert_id", "flow_id", "bytes_fwd")
 
 
-@query("""WITH c AS (SELECT label, session_id, row_number() OVER (PARTITION BY label ORDER BY md5(session_id)) AS r, count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT lang AS label, source AS session_id FROM documents)),
-  s AS (SELECT *, CASE WHEN r <= greatest(1, floor(0.7 * n)) THEN 'train' WHEN r <= greatest(1, floor(0.7 * n)) + greatest(1, floor(0.15 * n)) THEN 'validation' ELSE 'test' END AS part FROM c)
+@query("""WITH c AS (SELECT label, session_id, row_number() OVER (PARTITION BY label ORDER BY md5('42-' || session_id), session_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT lang AS label, source AS session_id FROM documents)),
+  k AS (SELECT *, greatest(1, floor(0.7 * n)) AS t, t + greatest(1, floor(0.15 * n)) AS v FROM c),
+  s AS (SELECT label, session_id, unnest(CASE WHEN r <= t THEN ['train'] WHEN r <= v THEN CASE WHEN n <= v THEN ['validation', 'test'] ELSE ['validation'] END ELSE ['test'] END) AS part FROM k WHERE n >= 3)
   SELECT doc_id AS flow_index, lang AS label, part FROM documents JOIN s ON s.label = lang AND s.session_id = source""")
 def m_session_split(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Documents stand for flows, their sources for sessions (three or more a language)."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("flow_index"), F.col("lang").alias("label"), F.col("source").alias("session_id"))
-    sessions = rows.select("label", "session_id").distinct()
-    by = Window.partitionBy("label")
-    sessions = sessions.withColumns({"r": F.row_number().over(by.orderBy(F.md5("session_id"))), "n": F.count("*").over(by)})
-    train, val = F.greatest(F.lit(1), F.floor(0.7 * F.col("n"))), F.greatest(F.lit(1), F.floor(0.15 * F.col("n")))
-    sessions = sessions.select("label", "session_id", F.when(F.col("r") <= train, "train").when(F.col("r") <= train + val, "validation").otherwise("test").alias("part"))
-    return rows.join(sessions, ["label", "session_id"]).select("flow_index", "label", "part")
+    return training.split(rows).select("flow_index", "label", "part")
 
 
 @query("""WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic = 1) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn FROM labels)
   SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
 def m_metrics(spark, sf_dir):
-    y, p = F.col("quality"), 1 - F.col("toxic")
-    c = spark.read.parquet(f"{sf_dir}/labels.parquet").agg(*(F.count_if((y == a) & (p == b)).alias(n) for n, a, b in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))))
-    ratio = lambda a, b: F.round(net.safe_ratio(a.cast("double"), b.cast("double")), 6)
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("tp", "fp", "fn", "tn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    """Freedom from toxicity as a guess at quality."""
+    return rounded(training.metrics(spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("guess", 1 - F.col("toxic")), "quality", "guess"))
 
 
 @query(f"""{_with('packets')}, p AS (SELECT least(src_ip, dst_ip) AS a, greatest(src_ip, dst_ip) AS b, count(*) AS n, sum(length)::BIGINT AS bytes FROM packets GROUP BY ALL), {_FLOWS}
@@ -287,7 +272,8 @@ def m_flow_packets(spark, sf_dir):
 
 @query(f"""{_with('flows')} SELECT round(median(duration), 6) AS median_latency, round(quantile_cont(duration, 0.95), 6) AS p95_latency FROM flows""")
 def b_percentiles(spark, sf_dir):
-    return rounded(view(spark, sf_dir, "flows").agg(F.median("duration").alias("median_latency"), F.percentile("duration", 0.95).alias("p95_latency")))
+    median, p95 = selection.quantiles(view(spark, sf_dir, "flows"), "duration", [0.5, 0.95])
+    return rounded(spark.range(1).select(F.lit(median).cast("double").alias("median_latency"), F.lit(p95).cast("double").alias("p95_latency")))
 
 
 @query(f"""{_with('packets')}, {_KEYED}, o AS (SELECT flow_id, length::DOUBLE AS v, row_number() OVER w AS r, count(*) OVER (PARTITION BY flow_id) AS n FROM keyed WINDOW w AS (PARTITION BY flow_id ORDER BY seq))
@@ -313,10 +299,29 @@ def f_flows_by_clock(spark, sf_dir):
     return rounded(fl.build_by_clock(view(spark, sf_dir, "packets"), IDLE, ACTIVE, width=86_400.0).select("flow_id", "flow_no", "total_packets", "total_bytes", "start_time", "end_time", "state"))
 
 
-@query(f"""{_RECURSIVE}, {_CLOCK}, marks AS (SELECT flow_id, flow_no, start_time, unnest(range(1, floor((end_time - start_time) / {TICK})::BIGINT + 1)) AS tick FROM timed)
-  SELECT m.flow_id, m.flow_no, tick, round(start_time + tick * {TICK}, 6) AS at, count(*) AS total_packets, sum(length)::BIGINT AS total_bytes FROM marks m JOIN walk w ON w.flow_id = m.flow_id AND w.flow_no = m.flow_no AND ceil((w.ts - start_time) / {TICK}) <= tick GROUP BY m.flow_id, m.flow_no, tick, start_time""")
+_BEATS = f"""seen AS (SELECT DISTINCT ts FROM packets), ends AS (SELECT t.*, p.ts AS closed_at FROM timed t ASOF LEFT JOIN seen p ON p.ts >= least(t.start_time + {ACTIVE}, t.end_time + {IDLE})),
+  nexts AS (SELECT a.ts, b.ts AS nts FROM seen a ASOF JOIN seen b ON b.ts >= a.ts + {TICK}), firsts AS (SELECT ts, min(seq) AS s FROM packets GROUP BY ts),
+  beats AS (SELECT flow_id, flow_no, 1::BIGINT AS tick, closed_at, nts AS at FROM ends JOIN nexts ON ts = start_time WHERE closed_at IS NULL OR nts < closed_at
+   UNION ALL SELECT b.flow_id, b.flow_no, b.tick + 1, b.closed_at, n.nts FROM beats b JOIN nexts n ON n.ts = b.at WHERE b.closed_at IS NULL OR n.nts < b.closed_at)"""
+
+
+@query(f"""{_RECURSIVE}, {_CLOCK}, {_BEATS} SELECT b.flow_id, b.flow_no, b.tick, round(b.at, 6) AS at, count(*) AS total_packets, sum(length)::BIGINT AS total_bytes
+  FROM beats b JOIN firsts f ON f.ts = b.at JOIN walk w ON w.flow_id = b.flow_id AND w.flow_no = b.flow_no AND w.seq <= f.s GROUP BY ALL""")
 def f_ticks(spark, sf_dir):
-    return rounded(fl.ticks(fl.numbered(view(spark, sf_dir, "packets"), IDLE, ACTIVE), TICK))
+    return rounded(fl.ticks(view(spark, sf_dir, "packets"), IDLE, ACTIVE, TICK, width=86_400.0))
+
+
+LATER = 200_000.0
+
+
+@query(f"""{_RECURSIVE}, {_CLOCK}, late AS (SELECT DISTINCT ts FROM packets UNION SELECT max(ts) + {LATER} FROM packets),
+  looked AS (SELECT t.*, p.ts AS closed_at FROM timed t ASOF LEFT JOIN late p ON p.ts >= least(t.start_time + {ACTIVE}, t.end_time + {IDLE}))
+  SELECT flow_id, flow_no, total_packets, round(closed_at, 6) AS closed_at, CASE WHEN closed_at IS NULL THEN 'expired_flush' WHEN closed_at >= start_time + {ACTIVE} THEN 'expired_active' ELSE 'expired_idle' END AS state FROM looked""")
+def f_flows_as_of(spark, sf_dir):
+    """A look at all open flows some time after the last packet."""
+    packets = view(spark, sf_dir, "packets")
+    last = packets.agg(F.max("ts")).first()[0] or 0.0
+    return rounded(fl.build_by_clock(packets, IDLE, ACTIVE, as_of=last + LATER, width=86_400.0).select("flow_id", "flow_no", "total_packets", "closed_at", "state"))
 
 
 @query(f"""{_RECURSIVE}, {_CLOCK} SELECT sum(total_packets)::BIGINT AS packets, count(*) AS created, count(*) FILTER (state <> 'expired_flush') AS expired, count(*) FILTER (state = 'expired_flush') AS active FROM closed""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from flowloom.operators import features as feat
 from flowloom.operators import models
 from flowloom.plans import alert_queries as aq
 from flowloom.plans.catalog import _ALERTS, _NAMES, _gram_sql, _severe, _with, query, rounded
-from flowloom.sources import frames, generated, netflow
+from flowloom.sources import frames, generated, netflow, pcap
+from flowloom.written import folder
 
 #: Which packets of the fixture carry a handshake's first message (one in eleven is cut short), and what it says.
 _CARRIES, _CUT = "protocol = 6 AND dst_port = 443", "seq % 11 = 0"
@@ -51,7 +53,13 @@ def d_handshake_rules(spark, sf_dir):
     return det.handshake(rows.withColumn("pkt_size_mean", F.lit(0.0)), F.lit(0.25)).select("seq", "confidence")
 
 
-@query(None)
+@query(f"""{_with('packets').replace('WITH', 'WITH RECURSIVE', 1)}, {HELLOS}, o AS (SELECT *, row_number() OVER w AS r, ts - lag(ts) OVER w AS gap FROM packets WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ts, seq)),
+  sizes AS (SELECT src_ip, dst_ip, avg(length) AS pkt_size_mean, stddev_pop(length) AS pkt_size_std, coalesce(avg(gap), 0) AS pkt_ipt_mean, coalesce(stddev_pop(gap), 0) AS pkt_ipt_std FROM o WHERE r <= 10 GROUP BY ALL),
+  hello AS (SELECT src_ip, dst_ip, arg_min(cipher_suite_count, (ts, seq)) AS c, arg_min(extension_count, (ts, seq)) AS e, arg_min(ja3_string, (ts, seq)) AS ja3_string FROM hello_packets WHERE tls GROUP BY ALL),
+  judged AS (SELECT *, s.src_ip || '>' || s.dst_ip AS pair, coalesce(c, 0) AS cipher_suite_count, coalesce(e, 0) AS extension_count FROM sizes s LEFT JOIN hello h ON h.src_ip = s.src_ip AND h.dst_ip = s.dst_ip),
+  {models.handshake_forest().sql("judged", "pair", "decision")},
+  k AS (SELECT j.*, decision AS d, greatest(CASE WHEN ja3_string = '771,4865,0-10-11,29-23,0' THEN 0.98 ELSE 0 END, CASE WHEN cipher_suite_count > 0 AND cipher_suite_count <= 2 AND extension_count <= 1 THEN 0.7 ELSE 0 END) AS rule FROM judged j JOIN forest_scores USING (pair))
+  SELECT src_ip, dst_ip, cipher_suite_count::INT AS cipher_suite_count, round(d, 6)::DOUBLE AS decision, round((CASE WHEN cipher_suite_count > 0 OR pkt_size_mean > 0 THEN CASE WHEN d < 0 THEN greatest(rule, least(0.85, 0.45 + 1.5 * abs(d))) WHEN rule = 0 THEN greatest(0, 0.1 - 0.4 * d) ELSE rule END ELSE rule END)::DOUBLE, 4) AS confidence FROM k""")
 def d_handshake_forest(spark, sf_dir):
     """Handshakes of pairs of hosts by fingerprint, rules and isolation forest."""
     packets = with_hellos(view(spark, sf_dir, "packets"))
@@ -122,6 +130,17 @@ def s_decode(spark, sf_dir):
     return got.select("seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "dns_qname", "dns_qtype", F.col("tls_raw").isNotNull().alias("is_tls"), size.cast("int").alias("size"))
 
 
+@query(f"""{_with('packets')} SELECT (seq // 4096) * (1::BIGINT << 40) + row_number() OVER (PARTITION BY seq // 4096 ORDER BY seq) - 1 AS seq, round(ts, 3) AS ts, src_ip, dst_ip, src_port, dst_port, protocol, tcp_flags FROM packets""")
+def s_captures(spark, sf_dir):
+    """The fixture's packets written as captures of some 4,096 each, read again in ranges of 64 KB and decoded."""
+    rows = view(spark, sf_dir, "packets")
+    made = generated.frame(*(F.col(c) for c in ("src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags")), F.unhex(F.lit("")), F.lit(True))
+    path = f"{folder(spark)}/captures-{uuid.uuid4().hex}"
+    pcap.write(rows.select(F.format_string("%012d.pcap", F.floor(F.col("seq") / 4096)).alias("file"), F.col("seq").alias("number"), "ts", F.lit(1).alias("link"), made.alias("frame")), path)
+    got = frames.decode(pcap.with_seq(pcap.read(spark, path, split=1 << 16)))
+    return got.select("seq", F.round("ts", 3).alias("ts"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags")
+
+
 #: Datagrams of the fixture, by a flow's number: version, exporter, whether they announce a template and of which order of addresses; some are of no known version.
 _NINE, _ANNOUNCES, _SWAPS, _JUNK = "seq % 7 < 4", "seq % 11 < 3", "seq % 2 = 1", "seq % 13 = 0"
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowloom.fixtures import view
-from flowloom.functions import isolation, net, ngram
+from flowloom.functions import isolation, net, ngram, trees
 from flowloom.operators import alerts as al
 from flowloom.operators import detectors as det
 from flowloom.operators import features as feat
-from flowloom.operators import models
+from flowloom.operators import models, selection
 from flowloom.plans import alert_queries as aq
-from flowloom.plans.catalog import _ALERTS, _RECON, NOW, _severe, _with, query, rounded
+from flowloom.plans.catalog import _ALERTS, _NAMES, _RECON, NOW, _gram_sql, _severe, _with, query, rounded
 
 _DDOS = """g AS (SELECT dst_ip, greatest(max(start_time + duration) - min(start_time), 1e-9) AS span, sum(packets_fwd + packets_bwd) / span AS pps, sum(bytes_fwd + bytes_bwd) / span AS bps, count(DISTINCT src_ip) AS u, entropy(src_ip) AS e FROM flows GROUP BY dst_ip),
   rules AS (SELECT dst_ip, least(1.0, CASE WHEN pps >= 0.0001 THEN least(0.4 * pps / 0.0001 / 2, 0.4) ELSE 0 END + CASE WHEN bps >= 1 THEN least(0.3 * bps / 1 / 2, 0.3) ELSE 0 END + CASE WHEN e >= 4 AND u >= 20 THEN 0.25 ELSE 0 END) AS rule FROM g)"""
@@ -53,20 +53,35 @@ def d_handshake(spark, sf_dir):
     return det.handshake(rows, F.col("d")).select("seq", "confidence")
 
 
-@query(None)
+@query(f"""{_with('flows').replace('WITH', 'WITH RECURSIVE', 1)}, g AS (SELECT dst_ip, greatest(max(start_time + duration) - min(start_time), 1e-9) AS span, sum(packets_fwd + packets_bwd) / span AS packets_per_sec, sum(bytes_fwd + bytes_bwd) / span AS bytes_per_sec, count(DISTINCT src_ip) AS u, u / span AS unique_src_per_sec, entropy(src_ip) AS src_ip_entropy FROM flows GROUP BY dst_ip),
+  m AS (SELECT dst_ip, max(n) / sum(n) AS protocol_mix_ratio FROM (SELECT dst_ip, protocol, count(*) AS n FROM flows GROUP BY ALL) GROUP BY dst_ip), judged AS (SELECT *, 1.0 AS syn_ack_ratio, 0 AS half_open_count FROM g JOIN m USING (dst_ip)),
+  {models.traffic_forest().sql("judged", "dst_ip", "decision")},
+  ruled AS (SELECT dst_ip, decision AS d, round(least(1, CASE WHEN packets_per_sec >= 500 THEN least(0.4 * packets_per_sec / 1000, 0.4) ELSE 0 END + CASE WHEN bytes_per_sec >= 1e6 THEN least(0.3 * bytes_per_sec / 2e6, 0.3) ELSE 0 END + CASE WHEN src_ip_entropy >= 4 AND u >= 20 THEN 0.25 ELSE 0 END), 4) AS rule FROM judged JOIN forest_scores USING (dst_ip)),
+  odds AS (SELECT *, CASE WHEN d >= 0 THEN greatest(0, 0.1 - 0.5 * d) WHEN d >= -0.08 THEN 0.1 + abs(d) / 0.08 * 0.15 ELSE least(0.95, 0.5 + 1.5 * abs(d)) END AS odd FROM ruled)
+  SELECT dst_ip, round(d, 4)::DOUBLE AS decision, round((CASE WHEN rule > 0 THEN greatest(rule, 0.7 * rule + 0.3 * odd) WHEN odd < 0.5 THEN least(0.2, odd) ELSE odd END)::DOUBLE, 4) AS confidence FROM odds""")
 def d_ddos_forest(spark, sf_dir):
     """Rules fused with an isolation forest fitted on harmless traffic."""
     rows = feat.ddos(view(spark, sf_dir, "flows"), ["dst_ip"]).withColumns({"syn_ack_ratio": F.lit(1.0), "half_open_count": F.lit(0)})
     return det.fused_ddos(isolation.with_decision(rows, models.traffic_forest()), F.col("decision")).select("dst_ip", F.round("decision", 4).alias("decision"), "confidence")
 
 
-@query(None)
+_BEACON = """gapped AS (SELECT *, start_time - lag(start_time) OVER (PARTITION BY src_ip ORDER BY start_time, seq) AS gap, (bytes_fwd + bytes_bwd)::DOUBLE AS size FROM flows),
+  calls AS (SELECT src_ip, coalesce(avg(gap), 0) AS iat_mean, CASE WHEN coalesce(abs(avg(gap)), 0) < 1e-12 THEN 0 ELSE stddev_pop(gap) / abs(avg(gap)) END AS iat_cv, count(DISTINCT dst_ip) AS dst_cardinality,
+   CASE WHEN abs(avg(duration)) < 1e-12 THEN 0 ELSE stddev_pop(duration) / avg(duration) END AS session_duration_cv, CASE WHEN abs(avg(size)) < 1e-12 THEN 0 ELSE stddev_pop(size) / avg(size) END AS byte_size_cv, min(start_time) AS t0, max(start_time) AS t1, count(*) AS n FROM gapped GROUP BY src_ip),
+  bins AS (SELECT src_ip, least(floor((start_time - t0) / ((t1 - t0) / 256)), 255) AS b, count(*) AS n FROM flows JOIN calls USING (src_ip) WHERE calls.n >= 4 AND t1 - t0 >= 1e-9 GROUP BY ALL),
+  power AS (SELECT src_ip, k, pow(sum(c.n * cos(k * b * (-2 * pi() / 256))), 2) + pow(sum(c.n * sin(k * b * (-2 * pi() / 256))), 2) AS p FROM bins c, range(1, 129) t(k) GROUP BY src_ip, k),
+  contacts AS (SELECT c.*, coalesce(s, 0) AS periodicity_score FROM calls c LEFT JOIN (SELECT src_ip, max(p) / sum(p) AS s FROM power GROUP BY src_ip) USING (src_ip))"""
+_BEACON_FUSED = """boosts AS (SELECT *, CASE WHEN periodicity_score >= 0.5 THEN 0.2 ELSE 0 END + CASE WHEN iat_cv <= 0.15 AND iat_mean >= 1 THEN 0.2 ELSE 0 END + CASE WHEN dst_cardinality = 1 AND (periodicity_score >= 0.4 OR iat_cv <= 0.2) THEN 0.1 ELSE 0 END + CASE WHEN byte_size_cv <= 0.1 AND (periodicity_score >= 0.4 OR iat_cv <= 0.2) THEN 0.1 ELSE 0 END AS boost
+   FROM contacts JOIN forest_scores USING (src_ip)), fusions AS (SELECT *, greatest(probability, 0.7 * probability + 0.3 * boost) AS fused FROM boosts)"""
+
+
+@query(f"""{_with('flows').replace('WITH', 'WITH RECURSIVE', 1)}, {_BEACON}, {models.beacon_forest().sql("contacts", "src_ip", "probability")}, {_BEACON_FUSED}
+  SELECT src_ip, round(probability, 4)::DOUBLE AS probability, round(greatest(0, least(1, CASE WHEN periodicity_score < 0.15 AND iat_cv > 0.5 THEN least(fused, 0.25) ELSE fused END))::DOUBLE, 4) AS confidence FROM fusions""")
 def d_beacon_forest(spark, sf_dir):
-    """A random forest on reference contacts, its probability fused with the rules, per source."""
+    """A forest on reference contacts, its share of votes fused with the rules, per source."""
     flows = view(spark, sf_dir, "flows")
     rows = feat.beacon(flows, ["src_ip"]).join(feat.periodicity(flows, ["src_ip"]), "src_ip")
-    model = models.fit_forest(models.contacts(spark), list(models.IRREGULAR))
-    return det.beacon(models.with_probability(rows, model), F.col("probability")).select("src_ip", F.round("probability", 4).alias("probability"), "confidence")
+    return det.beacon(trees.with_result(rows, models.beacon_forest(), "probability"), F.col("probability")).select("src_ip", F.round("probability", 4).alias("probability"), "confidence")
 
 
 def _names(rows, fitted):
@@ -79,17 +94,21 @@ def _names(rows, fitted):
     })
 
 
-@query(None)
+_WORDS = " ".join(sorted(models.KNOWN_WORDS))
+
+
+@query(f"""{_with('dns_queries').replace('WITH', 'WITH RECURSIVE', 1)}, {_NAMES}, corpus AS (SELECT '{_WORDS}' AS text), {_gram_sql(1)}, {_gram_sql(2)}, {_gram_sql(3)},
+  judged AS (SELECT DISTINCT label, coalesce(entropy, 0) AS entropy, 0.4 * coalesce(s2.score, 0) + 0.6 * coalesce(s3.score, 0) AS ngram_score, length(regexp_replace(label, '[^0-9]', '', 'g')) / length(label) AS digit_ratio,
+   length(regexp_replace(label, '[^b-df-hj-np-tv-z]', '', 'g')) / length(label) AS consonant_ratio, length(label) AS label_length FROM labelled LEFT JOIN ent USING (label) LEFT JOIN s2 USING (label) LEFT JOIN s3 USING (label)),
+  {models.name_forest().sql("judged", "label", "probability")},
+  f AS (SELECT *, greatest(probability, 0.6 * probability + 0.4 * (CASE WHEN entropy >= 3.2 THEN 0.25 ELSE 0 END + CASE WHEN ngram_score <= -16 THEN 0.25 ELSE 0 END + CASE WHEN digit_ratio >= 0.3 THEN 0.2 ELSE 0 END)) AS fused FROM judged JOIN forest_scores USING (label))
+  SELECT seq, label, round(probability, 4)::DOUBLE AS probability, round(least(1, CASE WHEN entropy < 2.5 AND ngram_score > -14 THEN least(fused, 0.2) ELSE fused END)::DOUBLE, 4) AS confidence FROM labelled JOIN f USING (label)""")
 def d_dns_forest(spark, sf_dir):
-    """A random forest on known words (here: nations) and generated names, over each question's label."""
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lower(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("label"))
-    corpus = nations.agg(F.array_join(F.array_sort(F.collect_list("label")), " ").alias("text"))  # a fixed dimension
-    fitted = {n: ngram.fit(corpus, "text", n) for n in (2, 3)}
-    made = spark.createDataFrame([(w,) for w in models.random_names()], "label string")
-    known = _names(nations.withColumn("class", F.lit(0.0)).unionByName(made.withColumn("class", F.lit(1.0))), fitted).withColumn("label", F.col("class"))
-    model = models.fit_forest(known, models.NAME_FEATURES)
+    """A forest on frequent words and generated names, over each question's label (the form for single names)."""
+    text = spark.range(1).select(F.lit(_WORDS).alias("text"))  # a fixed list
+    fitted = {n: ngram.fit(text, "text", n) for n in (2, 3)}
     rows = _names(view(spark, sf_dir, "dns_queries").select("seq", net.label_of(F.col("qname")).alias("label")), fitted)
-    return det.dns(models.with_probability(rows, model), F.col("probability")).select("seq", "label", F.round("probability", 4).alias("probability"), "confidence")
+    return det.dns(trees.with_result(rows, models.name_forest(), "probability"), F.col("probability")).select("seq", "label", F.round("probability", 4).alias("probability"), "confidence")
 
 
 @query(f"""{_with('flows')}, s AS (SELECT seq, src_ip, (seq % 10) / 10.0 AS a, (seq % 9) / 10.0 AS b, (seq % 8) / 10.0 AS c FROM flows)
@@ -186,4 +205,5 @@ def m_union_filled(spark, sf_dir):
 def b_throughput(spark, sf_dir):
     span = F.max("ts") - F.min("ts")
     rates = view(spark, sf_dir, "packets").agg(F.round(F.sum("length") * 8 / 1e6 / span, 9).alias("mbps"), F.round(F.count("*") / span, 9).alias("packets_per_second"))
-    return rates.join(F.broadcast(view(spark, sf_dir, "flows").agg((F.median("duration") * 1000 <= 5000).alias("complies"))))  # one row each
+    (median,) = selection.quantiles(view(spark, sf_dir, "flows"), "duration", [0.5])
+    return rates.withColumn("complies", F.lit(median).cast("double") * 1000 <= 5000)

@@ -11,7 +11,7 @@ from flowloom.operators import flows as fl
 from flowloom.operators import training
 from flowloom.plans import alert_queries as aq
 from flowloom.plans.catalog import _ALERTS, _FLOWS, IDLE, NOW, _severe, _with, query, rounded
-from flowloom.plans.packet_queries import HELLOS, with_hellos
+from flowloom.plans.packet_queries import _ASKS, HELLOS, with_hellos
 from flowloom.sources import generated
 
 _RATES = ("'' || (seq % 50)", "(seq % 50) || 'Mbps'", "' ' || (seq % 50) || '.5 mbit/s '", "(seq % 50) || ' MB/s'", "'fast'")
@@ -49,20 +49,23 @@ _PAIRS = f"""o AS (SELECT *, least(src_ip, dst_ip) AS a, greatest(src_ip, dst_ip
   c AS (SELECT a, b, least(floor((ts - t0) / ((t1 - t0) / 256)), 255) AS bin, count(*) AS n FROM q JOIN g USING (a, b) WHERE g.n >= 4 AND t1 - t0 >= 1e-9 GROUP BY ALL),
   w AS (SELECT a, b, k, pow(sum(c.n * cos(k * bin * (-2 * pi() / 256))), 2) + pow(sum(c.n * sin(k * bin * (-2 * pi() / 256))), 2) AS p FROM c, range(1, 129) t(k) GROUP BY a, b, k),
   per AS (SELECT a, b, max(p) / sum(p) AS score FROM w GROUP BY a, b), e AS (SELECT a, b, avg(length) AS m FROM q WHERE r <= 10 GROUP BY a, b),
-  hs AS (SELECT a, b, arg_min(cipher_suite_count, (ts, seq)) AS ciphers, arg_min(ja3_hash, (ts, seq)) AS ja3_hash FROM q WHERE tls GROUP BY a, b)"""
+  hs AS (SELECT a, b, arg_min(cipher_suite_count, (ts, seq)) AS ciphers, arg_min(ja3_hash, (ts, seq)) AS ja3_hash FROM q WHERE tls GROUP BY a, b),
+  dq AS (SELECT a, b, count(DISTINCT seq % 5) AS names, avg(CASE WHEN 1 + seq % 30 IN (10, 16) THEN 1 ELSE 0 END) AS data FROM q WHERE {_ASKS} GROUP BY a, b)"""
 
 
 @query(f"""{_with('packets')}, {HELLOS}, {_FLOWS}, {_PAIRS}
   SELECT flow_id, flow_no, 'events_c2_beacon' AS session_id, 'c2_beacon' AS label, 1 AS is_attack, round(total_packets / greatest(duration, 1e-9), 6) AS ddos_packets_per_sec, 1::BIGINT AS recon_unique_dst_ports,
    round(CASE WHEN n >= 2 THEN iat_mean ELSE 0 END, 3) AS c2_iat_mean, round(CASE WHEN n >= 2 AND abs(iat_mean) >= 1e-12 THEN iat_sd / abs(iat_mean) ELSE 0 END, 6) AS c2_iat_cv, round(CASE WHEN n >= 2 THEN size_cv ELSE 0 END, 6) AS c2_byte_size_cv,
-   round(CASE WHEN n >= 2 THEN coalesce(score, 0) ELSE 0 END, 6) AS c2_periodicity_score, round(CASE WHEN bytes_bwd = 0 THEN 0 ELSE bytes_fwd / bytes_bwd END, 6) AS exfil_outbound_inbound_ratio, round(m, 6) AS enc_pkt_size_mean, coalesce(ciphers, 0)::INT AS enc_cipher_suite_count, coalesce(ja3_hash, '') AS enc_ja3_hash
-  FROM built f JOIN g ON g.a = least(src_ip, dst_ip) AND g.b = greatest(src_ip, dst_ip) JOIN e USING (a, b) LEFT JOIN per USING (a, b) LEFT JOIN hs USING (a, b)""")
+   round(CASE WHEN n >= 2 THEN coalesce(score, 0) ELSE 0 END, 6) AS c2_periodicity_score, round(CASE WHEN bytes_bwd = 0 THEN 0 ELSE bytes_fwd / bytes_bwd END, 6) AS exfil_outbound_inbound_ratio, round(m, 6) AS enc_pkt_size_mean, coalesce(ciphers, 0)::INT AS enc_cipher_suite_count, coalesce(ja3_hash, '') AS enc_ja3_hash,
+   CASE WHEN protocol = 6 THEN CASE WHEN packets_fwd > 0 AND packets_bwd = 0 THEN 1 ELSE 0 END ELSE 0 END::DOUBLE AS recon_syn_no_completion_ratio, names AS dns_unique_qnames, round(data, 6) AS dns_txt_null_ratio
+  FROM built f JOIN g ON g.a = least(src_ip, dst_ip) AND g.b = greatest(src_ip, dst_ip) JOIN e USING (a, b) LEFT JOIN per USING (a, b) LEFT JOIN hs USING (a, b) LEFT JOIN dq USING (a, b)""")
 def m_training_rows(spark, sf_dir):
-    """Packet features of both hosts' packets, among them rhythm and handshakes."""
-    packets = with_hellos(view(spark, sf_dir, "packets"))
+    """Packet features of both hosts' packets, among them rhythm, handshakes and questions."""
+    asks = lambda text: F.when(F.expr(_ASKS), F.expr(text))
+    packets = with_hellos(view(spark, sf_dir, "packets")).withColumns({"dns_qname": asks("concat('host', seq % 5, '.example.com')"), "dns_qtype": asks("cast(1 + seq % 30 AS string)")})
     rows = training.rows(fl.build(packets, IDLE), packets, "events", "c2_beacon")
     rows = rows.withColumn("c2_iat_mean", F.round("c2_iat_mean", 3))
-    return rounded(rows.select("flow_id", "flow_no", "session_id", "label", "is_attack", "ddos_packets_per_sec", "recon_unique_dst_ports", "c2_iat_mean", "c2_iat_cv", "c2_byte_size_cv", "c2_periodicity_score", "exfil_outbound_inbound_ratio", "enc_pkt_size_mean", "enc_cipher_suite_count", "enc_ja3_hash"))
+    return rounded(rows.select("flow_id", "flow_no", "session_id", "label", "is_attack", "ddos_packets_per_sec", "recon_unique_dst_ports", "c2_iat_mean", "c2_iat_cv", "c2_byte_size_cv", "c2_periodicity_score", "exfil_outbound_inbound_ratio", "enc_pkt_size_mean", "enc_cipher_suite_count", "enc_ja3_hash", "recon_syn_no_completion_ratio", "dns_unique_qnames", "dns_txt_null_ratio"))
 
 
 @query(f"SELECT * REPLACE (round(ts, 6) AS ts) FROM ({generated.select_sql(generated.ATTACKS, '(SELECT unnest(range(3000)) AS i)')})")

@@ -1,38 +1,74 @@
-"""Packet captures as a Spark source: spark.read.format("pcap").load(path or glob), one partition a file.
+"""Packet captures as a Spark source: spark.read.format("pcap").load(path or glob), on any file system that pyarrow knows.
 
-Files stream in batches, so their size is bounded by the capture's rotation only for parallelism, not for memory.
-Both the classic format (any byte order, micro- or nanoseconds) and the next-generation blocks are read. A truncated
-last packet is left out.
+A classic file is cut into ranges of `split` bytes (an option), read by tasks of their own. A range begins at the first of CHAIN plausible record
+headers in a row, and ends with the record that starts last before its end. Next-generation files, whose blocks depend on those before, are read by one task
+each, in batches. Both byte orders, micro- and nanoseconds, interfaces' clocks and simple packet blocks are read. A truncated last packet is left out.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, number long, ts double, link int, wire_length int, frame binary"
+SCHEMA = "file string, split int, number long, ts double, link int, wire_length int, frame binary"
 #: First four bytes of classic files, as (byte order, ticks a second), and of a section of blocks.
 _CLASSIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6), b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9)}
 _SECTION = b"\x0a\x0d\x0d\x0a"
 _BATCH = 2000
 
 
-def _classic(f, head: bytes) -> Iterator[tuple]:
+#: Bytes of a range, the most a captured packet holds, record headers that must follow each other where a range begins, and days that their times may be apart.
+SPLIT, LONGEST, CHAIN, DAYS = 128 << 20, 1 << 18, 6, 366
+_HEAD = 24
+
+
+def _plausible(order: str, ticks: float, head: bytes, near: int) -> int:
+    """The bytes of the record that starts with this header, or 0 if it can't be one. near: the seconds of the file's first packet."""
+    seconds, part, kept, wire = struct.unpack(order + "IIII", head)
+    return 16 + kept if part < ticks and 0 < kept <= LONGEST and kept <= wire <= 4 * LONGEST and abs(seconds - near) <= DAYS * 86_400 else 0
+
+
+def _aligned(f, order: str, ticks: float, near: int, start: int, size: int) -> int:
+    """The offset of the first record at or after start (the file's size if there is none)."""
+    f.seek(start)
+    data = f.read(min(size - start, (CHAIN + 2) * (LONGEST + 16)))
+    for at in range(len(data) - 15):
+        here, left = at, CHAIN
+        while left and here + 16 <= len(data):
+            step = _plausible(order, ticks, data[here : here + 16], near)
+            if not step:
+                break
+            here, left = here + step, left - 1
+        rest = size - start - here  # a chain may also end with the file: at its end, within a header, or, after some records, within a frame
+        if not left or (here > at and 0 <= rest < 16) or (rest < 0 and CHAIN - left > 2):
+            return start + at
+    return size
+
+
+def _classic(f, head: bytes, start: int, end: int, size: int) -> Iterator[tuple]:
     order, ticks = _CLASSIC[head]
-    link = struct.unpack(order + "I", f.read(20)[16:])[0] & 0xFFFF
-    while len(h := f.read(16)) == 16:
+    f.seek(20)
+    link = struct.unpack(order + "I", f.read(4))[0] & 0xFFFF
+    first = f.read(16)
+    if len(first) < 16:
+        return
+    at = _HEAD if start == 0 else _aligned(f, order, ticks, struct.unpack(order + "I", first[:4])[0], start, size)
+    f.seek(at)
+    while at < end and len(h := f.read(16)) == 16:
         seconds, part, kept, wire = struct.unpack(order + "IIII", h)
         frame = f.read(kept)
         if len(frame) < kept:
             return
         yield seconds + part / ticks, link, wire, frame
+        at += 16 + kept
 
 
 def _blocks(f) -> Iterator[tuple]:
@@ -58,31 +94,65 @@ def _blocks(f) -> Iterator[tuple]:
                 if code == 0:
                     break
                 at += 4 + (size + 3) // 4 * 4
-            links.append((link, ticks))
+            links.append((link, ticks, struct.unpack(order + "I", body[4:8])[0]))
         elif kind == 6:
             which, high, low, kept, wire = struct.unpack(order + "IIIII", body[:20])
-            link, ticks = links[which]
+            link, ticks, _ = links[which]
             yield (high << 32 | low) / ticks, link, wire, body[20 : 20 + kept]
+        elif kind == 3 and links:  # a simple packet: no time, of the first interface
+            wire = struct.unpack(order + "I", body[:4])[0]
+            yield None, links[0][0], wire, body[4 : 4 + min(wire, links[0][2] or wire, len(body) - 8)]
+
+
+@dataclass
+class Range(InputPartition):
+    """Bytes start to end of a file."""
+
+    path: str
+    split: int
+    start: int
+    end: int
+    size: int
+
+
+def _found(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
+    """The files of a path, folder (names with 'cap') or glob (in its last part)."""
+    try:
+        where, inner = fs.FileSystem.from_uri(path)
+    except pa.ArrowInvalid:  # a path without a scheme
+        where, inner = fs.LocalFileSystem(), path
+    info = where.get_file_info(inner)
+    if info.type == fs.FileType.File:
+        return where, [info]
+    folder, _, pattern = (inner, "", "*cap*") if info.type == fs.FileType.Directory else inner.rpartition("/")
+    inside = where.get_file_info(fs.FileSelector(folder or "/", allow_not_found=True))
+    return where, sorted((i for i in inside if i.type == fs.FileType.File and fnmatch.fnmatch(i.base_name, pattern)), key=lambda i: i.path)
 
 
 class PcapReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        path = options["path"]
-        self.files = sorted(glob.glob(os.path.join(path, "*cap*")) if os.path.isdir(path) else glob.glob(path))
-        if not self.files:
-            raise FileNotFoundError(path)
+        self.path, self.split = options["path"], int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in self.files]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("file", pa.string()), ("number", pa.int64()), ("ts", pa.float64()), ("link", pa.int32()), ("wire_length", pa.int32()), ("frame", pa.binary())])
-        with open(partition.value, "rb") as f:
+        where, files = _found(self.path)
+        if not files:
+            raise FileNotFoundError(self.path)
+        out = []
+        for i in files:
+            with where.open_input_stream(i.path) as f:
+                step = self.split if f.read(4) in _CLASSIC else max(i.size, 1)
+            out += [Range(i.path, k, at, min(at + step, i.size), i.size) for k, at in enumerate(range(0, max(i.size, 1), step))]
+        return out
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        types = pa.schema([("file", pa.string()), ("split", pa.int32()), ("number", pa.int64()), ("ts", pa.float64()), ("link", pa.int32()), ("wire_length", pa.int32()), ("frame", pa.binary())])
+        where, _ = _found(self.path)
+        with where.open_input_file(partition.path) as f:
             head = f.read(4)
-            packets = _classic(f, head) if head in _CLASSIC else _blocks(f) if head == _SECTION else iter(())
+            packets = _classic(f, head, partition.start, partition.end, partition.size) if head in _CLASSIC else _blocks(f) if head == _SECTION else iter(())
             rows = []
             for i, p in enumerate(packets):
-                rows.append((partition.value, i, *p))
+                rows.append((partition.path, partition.split, i, *p))
                 if len(rows) == _BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
                     rows = []
@@ -102,17 +172,39 @@ class PcapSource(DataSource):
         return PcapReader(self.options)
 
 
-def read(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """Frames of a file, a directory or a glob; of at most `limit` packets, if given."""
+def read(spark: SparkSession, path: str, limit: int = 0, split: int = SPLIT) -> DataFrame:
+    """Frames of a file, a folder or a glob, numbered by file; of at most `limit` packets, if given.
+
+    Files of several ranges are counted first, so that numbers of a range go on from those before it.
+    """
     spark.dataSource.register(PcapSource)
-    frames = spark.read.format("pcap").load(path)
+    frames = spark.read.format("pcap").option("split", split).load(path)
+    ahead = F.sum("__n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    if any(p.split for p in PcapReader({"path": path, "split": str(split)}).partitions()):
+        several = frames.groupBy("file", "split").agg(F.count("*").alias("__n")).select("file", "split", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+        frames = frames.join(several, ["file", "split"]).withColumn("number", F.col("number") + F.col("__ahead")).drop("__ahead")
+    frames = frames.drop("split")
     return frames.orderBy("file", "number").limit(limit) if limit else frames
 
 
+def write(frames: DataFrame, path: str) -> None:
+    """Frames (ts, link, frame; in order of number) as a classic capture of microseconds, a file for each `file`: what `read` reads. Each file is written by one task."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by("number")
+        where, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        where.create_dir(inner)
+        with where.open_output_stream(f"{inner}/{key[0].as_py()}") as f:
+            f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, LONGEST, rows["link"][0].as_py()))
+            for ts, frame in zip(rows["ts"].to_pylist(), rows["frame"].to_pylist(), strict=True):
+                micros = round(ts * 1e6)
+                f.write(struct.pack("<IIII", micros // 1_000_000, micros % 1_000_000, len(frame), len(frame)) + frame)
+        return pa.table({"n": [len(rows)]})
+
+    frames.select("file", "number", "ts", "link", "frame").groupBy("file").applyInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def with_seq(frames: DataFrame) -> DataFrame:
     """Adds `seq`, ascending by (file, number); files must sort by time, as rotated captures do."""
-    order = F.dense_rank()
-    from pyspark.sql import Window
-
-    files = frames.select("file").distinct().withColumn("__f", order.over(Window.orderBy("file")) - 1)  # one row a file
+    files = frames.select("file").distinct().withColumn("__f", F.dense_rank().over(Window.orderBy("file")) - 1)  # one row a file
     return frames.join(files, "file").withColumn("seq", (F.col("__f") * F.lit(1 << 40) + F.col("number")).cast("long")).drop("__f")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -43,24 +43,44 @@ def deduplicate(candidates: DataFrame, window: float = 30.0, late: str = "10 sec
     return rows.groupBy("src_ip", "dst_ip", "__class").applyInPandasWithState(run, _types(kept), "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def with_baseline(flows: DataFrame, window: int = 100) -> DataFrame:
-    """Adds outbound_volume_zscore over a stream: each flow's bytes against the last `window` flows of its source.
+class _Baseline(StatefulProcessor):
+    """Per source: its last `window` outbound volumes and the destinations it has been seen with; both lapse when unused."""
 
-    The state of a source is those numbers; they never expire, as in the batch form.
-    """
+    def __init__(self, window: int, lapse_ms: int, columns: list[str]):
+        self.window, self.lapse_ms, self.columns = window, lapse_ms, columns
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["start_time", "seq"])
-        past, scores = (list(state.get[0]) if state.exists else []), []
-        for b in rows["bytes_fwd"].astype(float):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.past = handle.getListState("past", StructType().add("bytes", "double"), self.lapse_ms)
+        self.seen = handle.getMapState("seen", StructType().add("dst_ip", "string"), StructType().add("n", "long"), self.lapse_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        got = pd.concat(list(rows)).sort_values(["start_time", "seq"])
+        past = [r[0] for r in self.past.get()]
+        known: dict[str, bool] = {}
+        scores, novel = [], []
+        for b, dst in zip(got["bytes_fwd"].astype(float), got["dst_ip"], strict=True):
             mean, spread = (np.mean(past), np.std(past)) if len(past) >= 2 else (0.0, None)
             scores.append(0.0 if spread is None else (b - mean) / spread if spread >= 1e-9 else np.inf if b > mean else 0.0)
-            past = [*past, b][-window:]
-        state.update((past,))
-        yield rows.assign(outbound_volume_zscore=scores)
+            past = [*past, b][-self.window :]
+            novel.append(0 if known.get(dst) or self.seen.containsKey((dst,)) else 1)
+            known[dst] = True
+        self.past.put([(b,) for b in past])
+        for dst in known:
+            self.seen.updateValue((dst,), (1,))
+        yield got.assign(outbound_volume_zscore=scores, destination_novel=novel)[self.columns]
+
+    def close(self) -> None:
+        pass
 
-    types = StructType([*flows.schema.fields]).add("outbound_volume_zscore", "double")
-    return flows.groupBy("src_ip").applyInPandasWithState(run, types, "past array<double>", "append", GroupStateTimeout.NoTimeout)
+
+def with_baseline(flows: DataFrame, window: int = 100, lapse: float = 30 * 86_400.0) -> DataFrame:
+    """Adds outbound_volume_zscore, each flow's bytes against the last `window` flows of its source, and destination_novel, over a stream.
+
+    A source's volumes lapse `lapse` seconds (of processing) after its last flow, a destination as long after it was last seen, so state shrinks with what is
+    active; until then both columns are those of the batch form. Needs the state store of `session.prepare`.
+    """
+    types = StructType([*flows.schema.fields]).add("outbound_volume_zscore", "double").add("destination_novel", "int")
+    return flows.groupBy("src_ip").transformWithStateInPandas(_Baseline(window, int(lapse * 1000), types.names), types, "append", "ProcessingTime")
 
 
 def per_minute(alerts: DataFrame, late: str = "10 seconds") -> DataFrame:

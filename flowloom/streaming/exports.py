@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from flowloom.sources import netflow
@@ -21,41 +21,65 @@ def datagrams(spark: SparkSession, path: str, files_per_trigger: int = 10_000) -
     return files.select(F.regexp_extract("path", r"([0-9]+)[^/0-9]*$", 1).try_cast("long").alias("seq"), F.col("content").alias("data"))
 
 
-def _known(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values(["seq", "pos"])
-    known = rows["announced"].ffill()
-    if state.exists:
-        known = known.fillna(state.get[0])
-    rows["template"] = known.where(known.notna(), None)
-    if rows["template"].iloc[-1] is not None:
-        state.update((rows["template"].iloc[-1],))
-    yield rows.loc[rows["body"].notna() & rows["template"].notna(), ["seq", "pos", "source_id", "template_id", "export_time", "body", "template"]]
+class _Known(StatefulProcessor):
+    """Per source and template: its last definition, which lapses when it isn't announced again."""
 
+    def __init__(self, lapse_ms: int):
+        self.lapse_ms = lapse_ms
 
-def records(stream: DataFrame) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("template", StructType().add("template", "string"), self.lapse_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        got = pd.concat(list(rows)).sort_values(["seq", "pos"])
+        known = got["announced"].ffill()
+        if self.last.exists():
+            known = known.fillna(self.last.get()[0])
+        got["template"] = known.where(known.notna(), None)
+        if got["announced"].notna().any():
+            self.last.update((got["template"].iloc[-1],))
+        yield got.loc[got["body"].notna() & got["template"].notna(), ["seq", "pos", "source_id", "template_id", "export_time", "body", "template"]]
+
+    def close(self) -> None:
+        pass
+
+
+def records(stream: DataFrame, lapse: float = 86_400.0) -> DataFrame:
     """As sources.netflow.records, over a stream of (seq, data): templates of earlier batches stay known.
 
-    The state of each (source, template) is its last definition; definitions never expire. Data that come before any is lost.
+    The state of each (source, template) is its last definition, until `lapse` seconds (of processing) after it was last announced. Data that come before any is lost.
     """
     rows = stream.select("seq", F.posexplode(netflow.walked("data")).alias("pos", "s")).select("seq", "pos", "s.*")
     announced = F.when(F.col("fields").isNotNull(), F.to_json(F.struct("record_length", "fields")))
     rows = rows.select("seq", "pos", "source_id", "template_id", "export_time", "body", announced.alias("announced"))
-    out = rows.groupBy("source_id", "template_id").applyInPandasWithState(
-        _known, "seq long, pos int, source_id long, template_id int, export_time long, body binary, template string", "template string", "append", GroupStateTimeout.NoTimeout
-    )
+    types = "seq long, pos int, source_id long, template_id int, export_time long, body binary, template string"
+    out = rows.groupBy("source_id", "template_id").transformWithStateInPandas(_Known(int(lapse * 1000)), types, "append", "ProcessingTime")
     parsed = F.from_json("template", "record_length int, fields array<struct<type:int,at:int,size:int>>")
     return netflow.cut(out.withColumn("template", parsed).where("template.record_length > 0"))
 
 
-def ewma(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """Adds `ewma`, the moving mean of value up to each row of its key; the first value counts whole. The state is one number."""
+class _Mean(StatefulProcessor):
+    """Per key: the moving mean, which lapses when the key is quiet."""
 
-    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        got, mean, means = pd.concat(list(frames)).sort_values(order), (state.get[0] if state.exists else None), []
-        for v in got[value].astype(float):
-            mean = v if mean is None else alpha * v + (1 - alpha) * mean
+    def __init__(self, order: str, value: str, alpha: float, lapse_ms: int):
+        self.order, self.value, self.alpha, self.lapse_ms = order, value, alpha, lapse_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.mean = handle.getValueState("mean", StructType().add("mean", "double"), self.lapse_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        got, mean, means = pd.concat(list(rows)).sort_values(self.order), (self.mean.get()[0] if self.mean.exists() else None), []
+        for v in got[self.value].astype(float):
+            mean = v if mean is None else self.alpha * v + (1 - self.alpha) * mean
             means.append(mean)
-        state.update((mean,))
+        self.mean.update((mean,))
         yield got.assign(ewma=means)
 
-    return rows.groupBy(key).applyInPandasWithState(run, StructType([*rows.schema.fields]).add("ewma", "double"), "mean double", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def ewma(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.3, lapse: float = 86_400.0) -> DataFrame:
+    """Adds `ewma`, the moving mean of value up to each row of its key; the first value counts whole, also after `lapse` seconds (of processing) without a row."""
+    types = StructType([*rows.schema.fields]).add("ewma", "double")
+    return rows.groupBy(key).transformWithStateInPandas(_Mean(order, value, alpha, int(lapse * 1000)), types, "append", "ProcessingTime")

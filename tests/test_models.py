@@ -3,15 +3,17 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowloom.functions import isolation
+from flowloom.functions import isolation, trees
 from flowloom.operators import detectors, models
 
 
 def test_forest_finds_outliers_and_is_stored(spark, tmp_path):
     forest = models.traffic_forest()
-    forest.save(str(tmp_path / "f.json"))
+    forest.save(spark, str(tmp_path / "forest"))
     x = np.array([[50, 5e4, 1, 5, 1.5, 0.6, 2], [1e5, 1e8, 50, 900, 8, 1, 5000]])
-    calm, flood = isolation.Forest.load(str(tmp_path / "f.json")).raw(x) - forest.offset
+    back = trees.Forest.load(spark, str(tmp_path / "forest"))
+    assert back == forest
+    calm, flood = -np.exp2(-back.mean(x) / back.scale) - back.offset
     assert flood < 0 < calm
     rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *models.CALM_TRAFFIC]).withColumn("unique_src_count", F.lit(1))
     got = detectors.fused_ddos(isolation.with_decision(rows, forest), F.col("decision")).orderBy("i").collect()
@@ -45,11 +47,36 @@ def test_forest_scores_equal_a_plain_walk(spark):
         for at in forest.roots:
             while forest.feature[at] >= 0:
                 at = forest.left[at] if (r[forest.columns[forest.feature[at]]] or 0.0) < forest.limit[at] else forest.right[at]
-            depths.append(forest.depth[at])
+            depths.append(forest.value[at])
         want = -(2 ** (-sum(depths) / len(depths) / forest.scale)) - forest.offset
         assert abs(r["decision"] - want) < 1e-9
 
 
+def test_names_are_told_apart(spark):
+    """Names and words that the model was not fitted on, each by itself (the form for single names); features equal those of columns."""
+    from flowloom.functions import ngram
+    from flowloom.plans import scoring
+
+    words = "weather holiday network kitchen bicycle picture morning summer window garden market travel music doctor coffee engine silver orange library season forest bridge camera ticket pocket winter flower island museum planet station village".split()
+    rows = spark.createDataFrame([(w, 0.0) for w in words] + [(w, 1.0) for w in models.random_names(300, seed=5)], "label string, class double")
+    text = spark.range(1).select(F.lit(scoring._WORDS).alias("text"))
+    named = scoring._names(rows, {n: ngram.fit(text, "text", n) for n in (2, 3)})
+    got = trees.with_result(named, models.name_forest(), "probability").collect()
+    made, known = ([r["probability"] > 0.5 for r in got if r["class"] == c] for c in (1.0, 0.0))
+    assert np.mean(made) > 0.95 and np.mean(known) < 0.1
+    plain = models.name_features([r["label"] for r in got])
+    assert np.allclose(plain, [[r[c] for c in models.NAME_FEATURES] for r in got])
+
+
+def test_contacts_by_votes(spark):
+    x, y = models.contact_rows(60, seed=7)
+    forest = models.beacon_forest()
+    rows = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], [*models.IRREGULAR, "label"])
+    got = trees.with_result(rows, forest, "p").collect()
+    assert np.allclose([r["p"] for r in got], forest.mean(np.array([[r[c] for c in forest.columns] for r in got])))
+    assert np.mean([(r["p"] > 0.5) == (r["label"] == 1) for r in got]) > 0.97
+
+
 def test_evidence_texts_and_rounding(spark):
     from pyspark.sql import functions as F
 

@@ -57,6 +57,37 @@ def test_block_capture(spark, tmp_path):
     assert row["ts"] == 2.5 and bytes(row["frame"]) == FRAMES[0]
 
 
+def test_simple_packets_and_globs(spark, tmp_path):
+    block = lambda kind, body: struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+    (tmp_path / "x1.pcapng").write_bytes(block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 8)) + block(3, struct.pack("<I", 60) + b"12345678"))
+    (tmp_path / "other").write_bytes(b"")
+    row = pcap.read(spark, f"{tmp_path}/x*.pcapng").first()
+    assert (row["ts"], row["wire_length"], bytes(row["frame"])) == (None, 60, b"12345678")
+    assert pcap.read(spark, f"file://{tmp_path}/x1.pcapng").count() == 1
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_ranges_of_a_capture(spark, tmp_path, order):
+    """The same packets in the same order, whole or in ranges shorter and longer than a packet; payloads look like headers at times."""
+    import random
+
+    rnd, sent = random.Random(8), []
+    with open(tmp_path / "a.pcap", "wb") as f:
+        f.write(struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+        for i in range(400):
+            body = rnd.randbytes(rnd.choice([0, 1, 15, 40, 700]))
+            if i % 9 == 0:
+                body += struct.pack(order + "IIII", 1_700_000_000, 5, 60, 60)
+            sent.append(b"%d" % i + body)
+            f.write(struct.pack(order + "IIII", 1_700_000_000 + i, i, len(sent[-1]), len(sent[-1])) + sent[-1])
+    size = (tmp_path / "a.pcap").stat().st_size
+    for split in (1 << 30, size // 16, 5000, 900):
+        frames = pcap.read(spark, str(tmp_path / "a.pcap"), split=split)
+        got = {r["number"]: (r["ts"], bytes(r["frame"])) for r in frames.collect()}
+        assert len(pcap.PcapReader({"path": str(tmp_path / "a.pcap"), "split": str(split)}).partitions()) == -(-size // split)
+        assert got == {i: (1_700_000_000 + i + i / 1e6, x) for i, x in enumerate(sent)}, split
+
+
 def test_missing_capture(spark, tmp_path):
     with pytest.raises(Exception, match="FileNotFoundError"):
         pcap.read(spark, str(tmp_path / "none.pcap")).count()

@@ -46,11 +46,61 @@ def test_dedup_equals_batch(spark, tmp_path):
 def test_baseline_equals_batch(spark, tmp_path):
     rows = view(spark, SF, "flows").cache()
     got = drained(spark, tmp_path, live.with_baseline(stream(spark, tmp_path, rows, "start_time")))
-    want = dict(features.exfiltration(rows).select("seq", "outbound_volume_zscore").collect())
-    found = dict(got.select("seq", "outbound_volume_zscore").collect())
+    both = lambda df: {r["seq"]: (r["outbound_volume_zscore"], r["destination_novel"]) for r in df.select("seq", "outbound_volume_zscore", "destination_novel").collect()}
+    want, found = both(features.exfiltration(rows)), both(got)
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-6) for k in want)
 
 
+def test_baselines_lapse(spark, tmp_path):
+    """A pause longer than the lapse between two runs: the source's past and destinations are forgotten, and its state is gone."""
+    import time
+
+    rows = [(i, "a", "x", 100 + i % 3, float(i)) for i in range(20)] + [(20, "a", "x", 9000, 20.0)]
+    df = spark.createDataFrame(rows, "seq long, src_ip string, dst_ip string, bytes_fwd long, start_time double")
+
+    def run(name, part, lapse, pause):
+        df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        live_rows = live.with_baseline(spark.readStream.schema(df.schema).parquet(str(tmp_path / name / "in")), lapse=lapse)
+        query = live.follow(live_rows, str(tmp_path / name / "out"), str(tmp_path / name / "check"))
+        query.awaitTermination(240)
+        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        time.sleep(pause)
+        return held
+
+    for name, lapse, pause in (("kept", 3600.0, 0), ("lapsed", 1.0, 3)):
+        run(name, "seq < 20", lapse, pause)
+        run(name, "seq = 20", lapse, pause)
+        last = spark.read.parquet(str(tmp_path / name / "out")).where("seq = 20").first()
+        assert (last["destination_novel"], last["outbound_volume_zscore"] > 3) == ((0, True) if name == "kept" else (1, False))
+
+
+def test_late_packets_count(spark, tmp_path):
+    """Packets behind all others, in batches of their own, change the counters of open flows; all flows equal the batch form's."""
+    import random
+
+    from flowloom.operators import flows as fl
+
+    rnd, ts, rows, late = random.Random(3), BASE, [], 0
+    for seq in range(600):
+        ts += rnd.choice([0.5, 1.0, 2.0, 9.0])
+        behind = seq % 4 == 3 and rnd.random() < 0.7  # the next packet is in time again
+        late += behind
+        a, b = rnd.randrange(5), rnd.randrange(2)
+        rows.append((seq, ts - rnd.uniform(1, 60) if behind else ts, f"10.0.0.{a}", "1.1.1.1", 4000, 80 + b, 6, 40 + seq % 7, 0))
+    df = spark.createDataFrame(rows, "seq long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, length int, tcp_flags int")
+    query = live_flows.follow(stream(spark, tmp_path, df, "seq", parts=5), str(tmp_path / "flows"), str(tmp_path / "check"), 15.0, 120.0)
+    query.awaitTermination(600)
+    assert query.exception() is None and late > 50
+    shown = lambda df: sorted((r["flow_id"], r["start_time"], r["end_time"], r["total_packets"], r["total_bytes"]) for r in df.collect())
+    got, want = shown(live_flows.flows(spark, str(tmp_path / "flows"))), shown(fl.build_by_clock(df, 15.0, 120.0))
+    assert got == want and sum(f[3] for f in got) == len(rows)
+    # What a walk packet by packet gives, each looking at all flows.
+    from tests.test_ordered import simulated
+
+    walked, _ = simulated(rows, 15.0, 120.0, 1e9)
+    assert sorted((f[3], f[4], f[2]) for f in walked) == sorted((f[1], f[2], f[3]) for f in got)
+
+
 def test_flow_states(spark, tmp_path):
     at = [(1, 0.0, 80), (2, 5.0, 80), (3, 30.0, 80), (4, 31.0, 81), (5, 400.0, 82), (6, 405.0, 82), (7, 700.0, 82), (8, 2000.0, 83)]
     times = [(100, 1000.0 + 10 * i, 84) for i in range(32)]  # one flow that reaches the active limit
