@@ -180,7 +180,7 @@ def read(spark: SparkSession, path: str, limit: int = 0, split: int = SPLIT) ->
     spark.dataSource.register(PcapSource)
     frames = spark.read.format("pcap").option("split", split).load(path)
     ahead = F.sum("__n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
-    if any(p.split for p in PcapReader({"path": path, "split": str(split)}).partitions()):
+    if any(i.size > split for i in _found(path)[1]):
         several = frames.groupBy("file", "split").agg(F.count("*").alias("__n")).select("file", "split", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
         frames = frames.join(several, ["file", "split"]).withColumn("number", F.col("number") + F.col("__ahead")).drop("__ahead")
     frames = frames.drop("split")

@@ -79,7 +79,7 @@ def with_baseline(flows: DataFrame, window: int = 100, lapse: float = 30 * 86_40
     A source's volumes lapse `lapse` seconds (of processing) after its last flow, a destination as long after it was last seen, so state shrinks with what is
     active; until then both columns are those of the batch form. Needs the state store of `session.prepare`.
     """
-    types = StructType([*flows.schema.fields]).add("outbound_volume_zscore", "double").add("destination_novel", "int")
+    types = StructType([*flows.schema.fields]).add("outbound_volume_zscore", "double").add("destination_novel", "integer")
     return flows.groupBy("src_ip").transformWithStateInPandas(_Baseline(window, int(lapse * 1000), types.names), types, "append", "ProcessingTime")
 
 

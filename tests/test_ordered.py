@@ -68,21 +68,22 @@ def test_flows_and_ticks_equal_a_simulation(spark, monkeypatch, hosts, step, blo
 
 
 def test_one_five_tuple_over_many_tasks(spark, monkeypatch):
-    """A million packets of one five-tuple, 0.01 s apart: 34 flows of the active limit, split in blocks of 2**17 arrivals."""
-    monkeypatch.setattr(fl, "ARRIVALS", 1 << 17)
-    packets = spark.range(0, 1_000_000, 1, 8).select(
+    """2**18 packets of one five-tuple, 0.01 s apart: 9 flows of the active limit, split in blocks of 2**15 arrivals."""
+    monkeypatch.setattr(fl, "ARRIVALS", 1 << 15)
+    n = 1 << 18
+    packets = spark.range(0, n, 1, 8).select(
         F.col("id").alias("seq"), (1000 + F.col("id") / 100).alias("ts"), F.lit("10.0.0.1").alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"),
         F.lit(1).alias("src_port"), F.lit(2).alias("dst_port"), F.lit(6).alias("protocol"), F.lit(50).alias("length"), F.lit(0).alias("tcp_flags"),
     )
     flows = sorted((r["start_time"], r["total_packets"]) for r in fl.build_by_clock(packets).collect())
     start, want = 0, []
-    while start < 1_000_000:  # the packet after the one that crosses the limit starts the next flow
-        end = min(start + 30_001, 1_000_000)
+    while start < n:  # the packet after the one that crosses the limit starts the next flow
+        end = min(start + 30_001, n)
         want.append((1000 + start / 100, end - start))
         start = end
     assert flows == want
     parts = fl._pieces(fl.clocked(fl.keyed(packets)), 15.0)[0].groupBy(ordered.BLOCK).count().collect()
-    assert len(parts) == 8 and max(r["count"] for r in parts) == 1 << 17
+    assert len(parts) == 8 and max(r["count"] for r in parts) == 1 << 15
 
 
 def test_halos_hold_what_windows_need(spark):
