@@ -119,7 +119,8 @@ def numbered(packets: DataFrame, idle: float = 15.0, active: float = 300.0) -> D
     """Packets with the number of their flow, closed by the clock of all traffic, and `flow_start`, its first packet's arrival number.
 
     A flow closes when any packet arrives `active` after its start or `idle` after its last packet; the packet that
-    crosses the active limit itself still counts. Late packets don't set the clock back: one whose flow is open counts in it, else it starts a flow.
+    crosses the active limit itself still counts. Late packets don't set the clock back: one whose flow
+    is open counts in it, else it starts a flow; after it the flow's idle time is counted from its time, against the clock as it stands.
     """
     return numbered_by_clock(clocked(keyed(packets)), idle, active)
 

@@ -88,10 +88,11 @@ def per_minute(alerts: DataFrame, late: str = "10 seconds") -> DataFrame:
     return _timed(alerts, "ts", late).groupBy(F.window("event_time", "1 minute"), "threat_class").agg(F.count("*").alias("n")).select(F.unix_timestamp("window.start").alias("minute"), "threat_class", "n")
 
 
-def follow(rows: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, drain: bool = True) -> StreamingQuery:
+def follow(rows: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, drain: bool = True, empty_batches: bool = True) -> StreamingQuery:
     """Appends every batch as Parquet below path, in a folder of its own that a repeated batch overwrites, then calls `each`.
 
-    With drain, the query ends when all that is there now has been taken. Readers find all batches at path.
+    With drain, the query ends when all that is there now has been taken. Readers find all batches at path. Without empty_batches, none runs where nothing
+    new has come: states that lapse by processing time, as those of `with_baseline`, would ask for such batches for ever.
     """
 
     def store(batch: DataFrame, number: int) -> None:
@@ -100,4 +101,11 @@ def follow(rows: DataFrame, path: str, checkpoint: str, each: Callable[[DataFram
             each(batch.sparkSession.read.parquet(f"{path}/batch={number}"), number)
 
     writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime="2 seconds")).start()
+    writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime="2 seconds")
+    conf, name = rows.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(empty_batches).lower())
+    try:
+        return writer.start()
+    finally:
+        conf.set(name, before)

@@ -74,7 +74,7 @@ def follow(packets: DataFrame, path: str, checkpoint: str, idle: float = 15.0, a
     Each batch joins the packets of flows still open, which no flow holds for longer than `active`, and the clock so far. A packet later than
     others of its flow changes that flow's counters while it is open; once it is closed, it starts another. A batch that runs again overwrites what it left.
     """
-    keep = ["seq", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "tcp_flags", *KEY, "is_forward", "clock"]
+    keep = ["seq", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "tcp_flags", *KEY[:4], "is_forward", "clock"]
 
     def store(batch: DataFrame, number: int) -> None:
         spark, high = batch.sparkSession, None

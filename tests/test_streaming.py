@@ -27,8 +27,8 @@ def stream(spark, tmp_path, rows, order, parts=3):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
-def drained(spark, tmp_path, rows, each=None):
-    query = live.follow(rows, str(tmp_path / "out"), str(tmp_path / "check"), each)
+def drained(spark, tmp_path, rows, each=None, empty_batches=True):
+    query = live.follow(rows, str(tmp_path / "out"), str(tmp_path / "check"), each, empty_batches=empty_batches)
     query.awaitTermination(240)
     assert not query.isActive and query.exception() is None
     return spark.read.parquet(str(tmp_path / "out"))
@@ -45,7 +45,7 @@ def test_dedup_equals_batch(spark, tmp_path):
 
 def test_baseline_equals_batch(spark, tmp_path):
     rows = view(spark, SF, "flows").cache()
-    got = drained(spark, tmp_path, live.with_baseline(stream(spark, tmp_path, rows, "start_time")))
+    got = drained(spark, tmp_path, live.with_baseline(stream(spark, tmp_path, rows, "start_time")), empty_batches=False)
     both = lambda df: {r["seq"]: (r["outbound_volume_zscore"], r["destination_novel"]) for r in df.select("seq", "outbound_volume_zscore", "destination_novel").collect()}
     want, found = both(features.exfiltration(rows)), both(got)
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-6) for k in want)
@@ -61,11 +61,10 @@ def test_baselines_lapse(spark, tmp_path):
     def run(name, part, lapse, pause):
         df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
         live_rows = live.with_baseline(spark.readStream.schema(df.schema).parquet(str(tmp_path / name / "in")), lapse=lapse)
-        query = live.follow(live_rows, str(tmp_path / name / "out"), str(tmp_path / name / "check"))
+        query = live.follow(live_rows, str(tmp_path / name / "out"), str(tmp_path / name / "check"), empty_batches=False)
         query.awaitTermination(240)
-        held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert not query.isActive and query.exception() is None
         time.sleep(pause)
-        return held
 
     for name, lapse, pause in (("kept", 3600.0, 0), ("lapsed", 1.0, 3)):
         run(name, "seq < 20", lapse, pause)
@@ -94,11 +93,6 @@ def test_late_packets_count(spark, tmp_path):
     shown = lambda df: sorted((r["flow_id"], r["start_time"], r["end_time"], r["total_packets"], r["total_bytes"]) for r in df.collect())
     got, want = shown(live_flows.flows(spark, str(tmp_path / "flows"))), shown(fl.build_by_clock(df, 15.0, 120.0))
     assert got == want and sum(f[3] for f in got) == len(rows)
-    # What a walk packet by packet gives, each looking at all flows.
-    from tests.test_ordered import simulated
-
-    walked, _ = simulated(rows, 15.0, 120.0, 1e9)
-    assert sorted((f[3], f[4], f[2]) for f in walked) == sorted((f[1], f[2], f[3]) for f in got)
 
 
 def test_flow_states(spark, tmp_path):
