@@ -475,17 +475,6 @@ def test_mixing_deals_real_tokens(docs):
     assert sum(r["take_tokens"] for r in got) == 30_000 and all(r["take_tokens"] <= r["n_tokens"] for r in got)
 
 
-def test_many_addresses_in_one_text(spark):
-    """50,000 addresses in one text, in time linear in them."""
-    text = " ".join(f"a{i}@b.co" for i in range(50_000))
-    r = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    spans, at = [], 0
-    for x in text.split(" "):
-        spans.append(f"email:{at}:{at + len(x)}")
-        at += len(x) + 1
-    assert r["n_email"] == 50_000 and r["spans"] == ",".join(spans)
-
-
 def test_neighbours_of_vectors_out_of_range(spark):
     """Squares of these leave double range; cosines don't."""
     rows = [(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [-1e300, 1.0]), (3, [1e-310, 0.0]), (4, [0.0, 1e-200]), (5, [3.0, 4.0])]
