@@ -24,6 +24,7 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from flowloom.llm.scratch import materialize
 from flowloom.llm.vocab import byte_letters
 
 #: Characters of text that are aligned at once, pieces and links of pieces that a worker keeps, and pairs that it sums before it gives them on.
-CHARS, PIECES, LINKS, SUMMED = 2_000_000, 200_000, 4_000_000, 2_000_000
+CHARS, PIECES, LINKS, SUMMED = 2_000_000, 400_000, 8_000_000, 2_000_000
 #: Pairs of one broadcast slice (17 bytes each), and salts of the first stage of the shuffle.
 SLICE, SALTS = 4_000_000, 8
 SPACE_SIGN = "▁"
@@ -59,21 +60,53 @@ class Sides:
         self.b_bytes = [bytes([int(sign(i)[1:-1], 16)]) if self.b.is_byte(i) else sign(i).replace(SPACE_SIGN, " ").encode() for i in range(self.b.vocab_size())]
         self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
         self.b_ids = len(self.b_bytes)
-
-    def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides for each piece with a space before it; none where their bytes differ from that."""
-        found = []
-        for p, e, y in zip(pieces, self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False), self.b.encode(pieces, num_threads=1), strict=True):
-            whole, x = (" " + p).encode(), e.ids
-            same = whole == b"".join([self.a_bytes[i] for i in x]) == b"".join([self.b_bytes[i] for i in y])
-            found.append((x, y) if same else ([], []))
-        return found
+        self.tables = [pa.array(x, pa.binary()) for x in (self.a_bytes, self.b_bytes)]
+        numbers = [str(i) + end for ids, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for end in ends for i in range(len(ids))]
+        self.numbers = pa.array(numbers, pa.string())
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides for the pieces with a space before each, one after another, and the numbers of ids of each piece; none where their bytes differ from the piece's."""
+        found = [e.ids for e in self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)], self.b.encode(pieces, num_threads=1)
+        counts = [np.fromiter(map(len, side), np.int64, len(pieces)) for side in found]
+        ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(found, counts, strict=True)]
+        sizes = np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces))
+        whole, whose = (" " + " ".join(pieces)).encode(), np.arange(len(pieces))
+        fine = all(
+            len(i) and np.array_equal(np.bincount(np.repeat(whose, n), size[i], len(pieces)), sizes) and _bytes(table, i) == whole
+            for i, n, size, table in zip(ids, counts, (self.a_size, self.b_size), self.tables, strict=True)
+        )
+        if not fine:  # some piece isn't given back as it is: look at each
+            same = np.array([(" " + p).encode() == _bytes(self.tables[0], x) == _bytes(self.tables[1], y) for p, x, y in zip(pieces, *found, strict=True)], bool)
+            ids = [i[np.repeat(same, n)] for i, n in zip(ids, counts, strict=True)]
+            counts = [np.where(same, n, 0) for n in counts]
+        return *ids, *counts
+
+    def shown(self, x: np.ndarray, y: np.ndarray, x_group: np.ndarray, y_group: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The groups of each piece as text, a1,a2|b1;a3|b2,b3; with a semicolon at the end. ends: the first group of each piece, and the number of groups."""
+        n = int(ends[-1])
+        n_x, n_y = np.bincount(x_group, minlength=n), np.bincount(y_group, minlength=n)
+        flat = np.empty(len(x) + len(y), np.int64)
+        ahead_y, upto_x = np.concatenate([[0], np.cumsum(n_y)]), np.cumsum(n_x)
+        ends_group = lambda g: np.append(g[1:] != g[:-1], True)
+        flat[np.arange(len(x)) + ahead_y[x_group]] = x + ends_group(x_group) * len(self.a_size)
+        flat[np.arange(len(y)) + upto_x[y_group]] = y + 2 * len(self.a_size) + ends_group(y_group) * len(self.b_size)
+        taken = self.numbers.take(pa.array(flat))
+        offsets, text = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1], taken.buffers()[2]
+        text = text.to_pybytes() if text is not None else b""
+        bounds = offsets[np.concatenate([[0], upto_x + np.cumsum(n_y)])[ends]].tolist()
+        return [text[i:j] for i, j in zip(bounds, bounds[1:], strict=False)]
+
+
+def _bytes(table: pa.Array, ids) -> bytes:
+    """The bytes of ids one after another."""
+    taken = table.take(pa.array(ids, pa.int64()))
+    return b"" if not len(taken) or taken.buffers()[2] is None else taken.buffers()[2].to_pybytes()[: int(np.frombuffer(taken.buffers()[1], np.int32)[len(taken)])]
 
 
 def align(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For the tokens of both sides (by their sizes in bytes): the group of each, and the links as positions in both."""
     x_end, y_end = np.cumsum(x_size), np.cumsum(y_size)
-    cuts = np.intersect1d(x_end, y_end)
+    cuts = np.intersect1d(x_end, y_end, assume_unique=True)
     x_group, y_group = np.searchsorted(cuts, x_end), np.searchsorted(cuts, y_end)
     n_y = np.bincount(y_group, minlength=len(cuts))
     each = n_y[x_group]  # links of each token of x
@@ -83,21 +116,6 @@ def align(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray)
     return x_group, y_group, left, right
 
 
-def shown(x: list[int], y: list[int], x_group: list[int], y_group: list[int]) -> str:
-    """Groups of one piece as text: a1,a2|b1;a3|b2,b3."""
-    sides: list[tuple[list[str], list[str]]] = []
-    at = None
-    for i, g in zip(x, x_group, strict=True):
-        if g != at:
-            sides.append(([], []))
-            at = g
-        sides[-1][0].append(str(i))
-    base = x_group[0] if x_group else 0
-    for i, g in zip(y, y_group, strict=True):
-        sides[g - base][1].append(str(i))
-    return ";".join([",".join(a) + "|" + ",".join(b) for a, b in sides])
-
-
 class Aligner:
     """Pieces that have been aligned. value(pairs) gives numbers for each link, which are summed by piece; with_text: whether groups are shown."""
 
@@ -107,7 +125,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.text: list[str] = []
+        self.text: list[bytes] = []
         self.n = np.zeros((0, 4), np.int64)  # tokens of a and of b, groups, links
         self.fine = np.zeros(0, bool)
         self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)  # distinct pairs of each piece
@@ -116,9 +134,7 @@ class Aligner:
     def _learn(self, pieces: list[str]) -> None:
         for p in pieces:
             self.place[p] = len(self.place)
-        ids = self.sides.encode(pieces)
-        x, y = (np.array([i for both in ids for i in both[k]], np.int64) for k in (0, 1))
-        n_x, n_y = (np.array([len(both[k]) for both in ids], np.int64) for k in (0, 1))
+        x, y, n_x, n_y = self.sides.encode(pieces)
         x_group, y_group, left, right = align(x, y, self.sides.a_size[x], self.sides.b_size[y])
         owner = np.repeat(np.arange(len(pieces)), n_x)
         last = np.append(x_group[1:] != x_group[:-1], True) if len(x) else np.zeros(0, bool)
@@ -138,10 +154,7 @@ class Aligner:
             self.pairs = np.concatenate([self.pairs, distinct % width])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(distinct // width, minlength=len(pieces)))])
         if self.with_text:
-            gx, gy, i, j = x_group.tolist(), y_group.tolist(), 0, 0
-            for a, b in ids:
-                self.text.append(shown(a, b, gx[i : i + len(a)], gy[j : j + len(b)]))
-                i, j = i + len(a), j + len(b)
+            self.text += self.sides.shown(x, y, x_group, y_group, np.concatenate([[0], np.cumsum(n_groups)]))
 
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The places of the pieces of all texts (each of one piece or more), and where each text's begin."""
@@ -275,7 +288,7 @@ def _looked_up(df: DataFrame, files, table, id_col: str, text_col: str) -> DataF
                 shown_, bounds, text = at.tolist(), [*begins.tolist(), len(at)], aligner.text
                 for k, ok, i, j in zip(filled, fine.tolist(), bounds, bounds[1:], strict=False):
                     if ok:
-                        digests[k] = hashlib.sha256(";".join([text[p] for p in shown_[i:j]]).encode()).hexdigest()
+                        digests[k] = hashlib.sha256(b"".join([text[p] for p in shown_[i:j]])[:-1]).hexdigest()
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in sums.T), pa.array(digests, pa.string())], names=["__id", *COUNTS, "groups_sha256"])
 
     rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
