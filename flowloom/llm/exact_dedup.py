@@ -29,7 +29,7 @@ _KEY = ["__sha", "__bytes", "__xx"]
 def fingerprint(text) -> list:
     """The columns that stand for a text's content."""
     whole = F.coalesce(text, F.lit(""))
-    return [F.sha2(whole, 256).alias("__sha"), F.octet_length(whole).alias("__bytes"), F.xxhash64(whole).alias("__xx")]
+    return [F.unhex(F.sha2(whole, 256)).alias("__sha"), F.octet_length(whole).alias("__bytes"), F.xxhash64(whole).alias("__xx")]
 
 
 def _merged(runs: DataFrame, best) -> DataFrame:
@@ -58,7 +58,7 @@ def duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         won = below.join(won.withColumnRenamed("__run", "__up"), [*_KEY, "__up"]).select(*_KEY, "__run", "__keep", "__n")
     return rows.join(won, [*_KEY, "__run"]).select(
         F.col("__id").alias(id_col), F.col("__keep").alias("keep_id"), F.col("__n").alias("group_size"),
-        F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"), F.col("__sha").alias("text_sha256"),
+        F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"),
     )
 
 

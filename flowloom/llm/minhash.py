@@ -15,11 +15,14 @@ are texts. Classes that meet are merged, and buckets left with one class drop ou
 at least one pair in PAYS is a link.
 
 Texts in buckets that still hold several classes are then compared by prefixes. All shingles stand in one fixed
-order, rare ones first. Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and at
+order, rare ones first, by counters over all these texts (a shingle that shares its counter with others only stands later). Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and at
 their first shared shingle what is left of both sets still suffices for t. Pairs that meet so, and lie in different
 classes, are verified; no other pair can be alike. So any two alike texts that share a bucket end in one class, however many
 rounds there were. Hot shingles are salted; the work on one grows with the square of its texts, but pairs that can't reach t,
-or that have met at one of the BEFORE shingles ahead in both texts, leave the join.
+or that have met at the shingle just ahead in both texts, leave the join.
+
+Most keys and texts share nothing. Those that may matter are found by a filter of fixed size, so that the others are never
+exchanged; it lets some more pass, which drop out by themselves where buckets and pairs are formed.
 
 Edge cases: null text counts as empty. Texts without words are copies of each other only if identical. A text of
 fewer than five words is one shingle. Equal texts are always in one class, through one representative, and are
@@ -30,13 +33,14 @@ identifier stays only where no equal text has one. An empty table gives an empty
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.exact_dedup import duplicates, short, without
@@ -45,10 +49,10 @@ from flowloom.llm.scratch import materialize
 WORDS, BANDS, ROWS = 5, 26, 5
 #: Rounds with leaders go on while one pair in so many is a link; the stop changes the work, not the result.
 PAYS = 10
-#: Shingles ahead at which a pair may have met already.
-BEFORE = 16
-#: Shingles known to be common, which stand last in the order of prefixes, and the texts of a hot shingle that one salt takes.
-COMMON, SALTED = 1 << 15, 512
+#: Counters of shingles that give the order of prefixes, in PARTS parts, and the texts of a hot shingle that one salt takes.
+COUNTERS, PARTS, SALTED = 1 << 21, 16, 512
+#: Bitmaps of a filter, and bits of each (Spark's own size).
+BITMAPS, BITS = 1024, 32768
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: list[np.ndarray] = []
 
@@ -143,6 +147,24 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"__id {docs.schema['__id'].dataType.simpleString()}, __n bigint, __keys array<bigint>")
 
 
+def _slot(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(BITMAPS * BITS))
+
+
+def _filtered(rows: DataFrame, value: Column, wanted: DataFrame) -> DataFrame:
+    """The rows whose value is in the one column of `wanted`, and few others, without an exchange of rows.
+
+    What is broadcast has at most BITMAPS * BITS bits, whatever the table; beyond some ten million values more and more others pass.
+    """
+    slot = _slot(F.col(wanted.columns[0]))
+    marks = wanted.select(F.floor(slot / BITS).cast("int").alias("__bitmap"), (slot % BITS).alias("__bit")).groupBy("__bitmap")
+    marks = materialize(marks.agg(F.bitmap_construct_agg("__bit").alias("__marks")), "near-filter")
+    bit = _slot(value) % BITS
+    byte = F.conv(F.hex(F.substring("__marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__bitmap", F.floor(_slot(value) / BITS).cast("int")).join(F.broadcast(marks), "__bitmap")
+    return found.where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(rows.columns)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of pairs (a, b, lead) whose texts are at least that similar.
 
@@ -174,30 +196,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return members.join(right, "__member").join(left, "lead").select("a", "b", "__ta", "__tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles that many texts share, the most common one last: at most COMMON. It only sets an order, so it may be inexact."""
+def _counters(docs: DataFrame) -> np.ndarray:
+    """How often shingles of each counter's share occur in all texts, up to 65535: COUNTERS numbers, however many texts there are.
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(sets), return_counts=True)
-        often = n >= 4
-        return pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["__key", "__n"])
+    Tasks give their counters in PARTS packed parts, which are added up part by part.
+    """
+    width, most = COUNTERS // PARTS, (1 << 16) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, size = [], 0
+    def packed(part: int, counts: np.ndarray) -> tuple[int, bytes]:
+        return part, zlib.compress(np.minimum(counts, most).astype("<u2").tobytes(), 1)
+
+    def unpacked(content: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(content), "<u2").astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for t in b.column("__text"):
-                sets.append(np.unique(shingles(t.as_py())))
-                size += len(sets[-1])
-                if size >= 1 << 20:
-                    yield counted(sets)
-                    sets, size = [], 0
-        if sets:
-            yield counted(sets)
+                np.add.at(counts, counter(np.unique(shingles(t.as_py()))), 1)
+        if counts.any():
+            parts = [packed(k, counts[k * width : (k + 1) * width]) for k in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*parts, strict=True)], names=["__part", "__counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column("__part").to_pylist(), b.column("__counts"), strict=True):
+                totals[k] = totals.get(k, 0) + unpacked(x.as_py())
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*(packed(k, v) for k, v in totals.items()), strict=True)], names=["__part", "__counts"])
+
+    parts = docs.select("__text").mapInArrow(count, "__part bigint, __counts binary")
+    sums = materialize(parts.repartition(PARTS, "__part").mapInArrow(add, "__part bigint, __counts binary"), "near-counters")
+    order = np.zeros(COUNTERS, np.uint16)
+    for r in sums.collect():  # COUNTERS numbers of 2 bytes at most
+        order[r["__part"] * width : (r["__part"] + 1) * width] = unpacked(r["__counts"])
+    return order
+
 
-    sums = docs.select("__text").mapInArrow(run, "__key bigint, __n bigint").groupBy("__key").agg(F.sum("__n").alias("__n"))
-    top = materialize(sums.orderBy(F.desc("__n"), "__key").limit(COMMON), "near-common").toArrow()
-    keys, n = (top.column(c).combine_chunks().to_numpy() for c in ("__key", "__n"))
-    return keys[np.lexsort((keys, n))].view(np.uint64)
+def counter(hashes: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (hashes % np.uint64(COUNTERS)).astype(np.int64)
 
 
 def prefix(hashes: np.ndarray, threshold: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -212,9 +251,7 @@ def prefix(hashes: np.ndarray, threshold: float, known: np.ndarray, rank: np.nda
 def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b) of members (__node, __class) of different classes that may be alike: a superset of those that are."""
     texts = materialize(members.join(texts, "__node").select("__node", "__class", "__text"), "near-rest")
-    common = _common(texts)
-    by_key = np.argsort(common)
-    order = texts.sparkSession.sparkContext.broadcast((common[by_key], by_key))
+    counts = texts.sparkSession.sparkContext.broadcast(_counters(texts))
     kind = texts.schema["__node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,17 +259,18 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
-                keys = [prefix(x, threshold, *order.value).view(np.int64) for x in sets]
+                keys = [prefix(x, threshold, x, counts.value[counter(x)].astype(np.int64)).view(np.int64) for x in sets]
                 columns = [part.column("__node"), part.column("__class"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["__node", "__class", "__n", "__keys"])
 
     rows = texts.mapInArrow(run, f"__node {kind}, __class {kind}, __n bigint, __keys array<bigint>")
-    rows = materialize(rows.select("__node", "__class", "__n", F.posexplode("__keys").alias("__i", "__key")), "near-prefixes")
+    rows = rows.select("__node", "__class", "__n", "__keys", F.posexplode("__keys").alias("__i", "__key"))
+    # With the shingle ahead, if any: where two texts have the same one they have met at it, or before.
+    rows = materialize(rows.select("__node", "__class", "__n", "__i", "__key", F.when(F.col("__i") > 0, F.get("__keys", F.col("__i") - 1)).alias("__ahead")), "near-prefixes")
     keys = rows.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi"), F.ceil(F.count("*") / SALTED).cast("int").alias("__salts"))
     keys = materialize(keys.where("__lo < __hi").select("__key", "__salts"), "near-prefix-keys")
-    ahead = Window.partitionBy("__node").orderBy("__i").rowsBetween(-BEFORE, -1)
-    rows = materialize(rows.join(keys, "__key").withColumn("__before", F.collect_list("__key").over(ahead)), "near-postings")
-    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("node", "class", "n", "i", "before")]
+    rows = materialize(rows.join(keys, "__key"), "near-postings")
+    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("node", "class", "n", "i", "ahead")]
     # Alike sets lie in one band of lengths or in neighbouring ones; texts of a hot shingle meet by band.
     band = F.when(F.col("__salts") > 1, F.floor(F.log("__n") / float(np.log(1 / threshold)))).otherwise(0).cast("int")
     bands = F.when(F.col("__salts") > 1, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))
@@ -240,7 +278,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
     right = rows.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), bands.alias("__bands"), *named("b_")).withColumn("__band", F.explode("__bands"))
     least = threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6
     enough = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least
-    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_class") != F.col("b_class")) & enough & ~F.arrays_overlap("a_before", "b_before")
+    new = F.coalesce(F.col("a_ahead") != F.col("b_ahead"), F.lit(True))
+    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_class") != F.col("b_class")) & enough & new
     met = left.join(right, (left["__key"] == right["__key"]) & (left["__salt"] == right["__salt"]) & (left["__band"] == right["__band"]) & meet)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().withColumn("lead", F.col("a"))
 
@@ -287,15 +326,14 @@ def _of_like_size(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataF
 
 def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
     """Links (a, b) between nodes of (__node, __n, __key): enough to connect any two alike nodes that share a key."""
-    # Buckets of one text, by far the most, are found from their keys alone.
+    # Buckets of one text, by far the most, are found from their keys alone; those that pass the filter never get a leader.
     shared = keys.groupBy("__key").agg(F.count("*").alias("__m")).where("__m > 1").select("__key")
-    keys = materialize(keys.join(materialize(shared, "near-shared"), "__key", "left_semi"), "near-buckets")
+    keys = materialize(_filtered(keys, F.col("__key"), materialize(shared, "near-shared")), "near-buckets")
     sizes = keys.select("__node", "__n").distinct()
     named, tried, links, texts = keys.select("__node", "__key", F.col("__node").alias("__class")), [], [], None
     for k in count():
         open_ = materialize(named.join(_leaders(named, k), "__key"), "near-open")
         if texts is None:
-            # Written first, so that its size is known and texts are exchanged only if it is large.
             nodes = materialize(open_.select("__node").distinct(), "near-nodes")
             texts = materialize(texts_of(nodes), "near-texts")
         met = open_.where("__leader.class != __class").groupBy("__node", F.col("__leader.node").alias("__other")).agg(F.count("*").alias("__n"))
@@ -336,10 +374,10 @@ def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tup
     chosen = materialize(kept, "near-distinct")
     repeated = not chosen.where("__m > 1").isEmpty()  # rows of one identifier and text
     keys = sketches.join(chosen.select("__node"), "__node", "left_semi")
-    keys = (keys.dropDuplicates(["__node"]) if repeated else keys).select("__node", "__n", F.explode("__keys").alias("__key"))
+    keys = materialize(keys.dropDuplicates(["__node"]) if repeated else keys, "near-keys").select("__node", "__n", F.explode("__keys").alias("__key"))
 
     def texts_of(some: DataFrame) -> DataFrame:
-        found = nodes.join(some, "__node", "left_semi")
+        found = _filtered(nodes, F.col("__node"), some)
         return found.dropDuplicates(["__node"]) if repeated else found
 
     links = _links(keys, texts_of, threshold)

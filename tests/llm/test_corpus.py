@@ -257,6 +257,35 @@ def test_every_class_of_a_mixed_bucket_is_compared(spark, monkeypatch):
     assert got == {d: d % 1000 for d, _ in rows}
 
 
+def test_prefix_pairs_do_not_hang_on_how_texts_are_dealt(spark):
+    """300 texts of which no two are alike, but all share most shingles, one or two a task: shared ones must stand last for all of them."""
+    rnd = random.Random(7)
+    common = [f"c{i}" for i in range(60)]
+    rows = [((i, i), (i, i), " ".join(common + [f"w{rnd.randrange(10**9)}" for _ in range(40)])) for i in range(300)]
+    rows.append(((900, 900), (900, 900), rows[0][2] + " more"))
+    kind = "struct<id: long, x: long>"
+    texts = spark.createDataFrame(rows, f"__node {kind}, __class {kind}, __text string").repartition(200)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        pairs = minhash._prefix_pairs(texts.select("__node", "__class"), texts.select("__node", "__text"), 0.8)
+        got = {(r["a"]["id"], r["b"]["id"]) for r in pairs.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert (0, 900) in got and len(got) <= len(rows)
+
+
+def test_filter_keeps_all_that_is_wanted_and_exchanges_no_rows(spark):
+    node = F.struct(F.col("id"), (F.col("id") * 7).alias("x"))
+    rows = spark.range(20_000).union(spark.range(1).select(F.lit(None).cast("long"))).select(node.alias("__node"), F.lit("text").alias("__text"))
+    found = minhash._filtered(rows, F.col("__node"), rows.where("__node.id % 40 = 3 or __node.id is null").select("__node"))
+    assert found.columns == rows.columns
+    got = [r["__node"]["id"] for r in found.collect()]
+    assert {None, *range(3, 20_000, 40)} <= set(got) and len(got) <= 520
+    assert minhash._filtered(rows, F.col("__node"), rows.limit(0).select("__node")).count() == 0
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unequal_repeats_do_not_hide_copies(spark):
     rnd = random.Random(6)
     rows = []
