@@ -7,8 +7,11 @@ What stands between single spaces is tokenized by itself: both tokenizers start
 none of their tokens goes on beyond the next one, so a text's groups are those of its pieces one after another. Each distinct
 piece is aligned once in a worker; texts with longer runs of spaces, or with one at an edge, are pieces as a whole. Tables of pieces start anew at a bound.
 
-The first pass counts, for each pair of ids, the documents that hold it linked: distinct pairs of a document, summed in the
-task and then in a shuffle of two stages, by pair and salt and by pair. The second pass sums over each document's links what the counts say. It
+Texts are tokenized and aligned once. What later passes need is written: each document's numbers and digest, and its distinct pairs
+of linked ids with how often it links them (8 bytes each before compression, less than the text itself).
+
+The second pass counts, for each pair of ids, the documents that hold it linked: summed in the
+task and then in a shuffle of two stages, by pair and salt and by pair. The third pass sums over each document's links what the counts say. It
 takes the table of pairs in slices of SLICE pairs, so what is broadcast has a fixed bound: one slice, or as many passes as slices, whose
 sums are added by document. The table's own size is bounded by the two vocabularies, whatever the corpus.
 
@@ -22,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -117,10 +119,10 @@ def align(x: np.ndarray, y: np.ndarray, x_size: np.ndarray, y_size: np.ndarray)
 
 
 class Aligner:
-    """Pieces that have been aligned. value(pairs) gives numbers for each link, which are summed by piece; with_text: whether groups are shown."""
+    """Pieces that have been aligned."""
 
-    def __init__(self, sides: Sides, value=None, with_text: bool = True):
-        self.sides, self.value, self.with_text = sides, value, with_text
+    def __init__(self, sides: Sides):
+        self.sides = sides
         self.forget()
 
     def forget(self) -> None:
@@ -128,8 +130,7 @@ class Aligner:
         self.text: list[bytes] = []
         self.n = np.zeros((0, 4), np.int64)  # tokens of a and of b, groups, links
         self.fine = np.zeros(0, bool)
-        self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)  # distinct pairs of each piece
-        self.sums = np.zeros((0, 2), np.int64)
+        self.pairs, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)  # the pair of each link, by piece
 
     def _learn(self, pieces: list[str]) -> None:
         for p in pieces:
@@ -145,16 +146,9 @@ class Aligner:
         fine = n_x > 0
         self.n = np.concatenate([self.n, np.stack([n_x, n_y, n_groups, n_links], axis=1)])
         self.fine = np.concatenate([self.fine, fine])
-        if self.value is not None:
-            got = self.value(pair)
-            self.sums = np.concatenate([self.sums, np.stack([_summed(v, of, len(pieces)) for v in got], axis=1)])
-        else:
-            width = self.sides.b_ids * len(self.sides.a_bytes)
-            distinct = np.unique(of * width + pair)
-            self.pairs = np.concatenate([self.pairs, distinct % width])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.bincount(distinct // width, minlength=len(pieces)))])
-        if self.with_text:
-            self.text += self.sides.shown(x, y, x_group, y_group, np.concatenate([[0], np.cumsum(n_groups)]))
+        self.pairs = np.concatenate([self.pairs, pair])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n_links)])
+        self.text += self.sides.shown(x, y, x_group, y_group, np.concatenate([[0], np.cumsum(n_groups)]))
 
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The places of the pieces of all texts (each of one piece or more), and where each text's begin."""
@@ -176,20 +170,16 @@ def _summed(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return ends[bound[1:]] - ends[bound[:-1]]
 
 
-_sides: dict[str, Sides] = {}
-_aligners: dict[tuple, Aligner] = {}
+_aligners: dict[str, Aligner] = {}
 
 
-def _worker(files: tuple[bytes, bytes], key: tuple, value=None, with_text: bool = True) -> Aligner:
-    """This worker's aligner for one job; that of an earlier job is let go."""
+def _worker(files: tuple[bytes, bytes]) -> Aligner:
+    """This worker's aligner for these files; that of others is let go."""
     name = hashlib.sha256(files[0] + files[1]).hexdigest()
-    if (name, *key) not in _aligners:
+    if name not in _aligners:
         _aligners.clear()
-        if name not in _sides:
-            _sides.clear()
-            _sides[name] = Sides(*files)
-        _aligners[name, *key] = Aligner(_sides[name], value, with_text)
-    return _aligners[name, *key]
+        _aligners[name] = Aligner(Sides(*files))
+    return _aligners[name]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -204,12 +194,60 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 at, texts, size = k + 1, [], 0
 
 
-def pair_counts(df: DataFrame, a_path: str, b_path: str, text_col: str = "text") -> DataFrame:
-    """(pair, n, best): pair = a_id * number of b ids + b_id, the documents that hold it linked, and whether no pair of a_id has more."""
-    files, b_ids = _files(df, a_path, b_path)
+def _aligned(df: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
+    """Per row: __id, its NUMBERS and groups_sha256, and its distinct pairs and how often it links them (packed, 32 bits each)."""
+    files, kind = _files(df, a_path, b_path), df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _worker(files.value)
+        for b, texts in _blocks(batches):
+            numbers, digests, sizes = np.zeros((len(texts), len(NUMBERS)), np.int64), [""] * len(texts), np.zeros(len(texts), np.int64)
+            seen = times = np.zeros(0, np.int64)
+            filled = [k for k, t in enumerate(texts) if t]
+            if filled:
+                at, begins = aligner.places([texts[k] for k in filled])
+                fine = np.logical_and.reduceat(aligner.fine[at], begins)
+                numbers[filled] = np.where(fine[:, None], np.add.reduceat(aligner.n[at], begins, axis=0), 0)
+                shown_, bounds, text = at.tolist(), [*begins.tolist(), len(at)], aligner.text
+                for k, ok, i, j in zip(filled, fine.tolist(), bounds, bounds[1:], strict=False):
+                    if ok:
+                        digests[k] = hashlib.sha256(b"".join([text[p] for p in shown_[i:j]])[:-1]).hexdigest()
+                of = np.repeat(np.arange(len(filled)), np.diff(bounds))
+                of, at = of[fine[of]], at[fine[of]]
+                n = np.diff(aligner.ends)[at]
+                spots = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(aligner.ends[at], n)
+                seen, times = np.unique(np.repeat(of, n) << 32 | aligner.pairs[spots], return_counts=True)
+                sizes[filled] = np.diff(np.searchsorted(seen, np.arange(len(filled) + 1) << 32))
+            packed = [_packed(x, sizes) for x in (seen & 0xFFFFFFFF, times)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in numbers.T), pa.array(digests, pa.string()), *packed], names=["__id", *NUMBERS, "groups_sha256", "pairs", "times"])
+
+    rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = rows.mapInArrow(run, f"__id {kind}, {', '.join(f'{c} long' for c in NUMBERS)}, groups_sha256 string, pairs binary, times binary")
+    return materialize(rows, "aligned-texts")
+
+
+def _packed(x: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """x, cut into pieces of these sizes, as little-endian 32-bit numbers."""
+    offsets = np.concatenate([[0], np.cumsum(sizes) * 4]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(x.astype("<u4"))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows one after another, and how many each row has."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), "<u4").astype(np.int64), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 250):
+            yield b.slice(k, 250)
+
+
+def pair_counts(aligned: DataFrame, b_ids: int) -> DataFrame:
+    """(pair, n, best): pair = a_id * b_ids + b_id, the documents that hold it linked, and whether no pair of a_id has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _worker(files.value, ("pairs",), with_text=False)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -222,18 +260,8 @@ def pair_counts(df: DataFrame, a_path: str, b_path: str, text_col: str = "text")
             for k in range(0, len(held[0][0]), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in held[0]], names=["pair", "n"])
 
-        for _, texts in _blocks(batches):
-            at, begins = aligner.places(texts)
-            of = np.repeat(np.arange(len(texts)), np.diff(np.append(begins, len(at))))
-            bad = np.zeros(len(texts), bool)
-            bad[of[~aligner.fine[at]]] = True
-            both = np.unique(of * len(aligner.place) + at)
-            of, at = both // len(aligner.place), both % len(aligner.place)
-            of, at = of[~bad[of]], at[~bad[of]]
-            n = np.diff(aligner.ends)[at]
-            spots = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(aligner.ends[at], n)
-            seen = np.unique(np.repeat(of, n) << 32 | aligner.pairs[spots])
-            held.append(np.unique(seen & 0xFFFFFFFF, return_counts=True))
+        for b in _parts(batches):
+            held.append(np.unique(_unpacked(b.column("pairs"))[0], return_counts=True))
             size += len(held[-1][0])
             if size > SUMMED:
                 held = [joined()]
@@ -245,7 +273,7 @@ def pair_counts(df: DataFrame, a_path: str, b_path: str, text_col: str = "text")
             held = [joined()]
             yield from given()
 
-    rows = df.where(F.col(text_col) != "").select(F.col(text_col).alias("__text")).mapInArrow(run, "pair long, n long")
+    rows = aligned.where(F.octet_length("pairs") > 0).select("pairs").mapInArrow(run, "pair long, n long")
     salted = rows.groupBy("pair", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("__salt")).agg(F.sum("n").alias("n"))
     sums = materialize(salted.groupBy("pair").agg(F.sum("n").alias("n")), "aligned-sums")
     most = sums.groupBy(F.floor(F.col("pair") / b_ids).alias("__a")).agg(F.max("n").alias("__most"))  # a row per id of a
@@ -254,60 +282,48 @@ def pair_counts(df: DataFrame, a_path: str, b_path: str, text_col: str = "text")
 
 
 def _files(df: DataFrame, a_path: str, b_path: str):
-    """Both files as a broadcast (some 2 MB, whatever the corpus), and the number of ids of the second."""
+    """Both files as a broadcast (some 2 MB, whatever the corpus)."""
     content = []
     for path in (a_path, b_path):
         with open(path, "rb") as f:
             content.append(f.read())
-    return df.sparkSession.sparkContext.broadcast(tuple(content)), sentencepiece.SentencePieceProcessor(model_proto=content[1]).vocab_size()
+    return df.sparkSession.sparkContext.broadcast(tuple(content))
 
 
-def _looked_up(df: DataFrame, files, table, id_col: str, text_col: str) -> DataFrame:
-    """One pass over the texts with one slice of the table of pairs."""
-    kind, job = df.schema[id_col].dataType.simpleString(), uuid.uuid4().hex
+def _looked_up(aligned: DataFrame, table) -> DataFrame:
+    """One pass over the documents' pairs with one slice of the table of pairs."""
+    kind = aligned.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, n, best = table.value
+        for b in _parts(batches):
+            own, sizes = _unpacked(b.column("pairs"))
+            times, of = _unpacked(b.column("times"))[0], np.repeat(np.arange(b.num_rows), sizes)
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
+                there = times * (pairs[at] == own)
+                sums = [_summed(there * best[at], of, b.num_rows), _summed(there * n[at], of, b.num_rows)]
+            else:
+                sums = [np.zeros(b.num_rows, np.int64)] * 2
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__id", *NUMBERS)), *map(pa.array, sums), b.column("groups_sha256")], names=["__id", *COUNTS, "groups_sha256"])
 
-        def value(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(pairs):
-                return np.zeros(len(links), np.int64), np.zeros(len(links), np.int64)
-            at = np.minimum(np.searchsorted(pairs, links), len(pairs) - 1)
-            there = pairs[at] == links
-            return there & best[at], np.where(there, n[at], 0)
-
-        aligner = _worker(files.value, ("sums", job), value)
-        for b, texts in _blocks(batches):
-            sums, digests = np.zeros((len(texts), 6), np.int64), [""] * len(texts)
-            filled = [k for k, t in enumerate(texts) if t]
-            if filled:
-                at, begins = aligner.places([texts[k] for k in filled])
-                fine = np.logical_and.reduceat(aligner.fine[at], begins)
-                found = np.add.reduceat(np.concatenate([aligner.n[at], aligner.sums[at]], axis=1), begins, axis=0)
-                sums[filled] = np.where(fine[:, None], found, 0)
-                shown_, bounds, text = at.tolist(), [*begins.tolist(), len(at)], aligner.text
-                for k, ok, i, j in zip(filled, fine.tolist(), bounds, bounds[1:], strict=False):
-                    if ok:
-                        digests[k] = hashlib.sha256(b"".join([text[p] for p in shown_[i:j]])[:-1]).hexdigest()
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in sums.T), pa.array(digests, pa.string())], names=["__id", *COUNTS, "groups_sha256"])
-
-    rows = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return rows.mapInArrow(run, f"__id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string")
+    return aligned.mapInArrow(run, f"__id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string")
 
 
-COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+COUNTS = [*NUMBERS, "n_best", "count_sum"]
 
 
 def align_texts(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. a_path: a tokenizers file, b_path: a sentencepiece model."""
-    table = pair_counts(df, a_path, b_path, text_col)
-    files, _ = _files(df, a_path, b_path)
+    aligned = _aligned(df, a_path, b_path, id_col, text_col)
+    table = pair_counts(aligned, sentencepiece.SentencePieceProcessor(model_file=b_path).vocab_size())
     slices = max(1, -(-table.count() // SLICE))
     passes = []
     for k in range(slices):
         part = table.where(F.pmod(F.xxhash64("pair"), F.lit(slices)) == k).toArrow().sort_by("pair") if slices > 1 else table.toArrow().sort_by("pair")
         columns = tuple(part.column(c).to_numpy() for c in ("pair", "n", "best"))
-        passes.append(_looked_up(df, files, df.sparkSession.sparkContext.broadcast(columns), id_col, text_col))
+        passes.append(_looked_up(aligned, df.sparkSession.sparkContext.broadcast(columns)))
     if slices == 1:
         return passes[0].select(F.col("__id").alias(id_col), *COUNTS, "groups_sha256")
     # Rows of one identifier and one digest have the same links, so their sums are equal in each pass.

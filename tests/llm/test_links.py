@@ -178,3 +178,17 @@ def test_alignment_equals_brute_force(spark, monkeypatch, bounds):
         assert tuple(r)[1:] == want[r["doc_id"]], texts[r["doc_id"]]
     if not bounds:
         assert alignment.align_texts(df.limit(0), *paths).count() == 0
+
+
+def test_texts_are_read_and_aligned_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, f"some words of text {i}") for i in range(60)], "doc_id long, text string")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    assert len(alignment.align_texts(df.mapInArrow(counted, df.schema), *paths).collect()) == 60
+    assert read.value == 60
