@@ -18,8 +18,12 @@ Texts in buckets that still hold several classes are then compared by prefixes.
 order, rare ones first, by counters over all these texts (a shingle that shares its counter with others only stands later). Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and at
 their first shared shingle what is left of both sets still suffices for t. Pairs that meet so, and lie in different
 classes, are verified; no other pair can be alike. So any two alike texts that share a bucket end in one class, however many
-rounds there were. Hot shingles are salted; the work on one grows with the square of its texts, but pairs that can't reach t,
-or that have met at the shingle just ahead in both texts, leave the join.
+rounds there were. A shingle whose counter stands at one is in no other text and is left out. Hot shingles are salted; the work on one
+grows with the square of its texts, but pairs that can't reach t, or that have met at the shingle just ahead in both texts, leave the join.
+
+Before texts are compared, their parities are: each of PARITY bits tells whether the set has an odd number of shingles there. Bits that differ
+are at most as many as the shingles that only one set has, so pairs with too many of them are not alike. Texts meet at hot shingles under this condition
+too, else all texts of a group that falls just short of t would be paired with each other.
 
 Most keys and texts share nothing. Those that may matter are found by a filter of fixed size, so that the others are never
 exchanged; it lets some more pass, which drop out by themselves where buckets and pairs are formed.
@@ -51,6 +55,8 @@ WORDS, BANDS, ROWS = 5, 26, 5
 PAYS = 10
 #: Counters of shingles that give the order of prefixes, in PARTS parts, and the texts of a hot shingle that one salt takes.
 COUNTERS, PARTS, SALTED = 1 << 21, 16, 512
+#: Bits of a set's parities, and how many texts may share a shingle before these are looked at where they meet.
+PARITY, MANY = 512, 32
 #: Bitmaps of a filter, and bits of each (Spark's own size).
 BITMAPS, BITS = 1024, 32768
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -133,18 +139,45 @@ def jaccard(a: str, b: str) -> float:
     return similarity(np.unique(shingles(a)), np.unique(shingles(b)))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of PARITY shares of all shingles whether an odd number of these distinct ones is in it, packed into 64-bit integers."""
+    place = (_mixed(hashes) % np.uint64(PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _facts(texts: DataFrame) -> DataFrame:
+    """Per row (__node, __text): __node, its number of distinct shingles and their parities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
+                columns = [part.column("__node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__node", "__n", "__bits"])
+
+    kind = texts.schema["__node"].dataType.simpleString()
+    return texts.select("__node", "__text").mapInArrow(run, f"__node {kind}, __n bigint, __bits array<bigint>")
+
+
+def _near_enough(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, threshold: float) -> Column:
+    """Whether sets of these sizes and parities may have that similarity; null where parities are missing."""
+    differ = reduce(Column.__add__, (F.bit_count(F.get(bits_a, F.lit(k)).bitwiseXOR(F.get(bits_b, F.lit(k)))) for k in range(PARITY // 64)))
+    return differ <= (1 - threshold) / (1 + threshold) * (n_a + n_b) + 1e-6
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """Per row (__id, __text): __id, its number of distinct shingles and its band keys. No shuffle."""
+    """Per row (__id, __text): __id and its band keys. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
                 sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
-                columns = [part.column("__id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["__id", "__n", "__keys"])
+                columns = [part.column("__id"), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__id", "__keys"])
 
-    return docs.mapInArrow(run, f"__id {docs.schema['__id'].dataType.simpleString()}, __n bigint, __keys array<bigint>")
+    return docs.mapInArrow(run, f"__id {docs.schema['__id'].dataType.simpleString()}, __keys array<bigint>")
 
 
 def _slot(value: Column) -> Column:
@@ -168,9 +201,10 @@ def _filtered(rows: DataFrame, value: Column, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of pairs (a, b, lead) whose texts are at least that similar.
 
-    Texts of the other nodes move once, to their leads, of which there are few; a hot lead's rows are split by adaptive execution.
+    Only texts of these pairs move, those of the other nodes once, to their leads, of which there are few; a hot lead's rows are split by adaptive execution.
     """
     leads = materialize(pairs.select(F.col("lead").alias("__node")).distinct(), "near-leads")
+    texts = _filtered(texts, F.col("__node"), pairs.select(F.explode(F.array("a", "b")).alias("__node")))
     left = texts.join(leads, "__node", "left_semi").select(F.col("__node").alias("lead"), F.col("__text").alias("__ta"))
     right = texts.select(F.col("__node").alias("__member"), F.col("__text").alias("__tb"))
     kind = texts.schema["__node"].dataType.simpleString()
@@ -250,7 +284,7 @@ def prefix(hashes: np.ndarray, threshold: float, known: np.ndarray, rank: np.nda
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b) of members (__node, __class) of different classes that may be alike: a superset of those that are."""
-    texts = materialize(members.join(texts, "__node").select("__node", "__class", "__text"), "near-rest")
+    texts = _filtered(texts, F.col("__node"), members.select("__node"))  # what passes beside members only counts
     counts = texts.sparkSession.sparkContext.broadcast(_counters(texts))
     kind = texts.schema["__node"].dataType.simpleString()
 
@@ -259,18 +293,21 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
                 sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
-                keys = [prefix(x, threshold, x, counts.value[counter(x)].astype(np.int64)).view(np.int64) for x in sets]
-                columns = [part.column("__node"), part.column("__class"), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["__node", "__class", "__n", "__keys"])
+                keys = [prefix(x, threshold, x, counts.value[counter(x)].astype(np.int64)) for x in sets]
+                found = [[part.column("__node"), pa.array([len(x) for x in sets], pa.int64())]]
+                found += [[pa.array([f(x) for x in xs], pa.list_(t))] for f, xs, t in ((parities, sets, pa.int64()), (lambda x: x.view(np.int64), keys, pa.int64()), (lambda x: counts.value[counter(x)].astype(np.int32), keys, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(sum(found, []), names=["__node", "__n", "__bits", "__keys", "__texts"])
 
-    rows = texts.mapInArrow(run, f"__node {kind}, __class {kind}, __n bigint, __keys array<bigint>")
-    rows = rows.select("__node", "__class", "__n", "__keys", F.posexplode("__keys").alias("__i", "__key"))
+    rows = texts.select("__node", "__text").mapInArrow(run, f"__node {kind}, __n bigint, __bits array<bigint>, __keys array<bigint>, __texts array<int>")
+    rows = rows.select("*", F.posexplode("__keys").alias("__i", "__key")).withColumn("__m", F.get("__texts", F.col("__i"))).where("__m > 1")
     # With the shingle ahead, if any: where two texts have the same one they have met at it, or before.
-    rows = materialize(rows.select("__node", "__class", "__n", "__i", "__key", F.when(F.col("__i") > 0, F.get("__keys", F.col("__i") - 1)).alias("__ahead")), "near-prefixes")
+    ahead = F.when(F.col("__i") > 0, F.get("__keys", F.col("__i") - 1)).alias("__ahead")
+    rows = rows.select("__node", "__n", "__i", "__key", ahead, F.when(F.col("__m") > MANY, F.col("__bits")).alias("__bits"))
+    rows = materialize(rows.join(members, "__node"), "near-prefixes")
     keys = rows.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi"), F.ceil(F.count("*") / SALTED).cast("int").alias("__salts"))
     keys = materialize(keys.where("__lo < __hi").select("__key", "__salts"), "near-prefix-keys")
     rows = materialize(rows.join(keys, "__key"), "near-postings")
-    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("node", "class", "n", "i", "ahead")]
+    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("node", "class", "n", "i", "ahead", "bits")]
     # Alike sets lie in one band of lengths or in neighbouring ones; texts of a hot shingle meet by band.
     band = F.when(F.col("__salts") > 1, F.floor(F.log("__n") / float(np.log(1 / threshold)))).otherwise(0).cast("int")
     bands = F.when(F.col("__salts") > 1, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))
@@ -279,7 +316,8 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
     least = threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6
     enough = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least
     new = F.coalesce(F.col("a_ahead") != F.col("b_ahead"), F.lit(True))
-    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_class") != F.col("b_class")) & enough & new
+    near = F.coalesce(_near_enough(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), threshold), F.lit(True))
+    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_class") != F.col("b_class")) & enough & new & near
     met = left.join(right, (left["__key"] == right["__key"]) & (left["__salt"] == right["__salt"]) & (left["__band"] == right["__band"]) & meet)
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().withColumn("lead", F.col("a"))
 
@@ -317,25 +355,26 @@ def _leaders(named: DataFrame, k: int) -> DataFrame:
     return materialize(found.where("__lo < __hi").select("__key", "__leader"), "near-leaders")
 
 
-def _of_like_size(pairs: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sets' sizes allow that similarity."""
-    n = lambda side: sizes.select(F.col("__node").alias(side), F.col("__n").alias(f"__n_{side}"))
-    both = pairs.join(n("a"), "a").join(n("b"), "b")
-    return materialize(both.where(F.least("__n_a", "__n_b") >= threshold * F.greatest("__n_a", "__n_b") - 1e-6).select("a", "b", "lead"), "near-like")
+def _plausible(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets' sizes and parities allow that similarity."""
+    of = lambda side: facts.select(F.col("__node").alias(side), F.col("__n").alias(f"__n_{side}"), F.col("__bits").alias(f"__bits_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    like = F.least("__n_a", "__n_b") >= threshold * F.greatest("__n_a", "__n_b") - 1e-6
+    return materialize(both.where(like & _near_enough(*map(F.col, ("__n_a", "__n_b", "__bits_a", "__bits_b")), threshold)).select("a", "b", "lead"), "near-like")
 
 
 def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
-    """Links (a, b) between nodes of (__node, __n, __key): enough to connect any two alike nodes that share a key."""
+    """Links (a, b) between nodes of (__node, __key): enough to connect any two alike nodes that share a key."""
     # Buckets of one text, by far the most, are found from their keys alone; those that pass the filter never get a leader.
     shared = keys.groupBy("__key").agg(F.count("*").alias("__m")).where("__m > 1").select("__key")
     keys = materialize(_filtered(keys, F.col("__key"), materialize(shared, "near-shared")), "near-buckets")
-    sizes = keys.select("__node", "__n").distinct()
     named, tried, links, texts = keys.select("__node", "__key", F.col("__node").alias("__class")), [], [], None
     for k in count():
         open_ = materialize(named.join(_leaders(named, k), "__key"), "near-open")
         if texts is None:
             nodes = materialize(open_.select("__node").distinct(), "near-nodes")
             texts = materialize(texts_of(nodes), "near-texts")
+            facts = materialize(_facts(texts), "near-facts")
         met = open_.where("__leader.class != __class").groupBy("__node", F.col("__leader.node").alias("__other")).agg(F.count("*").alias("__n"))
         one = met.groupBy("__node").agg(F.max_by("__other", F.struct("__n", "__other")).alias("__other"))
         pairs = one.select(F.least("__node", "__other").alias("a"), F.greatest("__node", "__other").alias("b"), F.col("__other").alias("lead"))
@@ -343,7 +382,7 @@ def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
         if tried:
             pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
         tried.append(materialize(pairs, "near-pairs"))
-        found = materialize(_verified(_of_like_size(tried[-1], sizes, threshold), texts, threshold), "near-links")
+        found = materialize(_verified(_plausible(tried[-1], facts, threshold), texts, threshold), "near-links")
         n_found, n_tried = found.count(), tried[-1].count()
         named = open_.select("__node", "__key", "__class")
         if n_found:
@@ -358,7 +397,7 @@ def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
     rest = materialize(named.join(_leaders(named, k + 1), "__key").select("__node", "__class").distinct(), "near-mixed")
     if not rest.isEmpty():
         pairs = _prefix_pairs(rest, texts, threshold).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
-        links.append(materialize(_verified(materialize(pairs, "near-pairs"), texts, threshold), "near-links"))
+        links.append(materialize(_verified(_plausible(materialize(pairs, "near-pairs"), facts, threshold), texts, threshold), "near-links"))
     return reduce(DataFrame.union, links) if links else None
 
 
@@ -374,7 +413,7 @@ def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tup
     chosen = materialize(kept, "near-distinct")
     repeated = not chosen.where("__m > 1").isEmpty()  # rows of one identifier and text
     keys = sketches.join(chosen.select("__node"), "__node", "left_semi")
-    keys = materialize(keys.dropDuplicates(["__node"]) if repeated else keys, "near-keys").select("__node", "__n", F.explode("__keys").alias("__key"))
+    keys = materialize(keys.dropDuplicates(["__node"]) if repeated else keys, "near-keys").select("__node", F.explode("__keys").alias("__key"))
 
     def texts_of(some: DataFrame) -> DataFrame:
         found = _filtered(nodes, F.col("__node"), some)

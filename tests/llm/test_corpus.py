@@ -275,6 +275,30 @@ def test_prefix_pairs_do_not_hang_on_how_texts_are_dealt(spark):
     assert (0, 900) in got and len(got) <= len(rows)
 
 
+def test_texts_that_fall_just_short_do_not_all_meet(spark):
+    """200 texts with two edits each, alike to the text without edits but hardly to each other: few pairs, and all that are alike."""
+    rnd, rows = random.Random(11), []
+    for i in range(200):
+        own = [f"w{k}" for k in range(120)]
+        for _ in range(2):
+            own[rnd.randrange(5, 115)] = f"edit{rnd.randrange(10**9)}"
+        rows.append(((i, i), (i, i), " ".join(own)))
+    kind = "struct<id: long, x: long>"
+    texts = spark.createDataFrame(rows, f"__node {kind}, __class {kind}, __text string").repartition(4)
+    pairs = minhash._prefix_pairs(texts.select("__node", "__class"), texts.select("__node", "__text"), 0.8)
+    got = {(r["a"]["id"], r["b"]["id"]) for r in pairs.collect()}
+    alike = {(i, j) for j in range(200) for i in range(j) if minhash.jaccard(rows[i][2], rows[j][2]) >= 0.8}
+    assert alike <= got and len(got) < 2000
+
+
+def test_parities_differ_by_no_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        x, y = (np.unique(rng.integers(0, 400, rng.integers(0, 300)).astype(np.uint64)) for _ in range(2))
+        differ = sum(int(v).bit_count() for v in (minhash.parities(x) ^ minhash.parities(y)).view(np.uint64))
+        assert differ <= len(np.setxor1d(x, y)) and (len(x) or not minhash.parities(x).any())
+
+
 def test_filter_keeps_all_that_is_wanted_and_exchanges_no_rows(spark):
     node = F.struct(F.col("id"), (F.col("id") * 7).alias("x"))
     rows = spark.range(20_000).union(spark.range(1).select(F.lit(None).cast("long"))).select(node.alias("__node"), F.lit("text").alias("__text"))
