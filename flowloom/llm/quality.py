@@ -83,11 +83,15 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> n
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.5
         return np.array([0.0] * WIDTH + [math.log(share / (1 - share))])
-    z = _expand(x)
-    w, keep = np.zeros(z.shape[1]), np.diag([ridge] * (z.shape[1] - 1) + [1e-6])
+    w, keep = np.zeros(WIDTH + 1), np.diag([ridge] * WIDTH + [1e-6])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + keep, z.T @ (y - p) - keep @ w)
+        slope, bend = -keep @ w, keep.copy()
+        for k in range(0, len(x), 2000):  # beside the features themselves, little is held at once
+            z = _expand(x[k : k + 2000])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            slope += z.T @ (y[k : k + 2000] - p)
+            bend += (z * (p * (1 - p))[:, None]).T @ z
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -95,7 +99,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> n
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labels: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights from a bounded sample: at most max_labels rows of identifiers and labels are broadcast, and their features collected."""
+    """Weights from a bounded sample: at most max_labels rows of identifiers and labels are broadcast, and one task fits their features. Only weights go to the driver."""
     sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lid"), F.col(label_col).cast("double").alias("__y"))
     sample = sample.orderBy(F.xxhash64("__lid"), "__lid", "__y").limit(max_labels)
     chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
@@ -105,10 +109,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_la
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("__y"), pa.array([features(t.as_py()).tobytes() for t in b.column("__text")], pa.binary())], names=["y", "x"])
 
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [np.empty((0, WIDTH), np.float32)], [np.empty(0)]
+        for b in batches:
+            x.append(np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(-1, WIDTH))
+            y.append(b.column("y").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([fit(np.concatenate(x), np.concatenate(y)).tobytes()], pa.binary())], names=["w"])
+
     rows = chosen.mapInArrow(run, "y double, x binary")
-    rows = rows.orderBy(F.xxhash64("x"), "y").limit(max_labels).toArrow()  # the join gives more only where identifiers repeat
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
-    return fit(x, rows.column("y").to_numpy())
+    rows = rows.orderBy(F.xxhash64("x"), "y").limit(max_labels)  # the join gives more only where identifiers repeat
+    found = rows.coalesce(1).mapInArrow(solve, "w binary").collect()
+    return np.frombuffer(found[0]["w"]) if found else fit(np.empty((0, WIDTH), np.float32), np.empty(0))
 
 
 def classified(df: DataFrame, weights: np.ndarray, columns: dict[str, Column], text_col: str = "text") -> DataFrame:

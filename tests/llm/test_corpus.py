@@ -299,6 +299,20 @@ def test_parities_differ_by_no_more_than_the_sets():
         assert differ <= len(np.setxor1d(x, y)) and (len(x) or not minhash.parities(x).any())
 
 
+def test_the_classifier_is_fitted_outside_the_driver(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words"), F.col("id"), F.when(F.col("id") % 2 == 0, "!!! $$$")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    tracemalloc.start()
+    try:
+        weights = quality.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 2_000_000  # the features take over 3 MB
+    x = np.array([quality.features(r["text"]) for r in docs.collect()])
+    np.testing.assert_allclose(weights, quality.fit(x, np.arange(3000) % 2.0), atol=1e-4)
+
+
 def test_filter_keeps_all_that_is_wanted_and_exchanges_no_rows(spark):
     node = F.struct(F.col("id"), (F.col("id") * 7).alias("x"))
     rows = spark.range(20_000).union(spark.range(1).select(F.lit(None).cast("long"))).select(node.alias("__node"), F.lit("text").alias("__text"))
