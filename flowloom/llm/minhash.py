@@ -15,7 +15,7 @@ are texts. Classes that meet are merged, and buckets left with one class drop ou
 at least one pair in PAYS is a link.
 
 Texts in buckets that still hold several classes are then compared by prefixes. All shingles stand in one fixed
-order, rare ones first, by counters over all these texts (a shingle that shares its counter with others only stands later). Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and at
+order, rare ones first, by counters over all these texts (each shingle has two, of which the smaller counts; one that shares both with others only stands later). Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, and at
 their first shared shingle what is left of both sets still suffices for t. Pairs that meet so, and lie in different
 classes, are verified; no other pair can be alike. So any two alike texts that share a bucket end in one class, however many
 rounds there were. A shingle whose counter stands at one is in no other text and is left out. Hot shingles are salted; the work on one
@@ -53,7 +53,7 @@ from flowloom.llm.scratch import materialize
 WORDS, BANDS, ROWS = 5, 26, 5
 #: Rounds with leaders go on while one pair in so many is a link; the stop changes the work, not the result.
 PAYS = 10
-#: Counters of shingles that give the order of prefixes, in PARTS parts, and the texts of a hot shingle that one salt takes.
+#: Counters of shingles (two rows of them) that give the order of prefixes, in PARTS parts, and the texts of a hot shingle that one salt takes.
 COUNTERS, PARTS, SALTED = 1 << 21, 16, 512
 #: Bits of a set's parities, and how many texts may share a shingle before these are looked at where they meet.
 PARITY, MANY = 512, 32
@@ -203,10 +203,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
     Only texts of these pairs move, those of the other nodes once, to their leads, of which there are few; a hot lead's rows are split by adaptive execution.
     """
-    leads = materialize(pairs.select(F.col("lead").alias("__node")).distinct(), "near-leads")
-    texts = _filtered(texts, F.col("__node"), pairs.select(F.explode(F.array("a", "b")).alias("__node")))
-    left = texts.join(leads, "__node", "left_semi").select(F.col("__node").alias("lead"), F.col("__text").alias("__ta"))
-    right = texts.select(F.col("__node").alias("__member"), F.col("__text").alias("__tb"))
+    members = pairs.withColumn("__member", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+    left = _filtered(texts, F.col("__node"), pairs.select("lead")).select(F.col("__node").alias("lead"), F.col("__text").alias("__ta"))
+    right = _filtered(texts, F.col("__node"), members.select("__member")).select(F.col("__node").alias("__member"), F.col("__text").alias("__tb"))
     kind = texts.schema["__node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +225,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    members = pairs.withColumn("__member", F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")))
     return members.join(right, "__member").join(left, "lead").select("a", "b", "__ta", "__tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _counters(docs: DataFrame) -> np.ndarray:
-    """How often shingles of each counter's share occur in all texts, up to 65535: COUNTERS numbers, however many texts there are.
+    """How often shingles of each counter's share occur in all texts, up to 65535: two rows of COUNTERS numbers, however many texts there are.
 
     Tasks give their counters in PARTS packed parts, which are added up part by part.
     """
-    width, most = COUNTERS // PARTS, (1 << 16) - 1
+    width, most = 2 * COUNTERS // PARTS, (1 << 16) - 1
 
     def packed(part: int, counts: np.ndarray) -> tuple[int, bytes]:
         return part, zlib.compress(np.minimum(counts, most).astype("<u2").tobytes(), 1)
@@ -244,10 +242,10 @@ def _counters(docs: DataFrame) -> np.ndarray:
         return np.frombuffer(zlib.decompress(content), "<u2").astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(2 * COUNTERS, np.int64)
         for b in batches:
             for t in b.column("__text"):
-                np.add.at(counts, counter(np.unique(shingles(t.as_py()))), 1)
+                np.add.at(counts, counters(np.unique(shingles(t.as_py()))).ravel(), 1)
         if counts.any():
             parts = [packed(k, counts[k * width : (k + 1) * width]) for k in range(PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*parts, strict=True)], names=["__part", "__counts"])
@@ -262,15 +260,15 @@ def _counters(docs: DataFrame) -> np.ndarray:
 
     parts = docs.select("__text").mapInArrow(count, "__part bigint, __counts binary")
     sums = materialize(parts.repartition(PARTS, "__part").mapInArrow(add, "__part bigint, __counts binary"), "near-counters")
-    order = np.zeros(COUNTERS, np.uint16)
-    for r in sums.collect():  # COUNTERS numbers of 2 bytes at most
+    order = np.zeros(2 * COUNTERS, np.uint16)
+    for r in sums.collect():  # 2 * COUNTERS numbers of 2 bytes at most
         order[r["__part"] * width : (r["__part"] + 1) * width] = unpacked(r["__counts"])
     return order
 
 
-def counter(hashes: np.ndarray) -> np.ndarray:
-    """The counter of each shingle."""
-    return (hashes % np.uint64(COUNTERS)).astype(np.int64)
+def counters(hashes: np.ndarray) -> np.ndarray:
+    """The two counters of each shingle, one of either row."""
+    return np.stack([hashes % np.uint64(COUNTERS), (hashes >> np.uint64(32)) % np.uint64(COUNTERS) + np.uint64(COUNTERS)]).astype(np.int64)
 
 
 def prefix(hashes: np.ndarray, threshold: float, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -291,35 +289,46 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                sets = [np.unique(shingles(t.as_py())) for t in part.column("__text")]
-                keys = [prefix(x, threshold, x, counts.value[counter(x)].astype(np.int64)) for x in sets]
-                found = [[part.column("__node"), pa.array([len(x) for x in sets], pa.int64())]]
-                found += [[pa.array([f(x) for x in xs], pa.list_(t))] for f, xs, t in ((parities, sets, pa.int64()), (lambda x: x.view(np.int64), keys, pa.int64()), (lambda x: counts.value[counter(x)].astype(np.int32), keys, pa.int32()))]
-                yield pa.RecordBatch.from_arrays(sum(found, []), names=["__node", "__n", "__bits", "__keys", "__texts"])
-
-    rows = texts.select("__node", "__text").mapInArrow(run, f"__node {kind}, __n bigint, __bits array<bigint>, __keys array<bigint>, __texts array<int>")
-    rows = rows.select("*", F.posexplode("__keys").alias("__i", "__key")).withColumn("__m", F.get("__texts", F.col("__i"))).where("__m > 1")
-    # With the shingle ahead, if any: where two texts have the same one they have met at it, or before.
-    ahead = F.when(F.col("__i") > 0, F.get("__keys", F.col("__i") - 1)).alias("__ahead")
-    rows = rows.select("__node", "__n", "__i", "__key", ahead, F.when(F.col("__m") > MANY, F.col("__bits")).alias("__bits"))
-    rows = materialize(rows.join(members, "__node"), "near-prefixes")
+                sets, shared = [np.unique(shingles(t.as_py())) for t in b.column("__text").slice(k, 500)], []
+                for x in sets:
+                    keys = prefix(x, threshold, x, counts.value[counters(x)].min(axis=0).astype(np.int64))
+                    many = counts.value[counters(keys)].min(axis=0).astype(np.int32)
+                    at = np.flatnonzero(many > 1)  # the others are in no other text
+                    shared.append((keys[at].view(np.int64), at.astype(np.int32), many[at]))
+                found = [[b.column("__node").slice(k, 500), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x) for x in sets], pa.list_(pa.int64()))]]
+                found += [[pa.array(list(xs), pa.list_(t))] for xs, t in zip(zip(*shared, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays(sum(found, []), names=["__node", "__n", "__bits", "__keys", "__places", "__texts"])
+
+    rows = texts.select("__node", "__text").mapInArrow(run, f"__node {kind}, __n bigint, __bits array<bigint>, __keys array<bigint>, __places array<int>, __texts array<int>")
+    rows = rows.join(members, "__node").select("*", F.posexplode("__keys").alias("__j", "__key"))
+    rows = rows.withColumns({"__i": F.get("__places", F.col("__j")), "__m": F.get("__texts", F.col("__j"))})
+    # With the shingle ahead, if any other text may have it: where two texts have the same one they have met at it, or before.
+    ahead = F.when(F.get("__places", F.col("__j") - 1) == F.col("__i") - 1, F.get("__keys", F.col("__j") - 1)).alias("__ahead")
+    rows = rows.select("__node", "__class", "__n", "__i", "__key", ahead, F.when(F.col("__m") > MANY, F.col("__bits")).alias("__bits"), "__m")
+    rows = materialize(rows, "near-prefixes")
+    of = lambda name: (F.col(f"a.{name}"), F.col(f"b.{name}"))
+    (a_n, b_n), (a_i, b_i), (a_ahead, b_ahead) = of("__n"), of("__i"), of("__ahead")
+    enough = F.least(a_n - a_i, b_n - b_i) >= threshold / (1 + threshold) * (a_n + b_n) - 1e-6
+    new = F.coalesce(a_ahead != b_ahead, F.lit(True))
+    near = F.coalesce(_near_enough(a_n, b_n, *of("__bits"), threshold), F.lit(True))
+    meet = (F.col("a.__node") < F.col("b.__node")) & (F.col("a.__class") != F.col("b.__class")) & enough & new & near
+
+    def met(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        same = reduce(Column.__and__, (x == y for x, y in map(of, keys)))
+        return left.alias("a").join(right.alias("b"), same & meet).select(F.col("a.__node").alias("a"), F.col("b.__node").alias("b"))
+
+    # Counters never fall short, so only what they call hot has to be looked at by key; the rest goes through one exchange, which serves both sides.
+    cold, rows = rows.where(F.col("__m") <= SALTED).drop("__m"), rows.where(F.col("__m") > SALTED).drop("__m")
     keys = rows.groupBy("__key").agg(F.min("__class").alias("__lo"), F.max("__class").alias("__hi"), F.ceil(F.count("*") / SALTED).cast("int").alias("__salts"))
     keys = materialize(keys.where("__lo < __hi").select("__key", "__salts"), "near-prefix-keys")
     rows = materialize(rows.join(keys, "__key"), "near-postings")
-    named = lambda side: [F.col(f"__{c}").alias(f"{side}{c}") for c in ("node", "class", "n", "i", "ahead", "bits")]
     # Alike sets lie in one band of lengths or in neighbouring ones; texts of a hot shingle meet by band.
     band = F.when(F.col("__salts") > 1, F.floor(F.log("__n") / float(np.log(1 / threshold)))).otherwise(0).cast("int")
     bands = F.when(F.col("__salts") > 1, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))
-    left = rows.select("__key", F.pmod(F.xxhash64("__node"), "__salts").cast("int").alias("__salt"), band.alias("__band"), *named("a_"))
-    right = rows.select("__key", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"), bands.alias("__bands"), *named("b_")).withColumn("__band", F.explode("__bands"))
-    least = threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6
-    enough = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= least
-    new = F.coalesce(F.col("a_ahead") != F.col("b_ahead"), F.lit(True))
-    near = F.coalesce(_near_enough(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), threshold), F.lit(True))
-    meet = (F.col("a_node") < F.col("b_node")) & (F.col("a_class") != F.col("b_class")) & enough & new & near
-    met = left.join(right, (left["__key"] == right["__key"]) & (left["__salt"] == right["__salt"]) & (left["__band"] == right["__band"]) & meet)
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().withColumn("lead", F.col("a"))
+    left = rows.withColumns({"__salt": F.pmod(F.xxhash64("__node"), "__salts").cast("int"), "__band": band})
+    right = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).withColumn("__band", F.explode(bands))
+    pairs = met(cold, cold, "__key").union(met(left, right, "__key", "__salt", "__band"))
+    return pairs.distinct().withColumn("lead", F.col("a"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -363,11 +372,13 @@ def _plausible(pairs: DataFrame, facts: DataFrame, threshold: float) -> DataFram
     return materialize(both.where(like & _near_enough(*map(F.col, ("__n_a", "__n_b", "__bits_a", "__bits_b")), threshold)).select("a", "b", "lead"), "near-like")
 
 
-def _links(keys: DataFrame, texts_of, threshold: float) -> DataFrame | None:
-    """Links (a, b) between nodes of (__node, __key): enough to connect any two alike nodes that share a key."""
-    # Buckets of one text, by far the most, are found from their keys alone; those that pass the filter never get a leader.
+def _links(keys: DataFrame, chosen: DataFrame, repeated: bool, texts_of, threshold: float) -> DataFrame | None:
+    """Links (a, b) between those nodes of (__node, __key) that are chosen: enough to connect any two alike ones that share a key."""
+    # Buckets of one text, by far the most, are found from their keys alone; those that pass the filters never get a leader.
+    keys = _filtered(keys, F.col("__node"), chosen).select("__node", F.explode("__keys").alias("__key"))
     shared = keys.groupBy("__key").agg(F.count("*").alias("__m")).where("__m > 1").select("__key")
-    keys = materialize(_filtered(keys, F.col("__key"), materialize(shared, "near-shared")), "near-buckets")
+    keys = _filtered(keys, F.col("__key"), materialize(shared, "near-shared")).join(chosen, "__node", "left_semi")
+    keys = materialize(keys.distinct() if repeated else keys, "near-buckets")
     named, tried, links, texts = keys.select("__node", "__key", F.col("__node").alias("__class")), [], [], None
     for k in count():
         open_ = materialize(named.join(_leaders(named, k), "__key"), "near-open")
@@ -412,14 +423,12 @@ def _classes(df: DataFrame, threshold: float, id_col: str, text_col: str) -> tup
     kept = copies.where("kept").groupBy("__node").agg(F.count("*").alias("__m"))
     chosen = materialize(kept, "near-distinct")
     repeated = not chosen.where("__m > 1").isEmpty()  # rows of one identifier and text
-    keys = sketches.join(chosen.select("__node"), "__node", "left_semi")
-    keys = materialize(keys.dropDuplicates(["__node"]) if repeated else keys, "near-keys").select("__node", F.explode("__keys").alias("__key"))
 
     def texts_of(some: DataFrame) -> DataFrame:
         found = _filtered(nodes, F.col("__node"), some)
         return found.dropDuplicates(["__node"]) if repeated else found
 
-    links = _links(keys, texts_of, threshold)
+    links = _links(sketches, chosen.select("__node"), repeated, texts_of, threshold)
     if links is None:
         return copies.select("__id", "__sha", F.col("__node").alias("__label")), None
     labels = components(links).select(F.col("id").alias("__node"), "label")

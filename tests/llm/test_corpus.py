@@ -668,3 +668,18 @@ def test_pipeline_stages_on_odd_rows(spark):
         assert made.count() <= len(rows) and stage(spark, docs.limit(0), SF).count() == 0
     kept = corpus_pipeline.STAGES[1][1](spark, docs, SF)
     assert sorted(r["text"] or "" for r in kept.collect()) == sorted({t or "" for t in ODD})
+
+
+def test_prefix_keys_move_once(spark):
+    """Both sides of the join of prefixes are one exchange."""
+    kind, common = "struct<id: long, x: long>", " ".join(f"c{i}" for i in range(60))
+    rows = [((i, i), (i, i), f"{common} own{i}") for i in range(20)]
+    nodes = spark.createDataFrame(rows, f"__node {kind}, __class {kind}, __text string")
+    pairs = minhash._prefix_pairs(nodes.select("__node", "__class"), nodes.select("__node", "__text"), 0.8)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(pairs.collect()) == 190
+        assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
