@@ -5,6 +5,8 @@ before it (order 1) each predict one id, and order 0 gives every id a share by h
 The orders' shares are added: an order weighs by the odds at which its predictions of that confidence came true
 in this block. The mixed distribution drives a carry-less range coder with 64-bit state and 16-bit output.
 
+Ids are the tokenizers library's, which encodes each distinct piece between spaces once (`Library`).
+
 Coder and model are sequential within a block, so all blocks of a stripe (some STRIPE ids) advance in step, each
 a lane of numpy arrays. A stripe is a row of a Parquet table: document ids, their numbers of ids, and the blocks.
 Documents never span stripes; stripes ascend by (part, stripe), documents by identifier.
@@ -18,6 +20,7 @@ Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ from flowloom.llm import vocab as V
 
 BLOCK, STRIPE = 2048, 2_000_000
 MAGIC = b"CMR1"
+#: Pieces of texts whose ids a worker knows, and their characters.
+REMEMBERED, KNOWN_CHARS = 350_000, 16_000_000
 _HEAD = struct.Struct("<4sIII")
 _SLOTS = 11  # bits of the slot number in each order's table of predictions
 _LEVELS = 8  # confidences
@@ -41,6 +46,7 @@ _CLASSES = 18  # magnitudes of ids: 0, 1, 2-3, 4-7, ...
 _REFRESH = 16  # ids between updates of order 0's shares
 _FIRST = np.array([0, *(1 << c for c in range(_CLASSES - 1))])
 _SIZE = np.array([1, *(1 << c for c in range(_CLASSES - 1))])
+_MAGNITUDE = np.repeat(np.arange(_CLASSES, dtype=np.int8), _SIZE)
 #: Odds, in 256ths, by probability in 4096ths.
 _ODDS = np.array([min(256 * p // (4096 - p), 256 * 63) for p in range(4096)])
 
@@ -82,6 +88,7 @@ class _Lanes:
         each = np.maximum((counts << 10) // _SIZE, 1) if counts is not None else self.each.reshape(-1, _CLASSES)[: self.n]
         self.upto = np.concatenate([np.zeros((self.n, 1), np.int64), np.cumsum(each * _SIZE, axis=1)], axis=1)
         self.total = np.ascontiguousarray(self.upto[:, -1])
+        self.ends = np.ascontiguousarray(self.upto[:, 1:].T)
         self.totals, self.each, self.edges = np.tile(self.total, 2), each.ravel(), self.upto.ravel()
 
     def predict(self) -> None:
@@ -156,11 +163,14 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         unit = sp // (lanes.known + lanes.total).view(np.uint64)
         lo += unit * start.view(np.uint64)
         sp[:] = unit * share.view(np.uint64)
-        while len(due := _due(lo, sp)):
-            words[due, used[due]] = lo[due] >> _S48
+        due = _due(lo, sp)
+        while len(due):
+            low_, span_ = lo[due], sp[due]
+            words[due, used[due]] = low_ >> _S48
             used[due] += 1
-            lo[due] <<= _S16
-            sp[due] <<= _S16
+            low_, span_ = low_ << _S16, span_ << _S16
+            again = _due(low_, span_)
+            lo[due], sp[due], due = low_, span_, due[again]
         lanes.learn(x, m)
     out = []
     for i in range(n):
@@ -205,7 +215,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         unit = sp // whole.view(np.uint64)
         target = np.minimum(((co - lo) // unit).view(np.int64), whole - 1)
         rest = target - lanes.known
-        m = (lanes.upto[:, 1:] <= rest[:, None]).sum(axis=1)
+        m = (lanes.ends <= rest).view(np.int8).sum(axis=0, dtype=np.int8)
         share, edge = lanes.each.take(lanes.row + m), lanes.edges.take(lanes.edge + m)
         x = _FIRST.take(m) + (rest - edge) // share
         hit2, hit1 = target < w2, (target >= w2) & (target < lanes.known)
@@ -214,13 +224,15 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         x = np.where(hit2, lanes.guess[k:], np.where(hit1, lanes.guess[:k], x))
         lo += unit * start.view(np.uint64)
         sp[:] = unit * share.view(np.uint64)
-        while len(due := _due(lo, sp)):
+        due = _due(lo, sp)
+        while len(due):
             co[due] = (co[due] << _S16) | words[due, used[due]]
             used[due] += 1
-            lo[due] <<= _S16
-            sp[due] <<= _S16
+            low_, span_ = lo[due] << _S16, sp[due] << _S16
+            again = _due(low_, span_)
+            lo[due], sp[due], due = low_, span_, due[again]
         grid[t, :k] = x
-        lanes.learn(x, np.searchsorted(_FIRST, x, side="right") - 1)
+        lanes.learn(x, _MAGNITUDE.take(x))
     ids = np.ascontiguousarray(grid.T).ravel()[: (n - 1) * block + last]
     for i, (_, size, crc, _) in enumerate(heads):
         if zlib.crc32(ids[i * block : i * block + size].astype("<u4").tobytes()) != crc:
@@ -228,13 +240,61 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     return ids
 
 
+class Library:
+    """The library's ids of whole texts, without truncation and padding; it encodes each distinct piece of them once.
+
+    A piece is what stands between two spaces, with the space before it. Its byte-level pattern always starts a new word at a
+    space, but within longer runs of white space (V._ODD), so ids of the pieces one after another are those of the text. Texts with such
+    runs or special strings, and all texts of a vocabulary with another pattern, are encoded whole. Pieces are known up to REMEMBERED of them or KNOWN_CHARS.
+    """
+
+    def __init__(self, content: bytes):
+        self.library = Tokenizer.from_str(content.decode())
+        self.library.no_truncation()
+        self.library.no_padding()
+        data = json.loads(content)
+        cut = data.get("pre_tokenizer") or {}
+        self.cuts = data.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+        self.special = [t["content"] for t in data.get("added_tokens", [])]
+        self.sizes = np.array([len(x) for x in V.token_bytes(content)])
+        self.known: dict[str, bytes] = {}
+        self.chars = 0
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one call: their bytes tell which ids are whose."""
+        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            packed = self.whole(" " + " ".join(some))
+            reach = np.cumsum(self.sizes[np.frombuffer(packed, "<u4")])
+            ends = np.cumsum([len(p.encode()) + 1 for p in some])
+            cuts = np.searchsorted(reach, ends)
+            if not (cuts < len(reach)).all() or not (reach[cuts] == ends).all():
+                raise ValueError("the library's ids don't cover a text's bytes")
+            cuts = (4 * cuts + 4).tolist()
+            self.known.update((p, packed[i:j]) for p, i, j in zip(some, [0, *cuts], cuts))
+        done = set(plain)
+        self.known.update((p, self.whole(" " + p)) for p in pieces if p not in done)
+        self.chars += sum(map(len, pieces))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        if len(self.known) > REMEMBERED or self.chars > KNOWN_CHARS:
+            self.known, self.chars = {}, 0
+        cut = [text.split(" ") if self.cuts and not V._ODD.search(text) and not any(x in text for x in self.special) else None for text in texts]
+        new = set().union(*(parts[1:] for parts in cut if parts)).difference(self.known)
+        self._learn(list(new))
+        get = self.known.__getitem__
+        return [self.whole(text) if parts is None else b"".join([self.whole(parts[0]), *map(get, parts[1:])]) for text, parts in zip(texts, cut, strict=True)]
+
+
 @lru_cache(maxsize=2)
-def _library(content: bytes) -> Tokenizer:
-    """The library's tokenizer, one per worker process and file, without truncation and padding."""
-    found = Tokenizer.from_str(content.decode())
-    found.no_truncation()
-    found.no_padding()
-    return found
+def _library(content: bytes) -> Library:
+    """One per worker process and file."""
+    return Library(content)
 
 
 def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -244,7 +304,7 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: s
     """
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    content = V.shared(df.sparkSession, vocabulary_path)
+    content, end = V.shared(df.sparkSession, vocabulary_path), struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library(content.value)
@@ -257,16 +317,16 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: s
 
         for b in batches:
             id_type = b.schema.field("__id").type
-            for name, text in zip(b.column("__id"), b.column("__text"), strict=True):
-                ids = library.encode(text.as_py(), add_special_tokens=False).ids
-                ids.append(end_id)
-                names.append(name.as_py())
-                sizes.append(len(ids))
-                held.append(np.array(ids, np.uint32))
-                size += sizes[-1]
-                if size >= STRIPE:
-                    yield closed()
-                    stripe, names, sizes, held, size = stripe + 1, [], [], [], 0
+            for at in range(0, b.num_rows, 250):
+                some = b.slice(at, 250)
+                for name, packed in zip(some.column("__id").to_pylist(), library.encode(some.column("__text").to_pylist()), strict=True):
+                    held.append(np.frombuffer(packed + end, "<u4"))
+                    names.append(name)
+                    sizes.append(len(held[-1]))
+                    size += sizes[-1]
+                    if size >= STRIPE:
+                        yield closed()
+                        stripe, names, sizes, held, size = stripe + 1, [], [], [], 0
         if names:
             yield closed()
 

@@ -670,6 +670,21 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert sorted(r["text"] or "" for r in kept.collect()) == sorted({t or "" for t in ODD})
 
 
+def test_the_library_encodes_each_piece_once(tok, monkeypatch):
+    """Whole texts' ids on odd white space, special strings and letters, from pieces that the library gets once."""
+    rnd = random.Random(5)
+    marks = ["a", "Zwölf", "don't", "\n", "\t", "\xa0", "\u3000", "", "", "<|endoftext|>", "x\n", "\ny", "1234", "...", "日本", "'s", "\x1c", "🙂"]
+    texts = ["", " ", "  ", *(" ".join(rnd.choices(marks, k=rnd.randrange(1, 12))) for _ in range(3000))]
+    library = range_coder.Library(open(PATH, "rb").read())
+    got = library.encode(texts[:1500]) + library.encode(texts[1500:])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(tok, x) for x in texts]
+    asked, whole = [], library.whole
+    monkeypatch.setattr(library, "whole", lambda text: asked.append(text) or whole(text))
+    text = " ".join(["some", *(f"word{i}" for i in range(1000))])
+    assert np.frombuffer(b"".join(library.encode([text] * 50)), "<u4").tolist() == ids_of(tok, text) * 50
+    assert sum(map(len, asked)) < 2 * len(text)
+
+
 def test_prefix_keys_move_once(spark):
     """Both sides of the join of prefixes are one exchange."""
     kind, common = "struct<id: long, x: long>", " ".join(f"c{i}" for i in range(60))
