@@ -1,17 +1,17 @@
 """Token ids in compact files: context mixing and range coding in independent, checksummed blocks.
 
 Every BLOCK ids form a block whose model starts anew. For each id, the two ids before it (order 2) and the one
-before it (order 1) each predict one id, and order 0 gives every id a share by how often ids of its magnitude came.
+before it (order 1) each predict one id, and order 0 gives magnitudes shares by how often they came; ids of one magnitude share alike.
 The orders' shares are added: an order weighs by the odds at which its predictions of that confidence came true
-in this block. The mixed distribution drives a carry-less range coder with 64-bit state and 16-bit output.
+in this block. The mixed distribution drives a range coder with 64-bit state and 32-bit output; carries go into words already put out.
 
-Ids are the tokenizers library's, which encodes each distinct piece between spaces once (`Library`).
+Ids are the tokenizers library's, which encodes distinct words and pieces between spaces, not their repeats (`Library`).
 
 Coder and model are sequential within a block, so all blocks of a stripe (some STRIPE ids) advance in step, each
 a lane of numpy arrays. A stripe is a row of a Parquet table: document ids, their numbers of ids, and the blocks.
 Documents never span stripes; stripes ascend by (part, stripe), documents by identifier.
 
-Block layout (little-endian): "CMR1", number of ids, CRC-32 of the ids (32-bit each), CRC-32 of the payload, payload.
+Block layout (little-endian): "CMR2", number of ids, CRC-32 of the ids (32-bit each), CRC-32 of the payload, payload.
 
 Edge cases: a null text counts as empty and holds the end id only. Repeated identifiers follow each other by a
 hash of their texts. A null identifier comes first. A damaged block raises ValueError. An empty table gives an empty table.
@@ -21,6 +21,8 @@ Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,20 +38,21 @@ from tokenizers import Tokenizer
 
 from flowloom.llm import vocab as V
 
-BLOCK, STRIPE = 2048, 2_000_000
-MAGIC = b"CMR1"
-#: Pieces of texts whose ids a worker knows, and their characters.
-REMEMBERED, KNOWN_CHARS = 350_000, 16_000_000
+BLOCK, STRIPE = 2048, 5_000_000
+MAGIC = b"CMR2"
+#: Bytes of texts whose ids are looked up together; pieces in each of a worker's two tables, and their characters.
+TOGETHER, REMEMBERED, KNOWN_CHARS = 2_500_000, 350_000, 8_000_000
 _HEAD = struct.Struct("<4sIII")
 _SLOTS = 11  # bits of the slot number in each order's table of predictions
 _LEVELS = 8  # confidences
 _CLASSES = 18  # magnitudes of ids: 0, 1, 2-3, 4-7, ...
 _REFRESH = 16  # ids between updates of order 0's shares
+_WHOLE = 512  # order 0's shares together; with both orders' largest it stays below 2**16
 _FIRST = np.array([0, *(1 << c for c in range(_CLASSES - 1))])
-_SIZE = np.array([1, *(1 << c for c in range(_CLASSES - 1))])
-_MAGNITUDE = np.repeat(np.arange(_CLASSES, dtype=np.int8), _SIZE)
-#: Odds, in 256ths, by probability in 4096ths.
-_ODDS = np.array([min(256 * p // (4096 - p), 256 * 63) for p in range(4096)])
+_BITS = np.array([0, *range(_CLASSES - 1)])
+_MAGNITUDE = np.repeat(np.arange(_CLASSES, dtype=np.int8), [1, *(1 << c for c in range(_CLASSES - 1))])
+#: An order's share by probability in 4096ths: its odds of order 0's shares.
+_SHARE = np.array([max(_WHOLE * min(256 * p // (4096 - p), 256 * 63) >> 8, 1) for p in range(4096)])
 
 
 class _Lanes:
@@ -58,77 +62,73 @@ class _Lanes:
     """
 
     def __init__(self, n: int):
+        self.n = n
         self.tables = np.full(2 * n << _SLOTS, -_LEVELS, np.int32)  # id * _LEVELS + confidence; without an entry: -1, 0
         self.belief = np.tile(np.array([0, 1200, 2000, 2600, 3000, 3300, 3500, 3600], np.int32), 2 * n)
-        self.counts = np.ones((n, _CLASSES), np.int64)
-        self.one, self.two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self._number(n)
-
-    def _number(self, n: int) -> None:
+        self.counts, self.upto = np.ones((_CLASSES, n), np.int32), np.zeros((_CLASSES + 1, n), np.int32)
         both = np.arange(2 * n)
-        self.n, self.row, self.edge = n, both[:n] * _CLASSES, both[:n] * (_CLASSES + 1)
-        self.slot, self.place, self.at = both << _SLOTS, both * _LEVELS, np.empty(2 * n, np.int64)
-
-    def drop_last(self) -> None:
-        """Goes on without the last lane, whose block has ended."""
-        n = self.n - 1
-        self.tables = self.tables.reshape(2, n + 1, -1)[:, :n].ravel()
-        self.belief = self.belief.reshape(2, n + 1, -1)[:, :n].ravel()
-        self.counts, self.one, self.two = self.counts[:n], self.one[:n], self.two[:n]
-        self._number(n)
+        self.lane, self.slot, self.place = both[:n], both << _SLOTS, both * _LEVELS
+        self.mixed, self.earlier, self.seen = np.zeros(2 * n, np.int64), np.zeros(n, np.int64), np.empty(2 * n, np.int32)
         self._share()
 
-    def refresh(self) -> None:
-        c = self.counts
-        many = c.sum(axis=1) > 512
-        c[many] = (c[many] + 1) >> 1
-        self._share(c)
+    def _share(self) -> None:
+        """Order 0's shares from its counts, _WHOLE in each lane: upto[m] is where those of magnitude m begin."""
+        each = self.counts * np.int32(_WHOLE - _CLASSES) // self.counts.sum(axis=0, dtype=np.int32)
+        each += 1
+        np.cumsum(each, axis=0, out=self.upto[1:])
+        self.upto[-1] = _WHOLE
+        self.ends, self.edges = self.upto[1:-1].astype(np.int16), self.upto.ravel()
 
-    def _share(self, counts: np.ndarray | None = None) -> None:
-        each = np.maximum((counts << 10) // _SIZE, 1) if counts is not None else self.each.reshape(-1, _CLASSES)[: self.n]
-        self.upto = np.concatenate([np.zeros((self.n, 1), np.int64), np.cumsum(each * _SIZE, axis=1)], axis=1)
-        self.total = np.ascontiguousarray(self.upto[:, -1])
-        self.ends = np.ascontiguousarray(self.upto[:, 1:].T)
-        self.totals, self.each, self.edges = np.tile(self.total, 2), each.ravel(), self.upto.ravel()
+    def refresh(self, magnitudes: np.ndarray) -> None:
+        """Order 0 takes in the magnitudes of the latest ids: rows of one for each lane."""
+        c = self.counts
+        c += 2 * np.bincount((magnitudes * np.int32(self.n) + self.lane).ravel(), minlength=c.size).reshape(c.shape).astype(np.int32)
+        many = np.flatnonzero(c.sum(axis=0) > 512)
+        c[:, many] = (c[:, many] + 1) >> 1
+        self._share()
 
     def predict(self) -> None:
-        n, mask = self.n, (1 << _SLOTS) - 1
-        mixed = self.one * 40503
-        self.at[:n] = (mixed >> 5) & mask
-        self.at[n:] = ((self.one * 2654435761 + self.two * 40503) >> 9) & mask
+        n = self.n
+        self.at = (self.mixed >> 9) & ((1 << _SLOTS) - 1)
         self.at += self.slot
         self.entry = self.tables.take(self.at)
+        self.guess = self.entry | (_LEVELS - 1)  # as `seen` has it: id * _LEVELS + 7
         self.confidence = self.entry & (_LEVELS - 1)
-        self.guess = self.entry >> 3
         self.level = self.place + self.confidence
         self.p = self.belief.take(self.level)
-        weight = self.totals * _ODDS.take(self.p) >> 8
-        self.w1, self.w2 = weight[:n], weight[n:]
+        share = _SHARE.take(self.p)
+        self.w1, self.w2 = share[:n], share[n:]
         moved = self.w1 * (self.guess[:n] == self.guess[n:])
         self.w2 += moved
         self.w1 -= moved
         self.known = self.w1 + self.w2
 
-    def learn(self, ids: np.ndarray, magnitude: np.ndarray) -> None:
-        seen = np.concatenate([ids, ids]).astype(np.int32)
-        hit, e, c = self.guess == seen, self.entry, self.confidence
-        self.belief[self.level] = self.p + ((hit * np.int32(4095) - self.p) >> 4)
-        missed = np.where(c > 1, e - ((c + 1) >> 1), seen * _LEVELS + 1)
-        self.tables[self.at] = np.where(hit, e + (c < _LEVELS - 1), missed)
-        self.counts.ravel()[self.row + magnitude] += 2
-        self.two, self.one = self.one, ids
-
-
-_LOW32, _S16, _S48 = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(48)
-
-
-def _due(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Where 16 bits can go: the top ones are settled, or the span has become too small (and is cut at a boundary)."""
-    settled = ((low ^ (low + span)) >> _S48) == 0
-    narrow = ~settled & (span <= _LOW32)
-    if narrow.any():
-        span[narrow] = (~low[narrow] + np.uint64(1)) & _LOW32
-    return np.flatnonzero(settled | narrow)
+    def see(self, x: np.ndarray) -> np.ndarray:
+        """Where the orders' guesses are right."""
+        last = x * _LEVELS
+        last += _LEVELS - 1
+        self.seen[: self.n] = self.seen[self.n :] = last
+        self.hits = np.flatnonzero(self.guess == self.seen)
+        return self.hits
+
+    def learn(self, x: np.ndarray) -> None:
+        e, c, hits, p, n = self.entry, self.confidence, self.hits, self.p, self.n
+        held = e[hits] + (c[hits] < _LEVELS - 1)
+        p -= p >> 4
+        p[hits] += 255
+        self.belief[self.level] = p
+        new = np.where(c > 1, e - ((c + 1) >> 1), self.seen - (_LEVELS - 2))
+        new[hits] = held
+        self.tables[self.at] = new
+        np.multiply(x, 2654435761, out=self.mixed[n:], dtype=np.int64)
+        self.mixed[:n] = self.mixed[n:]
+        self.mixed[n:] += self.earlier
+        np.multiply(x, 40503 << 4, out=self.earlier, dtype=np.int64)
+
+
+_FULL = 0xFFFFFFFFFFFFFFFF
+_S32 = np.uint64(32)
+_LEAST = np.uint64(1 << 32)
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -136,47 +136,62 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     n = -(-len(ids) // block)
     if not n:
         return []
-    ids = ids.astype(np.int64)
-    grid = np.zeros((n, block), np.int64)
-    grid.ravel()[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.T)
-    magnitude = np.ceil(np.log2(grid + 1)).astype(np.int64)
-    last = len(ids) - (n - 1) * block
+    ids = ids.astype("<u4")
+    grid = np.zeros((n, block + 16), np.int32)  # rows of a power of two would share cache lines when turned
+    grid[: n - 1, :block] = ids[: (n - 1) * block].reshape(n - 1, block)
+    grid[n - 1, : len(ids) - (n - 1) * block] = ids[(n - 1) * block :]
+    grid = np.ascontiguousarray(grid[:, :block].T)
+    magnitude = _MAGNITUDE.take(grid)
     lanes = _Lanes(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, used = np.zeros((n, 2 * block + 8), np.uint16), np.zeros(n, np.int64)
-    lo, sp = low, span
-    for t in range(block if n > 1 else last):
-        if t == last:
-            lanes.drop_last()
-            lo, sp = low[: n - 1], span[: n - 1]
-        if t % _REFRESH == 0:
-            lanes.refresh()
+    low, span = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64)
+    width = block * 33 // 32 + 4
+    words, begin = np.empty(n * width, np.uint32), np.arange(n) * width
+    end = begin.copy()
+    for t in range(block if n > 1 else len(ids)):
+        if t and t % _REFRESH == 0:
+            lanes.refresh(magnitude[t - _REFRESH : t])
         lanes.predict()
-        k, w1, w2 = lanes.n, lanes.w1, lanes.w2
-        x, m = grid[t, :k], magnitude[t, :k]
-        share = lanes.each.take(lanes.row + m)
-        start = lanes.known + lanes.edges.take(lanes.edge + m) + (x - _FIRST.take(m)) * share
-        hit2, hit1 = (lanes.guess[k:] == x) & (w2 > 0), (lanes.guess[:k] == x) & (w1 > 0)
-        start = np.where(hit2, 0, np.where(hit1, w2, start))
-        share = np.where(hit2, w2, np.where(hit1, w1, share))
-        unit = sp // (lanes.known + lanes.total).view(np.uint64)
-        lo += unit * start.view(np.uint64)
-        sp[:] = unit * share.view(np.uint64)
-        due = _due(lo, sp)
-        while len(due):
-            low_, span_ = lo[due], sp[due]
-            words[due, used[due]] = low_ >> _S48
-            used[due] += 1
-            low_, span_ = low_ << _S16, span_ << _S16
-            again = _due(low_, span_)
-            lo[due], sp[due], due = low_, span_, due[again]
-        lanes.learn(x, m)
+        x, m = grid[t], magnitude[t].astype(np.int64)
+        at = m * n
+        at += lanes.lane
+        start = lanes.edges.take(at)
+        at += n
+        share = (lanes.edges.take(at) - start).astype(np.int64)
+        start = start + lanes.known
+        bits, rest = _BITS.take(m), x - _FIRST.take(m)
+        hits = lanes.see(x)
+        if len(hits):
+            first = hits[: np.searchsorted(hits, n)]
+            second = hits[len(first) :] - n
+            for which, s, w in ((first, lanes.w2, lanes.w1), (second, None, lanes.w2)):
+                start[which] = 0 if s is None else s[which]
+                share[which] = w[which]
+                bits[which] = rest[which] = 0
+        unit = span // (lanes.known + _WHOLE).view(np.uint64)
+        span = unit * share.view(np.uint64) >> bits.view(np.uint64)
+        unit *= start.view(np.uint64)
+        unit += span * rest.view(np.uint64)
+        unit += low
+        over = np.flatnonzero(unit < low)
+        low = unit
+        back = end[over]
+        while len(back):
+            back -= 1
+            words[back] += np.uint32(1)
+            back = back[words[back] == 0]
+        due = np.flatnonzero(span < _LEAST)
+        if len(due):
+            place = end[due]
+            some = low[due]
+            words[place] = some >> _S32
+            end[due] = place + 1
+            low[due] = some << _S32
+            span[due] <<= _S32
+        lanes.learn(x)
     out = []
-    for i in range(n):
-        tail = int(low[i]).to_bytes(8, "big")
-        payload = words[i, : used[i]].astype(">u2").tobytes() + tail
-        own = ids[i * block : (i + 1) * block].astype("<u4").tobytes()
+    for i, (a, b, tail) in enumerate(zip(begin.tolist(), end.tolist(), low.tolist(), strict=True)):
+        payload = words[a:b].astype("<u4").tobytes() + struct.pack("<II", tail >> 32, tail & 0xFFFFFFFF)
+        own = ids[i * block : (i + 1) * block].tobytes()
         out.append(_HEAD.pack(MAGIC, len(own) // 4, zlib.crc32(own), zlib.crc32(payload)) + payload)
     return out
 
@@ -185,70 +200,84 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     """The ids of blocks of which none but the last may be shorter than the first; raises ValueError if a checksum is wrong."""
     n = len(blocks)
     if not n:
-        return np.empty(0, np.int64)
+        return np.empty(0, "<u4")
     heads = [_HEAD.unpack_from(b) for b in blocks]
     payloads = [b[_HEAD.size :] for b in blocks]
     for (magic, _, _, crc), p in zip(heads, payloads, strict=True):
         if magic != MAGIC or zlib.crc32(p) != crc:
             raise ValueError("damaged block")
     block, last = heads[0][1], heads[-1][1]
-    width = max(map(len, payloads)) // 2 + 4
-    words = np.zeros((n, width), np.uint64)
-    for i, p in enumerate(payloads):
-        words[i, : len(p) // 2] = np.frombuffer(p, ">u2")
-    code, used = np.zeros(n, np.uint64), np.full(n, 4)
-    for j in range(4):
-        code = (code << _S16) | words[:, j]
-    grid = np.zeros((block, n), np.int64)
+    words = np.frombuffer(b"".join(payloads) + bytes(8), "<u4").astype(np.uint64)
+    sizes = np.array([len(p) // 4 for p in payloads])
+    end = np.cumsum(sizes) - sizes
+    code = words[end] << _S32 | words[end + 1]
+    end += 2
+    span = np.full(n, _FULL, np.uint64)
+    grid, magnitude = np.empty((block, n), np.int32), np.empty((_REFRESH, n), np.int8)
     lanes = _Lanes(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    lo, sp, co = low, span, code
     for t in range(block):
-        if t == last and n > 1:
-            lanes.drop_last()
-            lo, sp, co = low[: n - 1], span[: n - 1], code[: n - 1]
-        if t % _REFRESH == 0:
-            lanes.refresh()
+        if t and t % _REFRESH == 0:
+            lanes.refresh(magnitude)
         lanes.predict()
-        k, w1, w2 = lanes.n, lanes.w1, lanes.w2
-        whole = lanes.known + lanes.total
-        unit = sp // whole.view(np.uint64)
-        target = np.minimum(((co - lo) // unit).view(np.int64), whole - 1)
-        rest = target - lanes.known
-        m = (lanes.ends <= rest).view(np.int8).sum(axis=0, dtype=np.int8)
-        share, edge = lanes.each.take(lanes.row + m), lanes.edges.take(lanes.edge + m)
-        x = _FIRST.take(m) + (rest - edge) // share
-        hit2, hit1 = target < w2, (target >= w2) & (target < lanes.known)
-        start = np.where(hit2, 0, np.where(hit1, w2, lanes.known + edge + (x - _FIRST.take(m)) * share))
-        share = np.where(hit2, w2, np.where(hit1, w1, share))
-        x = np.where(hit2, lanes.guess[k:], np.where(hit1, lanes.guess[:k], x))
-        lo += unit * start.view(np.uint64)
-        sp[:] = unit * share.view(np.uint64)
-        due = _due(lo, sp)
-        while len(due):
-            co[due] = (co[due] << _S16) | words[due, used[due]]
-            used[due] += 1
-            low_, span_ = lo[due] << _S16, sp[due] << _S16
-            again = _due(low_, span_)
-            lo[due], sp[due], due = low_, span_, due[again]
-        grid[t, :k] = x
-        lanes.learn(x, _MAGNITUDE.take(x))
-    ids = np.ascontiguousarray(grid.T).ravel()[: (n - 1) * block + last]
+        known = lanes.known
+        unit = span // (known + _WHOLE).view(np.uint64)
+        target = (code // unit).view(np.int64)
+        rest = target - known
+        m = (lanes.ends <= np.maximum(rest, -1).astype(np.int16)).view(np.int8).sum(axis=0, dtype=np.int8)
+        at = m * np.int64(n)
+        at += lanes.lane
+        start = lanes.edges.take(at)
+        at += n
+        share = (lanes.edges.take(at) - start).astype(np.int64)
+        start = start + known
+        bits, x = _BITS.take(m), _FIRST.take(m)
+        guessed = np.flatnonzero(rest < 0)
+        if len(guessed):
+            w1, w2 = lanes.w1[guessed], lanes.w2[guessed]
+            second = target[guessed] < w2
+            start[guessed], share[guessed], bits[guessed] = np.where(second, 0, w2), np.where(second, w2, w1), 0
+        span = unit * share.view(np.uint64) >> bits.view(np.uint64)
+        unit *= start.view(np.uint64)
+        code -= unit
+        rest = code // span
+        code -= rest * span
+        x += rest.view(np.int64)
+        if len(guessed):
+            x[guessed] = lanes.guess[guessed + n * second] // _LEVELS
+            m[guessed] = _MAGNITUDE.take(x[guessed])
+        magnitude[t % _REFRESH] = m
+        due = np.flatnonzero(span < _LEAST)
+        if len(due):
+            place = end[due]
+            code[due] = code[due] << _S32 | words[place]
+            span[due] <<= _S32
+            end[due] = place + 1
+        grid[t] = x
+        lanes.see(x)
+        lanes.learn(x)
+    ids = np.ascontiguousarray(grid.T).ravel()[: (n - 1) * block + last].astype("<u4")
     for i, (_, size, crc, _) in enumerate(heads):
-        if zlib.crc32(ids[i * block : i * block + size].astype("<u4").tobytes()) != crc:
+        if zlib.crc32(ids[i * block : i * block + size].tobytes()) != crc:
             raise ValueError("damaged block")
     return ids
 
 
+_LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++"
+#: Pieces of letters and single marks, whose words the byte-level pattern cuts in the same places.
+_WORDS = re.compile(f"({_LETTERS})([.,;:!?]*+\n?)(?:({_LETTERS})([.,;:!?]*+))?")
+
+
 class Library:
-    """The library's ids of whole texts, without truncation and padding; it encodes each distinct piece of them once.
+    """The library's ids of whole texts, without truncation and padding; words and pieces that are known aren't encoded again.
 
     A piece is what stands between two spaces, with the space before it. Its byte-level pattern always starts a new word at a
-    space, but within longer runs of white space (V._ODD), so ids of the pieces one after another are those of the text. Texts with such
-    runs or special strings, and all texts of a vocabulary with another pattern, are encoded whole. Pieces are known up to REMEMBERED of them or KNOWN_CHARS.
+    space, but within longer runs of white space (V._ODD), so ids of the pieces one after another are those of the text. Pieces of letters
+    and marks (_WORDS) are cut further. Texts with such runs or special strings, and all texts of a vocabulary with another pattern, are
+    encoded whole. Known pieces stand in two tables: a full one takes the older one's place, which loses what wasn't used meanwhile.
     """
 
     def __init__(self, content: bytes):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_str(content.decode())
         self.library.no_truncation()
         self.library.no_padding()
@@ -257,38 +286,99 @@ class Library:
         self.cuts = data.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
         self.special = [t["content"] for t in data.get("added_tokens", [])]
         self.sizes = np.array([len(x) for x in V.token_bytes(content)])
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by what follows the space
+        self.older: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}  # words and marks within pieces
         self.chars = 0
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one call: their bytes tell which ids are whose."""
-        plain = [p for p in pieces if p and not p[0].isspace() and not p[-1].isspace()]
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            packed = self.whole(" " + " ".join(some))
-            reach = np.cumsum(self.sizes[np.frombuffer(packed, "<u4")])
-            ends = np.cumsum([len(p.encode()) + 1 for p in some])
-            cuts = np.searchsorted(reach, ends)
-            if not (cuts < len(reach)).all() or not (reach[cuts] == ends).all():
-                raise ValueError("the library's ids don't cover a text's bytes")
-            cuts = (4 * cuts + 4).tolist()
-            self.known.update((p, packed[i:j]) for p, i, j in zip(some, [0, *cuts], cuts))
-        done = set(plain)
-        self.known.update((p, self.whole(" " + p)) for p in pieces if p not in done)
-        self.chars += sum(map(len, pieces))
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _spaced(self, words: list[str]) -> None:
+        """Learn words, many in one text: their bytes tell which ids are whose."""
+        if not words:
+            return
+        packed = b"".join(self.whole(" " + " ".join(words[at : at + 500])) for at in range(0, len(words), 500))
+        reach = np.cumsum(self.sizes[np.frombuffer(packed, "<u4")])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = np.searchsorted(reach, ends)
+        if reach[-1] != ends[-1] or not (reach[cuts] == ends).all():
+            raise ValueError("the library's ids don't cover a text's bytes")
+        cuts = (4 * cuts + 4).tolist()
+        self.known.update((w, packed[i:j]) for w, i, j in zip(words, [0, *cuts], cuts, strict=False))
+
+    def _runs(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each of distinct pieces, with the space before it."""
+        if len(self.known) > REMEMBERED or self.chars > KNOWN_CHARS:
+            self.known, self.older, self.inner, self.chars = {}, self.known, {}, 0
+        known, older, inner = self.known, self.older, self.inner
+        runs = list(map(known.get, pieces))
+        missing = [i for i, x in enumerate(runs) if x is None]
+        words, apart, cut = [], set(), []
+        for i in missing:
+            p = pieces[i]
+            self.chars += len(p)
+            x = older.get(p)
+            if x is not None:
+                known[p] = x
+            elif p.isalpha():
+                words.append(p)
+            elif m := _WORDS.fullmatch(p):
+                first, mark, second, end = m.groups("")
+                cut.append((p, first, mark, second, end))
+                apart.add(mark)
+                if second:
+                    apart.update((second, end))
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                words.append(p)
+            else:
+                known[p] = self.whole(" " + p)
+        firsts = {x[1] for x in cut}.difference(known, words)
+        held = firsts & older.keys()
+        known.update((w, older[w]) for w in held)
+        words += firsts - held
+        self._spaced(words)
+        inner.update((w, self.whole(w)) for w in apart.difference(inner))
+        for p, first, mark, second, end in cut:
+            known[p] = known[first] + inner[mark] + (inner[second] + inner[end] if second else b"")
+        for i in missing:
+            runs[i] = known[pieces[i]]
+        return runs
+
+    def ids(self, texts: pa.Array, *ends: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, `ends` behind each text's, and how many each text has."""
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, f"[{V.SPACES}] (?:[{V.SPACES}]|\\z)") if self.cuts else pa.array([True] * n)
+        for x in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, x))
+        parts = pc.split_pattern(pc.if_else(odd, pa.scalar("", texts.type), texts), " ")
+        sizes = pc.list_value_length(parts).to_numpy()
+        head = np.cumsum(sizes) - sizes
+        spaced = np.ones(int(sizes.sum()), bool)
+        spaced[head] = False
+        values = parts.flatten()
+        coded = values.filter(pa.array(spaced)).dictionary_encode()
+        heads = pc.if_else(odd, texts, values.take(pa.array(head))).to_pylist()
+        runs = self._runs(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = np.empty(len(spaced), np.int64)
+        at[spaced] = coded.indices.to_numpy()
+        at[head] = len(runs) + np.arange(n)
+        runs += map(self.whole, heads)
+        if ends:
+            at = np.insert(at, head + sizes, len(runs))
+            head += np.arange(n)
+            runs.append(np.array(ends, "<u4").tobytes())
+        length = np.fromiter(map(len, runs), np.int64, len(runs)) >> 2
+        sizes, begin = length.take(at), (np.cumsum(length) - length).take(at)
+        begin -= np.cumsum(sizes) - sizes
+        where = np.repeat(begin, sizes)
+        where += np.arange(len(where))
+        return np.frombuffer(b"".join(runs), "<u4").take(where), np.add.reduceat(sizes, head)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.known) > REMEMBERED or self.chars > KNOWN_CHARS:
-            self.known, self.chars = {}, 0
-        cut = [text.split(" ") if self.cuts and not V._ODD.search(text) and not any(x in text for x in self.special) else None for text in texts]
-        new = set().union(*(parts[1:] for parts in cut if parts)).difference(self.known)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [self.whole(text) if parts is None else b"".join([self.whole(parts[0]), *map(get, parts[1:])]) for text, parts in zip(texts, cut, strict=True)]
+        ids, counts = self.ids(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
 @lru_cache(maxsize=2)
@@ -304,7 +394,7 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: s
     """
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    content, end = V.shared(df.sparkSession, vocabulary_path), struct.pack("<I", end_id)
+    content = V.shared(df.sparkSession, vocabulary_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = _library(content.value)
@@ -317,16 +407,20 @@ def write(df: DataFrame, vocabulary_path: str, path: str, end_id: int, id_col: s
 
         for b in batches:
             id_type = b.schema.field("__id").type
-            for at in range(0, b.num_rows, 250):
-                some = b.slice(at, 250)
-                for name, packed in zip(some.column("__id").to_pylist(), library.encode(some.column("__text").to_pylist()), strict=True):
-                    held.append(np.frombuffer(packed + end, "<u4"))
+            rows = max(1, TOGETHER * b.num_rows // max(b.nbytes, 1))
+            for at in range(0, b.num_rows, rows):
+                some = b.slice(at, rows)
+                ids, counts = library.ids(some.column("__text"), end_id)
+                done = 0
+                for name, upto, n in zip(some.column("__id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist(), strict=True):
                     names.append(name)
-                    sizes.append(len(held[-1]))
-                    size += sizes[-1]
+                    sizes.append(n)
+                    size += n
                     if size >= STRIPE:
+                        held.append(ids[done:upto])
                         yield closed()
-                        stripe, names, sizes, held, size = stripe + 1, [], [], [], 0
+                        stripe, names, sizes, held, size, done = stripe + 1, [], [], [], 0, upto
+                held.append(ids[done:])
         if names:
             yield closed()
 
@@ -342,7 +436,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids = decode_blocks(r["blocks"]).astype("<u4")
+                ids = decode_blocks(r["blocks"])
                 ends = np.cumsum(r["sizes"])
                 cuts = [ids[e - n : e].tobytes() for e, n in zip(ends.tolist(), r["sizes"], strict=True)]
                 rows = len(cuts)

@@ -698,3 +698,38 @@ def test_prefix_keys_move_once(spark):
         assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_the_library_encodes_words_of_pieces_once(tok, monkeypatch):
+    """Words with marks behind them aren't encoded again, nor are pieces in use when the tables turn over."""
+    monkeypatch.setattr(range_coder, "REMEMBERED", 1500)
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("aeinorst\xe9", k=9)) for _ in range(1000)]
+    library = range_coder.Library(open(PATH, "rb").read())
+    asked, whole = [], library.whole
+    monkeypatch.setattr(library, "whole", lambda text: asked.append(text) or whole(text))
+    for k in range(12):
+        rare = " ".join(f"rare{k}x{i}" for i in range(400))
+        text = "the " + " ".join(w + rnd.choice(["", ",", ".", "!?", ".\n" + rnd.choice(words), "\n"]) for w in words) + " " + rare
+        assert np.frombuffer(library.encode([text])[0], "<u4").tolist() == ids_of(tok, text)
+    assert sum(map(len, asked)) < 3 * 10 * len(words) + 12 * 410 * 12
+
+
+def test_marks_are_cut_from_words_as_in_whole_texts(tok):
+    rnd = random.Random(9)
+    marks = ["a", "Zw\xf6lf", "it's", ".", ",", "?!", "\n", ".\n", "\n\n", "12", "€", "\xd7", "\xaa", "́", "\x00", " ", " ", "-", "日"]
+    texts = ["".join(rnd.choices(marks, k=rnd.randrange(1, 14))) for _ in range(4000)]
+    library = range_coder.Library(open(PATH, "rb").read())
+    assert [np.frombuffer(x, "<u4").tolist() for x in library.encode(texts)] == [ids_of(tok, x) for x in texts]
+
+
+def test_a_rare_id_does_not_cost_order_0_a_share_for_each_of_its_magnitude():
+    """The whole ids of a skewed draw, any sizes of blocks, in fewer bits than when each id of the largest magnitudes had a share."""
+    rnd = np.random.default_rng(3)
+    ids = np.minimum(rnd.geometric(0.02, 40_000), 50_256)
+    for n, block in ((1, 512), (512, 512), (513, 512), (40_000, 2048)):
+        blocks = range_coder.encode_blocks(ids[:n], block)
+        assert (range_coder.decode_blocks(blocks) == ids[:n]).all()
+    assert sum(map(len, blocks)) < 38_000  # 38,902 when each had one
+    few = np.random.default_rng(4).integers(0, 1 << 17, 3000)
+    assert (range_coder.decode_blocks(range_coder.encode_blocks(few, 256)) == few).all()
