@@ -40,10 +40,10 @@ from flowloom.llm import vocab as V
 
 BLOCK, STRIPE = 2048, 5_000_000
 MAGIC = b"CMR2"
-#: Bytes of texts whose ids are looked up together; pieces in each of a worker's two tables, and their characters.
-TOGETHER, REMEMBERED, KNOWN_CHARS = 2_500_000, 350_000, 8_000_000
+#: Bytes of texts whose ids are looked up together, new words in one text; pieces in each of a worker's two tables, and their characters.
+TOGETHER, PACK, REMEMBERED, KNOWN_CHARS = 4_000_000, 50, 450_000, 8_000_000
 _HEAD = struct.Struct("<4sIII")
-_SLOTS = 11  # bits of the slot number in each order's table of predictions
+_SLOTS = 10  # bits of the slot number in each order's table of predictions
 _LEVELS = 8  # confidences
 _CLASSES = 18  # magnitudes of ids: 0, 1, 2-3, 4-7, ...
 _REFRESH = 16  # ids between updates of order 0's shares
@@ -298,32 +298,30 @@ class Library:
         """Learn words, many in one text: their bytes tell which ids are whose."""
         if not words:
             return
-        packed = b"".join(self.whole(" " + " ".join(words[at : at + 500])) for at in range(0, len(words), 500))
-        reach = np.cumsum(self.sizes[np.frombuffer(packed, "<u4")])
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        packed = b"".join(self.whole(" " + " ".join(words[at : at + PACK])) for at in range(0, len(words), PACK))
+        reach = np.cumsum(self.sizes.take(np.frombuffer(packed, "<u4")))
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
         cuts = np.searchsorted(reach, ends)
         if reach[-1] != ends[-1] or not (reach[cuts] == ends).all():
             raise ValueError("the library's ids don't cover a text's bytes")
         cuts = (4 * cuts + 4).tolist()
-        self.known.update((w, packed[i:j]) for w, i, j in zip(words, [0, *cuts], cuts, strict=False))
+        self.known.update(zip(words, map(packed.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
 
     def _runs(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of each of distinct pieces, with the space before it."""
         if len(self.known) > REMEMBERED or self.chars > KNOWN_CHARS:
             self.known, self.older, self.inner, self.chars = {}, self.known, {}, 0
         known, older, inner = self.known, self.older, self.inner
-        runs = list(map(known.get, pieces))
-        missing = [i for i, x in enumerate(runs) if x is None]
-        words, apart, cut = [], set(), []
-        for i in missing:
-            p = pieces[i]
-            self.chars += len(p)
-            x = older.get(p)
-            if x is not None:
-                known[p] = x
-            elif p.isalpha():
-                words.append(p)
-            elif m := _WORDS.fullmatch(p):
+        missing = [p for p in pieces if p not in known]
+        self.chars += sum(map(len, missing))
+        new = [p for p in missing if p not in older]
+        held = [p for p in missing if p in older] if len(new) < len(missing) else []
+        known.update(zip(held, map(older.__getitem__, held), strict=True))
+        words, apart, cut = [p for p in new if p.isalpha()], set(), []
+        for p in new if len(words) < len(new) else ():
+            if p.isalpha():
+                continue
+            if m := _WORDS.fullmatch(p):
                 first, mark, second, end = m.groups("")
                 cut.append((p, first, mark, second, end))
                 apart.add(mark)
@@ -341,9 +339,7 @@ class Library:
         inner.update((w, self.whole(w)) for w in apart.difference(inner))
         for p, first, mark, second, end in cut:
             known[p] = known[first] + inner[mark] + (inner[second] + inner[end] if second else b"")
-        for i in missing:
-            runs[i] = known[pieces[i]]
-        return runs
+        return list(map(known.__getitem__, pieces))
 
     def ids(self, texts: pa.Array, *ends: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after another, `ends` behind each text's, and how many each text has."""
