@@ -124,3 +124,12 @@ def bucket(ts: Column, seconds: float) -> Column:
 def half_even(value: Column, places: int) -> Column:
     """Rounded to so many places; a value halfway between two goes to the even one (as its shortest decimal form reads)."""
     return F.bround(value.cast("double"), places)
+
+
+def half_away(value: Column, places: int) -> Column:
+    """A double rounded to so many places as SQL's round does it: the number times 10**places, halves away from zero, divided again.
+
+    Spark's own round goes by a number's shortest decimal form, and so takes the other side of some numbers next to a half.
+    """
+    scaled = value * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**places).otherwise(value)

@@ -29,7 +29,7 @@ def query(sql: str | None):
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(net.half_away(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _with(*names: str) -> str:

@@ -104,6 +104,22 @@ def same(a, b):
     return key(a) == key(b)
 
 
+def test_rounding_follows_sql(spark, con, monkeypatch):
+    """To the last bit, also next to halves: 0.7 s over 280,000 bytes are 3e-06 in SQL."""
+    from flowloom.plans import catalog as plans
+
+    rows = [(i, "s", f"d{i}", (1 + i // 49) * 10_000, 0, (1 + i % 49) / 10, float(i)) for i in range(4900)] + [(-1, "s", "d", 280_000, 0, 0.7, -1.0)]
+    made = spark.createDataFrame(rows, "seq long, src_ip string, dst_ip string, bytes_fwd long, bytes_bwd long, duration double, start_time double")
+    monkeypatch.setattr(plans, "view", lambda spark, sf_dir, name: made)
+    got = {r["seq"]: r["duration_bytes_ratio"] for r in plans.a_exfiltration(spark, "").collect()}
+    con.execute("CREATE TEMP TABLE timed (seq BIGINT, duration DOUBLE, bytes BIGINT)")
+    con.executemany("INSERT INTO timed VALUES (?, ?, ?)", [(r[0], r[5], r[3]) for r in rows])
+    assert got == dict(con.execute("SELECT seq, round(duration / bytes, 6) FROM timed").fetchall()) and got[-1] == 3e-06
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (1e305,), (-2.5,), (None,)], "v double")
+    assert str([r[0] for r in odd.select(net.half_away(F.col("v"), 6)).collect()]) == "[inf, nan, 1e+305, -2.5, None]"
+    assert [r[0] for r in odd.select(net.half_away(F.col("v"), 0)).collect()][3] == -3.0
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     got = catalog.queries()[name](spark, SF)
