@@ -9,7 +9,8 @@ from flowloom.functions import net
 
 
 def _scored(df: DataFrame, total: Column) -> DataFrame:
-    return df.withColumn("confidence", F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 4))
+    held = df.withColumn("confidence", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+    return held.withColumn("confidence", net.half_away(F.col("confidence"), 4))
 
 
 def ddos(df: DataFrame, pps: float = 500.0, bps: float = 1e6, syn_ack: float = 5.0, entropy: float = 4.0, sources: int = 20, half_open: int = 20) -> DataFrame:

@@ -77,6 +77,19 @@ def test_contacts_by_votes(spark):
     assert np.mean([(r["p"] > 0.5) == (r["label"] == 1) for r in got]) > 0.97
 
 
+def test_scores_round_as_sql(spark):
+    """Sums of shares that end next to half of the fourth place."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from flowloom.operators import detectors as det
+
+    steps = spark.range(5000, 12000).withColumn("r", F.col("id") / 1000)
+    rows = steps.select("id", F.lit(0.0).alias("outbound_volume_zscore"), F.col("r").alias("outbound_inbound_ratio"), F.lit(1.0).alias("duration_bytes_ratio"), F.lit(1).alias("off_hours_flag"), F.lit(0).alias("destination_novel"))
+    want = dict(duckdb.sql("SELECT i, round(least(0.25 * (i / 1000) / 5, 0.4) + 0.2, 4) FROM range(5000, 12000) t(i)").fetchall())
+    assert {r["id"]: r["confidence"] for r in det.exfiltration(rows).collect()} == want
+
+
 def test_evidence_texts_and_rounding(spark):
     from pyspark.sql import functions as F
 
