@@ -50,7 +50,7 @@ def export_json(alerts: DataFrame, columns: list[str], limit: int = 1000) -> Dat
 def counts(alerts: DataFrame) -> DataFrame:
     """All alerts, by class and by severity, in one pass."""
     sets = alerts.groupingSets([[], [F.col("threat_class")], [F.col("severity")]], "threat_class", "severity")
-    return sets.agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("avg_confidence"))
+    return sets.agg(F.count("*").alias("n"), net.half_away(F.avg("confidence"), 3).alias("avg_confidence"))
 
 
 def top(alerts: DataFrame, column: str, n: int = 5) -> DataFrame:

@@ -90,6 +90,18 @@ def test_scores_round_as_sql(spark):
     assert {r["id"]: r["confidence"] for r in det.exfiltration(rows).collect()} == want
 
 
+def test_counts_round_as_sql(spark):
+    """Means next to half of the third place."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from flowloom.plans import alert_queries as aq
+
+    given = spark.range(10_000).select(F.col("id").cast("string").alias("threat_class"), F.lit("LOW").alias("severity"), (F.col("id") / 10_000).alias("confidence"))
+    want = dict(duckdb.sql("SELECT i::VARCHAR, round(avg(i / 10000), 3) FROM range(10000) t(i) GROUP BY i").fetchall())
+    assert {r["threat_class"]: r["avg_confidence"] for r in aq.counts(given).where("threat_class IS NOT NULL").collect()} == want
+
+
 def test_evidence_texts_and_rounding(spark):
     from pyspark.sql import functions as F
 
