@@ -88,6 +88,29 @@ def test_ranges_of_a_capture(spark, tmp_path, order):
         assert got == {i: (1_700_000_000 + i + i / 1e6, x) for i, x in enumerate(sent)}, split
 
 
+def test_many_captures_take_few_tasks(spark, tmp_path):
+    """Tasks grow with bytes, not with files; files of one task and of several are numbered alike, empty ones and next-generation ones among them."""
+    sent = {}
+    for k in range(120):
+        n = 3000 if k == 50 else 0 if k == 7 else 20 + k % 5
+        sent |= {(f"{k:03d}.pcap", i): b"%d-%d" % (k, i) + b"x" * (i % 40) for i in range(n)}
+        with open(tmp_path / f"{k:03d}.pcap", "wb") as f:
+            f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+            for i in range(n):
+                x = sent[f"{k:03d}.pcap", i]
+                f.write(struct.pack("<IIII", 1_700_000_000 + i, i, len(x), len(x)) + x)
+    block = lambda kind, body: struct.pack("<II", kind, 12 + len(body)) + body + struct.pack("<I", 12 + len(body))
+    (tmp_path / "200.pcapng").write_bytes(block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 1, 0, 8)) + 900 * block(3, struct.pack("<I", 60) + b"12345678"))
+    sent |= {("200.pcapng", i): b"12345678" for i in range(900)}
+    for split in (500, 4000, 1 << 20):
+        frames, cut = pcap.read(spark, str(tmp_path), split=split), pcap.read(spark, str(tmp_path), split=split, pack=9000)
+        for got in (frames, cut):
+            assert sorted((r["file"].rsplit("/")[-1], r["number"], bytes(r["frame"])) for r in got.collect()) == sorted((*k, x) for k, x in sent.items()), split
+        packs = pcap.PcapReader({"path": str(tmp_path), "split": str(split), "pack": str(1 << 20)}).partitions()
+        assert len(packs) == 8 and sum(r.end - r.start for p in packs for r in p.ranges) == sum(f.stat().st_size for f in tmp_path.iterdir())
+        assert frames.rdd.getNumPartitions() < 60, split
+
+
 def test_missing_capture(spark, tmp_path):
     with pytest.raises(Exception, match="FileNotFoundError"):
         pcap.read(spark, str(tmp_path / "none.pcap")).count()
