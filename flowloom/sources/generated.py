@@ -61,8 +61,10 @@ def _wide(x: Column, size: int) -> Column:
     return F.lpad(F.hex(x.cast("long")), 2 * size, "0")
 
 
-def _address(ip: Column) -> Column:
-    return F.array_join(F.transform(F.split(ip, r"\."), lambda x: _wide(x, 1)), "")
+def address(ip: Column) -> Column:
+    """An IPv4 address as four bytes, in hexadecimal. A number past 255, which made-up addresses may have, is carried into the one before it."""
+    whole = lambda a, x: a * 256 + x.cast("long")
+    return _wide(F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), whole), 4)
 
 
 def dns_question(name: Column, kind: Column) -> Column:
@@ -78,7 +80,7 @@ def frame(src_ip: Column, dst_ip: Column, src_port: Column, dst_port: Column, pr
     tcp = F.concat(F.lit("00" * 8 + "50"), _wide(tcp_flags, 1), F.lit("00" * 6))
     udp = F.concat(_wide(size + 8, 2), F.lit("0000"))
     inner = F.concat(_wide(src_port, 2), _wide(dst_port, 2), F.when(protocol == 6, tcp).otherwise(udp), body)
-    ip = F.concat(F.lit("4500"), _wide(F.length(inner) / 2 + 20, 2), F.lit("0000000040"), _wide(protocol, 1), F.lit("0000"), _address(src_ip), _address(dst_ip))
+    ip = F.concat(F.lit("4500"), _wide(F.length(inner) / 2 + 20, 2), F.lit("0000000040"), _wide(protocol, 1), F.lit("0000"), address(src_ip), address(dst_ip))
     return F.unhex(F.concat(F.when(ethernet, "00" * 12 + "0800").otherwise(""), ip, inner))
 
 

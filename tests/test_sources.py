@@ -111,6 +111,20 @@ def test_many_captures_take_few_tasks(spark, tmp_path):
         assert frames.rdd.getNumPartitions() < 60, split
 
 
+PACKET = "seq long, ts double, src_ip string, dst_ip string, src_port int, dst_port int, protocol int, length int, tcp_flags int"
+
+
+def test_captures_keep_hosts_and_numbers(spark, monkeypatch):
+    """Hosts past 65,535, whose third number is no byte, numbers with gaps of whole files, and times at half a millisecond."""
+    from flowloom.plans import packet_queries as plans
+
+    rows = [(5, 1.0625, "10.0.0.1", "198.51.100.2", 40001, 443, 6, 60, 2), (9, 2.0015, "198.51.100.2", "10.0.255.255", 443, 40002, 6, 60, 18), (3 * 4096 + 7, 3.0, "10.0.256.0", "198.51.100.1", 40003, 53, 17, 60, 0), (9 * 4096, 4.25, "10.0.65535.144", "198.51.100.0", 40004, 80, 6, 60, 16)]
+    monkeypatch.setattr(plans, "view", lambda spark, sf_dir, name: spark.createDataFrame(rows, PACKET))
+    got = plans.s_captures(spark, "").orderBy("seq").collect()
+    assert [tuple(r)[2:] for r in got] == [(*r[2:7], r[8]) for r in rows]
+    assert [r["seq"] for r in got] == [0, 1, 3 << 40, 9 << 40] and [r["ts"] for r in got] == [1.063, 2.002, 3.0, 4.25]
+
+
 def test_missing_capture(spark, tmp_path):
     with pytest.raises(Exception, match="FileNotFoundError"):
         pcap.read(spark, str(tmp_path / "none.pcap")).count()
